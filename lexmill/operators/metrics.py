@@ -22,7 +22,7 @@ def accuracy(predicted: DataFrame, truth: DataFrame, keys: Sequence[str] = ("doc
 
 
 def hit_rate(predicted: DataFrame, truth: DataFrame, doc: str, keys: Sequence[str]) -> DataFrame:
-    """One row ``matched, total, accuracy``: copies predicted right per original document, in percent.
+    """One row ``matched, total, accuracy``: the percentage of documents given any of their labels.
 
     ``keys`` identify a labelled copy and ``doc`` the document it was copied
     from. A copy without a prediction counts as a miss.
@@ -31,20 +31,6 @@ def hit_rate(predicted: DataFrame, truth: DataFrame, doc: str, keys: Sequence[st
         predicted.select(*keys, "label"), list(keys), "left"
     )
     hit = F.coalesce((F.col("label") == F.col("_true")).cast("int"), F.lit(0))
-    per_doc = pairs.groupBy(doc).agg(F.sum(hit).alias("_hits"))
-    return per_doc.agg(
-        F.coalesce(F.sum("_hits"), F.lit(0)).alias("matched"),
-        F.count(F.lit(1)).alias("total"),
-        (F.sum("_hits") / F.count(F.lit(1)) * 100).alias("accuracy"),
-    )
-
-
-def hit_rate_any(predicted: DataFrame, truth: DataFrame, doc: str, keys: Sequence[str]) -> DataFrame:
-    """As :func:`hit_rate`, but a document counts once if any of its copies is right."""
-    pairs = truth.select(*keys, F.col("label").alias("_true")).join(
-        predicted.select(*keys, "label"), list(keys), "left"
-    )
-    hit = F.coalesce((F.col("label") == F.col("_true")).cast("int"), F.lit(0))
     per_doc = pairs.groupBy(doc).agg(F.max(hit).alias("_hit"))
     return per_doc.agg(
         F.coalesce(F.sum("_hit"), F.lit(0)).alias("matched"),

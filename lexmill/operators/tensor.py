@@ -231,7 +231,9 @@ class CoordTensor:
     def argmax(self, axis: int = 1) -> "CoordTensor":
         """Index of the largest stored value; the smallest index among equals."""
         rest = self._others(axis)
-        return CoordTensor(best(self.df, rest, "value", self.axes[axis]).withColumnRenamed(self.axes[axis], "value").select(*rest, "value"), rest)
+        index = self.axes[axis]
+        top = best(self.df, rest, "value", index)
+        return CoordTensor(top.select(*rest, F.col(index).alias("value")), rest)
 
     def _shifted(self, axis: int) -> DataFrame:
         """The cells with ``_d``, the value below its group's largest, and ``_s``, the group's sum of exp(_d).
@@ -241,13 +243,17 @@ class CoordTensor:
         a window that would gather the group in one task.
         """
         rest = self._others(axis)
-        peaks = self.df.groupBy(*rest).agg(F.max("value").alias("_max"), F.count(F.lit(1)).alias("_rows"))
+        cells = self.df
+        if not rest:
+            # a vector is a single group
+            cells, rest = cells.withColumn("_all", F.lit(0)), ["_all"]
+        peaks = cells.groupBy(*rest).agg(F.max("value").alias("_max"), F.count(F.lit(1)).alias("_rows"))
         near = (F.col("value") - F.col("_max")).alias("_d")
         peaks = Lookup.build(peaks, rest, "_rows", "peaks")
-        sums = peaks.join(self.df).select(*rest, near).groupBy(*rest)
+        sums = peaks.join(cells).select(*rest, near).groupBy(*rest)
         sums = sums.agg(F.sum(F.exp("_d")).alias("_s"), F.count(F.lit(1)).alias("_rows"))
         totals = Lookup.build(peaks.df.drop("_rows").join(sums, rest), rest, "_rows", "sums")
-        return totals.join(self.df).select(*self.axes, near, "_s")
+        return totals.join(cells).select(*self.axes, near, "_s")
 
     def softmax(self, axis: int = 1) -> "CoordTensor":
         """Softmax over the stored cells along an axis. Runs two aggregations at once."""
