@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.storage import place
+
 # Letters, numbers and underscore of every script (a plain \w is ASCII in Java).
 WORD = r"[\p{L}\p{N}_]+"
 NUMERIC = r"^\p{N}+$"
@@ -117,7 +119,7 @@ def bag_of_words(
     documents are partitioned by key already.
     """
     keep = list(how.get("keep", ()))
-    docs = docs if placed else docs.repartition(*keys)
+    docs = docs if placed else place(docs, keys)
     return count_words(tokens(docs, keys, **how), [*keys, *keep])
 
 

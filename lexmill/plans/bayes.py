@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lexmill.functions.gaussian import log_density, log_tail
 from lexmill.operators.joins import Lookup
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
-from lexmill.plans.classes import WIDE_LABELS, Classes, with_label
+from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, per_document, with_label
 from lexmill.storage import materialize
 
 
@@ -68,18 +69,13 @@ class NaiveBayes:
         """
         classes = Classes.fit(y, self.wide)
         x = with_label(x, y, self.keys, label_col)
-        # the class table, not the rows, decides on the layout of the counts
+        # the number of classes decides on the layout of the counts
         if classes.names is not None:
-            per_class = [
-                F.sum(F.when(F.col("label") == name, F.col("value")).otherwise(0.0)).alias(f"c{k}")
-                for k, name in enumerate(classes.names)
-            ]
-            model = x.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), *per_class)
-            slots = [
-                F.struct(F.lit(name).alias("label"), F.col(f"c{k}").alias("count"))
-                for k, name in enumerate(classes.names)
-            ]
-            model = model.select("feature", "df", F.array(*slots).alias("cells"))
+            slots = range(len(classes.names))
+            model = x.withColumn("_k", classes.slot_of()).groupBy("feature").agg(
+                F.count(F.lit(1)).alias("df"),
+                F.array(*[F.expr(f"sum(if(_k = {k}, value, 0D))") for k in slots]).alias("counts"),
+            )
         else:
             cells = x.groupBy("feature", "label").agg(
                 F.sum("value").alias("count"), F.count(F.lit(1)).alias("rows")
@@ -88,26 +84,31 @@ class NaiveBayes:
             model = cells.groupBy("feature").agg(
                 F.sum("rows").alias("df"), F.collect_list(F.struct("label", "count")).alias("cells")
             )
-        self._use(materialize(model, "likelihoods"), classes, classes.names)
+        self._use(materialize(model, "likelihoods"), classes)
         return self
 
-    def _use(self, model: DataFrame, classes: Classes, slots: list[str] | None) -> None:
-        self.model = Lookup.of(model, ["feature"], "df")
+    def _use(self, model: DataFrame, classes: Classes) -> None:
+        self.classes = classes
+        self.wide_layout = classes.names is not None
+        sizes = [F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))]
+        if self.wide_layout:
+            sizes += [F.expr(f"coalesce(sum(counts[{k}]), 0D)") for k in range(len(classes.names))]
+        n_keys, n_rows, *words = model.agg(*sizes).first()
+        self.model = Lookup(model, ("feature",), "df", n_keys, int(n_rows))
+        if self.wide_layout:
+            # slot, name, log prior and denominator of the classes taking part
+            self.slots = [
+                (k, r["label"], r["log_prior"], float((r["n"] if self.denominator == "docs" else words[k]) + n_keys))
+                for k, r in enumerate(classes.rows)
+                if words[k] > 0 or self.unseen != "smooth"
+            ]
+            return
         words = model.select(F.explode("cells").alias("c")).filter("c.count != 0")
         words = words.groupBy("c.label").agg(F.sum("c.count").alias("words"))
         table = classes.table.join(words, "label", "inner" if self.unseen == "smooth" else "left")
         size = F.col("n") if self.denominator == "docs" else F.coalesce("words", F.lit(0.0))
-        table = table.select(
-            "label",
-            "n",
-            F.coalesce("words", F.lit(0.0)).alias("words"),
-            "log_prior",
-            (size + self.model.n_keys).cast("double").alias("denominator"),
-        )
-        self.raw_classes = classes.table
-        self.classes = Classes(materialize(table, "class_sizes"), self.wide)
-        # names of the slots if each word has one per class, words or not
-        self.slots = slots
+        table = table.select("label", "log_prior", (size + n_keys).cast("double").alias("denominator"))
+        self.sizes = materialize(table, "class_sizes")
 
     @property
     def vocabulary_size(self) -> int:
@@ -115,19 +116,24 @@ class NaiveBayes:
 
     def priors(self) -> DataFrame:
         """``label, n, log_prior``."""
-        return self.classes.table.select("label", "n", "log_prior")
+        return self.classes.table
 
     def likelihoods(self) -> DataFrame:
         """``label, feature, df, log_likelihood`` for every label and known word."""
-        cells = self.model.df.select("feature", "df", F.explode("cells").alias("c"))
-        seen = cells.select("feature", "df", "c.label", "c.count")
-        if self.slots is None:
-            grid = self.classes.per_document(
-                self.model.df.select("feature", "df"), self.classes.table.select("label", "denominator")
+        if self.wide_layout:
+            cells = F.explode(
+                F.array(
+                    *[
+                        F.struct(F.lit(name).alias("label"), F.expr(f"ln((counts[{k}] + 1D) / {den!r}D) as ll"))
+                        for k, name, _, den in self.slots
+                    ]
+                )
             )
-            seen = grid.join(seen.drop("df"), ["feature", "label"], "left")
-        else:
-            seen = seen.join(self.classes.table.select("label", "denominator"), "label")
+            cells = self.model.df.select("feature", "df", cells.alias("c"))
+            return cells.select("c.label", "feature", "df", F.col("c.ll").alias("log_likelihood"))
+        seen = self.model.df.select("feature", F.explode("cells").alias("c")).select("feature", "c.*")
+        grid = per_document(self.model.df.select("feature", "df"), self.sizes.select("label", "denominator"))
+        seen = grid.join(seen, ["feature", "label"], "left")
         smoothed = F.coalesce("count", F.lit(0.0)) + 1.0
         return seen.select("label", "feature", "df", F.ln(smoothed / F.col("denominator")).alias("log_likelihood"))
 
@@ -135,68 +141,56 @@ class NaiveBayes:
 
     def _matched(self, x: DataFrame) -> DataFrame:
         """Features with the log counts of their words, ``_w`` and ``_u`` (weight if unseen)."""
-        logs = self.model.df.select(
-            "feature",
-            "df",
-            F.transform(
-                "cells", lambda c: F.struct(c["label"].alias("label"), F.ln(c["count"] + 1.0).alias("lc"))
-            ).alias("cells"),
-        )
-        lookup = Lookup(logs, self.model.on, "df", self.model.n_keys, self.model.n_rows, self.model.split_keys)
+        if self.wide_layout:
+            logs = F.expr("transform(counts, c -> ln(c + 1D)) as logs")
+        else:
+            logs = F.expr("transform(cells, c -> struct(c.label as label, ln(c.count + 1D) as log)) as logs")
+        lookup = replace(self.model, df=self.model.df.select("feature", "df", logs))
         left = self.unseen == "smooth" or self.fallback
         rows = lookup.join(x.select(*self.keys, "feature", "value"), "left" if left else "inner")
-        weight = {"df": F.col("df").cast("double"), "once": F.lit(1.0), "count": F.col("value")}[self.weight]
-        unseen_weight = F.col("value") if self.weight == "count" else F.lit(1.0)
-        known = F.col("df").isNotNull()
+        weight = {"df": "cast(df as double)", "once": "1D", "count": "value"}[self.weight]
+        unseen = "0D" if self.unseen == "drop" else "value" if self.weight == "count" else "1D"
         return rows.select(
             *self.keys,
-            "cells",
-            F.when(known, weight).otherwise(0.0).alias("_w"),
-            F.when(known, 0.0).otherwise(unseen_weight if self.unseen == "smooth" else 0.0).alias("_u"),
+            "logs",
+            F.expr(f"if(df is null, 0D, {weight}) as _w"),
+            F.expr(f"if(df is null, {unseen}, 0D) as _u"),
         )
 
-    def _base(self, w: Column, u: Column, log_prior, denominator) -> Column:
-        return log_prior - w * F.ln(denominator) - u * F.ln(denominator + 1.0)
-
     def _wide_scores(self, x: DataFrame) -> DataFrame:
-        """``keys, scores``: one array slot per class, in label order."""
-        rows = self._matched(x)
-        at = {name: k for k, name in enumerate(self.slots)}
-        sums = [
-            F.sum(F.col("_w") * F.coalesce(F.get("cells", at[r["label"]])["lc"], F.lit(0.0))).alias(f"s{k}")
-            for k, r in enumerate(self.classes.rows)
-        ]
-        docs = rows.groupBy(*self.keys).agg(F.sum("_w").alias("_W"), F.sum("_u").alias("_U"), *sums)
-        scores = [
-            F.col(f"s{k}")
-            + self._base(F.col("_W"), F.col("_U"), F.lit(r["log_prior"]), F.lit(r["denominator"]))
-            for k, r in enumerate(self.classes.rows)
-        ]
-        return docs.select(*self.keys, F.array(*scores).alias("scores"))
+        """``keys, scores``: one entry per class taking part, in label order."""
+        docs = self._matched(x).groupBy(*self.keys).agg(
+            F.expr("sum(_w) as _W"),
+            F.expr("sum(_u) as _U"),
+            *[F.expr(f"coalesce(sum(_w * logs[{k}]), 0D) as s{k}") for k, *_ in self.slots],
+        )
+        scores = ", ".join(
+            f"{prior!r}D + s{k} - _W * ln({den!r}D) - _U * ln({den!r}D + 1D)" for k, _, prior, den in self.slots
+        )
+        return docs.select(*self.keys, F.expr(f"array({scores}) as scores"))
 
     def scores(self, x: DataFrame) -> DataFrame:
         """``keys, label, score`` for every label of every predicted document."""
-        if self.slots is not None:
-            names = F.array(*[F.lit(n) for n in self.classes.names])
-            wide = self._wide_scores(x).withColumn("_l", F.explode(F.arrays_zip(names.alias("label"), F.col("scores").alias("score"))))
-            return wide.select(*self.keys, F.col("_l.label").alias("label"), F.col("_l.score").alias("score"))
+        if self.wide_layout:
+            names = F.array(*[F.lit(name) for _, name, _, _ in self.slots])
+            pair = F.explode(F.arrays_zip(names.alias("label"), F.col("scores").alias("score")))
+            return self._wide_scores(x).select(*self.keys, pair.alias("_l")).select(*self.keys, "_l.*")
         rows = self._matched(x)
-        docs = rows.groupBy(*self.keys).agg(F.sum("_w").alias("_W"), F.sum("_u").alias("_U"))
-        seen = rows.select(*self.keys, "_w", F.explode("cells").alias("c"))
-        seen = seen.groupBy(*self.keys, F.col("c.label").alias("label")).agg(F.sum(F.col("_w") * F.col("c.lc")).alias("_s"))
-        table = self.classes.table.select("label", "log_prior", "denominator")
-        grid = self.classes.per_document(docs, table).join(seen, [*self.keys, "label"], "left")
-        base = self._base(F.col("_W"), F.col("_U"), F.col("log_prior"), F.col("denominator"))
-        return grid.select(*self.keys, "label", (base + F.coalesce("_s", F.lit(0.0))).alias("score"))
+        docs = rows.groupBy(*self.keys).agg(F.expr("sum(_w) as _W"), F.expr("sum(_u) as _U"))
+        seen = rows.select(*self.keys, "_w", F.explode("logs").alias("c"))
+        seen = seen.groupBy(*self.keys, "c.label").agg(F.expr("sum(_w * c.log) as _s"))
+        grid = per_document(docs, self.sizes).join(seen, [*self.keys, "label"], "left")
+        return grid.select(
+            *self.keys,
+            "label",
+            F.expr("log_prior + coalesce(_s, 0D) - _W * ln(denominator) - _U * ln(denominator + 1D) as score"),
+        )
 
     def predict(self, x: DataFrame) -> DataFrame:
         """``keys, label, score`` of the best label; equal scores go to the smallest."""
-        if self.slots is None:
-            return best(self.scores(x), self.keys, "score", "label")
-        names = F.array(*[F.lit(n) for n in self.classes.names])
-        wide = self._wide_scores(x).withColumn("score", F.array_max("scores"))
-        label = F.element_at(names, F.array_position("scores", F.col("score")).cast("int"))
-        return wide.select(*self.keys, label.alias("label"), "score")
+        if self.wide_layout:
+            return best_slot(self._wide_scores(x), "scores", [name for _, name, _, _ in self.slots], self.keys)
+        return best(self.scores(x), self.keys, "score", "label")
 
     def coverage(self, x: DataFrame) -> DataFrame:
         """``keys, coverage``: the share of a document's distinct words that the model knows."""
@@ -211,17 +205,14 @@ class NaiveBayes:
 
     def save(self, path: str) -> None:
         self.model.df.write.parquet(f"{path}/likelihoods")
-        self.raw_classes.withColumn("slotted", F.lit(self.slots is not None)).write.parquet(f"{path}/classes")
+        self.classes.table.write.parquet(f"{path}/classes")
 
     def load(self, spark: SparkSession, path: str) -> "NaiveBayes":
-        """Take over a saved model; the options, layout included, are those of this instance and the model."""
+        """Take over a saved model with its layout; the other options are those of this instance."""
+        model = spark.read.parquet(f"{path}/likelihoods")
         table = spark.read.parquet(f"{path}/classes")
-        if table.select("slotted").first()[0]:
-            self.wide = max(self.wide, table.count())
-        else:
-            self.wide = 0
-        classes = Classes(table.drop("slotted"), self.wide)
-        self._use(spark.read.parquet(f"{path}/likelihoods"), classes, classes.names)
+        self.wide = table.count() if "counts" in model.columns else 0
+        self._use(model, Classes(table, self.wide))
         return self
 
 
@@ -321,7 +312,7 @@ class GaussianNaiveBayes:
         zeros = self.model.df.select(F.explode("cells").alias("c"))
         zeros = zeros.groupBy(F.col("c.label").alias("label")).agg(F.sum(self._term(F.lit(0.0), "c")).alias("_zero"))
         base = priors.join(zeros, "label").select("label", (F.col("log_prior") + F.col("_zero")).alias("_base"))
-        grid = self.classes.per_document(x.select(*self.keys).distinct(), base)
+        grid = per_document(x.select(*self.keys).distinct(), base)
         grid = grid.join(sums, [*self.keys, "label"], "left")
         return grid.select(*self.keys, "label", (F.col("_base") + F.coalesce("_s", F.lit(0.0))).alias("score"))
 

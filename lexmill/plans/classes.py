@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.storage import materialize
 
@@ -32,23 +34,56 @@ def with_label(x: DataFrame, y: DataFrame, keys: Sequence[str], label_col: str |
     return x.join(y.select(*keys, "label"), list(keys))
 
 
+def per_document(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every document beside every row of a table with one row per class."""
+    nested = classes.agg(F.collect_list(F.struct(*classes.columns))).scalar()
+    return docs.withColumn("_c", F.explode(nested)).select(*docs.columns, "_c.*")
+
+
+def best_slot(scored: DataFrame, scores: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``keys, label, score`` of the first array entry with the largest score."""
+    top = scored.withColumn("score", F.array_max(scores))
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(scores, F.col("score")).cast("int"))
+    return top.select(*keys, label.alias("label"), "score")
+
+
 class Classes:
-    """Stored class table, plus its rows in label order if there are few."""
+    """``label, n, log_prior`` of all classes.
+
+    Up to ``wide`` of them are held as ``rows`` in label order, which fixes the
+    slots of array-valued models. More are kept as a stored table only.
+    """
 
     def __init__(self, table: DataFrame, wide: int = WIDE_LABELS):
-        self.table = table
         rows = table.orderBy("label").limit(wide + 1).collect()
         self.rows = rows if len(rows) <= wide else None
+        self._table = table
 
     @classmethod
     def fit(cls, y: DataFrame, wide: int = WIDE_LABELS) -> "Classes":
-        return cls(materialize(log_priors(y), "classes"), wide)
+        self = cls(class_counts(y), wide)
+        if self.rows is None:
+            self._table = materialize(log_priors(y), "classes")
+            return self
+        total = sum(r["n"] for r in self.rows)
+        rows = [(r["label"], r["n"], math.log(r["n"] / total)) for r in self.rows]
+        schema = T.StructType(list(self._table.schema) + [T.StructField("log_prior", T.DoubleType())])
+        # at most `wide` rows
+        self._table = F.broadcast(y.sparkSession.createDataFrame(rows, schema))
+        self.rows = [T.Row(**dict(zip(schema.names, r))) for r in rows]
+        return self
+
+    @property
+    def table(self) -> DataFrame:
+        return self._table
 
     @property
     def names(self) -> list[str] | None:
         return None if self.rows is None else [r["label"] for r in self.rows]
 
-    def per_document(self, docs: DataFrame, table: DataFrame) -> DataFrame:
-        """Every document beside every row of a table with one row per class."""
-        nested = table.agg(F.collect_list(F.struct(*table.columns))).scalar()
-        return docs.withColumn("_c", F.explode(nested)).select(*docs.columns, "_c.*")
+    def name_array(self) -> Column:
+        return F.array(*[F.lit(n) for n in self.names])
+
+    def slot_of(self, label: str = "label") -> Column:
+        """The number of a label's slot, from 0; -1 for an unknown label."""
+        return F.array_position(self.name_array(), F.col(label)) - 1

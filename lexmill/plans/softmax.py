@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.hashing import table_normal
-from lexmill.operators.features import minibatch
+from lexmill.operators.features import minibatch_ids
 from lexmill.operators.joins import Lookup
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import CoordTensor, best
-from lexmill.plans.classes import WIDE_LABELS, Classes
-from lexmill.storage import materialize
+from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, per_document
+from lexmill.storage import materialize, place
 
 
 class SoftmaxRegression:
@@ -68,7 +68,7 @@ class SoftmaxRegression:
             w = F.array(*[self._start(F.col("feature"), F.lit(n)) for n in self.names])
             self.weights = Lookup.build(rows.withColumn("w", w), ["feature"], "rows", "weights")
             return
-        grid = self.classes.per_document(rows.select("feature"), self.classes.table.select("label"))
+        grid = per_document(rows.select("feature"), self.classes.table.select("label"))
         grid = grid.withColumn("value", self._start(F.col("feature"), F.col("label")))
         self.cells = CoordTensor(materialize(grid, "weights"), ["feature", "label"])
 
@@ -79,42 +79,38 @@ class SoftmaxRegression:
         return self._unnest(self.weights.df, "w", "w")
 
     def _unnest(self, df: DataFrame, array: str, out: str) -> DataFrame:
-        names = F.array(*[F.lit(n) for n in self.names])
-        pair = F.explode(F.arrays_zip(names.alias("label"), F.col(array).alias(out)))
+        pair = F.explode(F.arrays_zip(self.classes.name_array().alias("label"), F.col(array).alias(out)))
         return df.select("feature", pair.alias("_p")).select("feature", "_p.*")
 
     # -- one step, a slot per label ---------------------------------------
 
     def _logits(self, x: DataFrame, how: str) -> DataFrame:
-        """``keys, z0, z1, ...``."""
+        """``keys, z``: an array with one logit per label."""
         rows = self.weights.join(x.select(*self.keys, "feature", "value"), how)
-        return rows.groupBy(*self.keys).agg(
-            *[
-                F.sum(F.col("value") * F.coalesce(F.get("w", k), F.lit(0.0))).alias(f"z{k}")
-                for k in range(len(self.names))
-            ]
-        )
+        sums = ", ".join(f"coalesce(sum(value * w[{k}]), 0D)" for k in range(len(self.names)))
+        return rows.groupBy(*self.keys).agg(F.expr(f"array({sums}) as z"))
 
     def _slot_gradient(self, x: DataFrame, y: DataFrame) -> DataFrame:
-        """``feature, rows, g``: minus the gradient, one slot per label."""
+        """``feature, _rows, g``: minus the gradient, one entry per label."""
         slots = range(len(self.names))
-        z = self._logits(x, "left")
-        truth = y.groupBy(*self.keys).agg(
-            *[F.max((F.col("label") == n).cast("double")).alias(f"y{k}") for k, n in enumerate(self.names)]
-        )
-        z = z.join(truth, self.keys, "left").withColumn(
-            "_max", F.array_max(F.array(*[F.col(f"z{k}") for k in slots]))
-        )
-        z = z.select(*self.keys, *[f"y{k}" for k in slots], *[F.exp(F.col(f"z{k}") - F.col("_max")).alias(f"e{k}") for k in slots])
-        total = sum((F.col(f"e{k}") for k in slots), F.lit(0.0))
-        delta = z.withColumn("_t", total).select(
-            *self.keys, *[(F.coalesce(f"y{k}", F.lit(0.0)) - F.col(f"e{k}") / F.col("_t")).alias(f"d{k}") for k in slots]
+        truth = y.select(*self.keys, self.classes.slot_of().alias("_k")).groupBy(*self.keys)
+        truth = truth.agg(F.expr("array_sort(collect_set(_k)) as _true"))
+        delta = (
+            self._logits(x, "left")
+            .join(truth, self.keys, "left")
+            .withColumn("_max", F.array_max("z"))
+            .withColumn("e", F.expr("transform(z, v -> exp(v - _max))"))
+            .withColumn("_t", F.expr("aggregate(e, 0D, (a, v) -> a + v)"))
+            .select(
+                *self.keys,
+                F.expr("transform(e, (v, k) -> if(coalesce(array_contains(_true, bigint(k)), false), 1D, 0D) - v / _t) as d"),
+            )
         )
+        sums = ", ".join(f"sum(value * d[{k}])" for k in slots)
         sums = x.join(delta, self.keys).groupBy("feature").agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.sum(F.col("value") * F.col(f"d{k}")).alias(f"g{k}") for k in slots],
+            F.expr("count(1) as _rows"), F.expr(f"array({sums}) as g")
         )
-        return sums.select("feature", "_rows", F.array(*[F.col(f"g{k}") for k in slots]).alias("g"))
+        return sums
 
     # -- one step, a row per cell -----------------------------------------
 
@@ -129,7 +125,7 @@ class SoftmaxRegression:
         z = (tx @ self.cells).df
         if not self.strict:
             labels = self.classes.table.select("label")
-            grid = self.classes.per_document(tx.df.select("doc").distinct(), labels)
+            grid = per_document(tx.df.select("doc").distinct(), labels)
             z = grid.join(z, ["doc", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
         # at most one row per label in a window
         by_doc = Window.partitionBy("doc")
@@ -158,12 +154,11 @@ class SoftmaxRegression:
         moved = self.weights.df.join(g, "feature", "full_outer").select(
             "feature",
             F.coalesce("rows", "_rows").alias("rows"),
-            F.array(
-                *[
-                    F.coalesce(F.get("w", k), F.lit(0.0)) + F.lit(lr) * F.coalesce(F.get("g", k), F.lit(0.0))
-                    for k in range(len(self.names))
-                ]
-            ).alias("w"),
+            F.expr(
+                "case when g is null then w "
+                f"when w is null then transform(g, v -> v * {float(lr)!r}D) "
+                f"else zip_with(w, g, (a, b) -> a + {float(lr)!r}D * b) end as w"
+            ),
         )
         # sizes only steer the join, so those of the first weights will do
         self.weights = replace(self.weights, df=materialize(moved, "weights"))
@@ -185,8 +180,8 @@ class SoftmaxRegression:
         gradients only (and features by word if the weights are too large to
         broadcast).
         """
-        x = x.select(*self.keys, "feature", "value").repartition(*self.keys).persist()
-        y = y.select(*self.keys, "label").repartition(*self.keys).persist()
+        x = place(x.select(*self.keys, "feature", "value"), self.keys).persist()
+        y = place(y.select(*self.keys, "label"), self.keys).persist()
         try:
             if not warm_start or (self.weights is None and self.cells is None):
                 self.init_weights(x, y)
@@ -197,7 +192,9 @@ class SoftmaxRegression:
             for step in range(max_iter):
                 xs, ys = x, y
                 if batch_size > 0:
-                    xs, ys = minibatch(x, y, batch_size, f"{self.seed}|{step}", self.keys)
+                    ids = materialize(minibatch_ids(y, batch_size, f"{self.seed}|{step}", self.keys), "batch")
+                    xs = x.join(ids, self.keys, "left_semi")
+                    ys = y.join(ids, self.keys, "left_semi")
                 self.partial_fit(xs, ys, lr)
         finally:
             x.unpersist()
@@ -215,16 +212,11 @@ class SoftmaxRegression:
             if not self.strict:
                 known = x.join(self.cells.df.select("feature").distinct(), "feature", "left_semi")
                 docs = known.select(doc.alias("doc")).distinct()
-                grid = self.classes.per_document(docs, self.classes.table.select("label"))
+                grid = per_document(docs, self.classes.table.select("label"))
                 z = grid.join(z, ["doc", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
             top = best(z.withColumnRenamed("value", "score"), ["doc"], "score", "label")
             return top.select("doc.*", "label", "score")
-        z = self._logits(x, "inner")
-        z = z.select(*self.keys, F.array(*[F.col(f"z{k}") for k in range(len(self.names))]).alias("z"))
-        z = z.withColumn("score", F.array_max("z"))
-        names = F.array(*[F.lit(n) for n in self.names])
-        label = F.element_at(names, F.array_position("z", F.col("score")).cast("int"))
-        return z.select(*self.keys, label.alias("label"), "score")
+        return best_slot(self._logits(x, "inner"), "z", self.names, self.keys)
 
     def score(self, x: DataFrame, y: DataFrame) -> DataFrame:
         """``correct, total, accuracy`` of the predictions for ``x``."""

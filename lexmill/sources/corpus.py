@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import bag_of_words, python_tokenizer
 from lexmill.operators.ranking import running_total
-from lexmill.storage import materialize, pin_scan_splits
+from lexmill.storage import materialize, pin_scan_splits, place
 
 # A block is a file split, 128 MB by default; a million of them are 100 TB and
 # make a broadcast of well under 200 MB.
@@ -72,7 +72,7 @@ class Loader:
         decode: bool = True,
     ) -> tuple[DataFrame, DataFrame | None]:
         docs = line_index(self.spark, data_path).select(F.col("line_no").alias("doc_id"), "value")
-        docs = docs.repartition("doc_id")
+        docs = place(docs, ["doc_id"])
         labels, keep = None, []
         if label_path is not None:
             pairs = label_lines(line_index(self.spark, label_path)).select(

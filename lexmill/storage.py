@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition rows by key into ``spark.sql.shuffle.partitions`` parts.
+
+    The number is given so that the parts are not merged by their size on disk:
+    the work done on them (cutting text into words, a step of training) is many
+    times larger than the rows that were shuffled.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def pin_scan_splits(spark: SparkSession) -> None:
     """Keep file splits equal between two scans of the same files.
 
