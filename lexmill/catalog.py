@@ -29,7 +29,7 @@ from lexmill.plans import (
 from lexmill.plans.bayes import gaussian_stats
 from lexmill.plans.classes import class_counts, log_priors
 from lexmill.sources import Loader, label_lines, line_index, write_labels
-from lexmill.storage import scratch_path
+from lexmill.storage import place, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,14 +95,23 @@ def label_line_table(spark, sf_dir) -> DataFrame:
     return docs.join(marks, "doc_id", "left").select("doc_id", line.alias("line"))
 
 
-def write_corpus(spark, sf_dir, keep: str = "true") -> tuple[str, str]:
-    """The documents and their label lines as text files, in ``doc_id`` order."""
-    data, labels = scratch_path(spark, "corpus"), scratch_path(spark, "labels")
+def write_docs(spark, sf_dir, keep: str = "true") -> str:
+    """The documents as text files, one per line, in ``doc_id`` order."""
+    path = scratch_path(spark, "corpus")
     docs = table(spark, sf_dir, "documents").filter(keep)
-    docs = docs.select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("line"))
-    write_labels(docs, data, label="line")
-    write_labels(label_line_table(spark, sf_dir).filter(keep), labels, label="line")
-    return data, labels
+    write_labels(docs.select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("line")), path, label="line")
+    return path
+
+
+def write_marks(spark, sf_dir, keep: str = "true") -> str:
+    """The label lines of the same documents in the same order."""
+    path = scratch_path(spark, "labels")
+    write_labels(label_line_table(spark, sf_dir).filter(keep), path, label="line")
+    return path
+
+
+def write_corpus(spark, sf_dir, keep: str = "true") -> tuple[str, str]:
+    return write_docs(spark, sf_dir, keep), write_marks(spark, sf_dir, keep)
 
 
 # ----------------------------------------------------------- SQL fragments
@@ -230,8 +239,7 @@ w{n} as (select feature, label, w + {lr!r}e0 * coalesce(g, 0) as w from {w} left
 
 @query(f"with {NUMBERED} select line_no, text as value from lines")
 def line_index_(spark, sf_dir):
-    data, _ = write_corpus(spark, sf_dir)
-    return line_index(spark, data)
+    return line_index(spark, write_docs(spark, sf_dir))
 
 
 @query(
@@ -239,14 +247,12 @@ def line_index_(spark, sf_dir):
 select doc_id, feature, cast(count(*) as double) as value from words group by all"""
 )
 def load_corpus(spark, sf_dir):
-    data, _ = write_corpus(spark, sf_dir)
-    return Loader(spark).read(data)[0]
+    return Loader(spark).read(write_docs(spark, sf_dir))[0]
 
 
 @query(f"with {MARKED} select line_no, label from marks")
 def load_labels(spark, sf_dir):
-    _, labels = write_corpus(spark, sf_dir)
-    return label_lines(line_index(spark, labels))
+    return label_lines(line_index(spark, write_marks(spark, sf_dir)))
 
 
 @query(
@@ -351,7 +357,7 @@ def custom_tokenizer(spark, sf_dir):
 @query()
 def stem_vocabulary(spark, sf_dir):
     words = text.tokens(documents(spark, sf_dir), ["doc_id"]).select("feature").distinct()
-    return stem_words(words, "feature").select("feature", "stem")
+    return stem_words(place(words, ["feature"])).select("feature", "stem")
 
 
 # ------------------------------------------------------------ aggregations
@@ -960,8 +966,7 @@ select line_no as doc_id, label, round(score, 2) as score from best join ids usi
 )
 def classify_nb(spark, sf_dir):
     data, labels = write_corpus(spark, sf_dir, TRAIN)
-    held_out, _ = write_corpus(spark, sf_dir, TEST)
-    found = classify_files(spark, "nb", data, labels, held_out)
+    found = classify_files(spark, "nb", data, labels, write_docs(spark, sf_dir, TEST))
     return _rounded(found, 2).drop("true_label")
 
 

@@ -66,7 +66,11 @@ class Lookup:
         return with_hot.unionByName(others.join(cold, on, how))
 
 
-def product_join(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+# A key is dealt out only if its parts get at least this many rows.
+PART_ROWS = 10_000
+
+
+def product_join(a: DataFrame, b: DataFrame, on: str, part_rows: int = PART_ROWS) -> DataFrame:
     """All matching pairs of two tables that both may repeat a key.
 
     Rows of a hot key are dealt out over several cells of a grid: each side is
@@ -76,9 +80,9 @@ def product_join(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
     def hot_parts(df: DataFrame, name: str) -> DataFrame:
         counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-        share = counts.agg(F.sum("_n") / F.lit(HOT_KEYS)).scalar()
-        return counts.filter(F.col("_n") > F.greatest(share, F.lit(10_000.0))).select(
-            on, F.ceil(F.col("_n") / F.greatest(share, F.lit(10_000.0))).cast("int").alias(name)
+        share = F.greatest(counts.agg(F.sum("_n") / F.lit(HOT_KEYS)).scalar(), F.lit(float(part_rows)))
+        return counts.filter(F.col("_n") > share).select(
+            on, F.ceil(F.col("_n") / share).cast("int").alias(name)
         )
 
     hot = hot_parts(a, "_pa").join(hot_parts(b, "_pb"), on, "full_outer")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.joins import Lookup
 from lexmill.storage import materialize
 
 # Width of the hash histogram used to find a cut: four hex digits.
@@ -67,33 +68,26 @@ def lowest_by_hash(
         "_b", hash_int(F.col("_h"), digits=4).cast("int")
     )
     counts = hashed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b"))
-    cut = counts.withColumn("_upto", upto)
+    # at most HASH_BUCKETS rows per group
+    by_group = Window.partitionBy(*groups)
+    cut = counts.withColumn("_upto", F.sum("_n").over(by_group.orderBy("_b")))
+    cut = cut.withColumn("_rows", F.sum("_n").over(by_group))
     if groups:
         cut = cut.join(quota, groups)
     else:
         cut = cut.withColumn("quota", quota.select("quota").scalar())
-    cut = (
-        cut.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(*groups, F.col("_b").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+    # groups no larger than their quota have no cut and are kept whole
+    cut = cut.filter("_rows > quota and _upto >= quota and _upto - _n < quota").select(
+        *groups, "_rows", F.col("_b").alias("_cut"), F.expr("quota - _upto + _n as _need")
     )
     if groups:
-        # groups smaller than their quota have no cut and are kept whole
-        placed = hashed.join(cut, groups, "left")
+        placed = Lookup.build(cut, groups, "_rows", "cuts").join(hashed, "left")
     else:
-        cut = cut.agg(F.struct(F.min("_cut"), F.min("_need")).alias("c"))
-        placed = (
-            hashed.withColumn("_c", cut.scalar())
-            .withColumn("_cut", F.col("_c.col1"))
-            .withColumn("_need", F.col("_c.col2"))
-            .drop("_c")
-        )
+        found = cut.first()
+        if found is None:
+            return df
+        placed = hashed.withColumn("_cut", F.lit(found["_cut"])).withColumn("_need", F.lit(found["_need"]))
+    below = placed.filter("_cut is null or _b < _cut").select(*df.columns)
     within = Window.partitionBy(*groups, "_b").orderBy("_h", *keys)
-    below = placed.filter(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")))
-    edge = (
-        placed.filter(F.col("_b") == F.col("_cut"))
-        .withColumn("_rank", F.row_number().over(within))
-        .filter(F.col("_rank") <= F.col("_need"))
-        .drop("_rank")
-    )
-    return below.unionByName(edge).drop("_h", "_b", "_cut", "_need")
+    edge = placed.filter("_b = _cut").withColumn("_rank", F.row_number().over(within))
+    return below.unionByName(edge.filter("_rank <= _need").select(*df.columns))

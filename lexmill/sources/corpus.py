@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import bag_of_words, python_tokenizer
@@ -14,6 +14,8 @@ from lexmill.storage import materialize, pin_scan_splits, place
 # A block is a file split, 128 MB by default; a million of them are 100 TB and
 # make a broadcast of well under 200 MB.
 BROADCAST_BLOCKS = 1_000_000
+# So few block counts, 12 TB worth of splits, are summed in one task.
+ONE_TASK_BLOCKS = 100_000
 
 
 def line_index(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +38,13 @@ def line_index(spark: SparkSession, path: str) -> DataFrame:
         ),
         "blocks",
     )
-    starts = running_total(blocks, ["_file", "_start"], F.col("_n")).drop("_n")
-    if blocks.count() <= BROADCAST_BLOCKS:
+    n_blocks = blocks.count()
+    if n_blocks <= ONE_TASK_BLOCKS:
+        upto = F.sum("_n").over(Window.orderBy("_file", "_start"))
+        starts = blocks.withColumn("before", upto - F.col("_n")).drop("_n")
+    else:
+        starts = running_total(blocks, ["_file", "_start"], F.col("_n")).drop("_n")
+    if n_blocks <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
     return lines.join(starts, ["_file", "_start"]).select(
         (F.col("before") + F.col("_row") - F.col("_first")).alias("line_no"), "value"
