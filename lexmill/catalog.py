@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import gaussian, hashing, text
-from lexmill.functions.stem import stem_words
+from lexmill.functions import gaussian, stem, text
+from lexmill.functions.stem import stem_features, stem_words
 from lexmill.operators import features as feat
 from lexmill.operators.metrics import hit_rate
 from lexmill.operators.tensor import CoordTensor
@@ -354,12 +354,76 @@ def custom_tokenizer(spark, sf_dir):
     return text.bag_of_words(documents(spark, sf_dir), tokenizer=text.python_tokenizer(SpaceTokenizer()))
 
 
-@query()
+def stem_sql(words: str) -> str:
+    """CTEs ending in ``stems (feature, stem)``: the stemming rules, step by step."""
+
+    def listed(items) -> str:
+        return ", ".join(f"'{i}'" for i in items)
+
+    def suffix(items) -> str:
+        return f"regexp_extract(w, '({'|'.join(items)})$', 1)"
+
+    def region(start) -> str:
+        head = f"regexp_extract(substr(w, {start} + 1), '^.*?[aeiouy][^aeiouy]')"
+        return f"case when {head} <> '' then {start} + length({head}) else length(w) end"
+
+    def swap(pairs: dict[str, str]) -> str:
+        arms = " ".join(f"when '{a}' then '{b}'" for a, b in pairs.items())
+        return f"{cut} || case s {arms} end"
+
+    cut, short, quote = "substr(w, 1, length(w) - length(s))", stem.SHORT_END, "''"
+    at_r1, at_r2 = "length(w) - length(s) >= r1", "length(w) - length(s) >= r2"
+    prefix = f"'^({'|'.join(stem.REGION_PREFIXES)})'"
+    return rf"""p0 as (select feature, regexp_replace(regexp_replace(regexp_replace(feature, '^{quote}', ''), '^y', 'Y'),
+    '([aeiouy])y', '\1Y', 'g') as w from ({words})),
+p1 as (select *, case when regexp_matches(w, {prefix}) then length(regexp_extract(w, {prefix}))
+    else {region(0)} end as r1 from p0),
+p2 as (select *, {region('r1')} as r2 from p1),
+p3 as (select * replace (regexp_replace(w, '({quote}s{quote}|{quote}s|{quote})$', '') as w) from p2),
+p4 as (select *, {suffix(['sses', 'ied', 'ies', 'us', 'ss', 's'])} as s from p3),
+p5 as (select feature, r1, r2, case when s = 'sses' then substr(w, 1, length(w) - 2)
+    when s in ('ied', 'ies') then substr(w, 1, length(w) - case when length(w) > 4 then 2 else 1 end)
+    when s = 's' and regexp_matches(w, '[aeiouy].+s$') then substr(w, 1, length(w) - 1) else w end as w from p4),
+p6 as (select *, case when w in ({listed(stem.KEPT_AFTER_PLURAL)}) then w end as kept,
+    {suffix(['eedly', 'ingly', 'edly', 'eed', 'ing', 'ed'])} as s from p5),
+p7 as (select *, {cut} as bare, s not in ('', 'eed', 'eedly') and regexp_matches({cut}, '[aeiouy]') as bared from p6),
+p8 as (select feature, r1, r2, kept, regexp_replace(case
+    when s in ('eed', 'eedly') and {at_r1} then bare || 'ee' when not bared then w
+    when regexp_matches(bare, '(at|bl|iz)$') then bare || 'e'
+    when regexp_matches(bare, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then substr(bare, 1, length(bare) - 1)
+    when length(bare) <= r1 and regexp_matches(bare, '{short}') then bare || 'e' else bare end,
+    '^(.+[^aeiouy])[yY]$', '\1i') as w from p7),
+p9 as (select *, {suffix(stem.STEP2)} as s from p8),
+p10 as (select * replace (case when s <> '' and {at_r1} and case s when 'ogi' then w like '%logi'
+    when 'li' then regexp_matches(w, '[cdeghkmnrt]li$') else true end then {swap(stem.STEP2)} else w end as w) from p9),
+p11 as (select * replace ({suffix(stem.STEP3)} as s) from p10),
+p12 as (select * replace (case when s <> '' and {at_r1} and (s <> 'ative' or {at_r2})
+    then {swap(stem.STEP3)} else w end as w) from p11),
+p13 as (select * replace ({suffix(stem.STEP4)} as s) from p12),
+p14 as (select * replace (case when s <> '' and {at_r2} and (s <> 'ion' or regexp_matches(w, '[st]ion$'))
+    then {cut} else w end as w) from p13),
+p15 as (select * replace (regexp_extract(w, '[el]$') as s) from p14),
+p16 as (select * replace (case when s = 'e' and ({at_r2} or {at_r1} and not regexp_matches({cut}, '{short}')) then {cut}
+    when s = 'l' and {at_r2} and w like '%ll' then {cut} else w end as w) from p15),
+stems as (select feature, case when length(feature) <= 2 then feature
+    {" ".join(f"when feature = '{a}' then '{b}'" for a, b in stem.IRREGULAR.items())}
+    else coalesce(kept, replace(w, 'Y', 'y')) end as stem from p16)"""
+
+
+@query(f"with {WORDS}, {stem_sql('select distinct feature from words')} select feature, stem from stems")
 def stem_vocabulary(spark, sf_dir):
     words = text.tokens(documents(spark, sf_dir), ["doc_id"]).select("feature").distinct()
     return stem_words(place(words, ["feature"])).select("feature", "stem")
 
 
+@query(
+    f"""with {BAG}, {stem_sql('select distinct feature from x')}
+select doc_id, stem as feature, sum(value) as value from x join stems using (feature) group by all"""
+)
+def stem_bag(spark, sf_dir):
+    return stem_features(text.bag_of_words(documents(spark, sf_dir)))
+
+
 # ------------------------------------------------------------ aggregations
 
 

@@ -182,7 +182,7 @@ def stem_words(words: DataFrame, word: str = "feature") -> DataFrame:
 def stem_features(x: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A word-count table with words replaced by their stems and counts added up."""
     words = x.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
-    stems = Lookup.build(stem_words(place(words, ["feature"])), ["feature"], "rows", "stems")
+    stems = Lookup.build(stem_words(place(words, ["feature"])), ["feature"], "rows", 4, "stems")
     stemmed = stems.join(x).withColumn("feature", F.col("stem"))
     rest = [c for c in x.columns if c not in ("feature", "value")]
     return stemmed.groupBy(*rest, "feature").agg(F.sum("value").alias("value"))

@@ -15,6 +15,9 @@ from lexmill.storage import place
 WORD = r"[\p{L}\p{N}_]+"
 NUMERIC = r"^\p{N}+$"
 
+# Up to this many stop words are broadcast; a list for people has hundreds.
+BROADCAST_STOP_WORDS = 500_000
+
 # Entities decoded by plain replacement; &amp; has to come last,
 # or "&amp;lt;" would be decoded twice.
 NAMED_ENTITIES = [
@@ -84,7 +87,9 @@ def default_stop_words(language: str = "english") -> list[str]:
 
 def drop_stop_words(tokens: DataFrame, stop_words: DataFrame, word: str = "feature") -> DataFrame:
     """Rows whose word is not in the one-column stop-word table."""
-    stop = stop_words.select(F.col(stop_words.columns[0]).alias(word))
+    stop = stop_words.select(F.col(stop_words.columns[0]).alias(word)).distinct()
+    if stop_words.count() <= BROADCAST_STOP_WORDS:
+        stop = F.broadcast(stop)
     return tokens.join(stop, word, "left_anti")
 
 

@@ -46,7 +46,7 @@ class TfIdf:
         self.lookup: Lookup | None = None
 
     def fit(self, x: DataFrame) -> "TfIdf":
-        self.lookup = Lookup.build(document_frequency(x), ["feature"], "df", "idf")
+        self.lookup = Lookup.build(document_frequency(x), ["feature"], "df", 1, "idf")
         return self
 
     def transform(self, x: DataFrame, n_docs: int | None = None) -> DataFrame:

@@ -11,22 +11,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.storage import materialize
 
 HOT_KEYS = 4096
-# Up to this many keys a lookup is joined in one piece.
-SPLIT_KEYS = 200_000
+# A table of at most this size is broadcast whole.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
 class Lookup:
-    """A written table with one row per key.
+    """A written table with one row per key, and its measured size.
 
     ``rows`` names the column saying how many rows of the joined-to table are
-    expected per key; it decides which keys count as hot.
+    expected per key; it decides which keys count as hot. ``width`` is the
+    largest number of 8-byte values in a row besides the key.
     """
 
     df: DataFrame
@@ -34,31 +35,48 @@ class Lookup:
     rows: str
     n_keys: int
     n_rows: int
-    split_keys: int = SPLIT_KEYS
+    key_bytes: int
+    width: int
+    broadcast_bytes: int = BROADCAST_BYTES
 
     @classmethod
-    def build(cls, df: DataFrame, on: Sequence[str], rows: str, name: str = "lookup", **kw) -> "Lookup":
-        return cls.of(materialize(df, name), on, rows, **kw)
+    def build(cls, df: DataFrame, on: Sequence[str], rows: str, width: int = 1, name: str = "lookup") -> "Lookup":
+        return cls.of(materialize(df, name), on, rows, width)
 
     @classmethod
-    def of(cls, df: DataFrame, on: Sequence[str], rows: str, **kw) -> "Lookup":
+    def of(cls, df: DataFrame, on: Sequence[str], rows: str, width: int = 1) -> "Lookup":
         """Wrap a table that is already stored."""
-        seen = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(rows), F.lit(0))).first()
-        return cls(df, tuple(on), rows, seen[0], int(seen[1]), **kw)
+        return cls(df, tuple(on), rows, *df.agg(*cls.measures(on, rows)).first(), width)
+
+    @staticmethod
+    def measures(on: Sequence[str], rows: str) -> list[Column]:
+        """Aggregates giving the number of keys, of expected rows, and the bytes of all keys."""
+        key_bytes = sum((F.octet_length(F.col(c).cast("string")) for c in on), F.lit(0))
+        return [F.count(F.lit(1)), F.coalesce(F.sum(rows), F.lit(0)).cast("bigint"), F.coalesce(F.sum(key_bytes), F.lit(0))]
+
+    @property
+    def size(self) -> int:
+        return self.key_bytes + self.n_keys * self._row_bytes
+
+    @property
+    def _row_bytes(self) -> int:
+        return 32 + 8 * self.width
 
     def join(self, left: DataFrame, how: str = "inner") -> DataFrame:
         """``left`` (many rows per key) joined with this table.
 
-        A small table is left to Spark, which knows its stored size. A large
-        one is cut in two: rows with a hot key meet the broadcast hot part and
-        are not shuffled at all, the others are shuffled on a key of which no
-        value exceeds its 1/HOT_KEYS share.
+        A table of bounded size is broadcast. A larger one is cut in two: rows
+        with a hot key meet the broadcast hot part and are not shuffled at all,
+        the others are shuffled on a key of which no value has more than its
+        small share of the rows.
         """
         on = list(self.on)
         table = self.df.drop(self.rows) if self.rows in left.columns else self.df
-        if self.n_keys <= self.split_keys:
-            return left.join(table, on, how)
-        is_hot = F.col(self.rows) > F.lit(self.n_rows / HOT_KEYS)
+        if self.size <= self.broadcast_bytes:
+            return left.join(F.broadcast(table), on, how)
+        # as many hot keys as fit in the bound, each above 1/limit of the rows
+        limit = max(1, min(HOT_KEYS, BROADCAST_BYTES // self._row_bytes))
+        is_hot = F.col(self.rows) > F.lit(self.n_rows / limit)
         hot = self.df.filter(is_hot).select(*table.columns)
         cold = self.df.filter(~is_hot).select(*table.columns)
         with_hot = left.join(F.broadcast(hot), on, "inner")

@@ -81,7 +81,7 @@ def lowest_by_hash(
         *groups, "_rows", F.col("_b").alias("_cut"), F.expr("quota - _upto + _n as _need")
     )
     if groups:
-        placed = Lookup.build(cut, groups, "_rows", "cuts").join(hashed, "left")
+        placed = Lookup.build(cut, groups, "_rows", 3, "cuts").join(hashed, "left")
     else:
         found = cut.first()
         if found is None:

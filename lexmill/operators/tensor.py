@@ -249,10 +249,10 @@ class CoordTensor:
             cells, rest = cells.withColumn("_all", F.lit(0)), ["_all"]
         peaks = cells.groupBy(*rest).agg(F.max("value").alias("_max"), F.count(F.lit(1)).alias("_rows"))
         near = (F.col("value") - F.col("_max")).alias("_d")
-        peaks = Lookup.build(peaks, rest, "_rows", "peaks")
+        peaks = Lookup.build(peaks, rest, "_rows", 2, "peaks")
         sums = peaks.join(cells).select(*rest, near).groupBy(*rest)
         sums = sums.agg(F.sum(F.exp("_d")).alias("_s"), F.count(F.lit(1)).alias("_rows"))
-        totals = Lookup.build(peaks.df.drop("_rows").join(sums, rest), rest, "_rows", "sums")
+        totals = Lookup.build(peaks.df.drop("_rows").join(sums, rest), rest, "_rows", 3, "sums")
         return totals.join(cells).select(*self.axes, near, "_s")
 
     def softmax(self, axis: int = 1) -> "CoordTensor":

@@ -90,11 +90,13 @@ class NaiveBayes:
     def _use(self, model: DataFrame, classes: Classes) -> None:
         self.classes = classes
         self.wide_layout = classes.names is not None
-        sizes = [F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))]
+        sizes = Lookup.measures(["feature"], "df")
         if self.wide_layout:
             sizes += [F.expr(f"coalesce(sum(counts[{k}]), 0D)") for k in range(len(classes.names))]
-        n_keys, n_rows, *words = model.agg(*sizes).first()
-        self.model = Lookup(model, ("feature",), "df", n_keys, int(n_rows))
+        n_keys, n_rows, key_bytes, *words = model.agg(*sizes).first()
+        # a slot is a double; a cell also holds its label
+        width = len(classes.names) if self.wide_layout else 6 * classes.count()
+        self.model = Lookup(model, ("feature",), "df", n_keys, n_rows, key_bytes, 1 + width)
         if self.wide_layout:
             # slot, name, log prior and denominator of the classes taking part
             self.slots = [
@@ -277,7 +279,8 @@ class GaussianNaiveBayes:
             # one entry per class
             F.collect_list(F.struct("label", "mean", "stddev")).alias("cells"),
         )
-        self.model = Lookup.build(nested, ["feature"], "rows", "gaussians")
+        # a cell is a label and two doubles
+        self.model = Lookup.build(nested, ["feature"], "rows", 8 * self.classes.count(), "gaussians")
 
     def _with_zeros(self, stats: DataFrame) -> DataFrame:
         """Moments over all documents of the class, absent values being 0."""

@@ -81,6 +81,9 @@ class Classes:
     def names(self) -> list[str] | None:
         return None if self.rows is None else [r["label"] for r in self.rows]
 
+    def count(self) -> int:
+        return self._table.count() if self.rows is None else len(self.rows)
+
     def name_array(self) -> Column:
         return F.array(*[F.lit(n) for n in self.names])
 

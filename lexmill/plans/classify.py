@@ -75,18 +75,17 @@ def classify_files(
     train_labels: str,
     test_data: str,
     test_labels: str | None = None,
-    preprocess=None,
-    tokenizer=None,
+    reading: dict | None = None,
     **options,
 ) -> DataFrame:
-    """:func:`classify` on corpus and label files.
+    """:func:`classify` on corpus and label files; ``reading`` are options of :meth:`Loader.read`.
 
     Copies of a document under several labels are documents of their own, so
     predictions are ``doc_id, true_label, label, score``; ``true_label`` is
     empty if the test set has no labels.
     """
     loader = Loader(spark)
-    how = {"preprocess": preprocess, "tokenizer": tokenizer}
+    how = reading or {}
     train_x, train_y = loader.read(train_data, train_labels, **how)
     test_x, test_y = loader.read(test_data, test_labels, **how)
     if test_y is None:

@@ -66,7 +66,7 @@ class SoftmaxRegression:
         rows = x.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
         if self.names is not None:
             w = F.array(*[self._start(F.col("feature"), F.lit(n)) for n in self.names])
-            self.weights = Lookup.build(rows.withColumn("w", w), ["feature"], "rows", "weights")
+            self.weights = Lookup.build(rows.withColumn("w", w), ["feature"], "rows", 1 + len(self.names), "weights")
             return
         grid = per_document(rows.select("feature"), self.classes.table.select("label"))
         grid = grid.withColumn("value", self._start(F.col("feature"), F.col("label")))
@@ -238,5 +238,5 @@ class SoftmaxRegression:
             return self
         slots = [F.max(F.when(F.col("label") == n, F.col("w"))) for n in self.names]
         wide = table.groupBy("feature").agg(F.lit(1).cast("bigint").alias("rows"), F.array(*slots).alias("w"))
-        self.weights = Lookup.build(wide, ["feature"], "rows", "weights")
+        self.weights = Lookup.build(wide, ["feature"], "rows", 1 + len(self.names), "weights")
         return self

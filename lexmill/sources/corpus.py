@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import bag_of_words, python_tokenizer
+from lexmill.functions.stem import stem_features
+from lexmill.functions.text import bag_of_words, drop_stop_words, python_tokenizer
 from lexmill.operators.ranking import running_total
 from lexmill.storage import materialize, pin_scan_splits, place
 
@@ -77,7 +78,16 @@ class Loader:
         tokenizer: Callable[[Column], Column] | object | None = None,
         preprocess: Callable[[Column], Column] | None = None,
         decode: bool = True,
+        stop_words: Sequence[str] | DataFrame = (),
+        stem: bool = False,
     ) -> tuple[DataFrame, DataFrame | None]:
+        """Read word counts and labels.
+
+        ``tokenizer`` maps a text column to an array of words, or is an object
+        with ``tokenize(text)``; ``preprocess`` maps a word column to a word,
+        empty to drop it. Stop words may be a list or a one-column table. With
+        ``stem`` words are replaced by their English stems.
+        """
         docs = line_index(self.spark, data_path).select(F.col("line_no").alias("doc_id"), "value")
         docs = place(docs, ["doc_id"])
         labels, keep = None, []
@@ -100,4 +110,11 @@ class Loader:
             preprocess=preprocess,
             decode=decode,
         )
+        # a word is dropped with all its occurrences, so counted words will do
+        if isinstance(stop_words, DataFrame):
+            features = drop_stop_words(features, stop_words)
+        elif stop_words:
+            features = features.filter(~F.col("feature").isin(list(stop_words)))
+        if stem:
+            features = stem_features(features, ["doc_id"])
         return features, labels

@@ -88,7 +88,7 @@ def test_scores_follow_the_definition(data, options, wide):
     model = NaiveBayes(*options, wide=wide).fit(x, y)
     want = brute(*options)
     assert as_dict(model.scores(test)) == pytest.approx(want)
-    model.model.split_keys = 0
+    model.model.broadcast_bytes = 0
     assert as_dict(model.scores(test)) == pytest.approx(want)
     predicted = {r.doc_id: r.label for r in model.predict(test).collect()}
     assert predicted == best_of(want)
@@ -240,7 +240,7 @@ def test_gaussian_scores_follow_the_definition(points, likelihood, missing):
         want = brute_gaussian("tail", missing)
         PROBES[21] = PROBES_21
     assert as_dict(model.scores(probes)) == pytest.approx(want)
-    model.model.split_keys = 0
+    model.model.broadcast_bytes = 0
     assert as_dict(model.scores(probes)) == pytest.approx(want)
     assert {r.doc_id: r.label for r in model.predict(probes).collect()} == best_of(want)
 

@@ -40,7 +40,7 @@ def test_negative_scores_are_kept(bags):
 def test_tfidf_split_lookup(bags, rows):
     model = TfIdf().fit(bags[0])
     whole = rows(model.transform(bags[1]))
-    model.lookup.split_keys = 0
+    model.lookup.broadcast_bytes = 0
     assert rows(model.transform(bags[1])) == whole
 
 

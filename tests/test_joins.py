@@ -17,7 +17,7 @@ def test_split_lookup_equals_plain_join(spark, rows, skewed, how):
     table = skewed.filter("key <> 'none'").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
     lookup = Lookup.build(table, ["key"], "n")
     plain = rows(lookup.join(skewed, how), "id", "key", "n", "m")
-    lookup.split_keys = 0
+    lookup.broadcast_bytes = 0
     split = lookup.join(skewed, how)
     assert rows(split, "id", "key", "n", "m") == plain
     assert len(plain) == (10_000 if how == "left" else skewed.filter("key <> 'none'").count())

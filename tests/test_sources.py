@@ -95,3 +95,12 @@ def test_classify_files_with_and_without_test_labels(spark, rows, tmp_path):
     assert rows(scored) == [(4, 4, 1.0)]
     found = classify_files(spark, "nb", str(data), str(labels), str(data), weight="once")
     assert rows(found, "doc_id", "label") == [(0, "FELINECAT"), (1, "CANINECAT"), (2, "FELINECAT"), (3, "CANINECAT")]
+
+
+def test_stop_words_and_stems(spark, rows, tmp_path):
+    data = tmp_path / "d.txt"
+    data.write_text("the walking walks the dog\n")
+    stop = spark.createDataFrame([("the",)], "word string")
+    for words in (stop, ["the"]):
+        x, _ = Loader(spark).read(str(data), stop_words=words, stem=True)
+        assert rows(x, "feature", "value") == [("dog", 1.0), ("walk", 2.0)]

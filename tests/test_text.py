@@ -79,7 +79,7 @@ def test_stems(spark):
 @pytest.mark.parametrize("split", [False, True])
 def test_stemming_adds_up_counts(spark, rows, monkeypatch, split):
     if split:
-        monkeypatch.setattr(Lookup, "split_keys", 0)
+        monkeypatch.setattr(Lookup, "size", 1 << 40)
     bag = spark.createDataFrame(
         [(0, "rolling", 2.0), (0, "rolled", 1.0), (1, "rolls", 1.0), (1, "cat", 1.0)],
         "doc_id bigint, feature string, value double",
