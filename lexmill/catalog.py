@@ -1,7 +1,8 @@
 """Registered queries, each beside the SQL it has to agree with.
 
-Documents train if ``doc_id % 5 <> 0`` and test otherwise; the same split is
-used for ``embeddings`` by ``vec_id``.
+Every query reads its tables whole. Where a model is trained and applied, the
+rows with ``doc_id % 5 <> 0`` train it and all others are classified; the same
+split is used for ``embeddings`` by ``vec_id``.
 """
 
 from __future__ import annotations
@@ -494,11 +495,11 @@ def label_feature_grid(spark, sf_dir):
 
 
 @query(
-    f"""with {SPLIT}, df as (select feature, count(*) as df from tr group by feature), {tfidf_sql("s", "tr", "df")}
+    f"""with {BAG}, df as (select feature, count(*) as df from x group by feature), {tfidf_sql("s", "x", "df")}
 select doc_id, feature, round(value, 8) as value from s"""
 )
 def tfidf(spark, sf_dir):
-    x = text.bag_of_words(train_docs(spark, sf_dir))
+    x = text.bag_of_words(documents(spark, sf_dir))
     return feat.TfIdf().fit(x).transform(x).select("doc_id", "feature", F.round("value", 8).alias("value"))
 
 
@@ -532,24 +533,32 @@ def minibatch(spark, sf_dir):
 
 # ------------------------------------------------------------------ tensors
 
-SHIPPED = """a as (select l_suppkey as i, l_returnflag || l_linestatus as j, sum(l_quantity) as value
-  from lineitem where l_linenumber <= 4 group by all),
-b as (select l_suppkey as i, l_returnflag || l_linestatus as j, sum(l_quantity) as value
-  from lineitem where l_linenumber > 3 group by all)"""
+SHIPPED = """q as (select l_suppkey as i, l_returnflag as j, l_linestatus as k, sum(l_quantity) as value
+  from lineitem group by all),
+a as (select i, j, value from q where k = 'F'), b as (select i, j, value from q where k = 'O'),
+t as (select i, j || k as j, value from q)"""
 
 
-def _quantities(spark, sf_dir, keep: str) -> CoordTensor:
-    items = table(spark, sf_dir, "lineitem").filter(keep)
-    cells = items.groupBy(F.col("l_suppkey").alias("i"), F.concat("l_returnflag", "l_linestatus").alias("j"))
-    return CoordTensor(cells.agg(F.sum("l_quantity").alias("value")), ["i", "j"])
+def _shipped(spark, sf_dir) -> DataFrame:
+    """Quantities ``i, j, k, value`` by supplier, return flag and line status."""
+    items = table(spark, sf_dir, "lineitem")
+    cells = items.groupBy(
+        F.col("l_suppkey").alias("i"), F.col("l_returnflag").alias("j"), F.col("l_linestatus").alias("k")
+    )
+    return cells.agg(F.sum("l_quantity").alias("value"))
+
+
+def filled(spark, sf_dir) -> CoordTensor:
+    return CoordTensor(_shipped(spark, sf_dir).filter("k = 'F'"), ["i", "j"])
 
 
-def first_half(spark, sf_dir) -> CoordTensor:
-    return _quantities(spark, sf_dir, "l_linenumber <= 4")
+def opened(spark, sf_dir) -> CoordTensor:
+    return CoordTensor(_shipped(spark, sf_dir).filter("k = 'O'"), ["i", "j"])
 
 
-def second_half(spark, sf_dir) -> CoordTensor:
-    return _quantities(spark, sf_dir, "l_linenumber > 3")
+def shipped(spark, sf_dir) -> CoordTensor:
+    cells = _shipped(spark, sf_dir).select("i", F.concat("j", "k").alias("j"), "value")
+    return CoordTensor(cells, ["i", "j"])
 
 
 @query("select doc_id, lang as label, 1e0 as value from documents")
@@ -608,24 +617,24 @@ from a full join b using (i, j) where coalesce(a.value, 0) {op} coalesce(b.value
 
 @query(_cellwise_sql("+"))
 def tensor_add(spark, sf_dir):
-    return (first_half(spark, sf_dir) + second_half(spark, sf_dir)).df
+    return (filled(spark, sf_dir) + opened(spark, sf_dir)).df
 
 
 @query(_cellwise_sql("-"))
 def tensor_sub(spark, sf_dir):
-    return (first_half(spark, sf_dir) - second_half(spark, sf_dir)).df
+    return (filled(spark, sf_dir) - opened(spark, sf_dir)).df
 
 
 @query(
     f"with {SHIPPED} select i, j, a.value + b.value as value from a join b using (i, j) where a.value + b.value <> 0"
 )
 def tensor_add_strict(spark, sf_dir):
-    return first_half(spark, sf_dir).add(second_half(spark, sf_dir), strict=True).df
+    return filled(spark, sf_dir).add(opened(spark, sf_dir), strict=True).df
 
 
 @query(f"with {SHIPPED} select i, j, a.value * b.value as value from a join b using (i, j) where a.value * b.value <> 0")
 def tensor_hadamard(spark, sf_dir):
-    return (first_half(spark, sf_dir) * second_half(spark, sf_dir)).df
+    return (filled(spark, sf_dir) * opened(spark, sf_dir)).df
 
 
 # orders by suppliers times suppliers by return flags
@@ -642,14 +651,14 @@ def matmul(spark, sf_dir):
     return (CoordTensor(a, ["l_orderkey", "l_suppkey"]) @ CoordTensor(b, ["l_suppkey", "l_returnflag"])).df
 
 
-@query(f"with {SHIPPED} select i, j, value * 2.5e0 as value from a where value <> 0")
+@query(f"with {SHIPPED} select i, j, value * 2.5e0 as value from t where value <> 0")
 def tensor_scale(spark, sf_dir):
-    return (first_half(spark, sf_dir) * 2.5).df
+    return (shipped(spark, sf_dir) * 2.5).df
 
 
-@query(f"with {SHIPPED} select i, j, -value as value from a where value <> 0")
+@query(f"with {SHIPPED} select i, j, -value as value from t where value <> 0")
 def tensor_neg(spark, sf_dir):
-    return (-first_half(spark, sf_dir)).df
+    return (-shipped(spark, sf_dir)).df
 
 
 @query(
@@ -663,23 +672,23 @@ def tensor_abs(spark, sf_dir):
 # every supplier's cell of one column, stored or not
 @query(
     f"""with {SHIPPED} select s_suppkey as i, 'AF' as j, coalesce(value, 0) as value
-from supplier left join (select * from a where j = 'AF') on i = s_suppkey"""
+from supplier left join (select * from t where j = 'AF') on i = s_suppkey"""
 )
 def tensor_get_cell(spark, sf_dir):
     wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.lit("AF").alias("j"))
-    return first_half(spark, sf_dir).get_cells(wanted)
+    return shipped(spark, sf_dir).get_cells(wanted)
 
 
 # column AF is set to the supplier number modulo 3, which deletes a third of it
 @query(
-    f"""with {SHIPPED} select i, j, value from a where not (j = 'AF' and i in (select s_suppkey from supplier))
+    f"""with {SHIPPED} select i, j, value from t where not (j = 'AF' and i in (select s_suppkey from supplier))
 union all select s_suppkey, 'AF', cast(s_suppkey % 3 as double) from supplier where s_suppkey % 3 <> 0"""
 )
 def tensor_set_cell(spark, sf_dir):
     new = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("i"), F.lit("AF").alias("j"), (F.col("s_suppkey") % 3).alias("value")
     )
-    return first_half(spark, sf_dir).set_cells(new).df
+    return shipped(spark, sf_dir).set_cells(new).df
 
 
 EVENTS = "x as (select user_id, event_type, sum(value) / 100 as value from events group by all)"
@@ -895,11 +904,11 @@ def accuracy_gnb(spark, sf_dir):
     return _rounded_accuracy(_gnb(spark, sf_dir).score(_test_vectors(spark, sf_dir), truth))
 
 
-# events per user and type; users train or test by their number, the label is
-# their number modulo 3; types a user lacks count as 0
+# events per user, type and sixteenth; users train or test by their number, the
+# label is their number modulo 3; features a user lacks count as 0
 @query(
-    f"""with s as (select user_id as doc_id, cast(user_id % 3 as varchar) as label, event_type as feature,
-    sum(value) / 100 as value from events where event_id % 3 = 0 group by all),
+    f"""with s as (select user_id as doc_id, cast(user_id % 3 as varchar) as label,
+    event_type || (event_id % 16) as feature, sum(value) / 100 as value from events group by all),
 tr as (select * from s where {TRAIN}), te as (select * from s where {TEST}),
 ytr as (select distinct doc_id, label from tr), ids as (select distinct doc_id from te),
 pri as (select label, count(*) as n, ln(count(*) / sum(count(*)) over ()) as lp from ytr group by label),
@@ -916,8 +925,8 @@ from full_te join st using (feature) join pri on pri.label = st.label group by a
 def gnb_scores_zero(spark, sf_dir):
     sums = (
         table(spark, sf_dir, "events")
-        .filter("event_id % 3 = 0")
-        .groupBy(F.col("user_id").alias("doc_id"), F.col("event_type").alias("feature"))
+        .withColumn("feature", F.concat("event_type", F.col("event_id") % 16))
+        .groupBy(F.col("user_id").alias("doc_id"), "feature")
         .agg((F.sum("value") / 100).alias("value"))
         .withColumn("label", (F.col("doc_id") % 3).cast("string"))
     )

@@ -12,7 +12,7 @@ from lexmill.functions.hashing import table_normal
 from lexmill.operators.features import minibatch_ids
 from lexmill.operators.joins import Lookup
 from lexmill.operators.metrics import accuracy
-from lexmill.operators.tensor import CoordTensor, best
+from lexmill.operators.tensor import best
 from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, per_document
 from lexmill.storage import materialize, place
 
@@ -22,7 +22,7 @@ class SoftmaxRegression:
 
     With up to ``wide`` labels a feature's weights are one array, so a step
     adds up all labels of a document or feature in a single aggregate. With
-    more the weights are a coordinate matrix.
+    more a feature holds (label, weight) cells, summed by document and label.
 
     ``init``  start from a fixed ``normal`` table of ``table`` draws that
         feature and label hash into, or from ``zeros``.
@@ -49,8 +49,8 @@ class SoftmaxRegression:
         self.keys = list(keys)
         self.wide = 0 if strict else wide
         self.names: list[str] | None = None
-        self.weights: Lookup | None = None  # wide: feature, rows, w
-        self.cells: CoordTensor | None = None  # long: feature, label, value
+        # feature, rows, w; w has a weight per label, or (label, weight) cells
+        self.weights: Lookup | None = None
 
     # -- start weights ----------------------------------------------------
 
@@ -66,16 +66,27 @@ class SoftmaxRegression:
         rows = x.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
         if self.names is not None:
             w = F.array(*[self._start(F.col("feature"), F.lit(n)) for n in self.names])
-            self.weights = Lookup.build(rows.withColumn("w", w), ["feature"], "rows", 1 + len(self.names), "weights")
+            self._use(rows.withColumn("w", w))
             return
-        grid = per_document(rows.select("feature"), self.classes.table.select("label"))
-        grid = grid.withColumn("value", self._start(F.col("feature"), F.col("label")))
-        self.cells = CoordTensor(materialize(grid, "weights"), ["feature", "label"])
+        grid = per_document(rows, self.classes.table.select("label"))
+        self._use(self._nested(grid.withColumn("value", self._start(F.col("feature"), F.col("label")))))
+
+    def _use(self, weights: DataFrame) -> None:
+        width = 1 + (len(self.names) if self.names is not None else 6 * self.classes.count())
+        self.weights = Lookup.build(weights, ["feature"], "rows", width, "weights")
+
+    @staticmethod
+    def _nested(cells: DataFrame) -> DataFrame:
+        """``feature, rows, label, value`` cells as one row per feature; one entry per label."""
+        return cells.groupBy("feature").agg(
+            F.max("rows").alias("rows"), F.collect_list(F.struct("label", "value")).alias("w")
+        )
 
     def weight_table(self) -> DataFrame:
         """``feature, label, w``."""
         if self.names is None:
-            return self.cells.df.select("feature", "label", F.col("value").alias("w"))
+            cells = self.weights.df.select("feature", F.explode("w").alias("c"))
+            return cells.select("feature", "c.label", F.col("c.value").alias("w"))
         return self._unnest(self.weights.df, "w", "w")
 
     def _unnest(self, df: DataFrame, array: str, out: str) -> DataFrame:
@@ -114,41 +125,54 @@ class SoftmaxRegression:
 
     # -- one step, a row per cell -----------------------------------------
 
-    def _tensors(self, x: DataFrame, y: DataFrame) -> tuple[CoordTensor, CoordTensor]:
-        doc = F.struct(*self.keys) if len(self.keys) > 1 else F.col(self.keys[0])
-        tx = CoordTensor(x.select(doc.alias("doc"), "feature", "value"), ["doc", "feature"])
-        pairs = y.select(doc.alias("doc"), "label").distinct()
-        return tx, CoordTensor.indicator(pairs, ["doc", "label"])
-
-    def _cell_gradient(self, x: DataFrame, y: DataFrame) -> CoordTensor:
-        tx, ty = self._tensors(x, y)
-        z = (tx @ self.cells).df
-        if not self.strict:
-            labels = self.classes.table.select("label")
-            grid = per_document(tx.df.select("doc").distinct(), labels)
-            z = grid.join(z, ["doc", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-        # at most one row per label in a window
-        by_doc = Window.partitionBy("doc")
-        p = z.withColumn("_e", F.exp(F.col("value") - F.max("value").over(by_doc)))
-        p = p.select("doc", "label", (F.col("_e") / F.sum("_e").over(by_doc)).alias("value"))
-        delta = ty.sub(CoordTensor(p, ["doc", "label"]), strict=self.strict)
-        return -(tx.t @ delta)
+    def _cell_logits(self, x: DataFrame, how: str) -> DataFrame:
+        """``keys, label, z``; every label of a document unless ``strict``."""
+        rows = self.weights.join(x.select(*self.keys, "feature", "value"), how)
+        z = rows.select(*self.keys, "value", F.explode("w").alias("c"))
+        z = z.groupBy(*self.keys, "c.label").agg(F.expr("sum(value * c.value) as z"))
+        if self.strict:
+            return z.filter("z != 0")
+        docs = rows.select(*self.keys).distinct()
+        grid = per_document(docs, self.classes.table.select("label")).join(z, [*self.keys, "label"], "left")
+        return grid.select(*self.keys, "label", F.expr("coalesce(z, 0D) as z"))
+
+    def _cell_gradient(self, x: DataFrame, y: DataFrame) -> DataFrame:
+        """``feature, label, _rows, g``: minus the gradient."""
+        # one row per label in a window
+        by_doc = Window.partitionBy(*self.keys)
+        e = F.exp(F.col("z") - F.max("z").over(by_doc))
+        p = self._cell_logits(x, "inner" if self.strict else "left").withColumn("e", e)
+        p = p.select(*self.keys, "label", (F.col("e") / F.sum("e").over(by_doc)).alias("p"))
+        truth = y.select(*self.keys, "label", F.lit(1.0).alias("t")).distinct()
+        delta = truth.join(p, [*self.keys, "label"], "inner" if self.strict else "full_outer")
+        delta = delta.select(*self.keys, "label", F.expr("coalesce(t, 0D) - coalesce(p, 0D) as d")).filter("d != 0")
+        # one entry per label
+        delta = delta.groupBy(*self.keys).agg(F.collect_list(F.struct("label", "d")).alias("d"))
+        cells = x.join(delta, self.keys).select("feature", "value", F.explode("d").alias("c"))
+        sums = cells.groupBy("feature", "c.label").agg(F.expr("sum(value * c.d) as g"), F.expr("count(1) as _rows"))
+        return sums.filter("g != 0")
 
     # -- training ---------------------------------------------------------
 
     def gradient(self, x: DataFrame, y: DataFrame) -> DataFrame:
         """``feature, label, gradient`` of the loss at the present weights, zeros left out."""
         if self.names is None:
-            return self._cell_gradient(x, y).df.withColumnRenamed("value", "gradient")
+            return self._cell_gradient(x, y).select("feature", "label", (-F.col("g")).alias("gradient"))
         g = self._unnest(self._slot_gradient(x, y), "g", "gradient")
         return g.withColumn("gradient", -F.col("gradient")).filter("gradient != 0")
 
     def partial_fit(self, x: DataFrame, y: DataFrame, lr: float = 0.01) -> "SoftmaxRegression":
         """One step of gradient descent; the new weights are written at once."""
         if self.names is None:
-            step = self._cell_gradient(x, y).scale(lr)
-            new = self.cells.sub(step, strict=self.strict)
-            self.cells = CoordTensor(materialize(new.df, "weights"), new.axes)
+            old = self.weights.df.select("feature", "rows", F.explode("w").alias("c")).select("feature", "rows", "c.*")
+            g = self._cell_gradient(x, y)
+            moved = old.join(g, ["feature", "label"], "inner" if self.strict else "full_outer").select(
+                "feature",
+                F.coalesce("rows", "_rows").alias("rows"),
+                "label",
+                F.expr(f"coalesce(value, 0D) + {float(lr)!r}D * coalesce(g, 0D) as value"),
+            )
+            self._move(self._nested(moved.filter("value != 0")))
             return self
         g = self._slot_gradient(x, y)
         moved = self.weights.df.join(g, "feature", "full_outer").select(
@@ -160,10 +184,13 @@ class SoftmaxRegression:
                 f"else zip_with(w, g, (a, b) -> a + {float(lr)!r}D * b) end as w"
             ),
         )
-        # sizes only steer the join, so those of the first weights will do
-        self.weights = replace(self.weights, df=materialize(moved, "weights"))
+        self._move(moved)
         return self
 
+    def _move(self, weights: DataFrame) -> None:
+        # a step hardly changes the sizes that steer the join
+        self.weights = replace(self.weights, df=materialize(weights, "weights"))
+
     def fit(
         self,
         x: DataFrame,
@@ -183,7 +210,7 @@ class SoftmaxRegression:
         x = place(x.select(*self.keys, "feature", "value"), self.keys).persist()
         y = place(y.select(*self.keys, "label"), self.keys).persist()
         try:
-            if not warm_start or (self.weights is None and self.cells is None):
+            if not warm_start or self.weights is None:
                 self.init_weights(x, y)
             if batch_size > 0:
                 known = y.select(*self.keys).distinct().count()
@@ -206,16 +233,8 @@ class SoftmaxRegression:
     def predict(self, x: DataFrame) -> DataFrame:
         """``keys, label, score`` of the largest logit; equal ones go to the smallest label."""
         if self.names is None:
-            doc = F.struct(*self.keys)
-            tx = CoordTensor(x.select(doc.alias("doc"), "feature", "value"), ["doc", "feature"])
-            z = (tx @ self.cells).df
-            if not self.strict:
-                known = x.join(self.cells.df.select("feature").distinct(), "feature", "left_semi")
-                docs = known.select(doc.alias("doc")).distinct()
-                grid = per_document(docs, self.classes.table.select("label"))
-                z = grid.join(z, ["doc", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-            top = best(z.withColumnRenamed("value", "score"), ["doc"], "score", "label")
-            return top.select("doc.*", "label", "score")
+            scores = self._cell_logits(x, "inner").withColumnRenamed("z", "score")
+            return best(scores, self.keys, "score", "label")
         return best_slot(self._logits(x, "inner"), "z", self.names, self.keys)
 
     def score(self, x: DataFrame, y: DataFrame) -> DataFrame:
@@ -234,9 +253,9 @@ class SoftmaxRegression:
         self.names = self.classes.names
         table = spark.read.parquet(f"{path}/weights")
         if self.names is None:
-            self.cells = CoordTensor(table.withColumnRenamed("w", "value"), ["feature", "label"])
+            cells = table.select("feature", F.lit(1).cast("bigint").alias("rows"), "label", F.col("w").alias("value"))
+            self._use(self._nested(cells))
             return self
         slots = [F.max(F.when(F.col("label") == n, F.col("w"))) for n in self.names]
-        wide = table.groupBy("feature").agg(F.lit(1).cast("bigint").alias("rows"), F.array(*slots).alias("w"))
-        self.weights = Lookup.build(wide, ["feature"], "rows", 1 + len(self.names), "weights")
+        self._use(table.groupBy("feature").agg(F.lit(1).cast("bigint").alias("rows"), F.array(*slots).alias("w")))
         return self
