@@ -487,8 +487,7 @@ def class_word_totals(spark, sf_dir):
 )
 def label_feature_grid(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    names = [r["label"] for r in class_counts(docs).orderBy("label").collect()]
-    return feat.label_feature_grid(text.tokens(docs, ["doc_id"]), names)
+    return feat.label_feature_grid(text.tokens(docs, ["doc_id"]), docs)
 
 
 # ----------------------------------------------------- weights and samples

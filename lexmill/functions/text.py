@@ -69,13 +69,21 @@ def python_preprocess(function: Callable[[str], str]) -> Callable[[Column], Colu
     return lambda word: apply(word)
 
 
+def is_word(low: Column) -> Column:
+    """Whether a lower-case token has several characters and is not a number."""
+    # a token that begins with an ASCII letter or underscore is no number;
+    # comparing bytes spares most tokens the pattern
+    plain = (low >= "A") & (low < "{")
+    return (F.length(low) > 1) & (plain | ~low.rlike(NUMERIC))
+
+
 def normalize(word: Column, stop_words: Sequence[str] = ()) -> Column:
     """Lower-case a word; empty if it is one character, numeric or a stop word."""
     low = F.lower(word)
-    drop = (F.length(low) <= 1) | low.rlike(NUMERIC)
+    keep = is_word(low)
     if stop_words:
-        drop = drop | low.isin(list(stop_words))
-    return F.when(~drop, low).otherwise(F.lit(""))
+        keep = keep & ~low.isin(list(stop_words))
+    return F.when(keep, low).otherwise(F.lit(""))
 
 
 def default_stop_words(language: str = "english") -> list[str]:
@@ -107,7 +115,10 @@ def tokens(
     if decode:
         body = decode_entities(body)
     words = docs.select(*keys, *keep, F.explode((tokenizer or tokenize)(body)).alias("_w"))
-    words = words.select(*keys, *keep, (preprocess or normalize)(F.col("_w")).alias("feature"))
+    if preprocess is None:
+        # normalize() as a filter, which Spark evaluates once per word
+        return words.select(*keys, *keep, F.lower("_w").alias("feature")).filter(is_word(F.col("feature")))
+    words = words.select(*keys, *keep, preprocess(F.col("_w")).alias("feature"))
     return words.filter(F.length("feature") > 0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.joins import Lookup
+from lexmill.operators.joins import Lookup, beside_each
 from lexmill.operators.ranking import lowest_by_hash
 
 
@@ -26,11 +26,9 @@ def class_feature_counts(x: DataFrame, y: DataFrame, keys: Sequence[str] = ("doc
     return x.join(y, list(keys)).groupBy("label", "feature").agg(F.sum("value").alias("value"))
 
 
-def label_feature_grid(features: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Every label beside every distinct feature, made row by row from a label list."""
-    return features.select("feature").distinct().withColumn(
-        "label", F.explode(F.array(*[F.lit(l) for l in labels]))
-    )
+def label_feature_grid(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """``feature, label``: every distinct feature beside every distinct label."""
+    return beside_each(features.select("feature").distinct(), labels.select("label").distinct())
 
 
 class TfIdf:

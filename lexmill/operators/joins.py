@@ -84,6 +84,15 @@ class Lookup:
         return with_hot.unionByName(others.join(cold, on, how))
 
 
+def beside_each(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row of ``df`` beside every row of a table with one row per class.
+
+    The classes are made one array, which each row then unfolds by itself.
+    """
+    nested = classes.agg(F.collect_list(F.struct(*classes.columns))).scalar()
+    return df.withColumn("_c", F.explode(nested)).select(*df.columns, "_c.*")
+
+
 # A key is dealt out only if its parts get at least this many rows.
 PART_ROWS = 10_000
 

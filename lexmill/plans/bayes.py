@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.gaussian import log_density, log_tail
-from lexmill.operators.joins import Lookup
+from lexmill.operators.joins import Lookup, beside_each
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
-from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, per_document, with_label
+from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, with_label
 from lexmill.storage import materialize
 
 
@@ -134,7 +134,7 @@ class NaiveBayes:
             cells = self.model.df.select("feature", "df", cells.alias("c"))
             return cells.select("c.label", "feature", "df", F.col("c.ll").alias("log_likelihood"))
         seen = self.model.df.select("feature", F.explode("cells").alias("c")).select("feature", "c.*")
-        grid = per_document(self.model.df.select("feature", "df"), self.sizes.select("label", "denominator"))
+        grid = beside_each(self.model.df.select("feature", "df"), self.sizes.select("label", "denominator"))
         seen = grid.join(seen, ["feature", "label"], "left")
         smoothed = F.coalesce("count", F.lit(0.0)) + 1.0
         return seen.select("label", "feature", "df", F.ln(smoothed / F.col("denominator")).alias("log_likelihood"))
@@ -181,7 +181,7 @@ class NaiveBayes:
         docs = rows.groupBy(*self.keys).agg(F.expr("sum(_w) as _W"), F.expr("sum(_u) as _U"))
         seen = rows.select(*self.keys, "_w", F.explode("logs").alias("c"))
         seen = seen.groupBy(*self.keys, "c.label").agg(F.expr("sum(_w * c.log) as _s"))
-        grid = per_document(docs, self.sizes).join(seen, [*self.keys, "label"], "left")
+        grid = beside_each(docs, self.sizes).join(seen, [*self.keys, "label"], "left")
         return grid.select(
             *self.keys,
             "label",
@@ -315,7 +315,7 @@ class GaussianNaiveBayes:
         zeros = self.model.df.select(F.explode("cells").alias("c"))
         zeros = zeros.groupBy(F.col("c.label").alias("label")).agg(F.sum(self._term(F.lit(0.0), "c")).alias("_zero"))
         base = priors.join(zeros, "label").select("label", (F.col("log_prior") + F.col("_zero")).alias("_base"))
-        grid = per_document(x.select(*self.keys).distinct(), base)
+        grid = beside_each(x.select(*self.keys).distinct(), base)
         grid = grid.join(sums, [*self.keys, "label"], "left")
         return grid.select(*self.keys, "label", (F.col("_base") + F.coalesce("_s", F.lit(0.0))).alias("score"))
 

@@ -34,12 +34,6 @@ def with_label(x: DataFrame, y: DataFrame, keys: Sequence[str], label_col: str |
     return x.join(y.select(*keys, "label"), list(keys))
 
 
-def per_document(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every document beside every row of a table with one row per class."""
-    nested = classes.agg(F.collect_list(F.struct(*classes.columns))).scalar()
-    return docs.withColumn("_c", F.explode(nested)).select(*docs.columns, "_c.*")
-
-
 def best_slot(scored: DataFrame, scores: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``keys, label, score`` of the first array entry with the largest score."""
     top = scored.withColumn("score", F.array_max(scores))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.hashing import table_normal
 from lexmill.operators.features import minibatch_ids
-from lexmill.operators.joins import Lookup
+from lexmill.operators.joins import Lookup, beside_each
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
-from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, per_document
+from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot
 from lexmill.storage import materialize, place
 
 
@@ -68,7 +68,7 @@ class SoftmaxRegression:
             w = F.array(*[self._start(F.col("feature"), F.lit(n)) for n in self.names])
             self._use(rows.withColumn("w", w))
             return
-        grid = per_document(rows, self.classes.table.select("label"))
+        grid = beside_each(rows, self.classes.table.select("label"))
         self._use(self._nested(grid.withColumn("value", self._start(F.col("feature"), F.col("label")))))
 
     def _use(self, weights: DataFrame) -> None:
@@ -133,7 +133,7 @@ class SoftmaxRegression:
         if self.strict:
             return z.filter("z != 0")
         docs = rows.select(*self.keys).distinct()
-        grid = per_document(docs, self.classes.table.select("label")).join(z, [*self.keys, "label"], "left")
+        grid = beside_each(docs, self.classes.table.select("label")).join(z, [*self.keys, "label"], "left")
         return grid.select(*self.keys, "label", F.expr("coalesce(z, 0D) as z"))
 
     def _cell_gradient(self, x: DataFrame, y: DataFrame) -> DataFrame:

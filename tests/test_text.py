@@ -23,6 +23,15 @@ def test_normalize_drops_short_numeric_and_stop_words(spark, rows):
     assert rows(found, "feature") == [("at",), ("ça",), ("été_1",)]
 
 
+def test_default_path_equals_normalize(spark, rows):
+    odd = LINE + " ²x ²³ ٣٤ _ __ a1 1a Ⅷ Ⅷb ÅB zZ {"
+    df = spark.createDataFrame([(0, odd)], "doc_id bigint, text string")
+    plain = rows(text.tokens(df, ["doc_id"]))
+    assert plain == rows(text.tokens(df, ["doc_id"], preprocess=text.normalize))
+    want = [w.lower() for w in re.findall(r"\w+", odd) if len(w.lower()) > 1 and not w.lower().isnumeric()]
+    assert [f for _, f in plain] == sorted(want, key=repr)
+
+
 def test_documents_without_words_vanish(spark, rows):
     df = spark.createDataFrame([(0, "1 2 x"), (1, "word"), (2, None)], "doc_id bigint, text string")
     assert rows(text.bag_of_words(df)) == [(1, "word", 1.0)]
