@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import byte_bpe, packing
+from lexmill.llm import byte_bpe, packing, pii, secret_scan
 from lexmill.llm.rows import table
+from lexmill.llm.spans import listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Operators that SQL can express; the others are tested against brute force in tests/llm.
@@ -19,6 +21,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def counts(kinds: Sequence[str]) -> list[Column]:
+    """Number of base spans by kind."""
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return [of(kind) for kind in kinds]
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -27,3 +38,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [rule.kind for rule in secret_scan.BASE]
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    found = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(base)))
+    return found.select("doc_id", *counts(base), F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.PiiModel().fit(docs))
+    return found.select("doc_id", *counts(pii.KINDS), F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
