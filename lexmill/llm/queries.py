@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import byte_bpe, packing, pii, secret_scan
-from lexmill.llm.rows import table
+from lexmill.llm import byte_bpe, packing, pii, quality, secret_scan, toxicity
+from lexmill.llm.rows import remainder, table
 from lexmill.llm.spans import listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +30,29 @@ def counts(kinds: Sequence[str]) -> list[Column]:
     return [of(kind) for kind in kinds]
 
 
+def held_out(modulus: int, rest: int) -> Column:
+    return F.coalesce(remainder("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
+
+
+@query
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return quality.score(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
