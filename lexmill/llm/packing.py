@@ -33,20 +33,24 @@ from lexmill.storage import materialize
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SIZE = 2048
 END_ID = 0
+MARKS = frozenset([b".", b",", b"!", b"?", b";", b":"])
 
 _words: dict[str, Cache] = {}
 
 
 def _word_ids(path: str) -> Cache:
-    """Little-endian 32-bit ids of a word without ASCII white space.
+    """Little-endian 32-bit ids of a word without ASCII white space, in lower case.
 
-    The vocabulary drops white space and no step before it looks across white
-    space, so the ids of a text are those of its words in a row.
+    The vocabulary drops white space and lower-cases, and no step before it looks
+    across white space, so the ids of a text are those of its words in a row. A
+    punctuation mark after a letter or digit is a token sequence of its own.
     """
     if path not in _words:
         encode = tokenizer_file(path).encode
 
         def ids(word: bytes) -> bytes:
+            if word[-1:] in MARKS and word[-2:-1].isalnum():
+                return _words[path][word[:-1]] + _words[path][word[-1:]]
             return np.asarray(encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
         _words[path] = Cache(ids)
@@ -110,7 +114,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         for batch in batches:
             rows, take = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = b"".join(map(word_ids.__getitem__, (text or "").encode().split())) + end
+                ids = b"".join(map(word_ids.__getitem__, (text or "").encode().lower().split())) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     length = len(piece) // 4

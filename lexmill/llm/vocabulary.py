@@ -12,7 +12,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer, models, pre_tokenizers  # noqa: E402
 
 # A worker's cache is emptied when it holds this many strings; longer strings are never cached.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_500_000
 CACHE_LENGTH = 64
 
 
