@@ -9,7 +9,8 @@ where the second part, the risk on the unknown negatives, is kept from falling
 below zero: where it would, the step goes against its gradient. Features are
 whether a document has a word, or a word with a certain beginning, hashed to
 BUCKETS numbers; those frequent among positives and clearly more so than in the
-unlabelled text are used. Several classifiers, each fitted on a different half of
+unlabelled text are used, scaled to length one so that one toxic word weighs as
+much in a long document as several do. Several classifiers, each fitted on a different half of
 the sample, are averaged.
 """
 
@@ -66,7 +67,8 @@ class ToxicityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         words = self._words()
-        total = [self.bias + sum(map(self.weights.__getitem__, sorted(document_features(t, words)))) for t in texts]
+        found = [sorted(document_features(t, words)) for t in texts]
+        total = [self.bias + sum(map(self.weights.__getitem__, f)) / len(f) ** 0.5 if f else self.bias for f in found]
         return 1 / (1 + np.exp(-np.clip(np.array(total, np.float64), -30, 30)))
 
 
@@ -114,16 +116,16 @@ def fit(
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, own in enumerate(rows["f"]):
-        x[i, [at[f] for f in own]] = 1
+        x[i, [at[f] for f in own]] = 1 / max(1, len(own)) ** 0.5
     positive, free = x[rows["positive"] == 1], x[rows["positive"] == 0]
     rng = np.random.default_rng(seed)
     half = lambda a: a[np.sort(rng.permutation(len(a))[: max(1, (len(a) + 1) // 2)])]
     fitted = [non_negative(half(positive), half(free), prior) for _ in range(CLASSIFIERS)]
     weights, bias = (np.mean(part, axis=0) for part in zip(*fitted))
-    return ToxicityModel({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6}, float(bias))
+    return ToxicityModel({f: float(w) for f, w in zip(names, weights)}, float(bias))
 
 
-def non_negative(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def non_negative(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Linear classifier minimising the non-negative risk with the sigmoid loss, by Adam.
 
     The sigmoid loss is bounded: a few positives far on their side cannot outweigh
