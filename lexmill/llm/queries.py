@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import byte_bpe, packing, pii, quality, secret_scan, toxicity
+from lexmill.llm import byte_bpe, language, packing, pii, quality, secret_scan, toxicity
 from lexmill.llm.rows import remainder, table
 from lexmill.llm.spans import listing
 
@@ -46,6 +46,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, remainder("doc_id", 4) != 2)
+    return language.identify(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
 @query
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
