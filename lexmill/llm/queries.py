@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import byte_bpe, language, packing, pii, quality, secret_scan, toxicity
+from lexmill.llm import byte_bpe, language, minhash, packing, pii, quality, secret_scan, toxicity
 from lexmill.llm.rows import remainder, table
 from lexmill.llm.spans import listing
 
@@ -53,6 +53,11 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+@query
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 @query
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
