@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import byte_bpe, language, minhash, packing, pii, quality, secret_scan, toxicity
+from lexmill.llm import byte_bpe, embedding_dups, language, minhash, neighbours, packing, pii, quality, secret_scan, toxicity
 from lexmill.llm.rows import remainder, table
 from lexmill.llm.spans import listing
 
@@ -46,6 +46,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+@query
+def op4_embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 @query
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
