@@ -257,19 +257,32 @@ def _placed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("place"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def find(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text, base and spans, arrays of (place, start, end, kind) by kind and start; ``keep`` names further columns.
+def _with_spans(rows: DataFrame, model: PiiModel, text: Column) -> DataFrame:
+    """Add ``base`` and ``spans``, arrays of (place, start, end, kind) by kind and start."""
+    base = F.array_sort(F.concat(*[_placed(kind, spans) for kind, spans in base_spans(text).items()]))
+    rows = rows.withColumn("base", base)
+    added = F.when(text.rlike(r"[0-9]|@|[(\[]at[)\]]"), model.added(text, F.col("base"))).otherwise(_placed("email", no_spans()))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", added)))
+
+
+def find(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base and spans, arrays of (place, start, end, kind) by kind and start.
 
     ``base`` has the spans of the exact patterns, ``spans`` these and the added
     ones. A null or empty text has none. Repeated rows and null ids each get
-    their own result and an empty table gives an empty result.
+    their own result, other columns are left out, and an empty table gives an
+    empty result.
     """
-    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
-    text = F.coalesce("text", F.lit(""))
-    base = F.array_sort(F.concat(*[_placed(kind, spans) for kind, spans in base_spans(text).items()]))
-    df = df.withColumn("base", base)
-    added = F.when(text.rlike(r"[0-9]|@|[(\[]at[)\]]"), model.added(text, F.col("base"))).otherwise(_placed("email", no_spans()))
-    return df.withColumn("spans", F.array_sort(F.concat("base", added)))
+    rows = only(docs, doc_id=id_col, text=text_col)
+    return _with_spans(rows, model, F.coalesce("text", F.lit(""))).select("doc_id", "base", "spans")
+
+
+def redacted(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, whatever their names, and each span of the text replaced by its kind."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
+    rows = _with_spans(rows, model, F.coalesce(text, F.lit("")))
+    return rows.select(*[redact(text, F.col("spans")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def redact(text: Column, spans: Column) -> Column:
