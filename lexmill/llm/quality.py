@@ -70,9 +70,11 @@ class QualityModel:
             sizes = np.diff(ends)
             blocks = (sizes + WIDTH - 1 + BLOCK - 1) // BLOCK
             first = np.concatenate([[0], np.cumsum(blocks)])
+            # zero bytes before each text, so that no response sees two texts
             padded = np.zeros(first[-1] * BLOCK + WIDTH - 1, np.uint8)
             for i, size in enumerate(sizes):
-                padded[first[i] * BLOCK : first[i] * BLOCK + size] = raw[ends[i] : ends[i + 1]]
+                at = first[i] * BLOCK + WIDTH - 1
+                padded[at : at + size] = raw[ends[i] : ends[i + 1]]
             maxima = self.block_maxima(padded)
             pooled = np.array([self._pool(maxima[a:b]) for a, b in zip(first, first[1:])])
             out[part] = 1 / (1 + np.exp(-np.clip(pooled @ self.head + self.shift, -30, 30)))
