@@ -10,6 +10,8 @@ import numpy as np
 from lexmill.llm.rows import slices, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+# Characters worked on at once: about 60 bytes of memory each.
+SLICE = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +48,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~apart & np.concatenate([[True], apart[:-1]]))
     stops = np.flatnonzero(apart & np.concatenate([[False], ~apart[:-1]]))
     # sizes in steps, so that the tables of powers are made a few times only
-    up, down = _powers(max(1 << 22, 1 << len(raw).bit_length()))
+    up, down = _powers(max(SLICE, 1 << len(raw).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[raw] * up[: len(raw)], dtype=np.uint64)])
     words = _mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * BASE)
     return words, np.searchsorted(starts, ends)
@@ -58,7 +60,7 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     A text with fewer words has all of them as its one shingle; without words
     its set is empty.
     """
-    for part in slices(texts):
+    for part in slices(texts, SLICE):
         words, at = word_hashes(texts[part])
         joined = words.copy()
         for k in range(1, width):
@@ -67,10 +69,10 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             if b - a >= width:
                 yield np.unique(joined[a : b - width + 1])
             elif b > a:
-                one = words[a]
+                one = words[a : a + 1]
                 for k in range(1, b - a):
-                    one = _mix(one * BASE + words[a + k : a + k + 1])[0]
+                    one = _mix(one * BASE + words[a + k : a + k + 1])
                 # the number of words tells it from longer shingles
-                yield _mix(np.array([one + np.uint64(b - a)], np.uint64))
+                yield _mix(one + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
