@@ -224,11 +224,12 @@ def search(
     shape = "vec_id long, v array<double>, floor double, part long"
     # a stated query set in blocks: parts are repeated for each block of queries
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).alias("block")
+    # both sides of the co-group need the same types of keys, or equal keys are dealt to different tasks
+    block = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("long").alias("block")
 
     def answers(queries: DataFrame) -> DataFrame:
         queries = queries.select("*", block)
-        copies = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        copies = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
         return queries.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInPandas(
             lambda a, b: verify(a, b, index, k, quantile) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}),
             "query_id long, vec_id long, score double",
