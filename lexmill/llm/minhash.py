@@ -9,11 +9,14 @@
    in one of the first COORDINATES - MATCHES + 1 of both. So the long lists of
    frequent shingles are skipped, and classes that share fewer than MATCHES
    values with any others drop out before any pair is made.
-4. Skip: in each list every class is first paired with the list's smallest
-   class only. Confirmed pairs are merged to components; afterwards lists are
-   searched for pairs of different components only. A list of mutual copies thus
-   makes as many pairs as it has classes.
-5. Retained pairs are confirmed on the full sets, whatever their signatures say.
+4. Skip: in each list every class is first paired with one hub only, the class
+   whose values are the most common ones. Confirmed pairs are merged to
+   components, so a list of mutual copies makes as many pairs as it has classes.
+   Where a list still has several components, its classes outside the largest
+   one are the family's rest, and are merged with the family block by block:
+   counting the postings of their shingles gives all intersections at once, and
+   only links that join two components leave a block.
+5. Pairs are confirmed on the full sets, whatever their signatures say.
 
 A pair at similarity 0.8 exactly has fewer than MATCHES agreements with
 probability 2e-4; above, it falls quickly.
@@ -38,6 +41,8 @@ COORDINATES = 32
 MATCHES = 17
 # Hubs are paired with at most about this many characters of other texts in one task.
 HUB_CHARS = 16 << 20
+# Families are merged in blocks of about this many characters on either side.
+BLOCK_CHARS = 2 << 20
 # Ids are broadcast if their measured size is at most this; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -81,10 +86,11 @@ def _matching(a: Column, b: Column) -> Column:
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """(class, signature, key) for the postings of each class that a pair with MATCHES agreements can first meet in.
+    """(class, common, key) for the postings of each class that a pair with MATCHES agreements can first meet in.
 
-    A value that only one class has comes first in its order and needs no
-    posting, so a class with m shared values has m - MATCHES + 1 of them left.
+    ``common`` is the length of all lists the class is in. A value that only one
+    class has comes first in its order and needs no posting, so a class with m
+    shared values has m - MATCHES + 1 of them left.
     """
     at, value = F.col("p.pos").cast("bigint"), F.col("p.col").cast("bigint").bitwiseAND(0xFFFFFFFF)
     postings = classes.select("class", F.posexplode("signature").alias("pos", "col")).select("class", F.struct("pos", "col").alias("p"))
@@ -92,8 +98,9 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # at most COORDINATES entries per class
     own = postings.join(lists, "key").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
-    first = own.filter(F.size("own") >= MATCHES).select("class", F.expr(f"transform(slice(own, 1, size(own) - {MATCHES - 1}), x -> x.key)").alias("keys"))
-    return first.join(classes, "class").select("class", "signature", F.explode("keys").alias("key"))
+    first = F.expr(f"transform(slice(own, 1, size(own) - {MATCHES - 1}), x -> x.key)")
+    common = F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    return own.filter(F.size("own") >= MATCHES).select("class", common.alias("common"), F.explode(first).alias("key"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -133,6 +140,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return beside.mapInArrow(run, "a long, b long")
 
 
+def families(postings: DataFrame, merged: DataFrame) -> DataFrame:
+    """(family, class, component) of the lists in which several components meet, by each list's largest component."""
+    own = postings.join(merged, postings["class"] == merged["node"], "left")
+    own = materialize(own.select("key", "class", F.coalesce("component", "class").alias("component")), "list_components")
+    parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("family"), F.count(F.lit(1)).alias("parts"))
+    return own.join(largest.filter("parts > 1"), "key").select("family", "class", "component").distinct()
+
+
+def merge_families(found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components of a family: its rest is compared with all of it.
+
+    Both sides are dealt into blocks by a hash, so a unit of work is bounded
+    whatever the size of a family.
+    """
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
+    sized = materialize(found.join(sizes, found["class"] == sizes["doc_id"]).select("family", "class", "component", "chars"), "families")
+    blocks = lambda chars: (F.coalesce(F.sum(chars), F.lit(0)) / BLOCK_CHARS).cast("int") + 1
+    rest = F.col("component") != F.col("family")
+    deal = sized.groupBy("family").agg(blocks(F.when(rest, F.col("chars"))).alias("n_rest"), blocks("chars").alias("n_all"))
+    dealt = sized.join(deal, "family").withColumn("h", F.xxhash64("class"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["family", "class", "component"]
+    one = dealt.filter(rest).select(*own, F.lit(True).alias("asks"), F.pmod("h", F.col("n_rest")).cast("int").alias("i"), spread("n_all").alias("j"))
+    other = dealt.select(*own, F.lit(False).alias("asks"), spread("n_rest").alias("i"), F.pmod("h", F.col("n_all")).cast("int").alias("j"))
+    units = one.unionByName(other)
+    units = units.join(texts, units["class"] == texts["doc_id"]).select("family", "i", "j", "asks", "class", "component", "text")
+    units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "asks", "class", "component", "text"))):
+                if row[:3] != unit:
+                    found += unit_links(rows, width, percent)
+                    unit, rows = row[:3], []
+                rows.append(row[3:])
+            yield _pairs(found)
+        yield _pairs(unit_links(rows, width, percent))
+
+    return units.mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def unit_links(rows: list[tuple], width: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components, of rows (asks, class, component, text), between those that ask and those that don't."""
+    asking, asked = ([r for r in rows if r[0] == side] for side in (True, False))
+    if not asking or not asked:
+        return []
+    sets = list(shingle_sets([r[3] for r in asked], width))
+    sizes = np.array([len(s) for s in sets])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    postings = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    ends = np.cumsum(np.bincount(at, minlength=len(names)))
+    starts = np.concatenate([[0], ends[:-1]])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for (_, own, component, _), shingles in zip(asking, shingle_sets([r[3] for r in asking], width)):
+        place = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        place = place[names[place] == shingles]
+        counts = ends[place] - starts[place]
+        lines = np.repeat(starts[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(postings[lines], minlength=len(sets))
+        for k in np.flatnonzero(100 * both >= percent * (len(shingles) + sizes - both)):
+            a, b = find(component), find(asked[k][2])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((own, asked[k][1]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``; ids are whole numbers.
 
@@ -159,27 +247,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = F.broadcast(some) if 16 * n <= BROADCAST_BYTES else some
     chosen = materialize(texts.join(ids, texts.doc_id == F.col("class"), "left_semi"), "candidate_texts")
 
-    hubs = postings.groupBy("key").agg(F.min_by(F.struct("class", "signature"), "class").alias("hub"))
-    pairs = postings.join(hubs, "key").filter("class <> hub.class").filter(_matching(F.col("signature"), F.col("hub.signature")) >= MATCHES)
-    pairs = materialize(pairs.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), "hub_pairs")
+    hubs = postings.groupBy("key").agg(F.max_by("class", F.struct("common", -F.col("class"))).alias("hub"))
+    pairs = postings.join(hubs, "key").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    signed = classes.groupBy("class").agg(F.min("signature").alias("signature"))
+    for side in ("a", "b"):
+        pairs = pairs.join(signed.select(F.col("class").alias(side), F.col("signature").alias(f"signature_{side}")), side)
+    pairs = pairs.filter(_matching(F.col("signature_a"), F.col("signature_b")) >= MATCHES)
+    pairs = materialize(pairs.select("a", "b"), "hub_pairs")
     links = materialize(confirmed(pairs, chosen, width, percent), "hub_links")
-    merged = components(links)
-
-    # the same lists again, for pairs whose classes are still apart
-    left = postings.join(merged, postings["class"] == merged["node"], "left").select("key", "class", "signature", F.coalesce("component", "class").alias("component"))
-    left = materialize(left, "list_components")
-    parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    apart = left.join(largest, "key")
-    x, y = apart.filter("component <> largest").alias("x"), apart.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    # of two outside the largest component only one order
-    met &= (F.col("y.component") == F.col("y.largest")) | (F.col("x.class") < F.col("y.class"))
-    met &= _matching(F.col("x.signature"), F.col("y.signature")) >= MATCHES
-    pairs_2 = x.join(y, met).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    pairs_2 = materialize(pairs_2.join(pairs, ["a", "b"], "left_anti"), "list_pairs")
-    links_2 = confirmed(pairs_2, chosen, width, percent)
-    merged = components(links.unionByName(links_2).unionByName(same_id))
+    more = merge_families(families(postings, components(links)), chosen, width, percent)
+    merged = components(links.unionByName(more).unionByName(same_id))
 
     result = rows.join(classes.select("set_id", "class"), "set_id", "left").join(merged, F.col("class") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
