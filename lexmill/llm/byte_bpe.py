@@ -13,7 +13,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lexmill.llm.rows import map_text, only
-from lexmill.llm.vocabulary import Cache, byte_characters, from_ranks
+from lexmill.llm.vocabulary import Cache, byte_characters, from_ranks, held
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -67,9 +66,8 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
 def codec(path: str = VOCABULARY, pattern: str = PATTERN) -> Codec:
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

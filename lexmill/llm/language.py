@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lexmill.llm.rows import map_text, only, sample_rows, slices
-from lexmill.llm.vocabulary import CACHE_ENTRIES, CACHE_LENGTH
+from lexmill.llm.vocabulary import CACHE_LENGTH, held
 
 SAMPLE_ROWS = 1500
 EXCERPT = 1500
@@ -34,6 +34,9 @@ BUCKETS = 1 << 16
 LEXICON = 300  # words per language
 AFFIXES = (1, 2, 3, 4)
 UNDETERMINED = "und"
+# Characters worked on at once, and words whose emissions a worker keeps.
+SLICE = 1 << 20
+CACHED_WORDS = 400_000
 
 
 def letters(word: str) -> str:
@@ -109,10 +112,6 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray,
     return marginals, moves, marginals[starts].sum(axis=0)
 
 
-# Emissions of words per worker, for one model at a time: word -> row, and the rows.
-_memo: dict = {"key": None, "rows": {}, "table": None}
-
-
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -121,32 +120,33 @@ class LanguageModel:
     begin: np.ndarray
     lexicons: dict[str, str]
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        """Rows of the words in the worker's table of emissions; 0 for words without letters."""
-        key = (zlib.crc32(self.weights.tobytes()), zlib.crc32(self.step.tobytes()), tuple(self.languages))
-        if _memo["key"] != key or len(_memo["rows"]) > CACHE_ENTRIES:
-            _memo.update(key=key, rows={}, table=np.zeros((1, len(self.languages)), np.float32))
-        rows = _memo["rows"]
+    def _emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The worker's table of emissions, and its rows of the words; row 0 is for words without letters."""
+        key = ("emissions", zlib.crc32(self.weights.tobytes()), zlib.crc32(self.step.tobytes()), tuple(self.languages))
+        memo = held(key, dict)
+        if not memo or len(memo["rows"]) > CACHED_WORDS:
+            memo.update(rows={}, table=np.zeros((1, len(self.languages)), np.float32))
+        rows = memo["rows"]
         new = list(set(words) - rows.keys())
         if new:
             features = [word_features(w, self.lexicons) for w in new]
             some = [i for i, f in enumerate(features) if f]
-            at = len(_memo["table"])
+            at = len(memo["table"])
             rows.update(dict.fromkeys(new, 0))
             rows.update((new[i], at + j) for j, i in enumerate(some))
-            _memo["table"] = np.concatenate([_memo["table"], emissions([features[i] for i in some], self.weights)])
+            memo["table"] = np.concatenate([memo["table"], emissions([features[i] for i in some], self.weights)])
         found = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
         for word in new:
             if len(word) > CACHE_LENGTH:
                 del rows[word]
-        return found
+        return memo["table"], found
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Share of each language among the words of each text; zeros without a letter."""
         out = np.zeros((len(texts), len(self.languages)))
         if not self.languages:
             return out
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             words, lengths, owners = [], [], []
             for i, text in enumerate(texts[part], part.start):
                 for line in (text or "").lower().split("\n"):
@@ -157,11 +157,11 @@ class LanguageModel:
                         owners.append(i)
             if not words:
                 continue
-            rows = self._rows(words)
+            table, rows = self._emissions(words)
             spoken = rows > 0
             chain = np.repeat(np.arange(len(lengths)), lengths)[spoken]
             sizes = np.bincount(chain, minlength=len(lengths))
-            marginals, _, _ = forward_backward(_memo["table"][rows[spoken]], sizes[sizes > 0], self.step, self.begin)
+            marginals, _, _ = forward_backward(table[rows[spoken]], sizes[sizes > 0], self.step, self.begin)
             np.add.at(out, np.array(owners)[chain], marginals)
         total = out.sum(axis=1, keepdims=True)
         return np.divide(out, total, out=np.zeros_like(out), where=total > 0)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import only
-from lexmill.llm.vocabulary import Cache, tokenizer_file
+from lexmill.llm.vocabulary import Cache, held, tokenizer_file
 from lexmill.storage import materialize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,8 +35,6 @@ SIZE = 2048
 END_ID = 0
 MARKS = frozenset([b".", b",", b"!", b"?", b";", b":"])
 
-_words: dict[str, Cache] = {}
-
 
 def _word_ids(path: str) -> Cache:
     """Little-endian 32-bit ids of a word without ASCII white space, in lower case.
@@ -45,16 +43,19 @@ def _word_ids(path: str) -> Cache:
     across white space, so the ids of a text are those of its words in a row. A
     punctuation mark after a letter or digit is a token sequence of its own.
     """
-    if path not in _words:
+
+    def make() -> Cache:
         encode = tokenizer_file(path).encode
 
         def ids(word: bytes) -> bytes:
             if word[-1:] in MARKS and word[-2:-1].isalnum():
-                return _words[path][word[:-1]] + _words[path][word[-1:]]
+                return cache[word[:-1]] + cache[word[-1:]]
             return np.asarray(encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-        _words[path] = Cache(ids)
-    return _words[path]
+        cache = Cache(ids)
+        return cache
+
+    return held(("words", path), make)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import map_text, only, sample_rows
-from lexmill.llm.vocabulary import Cache
+from lexmill.llm.vocabulary import Cache, held
 
 BUCKETS = 1 << 18
 POSITIVE_ROWS = 3000
@@ -44,10 +44,6 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) % BUCKETS for n in names)
 
 
-_features: Cache = Cache(word_features)
-_selected: dict[int, Cache] = {}
-
-
 def document_features(text: str | None, of: Cache) -> set[int]:
     return set(chain.from_iterable(map(of.__getitem__, set((text or "").lower().split()))))
 
@@ -59,11 +55,8 @@ class ToxicityModel:
 
     def _words(self) -> Cache:
         """Features of words among the weighted ones, kept per worker and model."""
-        key = hash((self.bias, tuple(sorted(self.weights.items()))))
-        if key not in _selected:
-            _selected.clear()
-            _selected[key] = Cache(lambda word: tuple(f for f in word_features(word) if f in self.weights))
-        return _selected[key]
+        key = ("selected", self.bias, tuple(sorted(self.weights.items())))
+        return held(key, lambda: Cache(lambda word: tuple(f for f in word_features(word) if f in self.weights)))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         words = self._words()
@@ -96,9 +89,12 @@ def fit(
     chosen = chosen.unionByName(free.withColumn("positive", F.lit(0))).distinct()
     # at most positive_rows + unlabelled_rows ids are broadcast
     sample = texts.join(F.broadcast(chosen), "doc_id")
-    sample = map_text(
-        sample, "text", lambda: lambda ts: ([sorted(document_features(t, _features)) for t in ts],), {"features": pa.list_(pa.int64())}, "features array<long>"
-    )
+
+    def make():
+        of = held("word features", lambda: Cache(word_features))
+        return lambda ts: ([sorted(document_features(t, of)) for t in ts],)
+
+    sample = map_text(sample, "text", make, {"features": pa.list_(pa.int64())}, "features array<long>")
     sample = sample.cache()
     try:
         size = dict(sample.groupBy("positive").count().collect())
