@@ -151,6 +151,8 @@ y as (select vec_id as doc_id, cast(label as varchar) as label from embeddings),
 tr as (select * from x where doc_id % 5 <> 0), te as (select * from x where doc_id % 5 = 0),
 ytr as (select * from y where doc_id % 5 <> 0), yte as (select * from y where doc_id % 5 = 0)"""
 BEST = "qualify row_number() over (partition by doc_id order by score desc, label) = 1"
+# where the result has a rounded column of the same name
+BEST_OF_SC = "qualify row_number() over (partition by doc_id order by sc.score desc, label) = 1"
 
 
 def hash_sql(hexed: str, start: int, digits: int) -> str:
@@ -214,9 +216,9 @@ def gnb_sql(tr="tr", te="te", ytr="ytr", likelihood="tail") -> str:
     return f"""pri as (select label, ln(count(*) / sum(count(*)) over ()) as lp from {ytr} group by label),
 st as (select label, feature, count(*) as cnt, avg(value) as mean, stddev_samp(value) as sd
   from {tr} group by all),
-sc as (select doc_id, label, sum({term}) + any_value(lp) as score
+sc as (select doc_id, st.label as label, sum({term}) + any_value(lp) as score
   from {te} te join (select * from st where sd > 0) st using (feature) join pri on pri.label = st.label
-  group by doc_id, st.label as label)""".replace("select doc_id, label, sum(", "select doc_id, st.label as label, sum(").replace("group by doc_id, st.label as label", "group by doc_id, st.label")
+  group by doc_id, st.label)"""
 
 
 def start_sql(name: str, rows: str, labels: str, seed: str = "0") -> str:
@@ -565,21 +567,21 @@ def indicator(spark, sf_dir):
     return CoordTensor.indicator(documents(spark, sf_dir), ["doc_id", "label"]).df
 
 
-_DRAWN = "(select n as i, unnest(range(8)) as j from (select unnest(range((select count(*) from documents))) as n))"
+_DRAWN = "(select l_orderkey as i, l_linenumber as j from lineitem)"
 
 
 @query(
     f"select i, j, floor({uniform_sql("md5('7|' || i || '|' || j)")} * 90) + 10 as value from {_DRAWN}"
 )
 def rand_int_tensor(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").count()
-    return CoordTensor.rand_int(spark, 10, 100, (rows, 8), seed="7", axes=["i", "j"]).df
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"))
+    return CoordTensor.rand_int_like(items, ["i", "j"], 10, 100, seed="7").df
 
 
 @query(f"select i, j, round({normal_sql("md5('7|' || i || '|' || j)")} * 2e0 + 5e0, 8) as value from {_DRAWN}")
 def rand_normal_tensor(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").count()
-    drawn = CoordTensor.normal(spark, 5.0, 2.0, (rows, 8), seed="7", axes=["i", "j"]).df
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"))
+    drawn = CoordTensor.normal_like(items, ["i", "j"], 5.0, 2.0, seed="7").df
     return drawn.withColumn("value", F.round("value", 8))
 
 
@@ -593,14 +595,27 @@ def dense_to_coords(spark, sf_dir):
 
 @query(
     """select vec_id, cast(b as bigint) as block, list_transform(embedding[b * 24 + 1 : least(b * 24 + 24, 64)],
-  lambda e: case when e < 0 then 0e0 else cast(e as double) end) as "values"
-from (select *, unnest(range(3)) as b from embeddings)
-where len(list_filter(embedding[b * 24 + 1 : least(b * 24 + 24, 64)], lambda e: e > 0)) > 0"""
+  lambda e: cast(e as double)) as "values"
+from (select *, unnest(range(3)) as b from embeddings)"""
 )
 def coords_to_dense(spark, sf_dir):
     cells = CoordTensor.from_arrays(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", "dim")
-    positive = CoordTensor(cells.df.filter("value > 0"), cells.axes)
-    return positive.to_dense(64, block=24)
+    return cells.to_dense(64, block=24)
+
+
+# statuses by orders, not numbered from 0 and with empty blocks
+@query(
+    """with s as (select distinct o_orderstatus as status, o_orderpriority as priority from orders),
+dims as (select priority, row_number() over (order by priority) - 1 as p from (select distinct priority from s))
+select status, cast(b as bigint) as block, list(cast(coalesce(n, 0) as double) order by p) as "values"
+from (select distinct status from s) cross join (select *, p // 2 as b from dims)
+  left join (select o_orderstatus as status, o_orderpriority as priority, count(*) as n from orders group by all) using (status, priority)
+group by status, b"""
+)
+def coords_to_dense_by_name(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    cells = CoordTensor(counts.agg(F.count(F.lit(1)).cast("double").alias("value")), ["status", "priority"])
+    return cells.to_dense(block=2)
 
 
 @query("select l_suppkey, l_orderkey, sum(l_quantity) as value from lineitem group by all")
@@ -766,9 +781,11 @@ def _rounded_accuracy(df: DataFrame) -> DataFrame:
     return df.withColumn("accuracy", F.round("accuracy", 8))
 
 
-@query(f"with {SPLIT}, {nb_sql()} select label, feature, df, round(ll, 8) as log_likelihood from ll")
+@query(f"with {SPLIT}, {nb_sql(tr='x', ytr='y')} select label, feature, df, round(ll, 8) as log_likelihood from ll")
 def nb_fit(spark, sf_dir):
-    return _nb(spark, sf_dir).likelihoods().withColumn("log_likelihood", F.round("log_likelihood", 8))
+    docs = documents(spark, sf_dir)
+    model = NaiveBayes().fit(labelled_bag(docs), labels_of(docs), label_col="label")
+    return model.likelihoods().withColumn("log_likelihood", F.round("log_likelihood", 8))
 
 
 @query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc")
@@ -776,7 +793,7 @@ def nb_scores(spark, sf_dir):
     return _rounded(_nb(spark, sf_dir).scores(_test_bag(spark, sf_dir)), 2)
 
 
-@query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST.replace('score desc', 'sc.score desc')}")
+@query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}")
 def nb_predict(spark, sf_dir):
     return _rounded(_nb(spark, sf_dir).predict(_test_bag(spark, sf_dir)), 2)
 
@@ -816,23 +833,22 @@ sc as (select doc_id, pri.label, sum(case when is_known then ln((coalesce(c, 0)
   group by doc_id, pri.label)"""
 
 
-def _smoothed(spark, sf_dir) -> SmoothedNaiveBayes:
-    docs = train_docs(spark, sf_dir)
+def _smoothed(docs: DataFrame) -> SmoothedNaiveBayes:
     return SmoothedNaiveBayes().fit(labelled_bag(docs), labels_of(docs), label_col="label")
 
 
 @query(
-    f"""with {SPLIT}, {SMOOTHED} select pri.label, voc.feature, round(ln((coalesce(c, 0) + 1) / (v + words)), 8) as log_likelihood
+    f"""with {BAG}, tr as (select * from x), te as (select * from x), ytr as (select doc_id, label from {DOCS}), {SMOOTHED} select pri.label, voc.feature, round(ln((coalesce(c, 0) + 1) / (v + words)), 8) as log_likelihood
 from pri cross join voc left join cnt on cnt.label = pri.label and cnt.feature = voc.feature"""
 )
 def nb_smoothed_fit(spark, sf_dir):
-    cells = _smoothed(spark, sf_dir).likelihoods().drop("df")
+    cells = _smoothed(documents(spark, sf_dir)).likelihoods().drop("df")
     return cells.withColumn("log_likelihood", F.round("log_likelihood", 8))
 
 
-@query(f"with {SPLIT}, {SMOOTHED} select doc_id, label, round(score, 2) as score from sc {BEST.replace('score desc', 'sc.score desc')}")
+@query(f"with {SPLIT}, {SMOOTHED} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}")
 def nb_smoothed_predict(spark, sf_dir):
-    return _rounded(_smoothed(spark, sf_dir).predict(_test_bag(spark, sf_dir)), 2)
+    return _rounded(_smoothed(train_docs(spark, sf_dir)).predict(_test_bag(spark, sf_dir)), 2)
 
 
 # copies of a document under several labels, read from files
@@ -887,7 +903,7 @@ def gnb_scores(spark, sf_dir):
     return _rounded(_gnb(spark, sf_dir).scores(_test_vectors(spark, sf_dir)), 6)
 
 
-@query(f"with {VECTORS}, {gnb_sql()} select doc_id, label, round(score, 6) as score from sc {BEST.replace('score desc', 'sc.score desc')}")
+@query(f"with {VECTORS}, {gnb_sql()} select doc_id, label, round(score, 6) as score from sc {BEST_OF_SC}")
 def gnb_predict(spark, sf_dir):
     return _rounded(_gnb(spark, sf_dir).predict(_test_vectors(spark, sf_dir)), 6)
 
@@ -939,9 +955,9 @@ def gnb_scores_zero(spark, sf_dir):
 LR = 0.05
 
 
-def _softmax(spark, sf_dir, steps: int, **options) -> SoftmaxRegression:
-    x = vectors(spark, sf_dir).filter(TRAIN).drop("label")
-    y = vector_labels(spark, sf_dir).filter(TRAIN)
+def _softmax(spark, sf_dir, steps: int, keep: str = "true", **options) -> SoftmaxRegression:
+    x = vectors(spark, sf_dir).filter(keep).drop("label")
+    y = vector_labels(spark, sf_dir).filter(keep)
     model = SoftmaxRegression(**options)
     if steps == 0:
         model.init_weights(x, y)
@@ -971,26 +987,26 @@ def init_weights(spark, sf_dir):
     return model.weight_table().withColumn("w", F.round("w", 8))
 
 
-@query(f"with {VECTORS}, {steps_sql(1)} select feature, label, round(-g, 6) as gradient from g1 where g <> 0")
+@query(f"with {VECTORS}, {steps_sql(1, 'x', 'y')} select feature, label, round(-g, 6) as gradient from g1 where g <> 0")
 def softmax_gradient(spark, sf_dir):
     model = _softmax(spark, sf_dir, 0)
-    x = vectors(spark, sf_dir).filter(TRAIN).drop("label")
-    g = model.gradient(x, vector_labels(spark, sf_dir).filter(TRAIN))
+    x = vectors(spark, sf_dir).drop("label")
+    g = model.gradient(x, vector_labels(spark, sf_dir))
     return g.withColumn("gradient", F.round("gradient", 6))
 
 
-@query(f"with {VECTORS}, {steps_sql(1)} select feature, label, round(w, 6) as w from w1")
+@query(f"with {VECTORS}, {steps_sql(1, 'x', 'y')} select feature, label, round(w, 6) as w from w1")
 def softmax_step(spark, sf_dir):
     return _weights(_softmax(spark, sf_dir, 1))
 
 
-@query(f"with {VECTORS}, {steps_sql(3)} select feature, label, round(w, 6) as w from w3")
+@query(f"with {VECTORS}, {steps_sql(3, 'x', 'y')} select feature, label, round(w, 6) as w from w3")
 def softmax_fit(spark, sf_dir):
     return _weights(_softmax(spark, sf_dir, 3))
 
 
 # as softmax_step, but with a row per weight instead of a slot per label
-@query(f"with {VECTORS}, {steps_sql(1)} select feature, label, round(w, 6) as w from w1")
+@query(f"with {VECTORS}, {steps_sql(1, 'x', 'y')} select feature, label, round(w, 6) as w from w1")
 def softmax_step_long(spark, sf_dir):
     return _weights(_softmax(spark, sf_dir, 1, wide=0))
 
@@ -998,33 +1014,48 @@ def softmax_step_long(spark, sf_dir):
 # each step on 64 vectors
 def _batch_sql() -> str:
     batches = [
-        f"""b{n} as (select doc_id from ytr order by md5('0|{n - 1}|' || doc_id), doc_id limit 64),
-x{n} as (select * from tr semi join b{n} using (doc_id)), y{n} as (select * from ytr semi join b{n} using (doc_id)),
+        f"""b{n} as (select doc_id from y order by md5('0|{n - 1}|' || doc_id), doc_id limit 64),
+x{n} as (select * from x semi join b{n} using (doc_id)), y{n} as (select * from y semi join b{n} using (doc_id)),
 {step_sql(n, f"w{n - 1}", f"x{n}", f"y{n}", LR)}"""
         for n in (1, 2)
     ]
-    return ",\n".join([start_sql("w0", "tr", "ytr"), *batches])
+    return ",\n".join([start_sql("w0", "x", "y"), *batches])
 
 
 @query(f"with {VECTORS}, {_batch_sql()} select feature, label, round(w, 6) as w from w2")
 def softmax_minibatch(spark, sf_dir):
-    x = vectors(spark, sf_dir).filter(TRAIN).drop("label")
-    y = vector_labels(spark, sf_dir).filter(TRAIN)
+    x, y = vectors(spark, sf_dir).drop("label"), vector_labels(spark, sf_dir)
     return _weights(SoftmaxRegression().fit(x, y, lr=LR, batch_size=64, max_iter=2))
 
 
+# a hundred labels: a row per weight; weights that are still zero count
+@query(
+    f"""with {VECTORS}, ym as (select doc_id, cast(doc_id % 100 as varchar) as label from y),
+w0 as (select feature, label, 0e0 as w from (select distinct feature from x) cross join (select distinct label from ym)),
+b1 as (select doc_id from ym order by md5('0|0|' || doc_id), doc_id limit 40),
+x1 as (select * from x semi join b1 using (doc_id)), y1 as (select * from ym semi join b1 using (doc_id)),
+{step_sql(1, "w0", "x1", "y1", 0.5)}, {_logit_sql("w1", "x")}
+select doc_id, label, round(score, 6) as score from sc {BEST_OF_SC}"""
+)
+def softmax_many_labels(spark, sf_dir):
+    x = vectors(spark, sf_dir).drop("label")
+    y = vector_labels(spark, sf_dir).select("doc_id", (F.col("doc_id") % 100).cast("string").alias("label"))
+    model = SoftmaxRegression(init="zeros").fit(x, y, lr=0.5, batch_size=40, max_iter=1)
+    return _rounded(model.predict(x), 6)
+
+
 @query(
     f"""with {VECTORS}, {steps_sql(2)}, {_logit_sql("w2")}
-select doc_id, label, round(score, 6) as score from sc {BEST.replace('score desc', 'sc.score desc')}"""
+select doc_id, label, round(score, 6) as score from sc {BEST_OF_SC}"""
 )
 def softmax_predict(spark, sf_dir):
-    return _rounded(_softmax(spark, sf_dir, 2).predict(_test_vectors(spark, sf_dir)), 6)
+    return _rounded(_softmax(spark, sf_dir, 2, TRAIN).predict(_test_vectors(spark, sf_dir)), 6)
 
 
 @query(_accuracy_sql(f"with {VECTORS}, {steps_sql(2)}, {_logit_sql('w2')}"))
 def accuracy_softmax(spark, sf_dir):
     truth = vector_labels(spark, sf_dir).filter(TEST)
-    return _rounded_accuracy(_softmax(spark, sf_dir, 2).score(_test_vectors(spark, sf_dir), truth))
+    return _rounded_accuracy(_softmax(spark, sf_dir, 2, TRAIN).score(_test_vectors(spark, sf_dir), truth))
 
 
 # ---------------------------------------------------------- end-to-end jobs

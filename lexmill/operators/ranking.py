@@ -24,19 +24,19 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column) -> DataFra
     ranged = df.withColumn("_v", value.cast("bigint")).repartitionByRange(
         *[F.col(c) for c in order]
     )
-    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy("_part").agg(F.sum("_v").alias("_sum"))
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_range").agg(F.sum("_v").alias("_sum"))
     parts = parts.select(
-        "_part",
-        (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"),
+        "_range",
+        (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_base"),
     )
-    inside = Window.partitionBy("_part").orderBy(*order)
+    inside = Window.partitionBy("_range").orderBy(*order)
     return (
         ranged.withColumn("_run", F.sum("_v").over(inside) - F.col("_v"))
         # one row per range partition, never more than spark.sql.shuffle.partitions
-        .join(F.broadcast(parts), "_part")
+        .join(F.broadcast(parts), "_range")
         .withColumn("before", F.col("_base") + F.col("_run"))
-        .drop("_part", "_run", "_base", "_v")
+        .drop("_range", "_run", "_base", "_v")
     )
 
 

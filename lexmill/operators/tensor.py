@@ -40,6 +40,18 @@ class CoordTensor:
         cells = df.select(*keys, F.posexplode(array).alias(axis, "value"))
         return cls(cells.withColumn("value", F.col("value").cast("double")), [*keys, axis])
 
+    @classmethod
+    def rand_int_like(cls, rows: DataFrame, axes: Sequence[str], low: int, high: int, seed: str = "0") -> "CoordTensor":
+        """Random whole numbers in ``[low, high)``, one for each row of a table, by its columns ``axes``."""
+        draw = F.floor(uniform(seed, *axes) * (high - low)) + low
+        return cls(rows.select(*axes, draw.cast("double").alias("value")), axes)
+
+    @classmethod
+    def normal_like(cls, rows: DataFrame, axes: Sequence[str], loc: float = 0.0, scale: float = 1.0, seed: str = "0") -> "CoordTensor":
+        """Draws from a normal distribution, one for each row of a table, by its columns ``axes``."""
+        draw = standard_normal(seed, *axes) * float(scale) + float(loc)
+        return cls(rows.select(*axes, draw.alias("value")), axes)
+
     @classmethod
     def _filled(cls, spark: SparkSession, shape: Sequence[int], axes: Sequence[str] | None) -> DataFrame:
         axes = list(axes or [f"axis{i}" for i in range(len(shape))])
@@ -65,8 +77,7 @@ class CoordTensor:
         """Random whole numbers in ``[low, high)``, or ``[0, low)`` without ``high``."""
         low, high = (0, low) if high is None else (low, high)
         grid = cls._filled(spark, shape, axes)
-        draw = F.floor(uniform(seed, *grid.columns) * (high - low)) + low
-        return cls(grid.withColumn("value", draw.cast("double")), grid.columns)
+        return cls.rand_int_like(grid, grid.columns, low, high, seed)
 
     @classmethod
     def normal(
@@ -80,29 +91,43 @@ class CoordTensor:
     ) -> "CoordTensor":
         """Draws from a normal distribution."""
         grid = cls._filled(spark, shape, axes)
-        draw = standard_normal(seed, *grid.columns) * float(scale) + float(loc)
-        return cls(grid.withColumn("value", draw), grid.columns)
+        return cls.normal_like(grid, grid.columns, loc, scale, seed)
 
     # -- dense form -------------------------------------------------------
 
-    def to_dense(self, width: int, block: int = 1024) -> DataFrame:
-        """Rows of a matrix as arrays: ``axis 0, block, values``.
+    def to_dense(self, width: int | None = None, block: int = 1024) -> DataFrame:
+        """Dense form: one row per index of all axes but the last, and block: ``axes, block, values``.
 
-        The last axis must be numbered from 0 to ``width - 1``. A row is cut
-        into blocks of at most ``block`` cells, so no group grows with it.
+        The last axis must be whole numbers from 0 to ``width - 1``; others are
+        an error. Without ``width`` its distinct coordinates, of whatever type,
+        are numbered in order. A row is cut into blocks of at most ``block``
+        cells, so no group grows with it, and has all its blocks, also those
+        without a stored cell.
         """
-        row, col = self.axes
+        *rows, col = self.axes
+        cells = self.df
+        if width is None:
+            index = self.axis_index(col)
+            width = index.count()
+            cells = cells.join(index, col).drop(col).withColumnRenamed("position", col)
+        else:
+            outside = F.raise_error(F.format_string(f"coordinate %s of axis {col} is outside 0 to {width - 1}", F.col(col).cast("string")))
+            cells = cells.withColumn(col, F.when(F.col(col).between(0, width - 1), F.col(col)).otherwise(outside))
+        if not width:
+            return cells.select(*rows, F.lit(0).cast("bigint").alias("block"), F.array(F.lit(0.0)).alias("values")).limit(0)
         size = min(block, width)
-        cells = self.df.withColumn("block", F.floor(F.col(col) / size).cast("bigint"))
-        filled = cells.groupBy(row, "block").agg(
+        cells = cells.withColumn("block", F.floor(F.col(col) / size).cast("bigint"))
+        filled = cells.groupBy(*rows, "block").agg(
             F.map_from_entries(
                 F.collect_list(F.struct((F.col(col) % size).cast("int"), F.col("value")))
             ).alias("_m")
         )
+        blocks = F.sequence(F.lit(0).cast("bigint"), F.lit((width - 1) // size).cast("bigint"))
+        grid = cells.select(*rows).distinct().withColumn("block", F.explode(blocks))
         # the last block may be shorter
         last = F.least(F.lit(size), F.lit(width) - F.col("block") * size).cast("int") - 1
-        return filled.select(
-            row,
+        return grid.join(filled, [*rows, "block"], "left").select(
+            *rows,
             "block",
             F.transform(
                 F.sequence(F.lit(0), last), lambda j: F.coalesce(F.col("_m")[j], F.lit(0.0))

@@ -283,15 +283,21 @@ class GaussianNaiveBayes:
         self.model = Lookup.build(nested, ["feature"], "rows", 8 * self.classes.count(), "gaussians")
 
     def _with_zeros(self, stats: DataFrame) -> DataFrame:
-        """Moments over all documents of the class, absent values being 0."""
-        total = F.col("cnt") * F.col("mean")
-        squares = F.coalesce("stddev", F.lit(0.0)) ** 2 * (F.col("cnt") - 1) + F.col("cnt") * F.col("mean") ** 2
-        n = F.col("n").cast("double")
-        return (
-            stats.join(self.classes.table.select("label", "n"), "label")
-            .withColumn("_mean", total / n)
-            .withColumn("_var", (squares - n * F.col("_mean") ** 2) / (n - 1))
-            .select("label", "feature", "cnt", F.col("_mean").alias("mean"), F.sqrt("_var").alias("stddev"))
+        """Moments over all documents of the class, absent values being 0.
+
+        Squared deviations are those within the present values and those between
+        their mean and 0, so nothing large is subtracted. A class of one document
+        has no deviation.
+        """
+        cnt, n = F.col("cnt").cast("double"), F.col("n").cast("double")
+        within = F.coalesce("stddev", F.lit(0.0)) ** 2 * (cnt - 1)
+        between = cnt * (n - cnt) / n * F.col("mean") ** 2
+        return stats.join(self.classes.table.select("label", "n"), "label").select(
+            "label",
+            "feature",
+            "cnt",
+            (cnt * F.col("mean") / n).alias("mean"),
+            F.when(n > 1, F.sqrt((within + between) / F.greatest(n - 1, F.lit(1.0)))).alias("stddev"),
         )
 
     def _term(self, value: Column, cell: str) -> Column:

@@ -14,7 +14,7 @@ from lexmill.operators.joins import Lookup, beside_each
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
 from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot
-from lexmill.storage import materialize, place
+from lexmill.storage import materialize, place, remove
 
 
 class SoftmaxRegression:
@@ -144,20 +144,24 @@ class SoftmaxRegression:
         p = self._cell_logits(x, "inner" if self.strict else "left").withColumn("e", e)
         p = p.select(*self.keys, "label", (F.col("e") / F.sum("e").over(by_doc)).alias("p"))
         truth = y.select(*self.keys, "label", F.lit(1.0).alias("t")).distinct()
-        delta = truth.join(p, [*self.keys, "label"], "inner" if self.strict else "full_outer")
-        delta = delta.select(*self.keys, "label", F.expr("coalesce(t, 0D) - coalesce(p, 0D) as d")).filter("d != 0")
+        # labels the model does not know have no weights
+        delta = p.join(truth, [*self.keys, "label"], "inner" if self.strict else "left")
+        delta = delta.select(*self.keys, "label", F.expr("coalesce(t, 0D) - p as d"))
+        if self.strict:
+            delta = delta.filter("d != 0")
         # one entry per label
         delta = delta.groupBy(*self.keys).agg(F.collect_list(F.struct("label", "d")).alias("d"))
         cells = x.join(delta, self.keys).select("feature", "value", F.explode("d").alias("c"))
         sums = cells.groupBy("feature", "c.label").agg(F.expr("sum(value * c.d) as g"), F.expr("count(1) as _rows"))
-        return sums.filter("g != 0")
+        return sums.filter("g != 0") if self.strict else sums
 
     # -- training ---------------------------------------------------------
 
     def gradient(self, x: DataFrame, y: DataFrame) -> DataFrame:
         """``feature, label, gradient`` of the loss at the present weights, zeros left out."""
         if self.names is None:
-            return self._cell_gradient(x, y).select("feature", "label", (-F.col("g")).alias("gradient"))
+            g = self._cell_gradient(x, y).filter("g != 0")
+            return g.select("feature", "label", (-F.col("g")).alias("gradient"))
         g = self._unnest(self._slot_gradient(x, y), "g", "gradient")
         return g.withColumn("gradient", -F.col("gradient")).filter("gradient != 0")
 
@@ -172,7 +176,8 @@ class SoftmaxRegression:
                 "label",
                 F.expr(f"coalesce(value, 0D) + {float(lr)!r}D * coalesce(g, 0D) as value"),
             )
-            self._move(self._nested(moved.filter("value != 0")))
+            # a weight that happens to be zero still makes its document known
+            self._move(self._nested(moved.filter("value != 0") if self.strict else moved))
             return self
         g = self._slot_gradient(x, y)
         moved = self.weights.df.join(g, "feature", "full_outer").select(
@@ -189,7 +194,9 @@ class SoftmaxRegression:
 
     def _move(self, weights: DataFrame) -> None:
         # a step hardly changes the sizes that steer the join
+        old = self.weights.df
         self.weights = replace(self.weights, df=materialize(weights, "weights"))
+        remove(old)
 
     def fit(
         self,
@@ -244,7 +251,9 @@ class SoftmaxRegression:
     # -- storage ----------------------------------------------------------
 
     def save(self, path: str) -> None:
-        self.weight_table().write.parquet(f"{path}/weights")
+        # the expected rows steer the join of a loaded model
+        rows = self.weights.df.select("feature", "rows")
+        self.weight_table().join(rows, "feature").write.parquet(f"{path}/weights")
         self.classes.table.write.parquet(f"{path}/classes")
 
     def load(self, spark: SparkSession, path: str) -> "SoftmaxRegression":
@@ -253,9 +262,9 @@ class SoftmaxRegression:
         self.names = self.classes.names
         table = spark.read.parquet(f"{path}/weights")
         if self.names is None:
-            cells = table.select("feature", F.lit(1).cast("bigint").alias("rows"), "label", F.col("w").alias("value"))
+            cells = table.select("feature", "rows", "label", F.col("w").alias("value"))
             self._use(self._nested(cells))
             return self
         slots = [F.max(F.when(F.col("label") == n, F.col("w"))) for n in self.names]
-        self._use(table.groupBy("feature").agg(F.lit(1).cast("bigint").alias("rows"), F.array(*slots).alias("w")))
+        self._use(table.groupBy("feature").agg(F.max("rows").alias("rows"), F.array(*slots).alias("w")))
         return self

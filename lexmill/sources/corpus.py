@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.stem import stem_features
 from lexmill.functions.text import bag_of_words, drop_stop_words, python_tokenizer
 from lexmill.operators.ranking import running_total
-from lexmill.storage import materialize, pin_scan_splits, place
+from lexmill.storage import materialize, place
 
 # A block is a file split, 128 MB by default; a million of them are 100 TB and
 # make a broadcast of well under 200 MB.
@@ -22,29 +22,32 @@ ONE_TASK_BLOCKS = 100_000
 def line_index(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files as ``line_no, value``, numbered from 0 in file order.
 
-    Files follow each other by name. A first pass counts the lines of each file
-    split; the number of a line is the count of all lines in earlier splits
-    plus its position in its own. The lines themselves are never shuffled.
+    Part files of a folder follow each other by their number, others by name.
+    The lines are stored once with the file split they were read in, so that the
+    numbers cannot depend on how a later scan happens to be split. The number of
+    a line is the count of all lines in earlier splits plus its position in its
+    own. The lines themselves are never shuffled.
     """
-    pin_scan_splits(spark)
+    file = F.col("_metadata.file_path")
     lines = spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("_file"),
+        file.alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    blocks = materialize(
-        lines.groupBy("_file", "_start").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
-        ),
-        "blocks",
-    )
+    lines = materialize(lines, "lines")
+    blocks = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    part = F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1)
+    blocks = blocks.withColumn("_folder", F.regexp_replace("_file", "[^/]*$", ""))
+    blocks = materialize(blocks.withColumn("_part", F.when(part != "", part.cast("bigint"))), "blocks")
+    order = ["_folder", "_part", "_file", "_start"]
     n_blocks = blocks.count()
     if n_blocks <= ONE_TASK_BLOCKS:
-        upto = F.sum("_n").over(Window.orderBy("_file", "_start"))
-        starts = blocks.withColumn("before", upto - F.col("_n")).drop("_n")
+        upto = F.sum("_n").over(Window.orderBy(*order))
+        starts = blocks.withColumn("before", upto - F.col("_n"))
     else:
-        starts = running_total(blocks, ["_file", "_start"], F.col("_n")).drop("_n")
+        starts = running_total(blocks, order, F.col("_n"))
+    starts = starts.select("_file", "_start", "_first", "before")
     if n_blocks <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
     return lines.join(starts, ["_file", "_start"]).select(

@@ -17,14 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a local one only if the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared scratch folder: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set there is no folder that all executors are known to
+    share, so only a session that is one process (master ``local``) gets a
+    temporary one; any other is told to name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-    return context.getCheckpointDir().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,24 +45,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Partition rows by key into ``spark.sql.shuffle.partitions`` parts.
+def remove(df: DataFrame) -> None:
+    """Delete the folders of a written table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
-    The number is given so that the parts are not merged by their size on disk:
-    the work done on them (cutting text into words, a step of training) is many
-    times larger than the rows that were shuffled.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
+
+# Text that one task should cut into words.
+PLACED_BYTES = 256 << 20
 
 
-def pin_scan_splits(spark: SparkSession) -> None:
-    """Keep file splits equal between two scans of the same files.
+def place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition rows by key, for work that is many times larger than the rows themselves.
 
-    Spark derives the split size from the number of cores alive when a scan is
-    planned, which may change between two jobs. Fixing the number it would use
-    now makes a later scan of the same files cut and pack them the same way.
+    The number of parts is given, so that they are not merged by their size on
+    disk: ``spark.sql.shuffle.partitions``, or more if the input is so large
+    that a part would have more than PLACED_BYTES.
     """
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an unknown size is estimated as an absurdly large one
+    wanted = -(-size // PLACED_BYTES) if size < 1 << 60 else 0
+    return df.repartition(max(parts, min(wanted, 1_000_000)), *keys)

@@ -1,3 +1,4 @@
+import numpy as np
 import math
 import statistics
 from collections import Counter, defaultdict
@@ -280,3 +281,16 @@ def test_log_tail_against_erfc(spark):
     df = spark.createDataFrame([(z,) for z in zs], "z double")
     for r in df.select("z", column(F.col("z")).alias("t")).collect():
         assert r.t == pytest.approx(log_tail(r.z), rel=1e-8)
+
+
+def test_zero_mass_of_large_values_and_of_a_single_document(spark):
+    big = [1e9 + i for i in range(5)]
+    x = spark.createDataFrame([(i, "A", "f", v) for i, v in enumerate(big)] + [(9, "B", "f", 1.0)], "doc_id bigint, label string, feature string, value double")
+    y = x.select("doc_id", "label").unionByName(spark.createDataFrame([(7, "A")], "doc_id bigint, label string"))
+    for more in (y, y.filter("doc_id <> 7")):
+        model = GaussianNaiveBayes("pdf", "zero").fit(x, more, label_col="label")
+        found = {r.label: r for r in model._with_zeros(model.stats).collect()}
+        values = big + [0.0] * (more.filter("label = 'A'").count() - 5)
+        assert found["A"].stddev == pytest.approx(np.std(values, ddof=1), rel=1e-9)
+        assert found["B"].stddev is None
+        assert model.predict(x).filter("label = 'B'").count() == 0

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +170,40 @@ def test_classify_jobs(spark, rows, model, flags):
     # with ten test documents common words change sign
     if model != "gnb" and "tfidf" not in flags:
         assert result.accuracy == 1.0
+
+
+def test_layouts_agree_row_by_row(spark):
+    """Weights that stay zero, labels unknown to a warm start, and new features."""
+    x = spark.createDataFrame([(i, f"f{i}", 1.0) for i in range(4)], "doc_id bigint, feature string, value double")
+    y = spark.createDataFrame([(i, "AB"[i % 2]) for i in range(4)], "doc_id bigint, label string")
+    later = y.unionByName(spark.createDataFrame([(0, "new")], "doc_id bigint, label string"))
+    more = x.unionByName(spark.createDataFrame([(1, "g", 2.0)], "doc_id bigint, feature string, value double"))
+    seen = []
+    for wide in (64, 0):
+        model = SoftmaxRegression(init="zeros", wide=wide).fit(x, y, lr=0.1, batch_size=2)
+        first = sorted(map(tuple, model.weight_table().collect())), sorted(map(tuple, model.predict(x).collect()))
+        model.fit(more, later, lr=0.1, warm_start=True)
+        seen.append((*first, sorted(map(tuple, model.weight_table().collect())), sorted(map(tuple, model.predict(x).collect()))))
+    for wide, long in zip(*seen):
+        assert [r[:2] for r in wide] == [r[:2] for r in long]
+        assert [r[2] for r in wide] == pytest.approx([r[2] for r in long])
+    assert len(seen[0][0]) == 8 and len(seen[0][1]) == 4 and len(seen[0][2]) == 10
+
+
+def test_a_step_leaves_one_copy_of_the_weights(spark, data):
+    x, y, *_ = data
+    model = SoftmaxRegression().fit(x, y)
+    old = model.weights.df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(old)
+    model.partial_fit(x, y)
+    assert not os.path.isdir(old) and model.weight_table().count() == 9
+
+
+def test_loaded_weights_know_their_hot_features(spark, data):
+    x, y, *_ = data
+    path = scratch_path(spark, "softmax")
+    model = SoftmaxRegression().fit(x, y)
+    model.save(path)
+    for wide in (64, 0):
+        again = SoftmaxRegression(wide=wide).load(spark, path)
+        assert again.weights.n_rows == model.weights.n_rows == x.count()

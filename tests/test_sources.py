@@ -39,6 +39,47 @@ def test_unlabelled_documents_are_all_kept(spark, rows, files):
     assert rows(x.select("doc_id").distinct()) == [(0,), (1,), (2,)]
 
 
+def test_line_numbers_do_not_depend_on_later_splits(spark, tmp_path):
+    path = tmp_path / "many.txt"
+    path.write_text("".join(f"line {i}\n" for i in range(4000)))
+    keys = ["spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    lines = line_index(spark, str(path))
+    assert {k: spark.conf.get(k, None) for k in keys} == before
+    try:
+        for key, value in [(keys[0], "64"), (keys[1], "700b"), (keys[1], "10m")]:
+            spark.conf.set(key, value)
+            assert sorted((r.line_no, r.value) for r in lines.collect()) == [(i, f"line {i}") for i in range(4000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_part_files_follow_by_number(spark, rows, tmp_path):
+    for number, text in (("100000", "b"), ("99999", "a"), ("100001", "c")):
+        (tmp_path / f"part-{number}-x.txt").write_text(text + "\n")
+    assert rows(line_index(spark, str(tmp_path))) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, folder = "spark://host:7077", None
+            getCheckpointDir = classmethod(lambda cls: cls.folder)
+            setCheckpointDir = classmethod(lambda cls, folder: setattr(cls, "folder", folder))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    Session.sparkContext.master = "local-cluster[3,2,1000]"
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert shared_dir(Session) == Session.sparkContext.folder
+
+
 def test_label_line_keeps_suffix_only(spark, rows):
     lines = spark.createDataFrame([(0, "CAT,A,ACATX,BCAT"), (1, "")], "line_no bigint, value string")
     assert rows(label_lines(lines)) == [(0, "BCAT"), (0, "CAT")]

@@ -128,10 +128,25 @@ def test_dense_round_trip(spark, rows):
     assert rows(kept.to_dense(5, block=3)) == [
         (0, 0, [1.0, 0.0, 3.0]),
         (0, 1, [4.0, 5.0]),
+        (1, 0, [0.0, 0.0, 0.0]),
         (1, 1, [0.0, 9.0]),
     ]
 
 
+def test_dense_form_of_any_index(tensor, rows):
+    t = tensor({("d", "x"): 1, ("c", "x"): 2, ("d", "a"): 3}, types="string")
+    assert rows(t.to_dense(block=1)) == [("c", 0, [0.0]), ("c", 1, [2.0]), ("d", 0, [3.0]), ("d", 1, [1.0])]
+    assert rows(CoordTensor(t.df.limit(0), t.axes).to_dense()) == []
+
+
+def test_dense_form_of_more_axes_and_of_coordinates_outside(spark, rows):
+    df = spark.createDataFrame([(0, "u", 2, 1.0), (0, "v", 0, 2.0)], "i bigint, k string, j bigint, value double")
+    t = CoordTensor(df, ["i", "k", "j"])
+    assert rows(t.to_dense(3)) == [(0, "u", 0, [0.0, 0.0, 1.0]), (0, "v", 0, [2.0, 0.0, 0.0])]
+    with pytest.raises(Exception, match="outside 0 to 1"):
+        t.to_dense(2).collect()
+
+
 def test_axis_index(tensor, rows):
     t = tensor({("d", "x"): 1, ("c", "x"): 1, ("d", "a"): 1}, types="string")
     assert rows(t.axis_index("i")) == [("c", 0), ("d", 1)]
