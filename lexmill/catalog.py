@@ -501,7 +501,19 @@ select doc_id, feature, round(value, 8) as value from s"""
 )
 def tfidf(spark, sf_dir):
     x = text.bag_of_words(documents(spark, sf_dir))
-    return feat.TfIdf().fit(x).transform(x).select("doc_id", "feature", F.round("value", 8).alias("value"))
+    return feat.TfIdf().fit_transform(x).select("doc_id", "feature", F.round("value", 8).alias("value"))
+
+
+# as tfidf_holdout, with a table of frequencies that is too large to broadcast
+@query(
+    f"""with {SPLIT}, df as (select feature, count(*) as df from tr group by feature), {tfidf_sql("s", "te", "df")}
+select doc_id, feature, round(value, 8) as value from s"""
+)
+def tfidf_split(spark, sf_dir):
+    model = feat.TfIdf().fit(text.bag_of_words(train_docs(spark, sf_dir)))
+    model.lookup.broadcast_bytes = 0
+    scored = model.transform(text.bag_of_words(test_docs(spark, sf_dir)))
+    return scored.select("doc_id", "feature", F.round("value", 8).alias("value"))
 
 
 @query(
@@ -793,6 +805,14 @@ def nb_scores(spark, sf_dir):
     return _rounded(_nb(spark, sf_dir).scores(_test_bag(spark, sf_dir)), 2)
 
 
+# as nb_predict, with a model that is too large to broadcast
+@query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}")
+def nb_predict_split(spark, sf_dir):
+    model = _nb(spark, sf_dir)
+    model.model.broadcast_bytes = 0
+    return _rounded(model.predict(_test_bag(spark, sf_dir)), 2)
+
+
 @query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}")
 def nb_predict(spark, sf_dir):
     return _rounded(_nb(spark, sf_dir).predict(_test_bag(spark, sf_dir)), 2)
@@ -1052,6 +1072,16 @@ def softmax_predict(spark, sf_dir):
     return _rounded(_softmax(spark, sf_dir, 2, TRAIN).predict(_test_vectors(spark, sf_dir)), 6)
 
 
+# saved, loaded, and joined as a table too large to broadcast
+@query(f"with {VECTORS}, {steps_sql(2)}, {_logit_sql('w2')} select doc_id, label, round(score, 6) as score from sc {BEST_OF_SC}")
+def softmax_predict_loaded(spark, sf_dir):
+    path = scratch_path(spark, "saved")
+    _softmax(spark, sf_dir, 2, TRAIN).save(path)
+    model = SoftmaxRegression().load(spark, path)
+    model.weights.broadcast_bytes = 0
+    return _rounded(model.predict(_test_vectors(spark, sf_dir)), 6)
+
+
 @query(_accuracy_sql(f"with {VECTORS}, {steps_sql(2)}, {_logit_sql('w2')}"))
 def accuracy_softmax(spark, sf_dir):
     truth = vector_labels(spark, sf_dir).filter(TEST)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.joins import Lookup
-from lexmill.storage import place
+from lexmill.storage import materialize, place
 
 # Fixed values of the algorithm's definition.
 VOWEL = "[aeiouy]"
@@ -181,6 +181,8 @@ def stem_words(words: DataFrame, word: str = "feature") -> DataFrame:
 
 def stem_features(x: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A word-count table with words replaced by their stems and counts added up."""
+    # read twice: for its words, and to replace them
+    x = materialize(x, "to_stem")
     words = x.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
     stems = Lookup.build(stem_words(place(words, ["feature"])), ["feature"], "rows", 4, "stems")
     stemmed = stems.join(x).withColumn("feature", F.col("stem"))

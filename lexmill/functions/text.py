@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.storage import place
+from lexmill.operators.joins import Lookup
+from lexmill.storage import materialize, place
 
 # Letters, numbers and underscore of every script (a plain \w is ASCII in Java).
 WORD = r"[\p{L}\p{N}_]+"
 NUMERIC = r"^\p{N}+$"
 
-# Up to this many stop words are broadcast; a list for people has hundreds.
-BROADCAST_STOP_WORDS = 500_000
+# A stop-word list of at most this size is broadcast; a list for people has hundreds of words.
+BROADCAST_STOP_BYTES = 32 << 20
 
 # Entities decoded by plain replacement; &amp; has to come last,
 # or "&amp;lt;" would be decoded twice.
@@ -94,11 +95,14 @@ def default_stop_words(language: str = "english") -> list[str]:
 
 
 def drop_stop_words(tokens: DataFrame, stop_words: DataFrame, word: str = "feature") -> DataFrame:
-    """Rows whose word is not in the one-column stop-word table."""
-    stop = stop_words.select(F.col(stop_words.columns[0]).alias(word)).distinct()
-    if stop_words.count() <= BROADCAST_STOP_WORDS:
-        stop = F.broadcast(stop)
-    return tokens.join(stop, word, "left_anti")
+    """Rows whose word is not in the one-column stop-word table.
+
+    The list is read once and stored; one too large to broadcast is joined by a
+    shuffle, in which Spark splits the partitions of frequent words.
+    """
+    stop = materialize(stop_words.select(F.col(stop_words.columns[0]).alias(word)).distinct(), "stop_words")
+    size = stop.agg(F.coalesce(F.sum(F.octet_length(word) + 40), F.lit(0))).first()[0]
+    return tokens.join(F.broadcast(stop) if size <= BROADCAST_STOP_BYTES else stop, word, "left_anti")
 
 
 def tokens(
@@ -136,7 +140,24 @@ def bag_of_words(
     """
     keep = list(how.get("keep", ()))
     docs = docs if placed else place(docs, keys)
-    return count_words(tokens(docs, keys, **how), [*keys, *keep])
+    preprocess = how.pop("preprocess", None)
+    if preprocess is None:
+        return count_words(tokens(docs, keys, **how), [*keys, *keep])
+    return preprocessed(docs, [*keys, *keep], preprocess, **how)
+
+
+def preprocessed(docs: DataFrame, by: Sequence[str], preprocess: Callable[[Column], Column], text: str = "text", keep: Sequence[str] = (), **how) -> DataFrame:
+    """Word counts after a word -> word function, which sees each distinct word once.
+
+    Words are counted as they are first; empty results drop a word.
+    """
+    cut = (how.get("tokenizer") or tokenize)(decode_entities(F.col(text)) if how.get("decode") else F.col(text))
+    raw = count_words(docs.select(*by, F.explode(cut).alias("feature")), by)
+    raw = materialize(raw, "raw_words")
+    words = raw.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
+    new = words.select("feature", "rows", preprocess(F.col("feature")).alias("_new")).filter(F.length("_new") > 0)
+    found = Lookup.build(new, ["feature"], "rows", 4, "preprocessed").join(raw)
+    return found.groupBy(*by, F.col("_new").alias("feature")).agg(F.sum("value").alias("value"))
 
 
 def count_words(words: DataFrame, by: Sequence[str]) -> DataFrame:

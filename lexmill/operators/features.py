@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.joins import Lookup, beside_each
 from lexmill.operators.ranking import lowest_by_hash
+from lexmill.storage import materialize
 
 
 def document_frequency(x: DataFrame) -> DataFrame:
@@ -47,18 +48,35 @@ class TfIdf:
         self.lookup = Lookup.build(document_frequency(x), ["feature"], "df", 1, "idf")
         return self
 
+    def fit_transform(self, x: DataFrame) -> DataFrame:
+        """Fit on ``x`` and score it; ``x`` is evaluated once."""
+        measured = materialize(self._with_length(x), "measured")
+        return self.fit(measured)._scored(measured, self._n_docs(measured))
+
     def transform(self, x: DataFrame, n_docs: int | None = None) -> DataFrame:
-        """``x`` with ``value`` replaced by its score and the old value as ``tf_count``."""
-        total = (
-            F.lit(n_docs)
-            if n_docs is not None
-            else x.select(*self.keys).distinct().agg(F.count(F.lit(1))).scalar()
-        )
-        length = F.sum("value").over(Window.partitionBy(*self.keys))
-        known = self.lookup.join(x.withColumn("_length", length), "left")
+        """``x`` with ``value`` replaced by its score and the old value as ``tf_count``.
+
+        Unless the number of documents is given, ``x`` is stored once, to count
+        them and to score them.
+        """
+        measured = self._with_length(x)
+        if n_docs is not None:
+            return self._scored(measured, F.lit(n_docs))
+        measured = materialize(measured, "measured")
+        return self._scored(measured, self._n_docs(measured))
+
+    def _with_length(self, x: DataFrame) -> DataFrame:
+        # before it is stored, while the rows of a document are in place
+        return x.withColumn("_length", F.sum("value").over(Window.partitionBy(*self.keys)))
+
+    def _n_docs(self, x: DataFrame) -> Column:
+        return x.select(*self.keys).distinct().agg(F.count(F.lit(1))).scalar()
+
+    def _scored(self, measured: DataFrame, total: Column) -> DataFrame:
+        known = self.lookup.join(measured, "left")
         idf = F.ln(total / (F.coalesce("df", F.lit(0)) + 1))
         return known.withColumnRenamed("value", "tf_count").select(
-            *[c for c in x.columns if c != "value"],
+            *[c for c in measured.columns if c not in ("value", "_length")],
             (F.col("tf_count") / F.col("_length") * idf).alias("value"),
             "tf_count",
         )

@@ -68,15 +68,26 @@ class Lookup:
         A table of bounded size is broadcast. A larger one is cut in two: rows
         with a hot key meet the broadcast hot part and are not shuffled at all,
         the others are shuffled on a key of which no value has more than its
-        small share of the rows.
+        small share of the rows. Both halves read ``left``, so it is stored once
+        first. If even the hot part is too wide to broadcast, hot keys are dealt
+        out instead: the table repeats them, each row of ``left`` takes one copy.
         """
         on = list(self.on)
         table = self.df.drop(self.rows) if self.rows in left.columns else self.df
         if self.size <= self.broadcast_bytes:
             return left.join(F.broadcast(table), on, how)
-        # as many hot keys as fit in the bound, each above 1/limit of the rows
-        limit = max(1, min(HOT_KEYS, BROADCAST_BYTES // self._row_bytes))
-        is_hot = F.col(self.rows) > F.lit(self.n_rows / limit)
+        share = self.n_rows / HOT_KEYS
+        is_hot = F.col(self.rows) > F.lit(share)
+        if HOT_KEYS * self._row_bytes > BROADCAST_BYTES:
+            parts = F.ceil(F.col(self.rows) / F.lit(max(share, 1.0))).cast("int")
+            # fewer than HOT_KEYS keys and numbers
+            dealt = left.join(F.broadcast(self.df.filter(is_hot).select(*on, parts.alias("_parts"))), on, "left")
+            rest = [c for c in left.columns if c not in on]
+            part = F.pmod(F.xxhash64(*rest), F.coalesce("_parts", F.lit(1))).cast("int") if rest else F.lit(0)
+            copies = F.sequence(F.lit(0), F.when(is_hot, parts).otherwise(1) - 1)
+            repeated = self.df.withColumn("_part", F.explode(copies)).select(*table.columns, "_part")
+            return dealt.withColumn("_part", part).drop("_parts").join(repeated, [*on, "_part"], how).drop("_part")
+        left = materialize(left, "lookup_rows")
         hot = self.df.filter(is_hot).select(*table.columns)
         cold = self.df.filter(~is_hot).select(*table.columns)
         with_hot = left.join(F.broadcast(hot), on, "inner")

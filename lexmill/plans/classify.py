@@ -29,43 +29,31 @@ def classify(
     iters: int = 10,
     keys: Sequence[str] = ("doc_id",),
     seed: str = "0",
+    label_col: str | None = None,
     **options,
 ) -> DataFrame:
     """Train ``nb``, ``gnb`` or ``softmax`` and apply it.
 
+    If the training features carry their label, ``label_col`` names its column
+    and saves a join.
+
     Returns one row ``correct, total, accuracy`` if test labels are given, else
-    ``keys, label, score``. The result is stored, the caches are released.
+    ``keys, label, score``. The result is stored. Text is cut once: what is read
+    more than once is stored on the way.
     """
     estimator = MODELS[model](keys=keys, **options)
-    held = []
-
-    def hold(x: DataFrame, passes: int) -> DataFrame:
-        # features read more than once are worth keeping; lost parts are recomputed
-        if passes > 1:
-            held.append(x.persist())
-        return x
-
-    train_x = hold(train_x, 2 if tfidf else 1)
-    test_x = hold(test_x, 2 if tfidf else 1)
-    try:
-        if balance:
-            train_x, train_y = sample_balanced(train_x, train_y, keys, seed)
-        if tfidf:
-            idf = TfIdf(keys).fit(train_x)
-            train_x = idf.transform(train_x).drop("tf_count")
-            test_x = idf.transform(test_x).drop("tf_count")
-        if model == "softmax":
-            estimator.fit(train_x, train_y, lr=lr, batch_size=batch_size, max_iter=iters)
-        else:
-            estimator.fit(train_x, train_y)
-        if test_y is None:
-            result = estimator.predict(test_x)
-        else:
-            result = estimator.score(test_x, test_y)
-        return materialize(result, "classified")
-    finally:
-        for x in held:
-            x.unpersist()
+    if balance:
+        train_x, train_y = sample_balanced(train_x, train_y, keys, seed)
+    if tfidf:
+        idf = TfIdf(keys)
+        train_x = idf.fit_transform(train_x).drop("tf_count")
+        test_x = idf.transform(test_x).drop("tf_count")
+    if model == "softmax":
+        estimator.fit(train_x, train_y, lr=lr, batch_size=batch_size, max_iter=iters)
+    else:
+        estimator.fit(train_x, train_y, label_col=label_col)
+    result = estimator.predict(test_x) if test_y is None else estimator.score(test_x, test_y)
+    return materialize(result, "classified")
 
 
 def classify_files(
@@ -91,13 +79,13 @@ def classify_files(
     if test_y is None:
         test_x = test_x.withColumn("true_label", F.lit(""))
     return classify(
-        model, train_x, train_y, test_x, test_y, keys=("doc_id", "true_label"), **options
+        model, train_x, train_y, test_x, test_y, keys=("doc_id", "true_label"), label_col="true_label", **options
     )
 
 
 def inspect_features(counts: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keys, feature, count, tfidf`` of a word-count table, side by side."""
-    scored = TfIdf(keys).fit(counts).transform(counts)
+    scored = TfIdf(keys).fit_transform(counts)
     return scored.select(*keys, "feature", F.col("tf_count").alias("count"), F.col("value").alias("tfidf"))
 
 

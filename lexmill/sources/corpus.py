@@ -93,14 +93,14 @@ class Loader:
         """
         docs = line_index(self.spark, data_path).select(F.col("line_no").alias("doc_id"), "value")
         docs = place(docs, ["doc_id"])
-        labels, keep = None, []
+        labels = None
         if label_path is not None:
             pairs = label_lines(line_index(self.spark, label_path)).select(
                 F.col("line_no").alias("doc_id"), F.col("label").alias("true_label")
             )
-            docs = pairs.join(docs, "doc_id")
+            pairs = place(pairs, ["doc_id"])
+            docs = docs.join(pairs, "doc_id", "left_semi")
             labels = pairs.withColumn("label", F.col("true_label"))
-            keep = ["true_label"]
         if hasattr(tokenizer, "tokenize"):
             tokenizer = python_tokenizer(tokenizer)
         features = bag_of_words(
@@ -108,11 +108,13 @@ class Loader:
             ["doc_id"],
             placed=True,
             text="value",
-            keep=keep,
             tokenizer=tokenizer,
             preprocess=preprocess,
             decode=decode,
         )
+        if labels is not None:
+            # a text is cut once, whatever the number of its labels
+            features = features.join(pairs, "doc_id").select("doc_id", "true_label", "feature", "value")
         # a word is dropped with all its occurrences, so counted words will do
         if isinstance(stop_words, DataFrame):
             features = drop_stop_words(features, stop_words)
