@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import gaussian, stem, text
+from lexmill.functions.entities import decode_references
 from lexmill.functions.stem import stem_features, stem_words
 from lexmill.operators import features as feat
 from lexmill.operators.metrics import hit_rate
@@ -29,7 +30,7 @@ from lexmill.plans import (
 )
 from lexmill.plans.bayes import gaussian_stats
 from lexmill.plans.classes import class_counts, log_priors
-from lexmill.sources import Loader, label_lines, line_index, write_labels
+from lexmill.sources import PLAIN, Loader, label_lines, line_index, write_labels
 from lexmill.storage import place, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,7 +251,7 @@ def line_index_(spark, sf_dir):
 select doc_id, feature, cast(count(*) as double) as value from words group by all"""
 )
 def load_corpus(spark, sf_dir):
-    return Loader(spark).read(write_docs(spark, sf_dir))[0]
+    return Loader(spark).read(write_docs(spark, sf_dir), **PLAIN)[0]
 
 
 @query(f"with {MARKED} select line_no, label from marks")
@@ -263,7 +264,7 @@ def load_labels(spark, sf_dir):
 select doc_id, label as true_label, feature, cast(count(*) as double) as value from words group by all"""
 )
 def label_docs(spark, sf_dir):
-    return Loader(spark).read(*write_corpus(spark, sf_dir))[0]
+    return Loader(spark).read(*write_corpus(spark, sf_dir), **PLAIN)[0]
 
 
 @query("select row_number() over (order by doc_id) - 1 as line_no, lang as value from documents")
@@ -338,7 +339,7 @@ def decode_entities(spark, sf_dir):
     + " as html from pages"
 )
 def unescape_entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.unescape_entities(F.col("html")).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", decode_references(F.col("html")).alias("html"))
 
 
 class SpaceTokenizer:
@@ -427,6 +428,52 @@ def stem_bag(spark, sf_dir):
     return stem_features(text.bag_of_words(documents(spark, sf_dir)))
 
 
+# The English stop words.
+STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself
+it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing a an the and but if or because as until while of at by for with about against between
+into through during before after above below to from up down in out on off over under again further then once here there
+when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
+just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're
+they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't
+shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's
+why's would"""
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS.split())
+# words without stop words, stemmed and counted
+DEFAULT_READING = f"""kept as (select * from words where feature not in ({_STOP})),
+{stem_sql('select distinct feature from kept')},
+x as (select doc_id, label, stem as feature, cast(count(*) as double) as value from kept join stems using (feature) group by all)"""
+_PAGE = _replaced_sql(r"regexp_replace(html, '[\r\n]+', ' ', 'g')", [("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")])
+
+
+@query(
+    f"""with lines as (select row_number() over (order by page_id) - 1 as doc_id, '' as label, {_PAGE} as text from pages),
+words as ({words_sql("lines")}), {DEFAULT_READING} select doc_id, feature, value from x"""
+)
+def load_corpus_default(spark, sf_dir):
+    path = scratch_path(spark, "pages")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"[\r\n]+", " ").alias("line"))
+    write_labels(pages, path, keys=["page_id"], label="line")
+    return Loader(spark).read(path)[0]
+
+
+class Without:
+    """A word function as a user would write one: drops words with an x and cuts long ones."""
+
+    def __call__(self, word: str) -> str:
+        return "" if "x" in word else word[:6].lower()
+
+
+@query(
+    r"""select doc_id, feature, cast(count(*) as double) as value from
+  (select doc_id, lower(substr(w, 1, 6)) as feature from
+    (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as w from documents) where w not like '%x%')
+group by all"""
+)
+def custom_preprocess(spark, sf_dir):
+    return text.bag_of_words(documents(spark, sf_dir), preprocess=text.python_preprocess(Without()))
+
+
 # ------------------------------------------------------------ aggregations
 
 
@@ -872,16 +919,20 @@ def nb_smoothed_predict(spark, sf_dir):
 
 
 # copies of a document under several labels, read from files
-_COPIES = f"""marked as (select doc_id, label, {LINE} as text from (select doc_id, text,
+def copies_sql(counted: str) -> str:
+    """CTEs of the copies; ``counted`` is a CTE ``x`` of counts of ``words``."""
+    return f"""marked as (select doc_id, label, {LINE} as text from (select doc_id, text,
     unnest(string_split(concat_ws(',', upper(lang) || 'CAT', source, case when quality = 1 then 'GOODCAT' end), ',')) as label
   from documents left join labels using (doc_id)) where label like '%CAT'),
-words as ({words_sql("marked")}),
-x as (select doc_id, label, feature, cast(count(*) as double) as value from words group by all),
+words as ({words_sql("marked")}), {counted},
 tr as (select * from x where {TRAIN}), te0 as (select * from x where {TEST}),
 ytr as (select doc_id, label from marked where {TRAIN}), yte as (select doc_id, label from marked where {TEST}),
 te as (select distinct doc_id, feature, value from te0)"""
 
 
+_COPIES = copies_sql("x as (select doc_id, label, feature, cast(count(*) as double) as value from words group by all)")
+
+
 @query(
     f"""with {_COPIES}, {SMOOTHED}, best as (select doc_id, label from sc {BEST}),
 hit as (select yte.doc_id, max(cast(coalesce(best.label = yte.label, false) as integer)) as h
@@ -890,8 +941,8 @@ select cast(sum(h) as bigint) as matched, count(*) as total, round(avg(h) * 100,
 )
 def accuracy_any_label(spark, sf_dir):
     loader, keys = Loader(spark), ["doc_id", "true_label"]
-    x, y = loader.read(*write_corpus(spark, sf_dir, TRAIN))
-    xt, yt = loader.read(*write_corpus(spark, sf_dir, TEST))
+    x, y = loader.read(*write_corpus(spark, sf_dir, TRAIN), **PLAIN)
+    xt, yt = loader.read(*write_corpus(spark, sf_dir, TEST), **PLAIN)
     model = SmoothedNaiveBayes(keys=keys).fit(x, y, label_col="true_label")
     return _rounded_accuracy(hit_rate(model.predict(xt), yt, "doc_id", keys))
 
@@ -1098,6 +1149,18 @@ def accuracy_softmax(spark, sf_dir):
 select line_no as doc_id, label, round(score, 2) as score from best join ids using (doc_id)"""
 )
 def classify_nb(spark, sf_dir):
+    data, labels = write_corpus(spark, sf_dir, TRAIN)
+    found = classify_files(spark, "nb", data, labels, write_docs(spark, sf_dir, TEST), reading=PLAIN)
+    return _rounded(found, 2).drop("true_label")
+
+
+# read as by default: without stop words, and stemmed
+@query(
+    f"""with {copies_sql(DEFAULT_READING)}, ids as (select doc_id, row_number() over (order by doc_id) - 1 as line_no from documents where {TEST}),
+{nb_sql()}, best as (select doc_id, label, score from sc {BEST})
+select line_no as doc_id, label, round(score, 2) as score from best join ids using (doc_id)"""
+)
+def classify_nb_default(spark, sf_dir):
     data, labels = write_corpus(spark, sf_dir, TRAIN)
     found = classify_files(spark, "nb", data, labels, write_docs(spark, sf_dir, TEST))
     return _rounded(found, 2).drop("true_label")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions.entities import decode_references
 from lexmill.operators.joins import Lookup
 from lexmill.storage import materialize, place
 
@@ -33,26 +33,12 @@ NAMED_ENTITIES = [
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode the XML entities and ``&nbsp;`` inside the JVM."""
+    """Decode the XML entities and ``&nbsp;`` only."""
     for entity, char in NAMED_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    import html
-
-    return text.map(html.unescape, na_action="ignore")
-
-
-def unescape_entities(text: Column) -> Column:
-    """Decode every HTML entity; only texts that contain one go to Python."""
-    # a few entities are valid without a semicolon, so look for "&" and a name
-    has_entity = text.rlike(r"&[#\w]")
-    return F.coalesce(_unescape(F.when(has_entity, text)), text)
-
-
 def tokenize(text: Column) -> Column:
     """All words of a text, in order, as an array."""
     return F.regexp_extract_all(text, F.lit(WORD), 0)
@@ -117,7 +103,7 @@ def tokens(
     """One row per word occurrence: ``keys, keep, feature``; empty words dropped."""
     body = F.col(text)
     if decode:
-        body = decode_entities(body)
+        body = decode_references(body)
     words = docs.select(*keys, *keep, F.explode((tokenizer or tokenize)(body)).alias("_w"))
     if preprocess is None:
         # normalize() as a filter, which Spark evaluates once per word
@@ -151,7 +137,7 @@ def preprocessed(docs: DataFrame, by: Sequence[str], preprocess: Callable[[Colum
 
     Words are counted as they are first; empty results drop a word.
     """
-    cut = (how.get("tokenizer") or tokenize)(decode_entities(F.col(text)) if how.get("decode") else F.col(text))
+    cut = (how.get("tokenizer") or tokenize)(decode_references(F.col(text)) if how.get("decode") else F.col(text))
     raw = count_words(docs.select(*by, F.explode(cut).alias("feature")), by)
     raw = materialize(raw, "raw_words")
     words = raw.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))

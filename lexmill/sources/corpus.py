@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.stem import stem_features
-from lexmill.functions.text import bag_of_words, drop_stop_words, python_tokenizer
+from lexmill.functions.text import bag_of_words, default_stop_words, drop_stop_words, python_tokenizer
 from lexmill.operators.ranking import running_total
 from lexmill.storage import materialize, place
 
@@ -62,6 +62,10 @@ def label_lines(lines: DataFrame, suffix: str = "CAT") -> DataFrame:
     )
 
 
+# Reading without stop words and stems.
+PLAIN = {"stop_words": (), "stem": False}
+
+
 class Loader:
     """Reads a corpus file, one document per line, and optionally its label file.
 
@@ -81,15 +85,18 @@ class Loader:
         tokenizer: Callable[[Column], Column] | object | None = None,
         preprocess: Callable[[Column], Column] | None = None,
         decode: bool = True,
-        stop_words: Sequence[str] | DataFrame = (),
-        stem: bool = False,
+        stop_words: str | Sequence[str] | DataFrame = "english",
+        stem: bool = True,
     ) -> tuple[DataFrame, DataFrame | None]:
         """Read word counts and labels.
 
         ``tokenizer`` maps a text column to an array of words, or is an object
         with ``tokenize(text)``; ``preprocess`` maps a word column to a word,
-        empty to drop it. Stop words may be a list or a one-column table. With
-        ``stem`` words are replaced by their English stems.
+        empty to drop it. With ``decode`` character references are decoded before
+        a text is cut. Stop words may be the name of a language, a list or a
+        one-column table, and none if the list is empty. With ``stem`` words are
+        replaced by their English stems. PLAIN has the options that switch the
+        last two off.
         """
         docs = line_index(self.spark, data_path).select(F.col("line_no").alias("doc_id"), "value")
         docs = place(docs, ["doc_id"])
@@ -116,6 +123,8 @@ class Loader:
             # a text is cut once, whatever the number of its labels
             features = features.join(pairs, "doc_id").select("doc_id", "true_label", "feature", "value")
         # a word is dropped with all its occurrences, so counted words will do
+        if isinstance(stop_words, str):
+            stop_words = default_stop_words(stop_words)
         if isinstance(stop_words, DataFrame):
             features = drop_stop_words(features, stop_words)
         elif stop_words:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import bag_of_words
 from lexmill.operators.joins import Lookup, product_join
 from lexmill.operators.ranking import hash_hex, lowest_by_hash, running_total
 
@@ -55,3 +56,25 @@ def test_lowest_by_hash_equals_a_full_sort(spark, rows):
     assert got == sorted(((i,) for _, i in want), key=repr)
     more = spark.range(1).select(F.lit(10**6).cast("bigint").alias("quota"))
     assert lowest_by_hash(df.select("id"), ["id"], [], "seed", more).count() == 20_000
+
+
+def test_a_split_lookup_evaluates_its_rows_once(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog " * 3) for i in range(20)], "doc_id bigint, text string")
+    x = bag_of_words(docs)
+    table = x.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
+    lookup = Lookup.build(table, ["feature"], "rows")
+    lookup.broadcast_bytes = 0
+    joined = lookup.join(x)
+    assert "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == x.count()
+
+
+def test_hot_keys_of_a_wide_lookup_are_dealt_out(spark, rows, monkeypatch):
+    monkeypatch.setattr("lexmill.operators.joins.BROADCAST_BYTES", 1000)
+    left = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), F.col("id").alias("v"))
+    table = left.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).withColumn("w", F.length("key")).filter("key <> 'k0'")
+    lookup = Lookup.build(table, ["key"], "rows", width=50)
+    lookup.broadcast_bytes = 0
+    want = sorted((r.key, r.v, len(r.key)) for r in left.collect() if r.key != "k0")
+    assert sorted((r.key, r.v, r.w) for r in lookup.join(left).collect()) == want
+    assert [(r.key, r.v) for r in lookup.join(left, "left").filter("w is null").collect()] == [("k0", 0)]

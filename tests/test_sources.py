@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import python_preprocess
 from lexmill.plans import classify_files
-from lexmill.sources import Loader, label_lines, line_index, write_labels
+from lexmill.sources import PLAIN, Loader, label_lines, line_index, write_labels
 from lexmill.sources import corpus as corpus_module
 from lexmill.storage import scratch_path, shared_dir
 
@@ -17,7 +17,7 @@ def files(tmp_path):
 
 
 def test_labelled_documents_are_dropped_and_copied(spark, rows, files):
-    x, y = Loader(spark).read(*files)
+    x, y = Loader(spark).read(*files, **PLAIN)
     assert rows(x, "doc_id", "true_label", "feature", "value") == [
         (0, "AACAT", "blue", 1.0),
         (0, "AACAT", "red", 2.0),
@@ -34,7 +34,7 @@ def test_labelled_documents_are_dropped_and_copied(spark, rows, files):
 
 
 def test_unlabelled_documents_are_all_kept(spark, rows, files):
-    x, y = Loader(spark).read(files[0])
+    x, y = Loader(spark).read(files[0], **PLAIN)
     assert y is None
     assert rows(x.select("doc_id").distinct()) == [(0,), (1,), (2,)]
 
@@ -91,7 +91,7 @@ def test_python_tokenizer_and_preprocess(spark, rows, files):
             return text.split("e")
 
     x, _ = Loader(spark).read(
-        files[0], tokenizer=Letters(), preprocess=python_preprocess(lambda w: "" if w == "n" else w.strip())
+        files[0], tokenizer=Letters(), preprocess=python_preprocess(lambda w: "" if w == "n" else w.strip()), **PLAIN
     )
     assert rows(x.filter("doc_id = 0"), "feature", "value") == [("d blu", 1.0), ("d r", 1.0), ("r", 1.0)]
 
@@ -132,12 +132,18 @@ def test_classify_files_with_and_without_test_labels(spark, rows, tmp_path):
     data, labels = tmp_path / "d.txt", tmp_path / "l.txt"
     data.write_text("cat cat purr\ndog bark\ncat meow\ndog dog woof\n")
     labels.write_text("FELINECAT\nCANINECAT\nFELINECAT\nCANINECAT\n")
-    scored = classify_files(spark, "nb", str(data), str(labels), str(data), str(labels), weight="once")
+    scored = classify_files(spark, "nb", str(data), str(labels), str(data), str(labels), weight="once", reading=PLAIN)
     assert rows(scored) == [(4, 4, 1.0)]
-    found = classify_files(spark, "nb", str(data), str(labels), str(data), weight="once")
+    found = classify_files(spark, "nb", str(data), str(labels), str(data), weight="once", reading=PLAIN)
     assert rows(found, "doc_id", "label") == [(0, "FELINECAT"), (1, "CANINECAT"), (2, "FELINECAT"), (3, "CANINECAT")]
 
 
+def test_default_reading(spark, rows, tmp_path):
+    data = tmp_path / "d.txt"
+    data.write_text("The caf&eacute; isn't walking &amp;&#x27; the WALKS &copy;right na&iuml;ve 42 x\n")
+    assert rows(Loader(spark).read(str(data))[0], "feature", "value") == [("café", 1.0), ("isn", 1.0), ("naïv", 1.0), ("right", 1.0), ("walk", 2.0)]
+
+
 def test_stop_words_and_stems(spark, rows, tmp_path):
     data = tmp_path / "d.txt"
     data.write_text("the walking walks the dog\n")

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions.entities import decode_references
 from lexmill.functions import text
 from lexmill.functions.stem import stem_features, stem_words
 from lexmill.operators.joins import Lookup
@@ -46,7 +47,7 @@ def test_bag_of_words_needs_one_shuffle(spark):
 @pytest.mark.parametrize("raw", ["&amp;lt;b&gt; &quot;x&quot; it&#39;s&nbsp;ok", "plain", "a & b", "&eacute;&#233;&#xe9; &copy 2"])
 def test_unescape_is_complete(spark, raw):
     df = spark.createDataFrame([(raw,), (None,)], "t string")
-    assert [r[0] for r in df.select(text.unescape_entities(F.col("t"))).collect()] == [html.unescape(raw), None]
+    assert [r[0] for r in df.select(decode_references(F.col("t"))).collect()] == [html.unescape(raw), None]
 
 
 def test_named_entities_are_decoded_once(spark):
@@ -94,3 +95,15 @@ def test_stemming_adds_up_counts(spark, rows, monkeypatch, split):
         "doc_id bigint, feature string, value double",
     )
     assert rows(stem_features(bag)) == [(0, "roll", 3.0), (1, "cat", 1.0), (1, "roll", 1.0)]
+
+
+def test_references_equal_the_standard_library(spark):
+    import random
+    from html.entities import html5
+
+    rng, names = random.Random(3), list(html5)
+    bits = ["&", "#", "x", ";", "a", " ", "\n", "1", "&amp;", "&notit;", "&amp", "&#38;", "&#128;", "&#0;", "&#xD800;", "&#1114112;"]
+    bits += ["&#99999999999999999999;", "&#xffff;", "&#13;", "&#8364", "&#x1F600;", "🙂", "&#11;", "&#000000000000065;"]
+    texts = ["".join(rng.choice(bits) if rng.random() < 0.7 else "&" + rng.choice(names) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts + ["&" + n for n in names]], "t string")
+    assert all(r.d == html.unescape(r.t) for r in df.select("t", decode_references(F.col("t")).alias("d")).collect())
