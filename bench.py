@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,7 @@ HEADLINES = [
     "axis_index",
     "stem_vocabulary",
     "nb_predict",
+    "nb_predict_split",
     "nb_smoothed_predict",
     "gnb_predict",
     "softmax_fit",
@@ -50,6 +52,8 @@ def main() -> None:
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.session.timeZone", "UTC")
+        # one machine, so a folder of its own is shared by all
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
