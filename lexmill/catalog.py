@@ -852,6 +852,19 @@ def nb_scores(spark, sf_dir):
     return _rounded(_nb(spark, sf_dir).scores(_test_bag(spark, sf_dir)), 2)
 
 
+# two hundred labels: a row per cell, and one array of all classes for each document
+@query(
+    f"""with {BAG}, y as (select doc_id, cast(doc_id % 200 as varchar) as label from documents),
+tr as (select x.doc_id, y.label, feature, value from x join y using (doc_id) where {TRAIN.replace('doc_id', 'x.doc_id')}), te as (select * from x where {TEST}),
+ytr as (select * from y where {TRAIN}), {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}"""
+)
+def nb_predict_many_labels(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("label", (F.col("doc_id") % 200).cast("string"))
+    train = docs.filter(TRAIN)
+    model = NaiveBayes().fit(labelled_bag(train), labels_of(train), label_col="label")
+    return _rounded(model.predict(_test_bag(spark, sf_dir)), 2)
+
+
 # as nb_predict, with a model that is too large to broadcast
 @query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}")
 def nb_predict_split(spark, sf_dir):

@@ -95,13 +95,37 @@ class Lookup:
         return with_hot.unionByName(others.join(cold, on, how))
 
 
+# Classes of at most this size are one array in each task.
+CLASS_BYTES = 4 << 20
+
+
+def class_array_bytes(classes: DataFrame) -> int:
+    """About the size of all rows of a table with one row per class."""
+    row = F.octet_length(F.to_json(F.struct(*classes.columns))) + 16
+    return classes.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
 def beside_each(df: DataFrame, classes: DataFrame) -> DataFrame:
     """Every row of ``df`` beside every row of a table with one row per class.
 
-    The classes are made one array, which each row then unfolds by itself.
+    Classes of bounded size are made one array, which each row then unfolds by
+    itself. More are cut into arrays of bounded size, with which copies of the
+    rows are joined, dealt out over all tasks.
     """
-    nested = classes.agg(F.collect_list(F.struct(*classes.columns))).scalar()
-    return df.withColumn("_c", F.explode(nested)).select(*df.columns, "_c.*")
+    entry = F.struct(*classes.columns)
+    size = class_array_bytes(classes)
+    if size <= CLASS_BYTES:
+        nested = classes.agg(F.collect_list(entry)).scalar()
+        return df.withColumn("_c", F.explode(nested)).select(*df.columns, "_c.*")
+    chunks = -(-size // CLASS_BYTES)
+    deals = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.pmod(F.xxhash64(*classes.columns), F.lit(chunks)).cast("int").alias("_chunk")
+    arrays = classes.groupBy(chunk).agg(F.collect_list(entry).alias("_classes"))
+    arrays = arrays.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    copies = df.withColumn("_deal", F.pmod(F.xxhash64(*df.columns), F.lit(deals)).cast("int"))
+    copies = copies.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    joined = copies.join(arrays, ["_chunk", "_deal"]).withColumn("_c", F.explode("_classes"))
+    return joined.select(*df.columns, "_c.*")
 
 
 # A key is dealt out only if its parts get at least this many rows.

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.gaussian import log_density, log_tail
-from lexmill.operators.joins import Lookup, beside_each
+from lexmill.operators.joins import CLASS_BYTES, Lookup, beside_each, class_array_bytes
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
 from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, with_label
@@ -192,7 +192,37 @@ class NaiveBayes:
         """``keys, label, score`` of the best label; equal scores go to the smallest."""
         if self.wide_layout:
             return best_slot(self._wide_scores(x), "scores", [name for _, name, _, _ in self.slots], self.keys)
-        return best(self.scores(x), self.keys, "score", "label")
+        if self.weight == "count" or class_array_bytes(self.sizes) > CLASS_BYTES:
+            return best(self.scores(x), self.keys, "score", "label")
+        return self._long_best(x)
+
+    def _long_best(self, x: DataFrame) -> DataFrame:
+        """The best label of each document from one array of all classes, without a row per label.
+
+        Words seen with a class only add to its score, so the largest of the
+        scores without them and of those with them is the largest of all.
+        """
+        order = F.row_number().over(Window.orderBy("label"))  # as many rows as labels
+        sizes = materialize(self.sizes.withColumn("place", order), "class_places")
+        classes = F.array_sort(F.collect_list(F.struct("place", "label", "log_prior", "denominator")))
+        classes = sizes.agg(classes).scalar()
+        rows = materialize(self._matched(x), "matched")
+        places = F.broadcast(sizes.select("label", "place"))  # of bounded size, as the array
+        seen = rows.select(*self.keys, "_w", F.explode("logs").alias("c")).select(*self.keys, (F.col("_w") * F.col("c.log")).alias("_s"), "c.label")
+        seen = seen.groupBy(*self.keys, "label").agg(F.sum("_s").alias("_s")).join(places, "label")
+        seen = seen.groupBy(*self.keys).agg(F.collect_list(F.struct("place", "_s")).alias("_seen"))
+        docs = rows.groupBy(*self.keys).agg(F.expr("sum(_w) as _W"), F.expr("sum(_u) as _U")).join(seen, self.keys, "left")
+        docs = docs.withColumn("_classes", classes)
+
+        def scored(c: Column, more: Column) -> Column:
+            score = c["log_prior"] + more - F.col("_W") * F.ln(c["denominator"]) - F.col("_U") * F.ln(c["denominator"] + 1)
+            # of equal scores the first place is the largest
+            return F.struct(score.alias("score"), (-c["place"]).alias("before"), c["label"].alias("label"))
+
+        plain = F.array_max(F.transform("_classes", lambda c: scored(c, F.lit(0.0))))
+        with_words = F.transform("_seen", lambda s: scored(F.element_at("_classes", s["place"]), s["_s"]))
+        top = F.array_max(F.array_compact(F.array(plain, F.array_max(with_words))))
+        return docs.withColumn("_top", top).select(*self.keys, "_top.label", "_top.score")
 
     def coverage(self, x: DataFrame) -> DataFrame:
         """``keys, coverage``: the share of a document's distinct words that the model knows."""

@@ -294,3 +294,22 @@ def test_zero_mass_of_large_values_and_of_a_single_document(spark):
         assert found["A"].stddev == pytest.approx(np.std(values, ddof=1), rel=1e-9)
         assert found["B"].stddev is None
         assert model.predict(x).filter("label = 'B'").count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"weight": "once", "unseen": "smooth"}, {"denominator": "words", "fallback": True}])
+def test_best_of_many_labels_without_a_grid(spark, monkeypatch, options):
+    words = ["a", "b", "c", "d", "e"]
+    cells = [(i, w, float(1 + (i * k) % 3)) for i in range(60) for k, w in enumerate(words) if (i * (k + 3)) % 4]
+    x = spark.createDataFrame(cells, "doc_id bigint, feature string, value double")
+    y = spark.createDataFrame([(i, f"l{i % 7}") for i in range(60)], "doc_id bigint, label string")
+    new = spark.createDataFrame([(100, "a", 1.0), (100, "zzz", 2.0), (101, "zzz", 1.0)], "doc_id bigint, feature string, value double")
+    model = NaiveBayes(wide=0, **options).fit(x, y)
+    test = x.unionByName(new)
+    got = model.predict(test).collect()
+    monkeypatch.setattr("lexmill.plans.bayes.CLASS_BYTES", 0)
+    want = {r.doc_id: r.score for r in model.predict(test).collect()}
+    scores = {(r.doc_id, r.label): r.score for r in model.scores(test).collect()}
+    assert len(want) > 40 and {r.doc_id for r in got} == want.keys()
+    for r in got:
+        # nearly equal scores may be added up in another order
+        assert r.score == pytest.approx(want[r.doc_id]) == pytest.approx(scores[r.doc_id, r.label])

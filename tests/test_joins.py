@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import bag_of_words
-from lexmill.operators.joins import Lookup, product_join
+from lexmill.operators.joins import Lookup, beside_each, product_join
 from lexmill.operators.ranking import hash_hex, lowest_by_hash, running_total
 
 
@@ -78,3 +78,13 @@ def test_hot_keys_of_a_wide_lookup_are_dealt_out(spark, rows, monkeypatch):
     want = sorted((r.key, r.v, len(r.key)) for r in left.collect() if r.key != "k0")
     assert sorted((r.key, r.v, r.w) for r in lookup.join(left).collect()) == want
     assert [(r.key, r.v) for r in lookup.join(left, "left").filter("w is null").collect()] == [("k0", 0)]
+
+
+def test_many_classes_beside_each_row(spark, rows, monkeypatch):
+    df = spark.range(40).withColumn("x", F.col("id") * 2)
+    classes = spark.range(30).select(F.concat(F.lit("c"), F.col("id")).alias("label"), F.col("id").alias("n"))
+    want = rows(beside_each(df, classes))
+    assert len(want) == 1200
+    monkeypatch.setattr("lexmill.operators.joins.CLASS_BYTES", 100)
+    assert rows(beside_each(df, classes)) == want
+    assert beside_each(df, classes.limit(0)).count() == 0
