@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import gaussian, stem, text
+from lexmill.functions import gaussian, text
 from lexmill.functions.entities import decode_references
 from lexmill.functions.stem import stem_features, stem_words
 from lexmill.operators import features as feat
@@ -156,6 +156,95 @@ BEST = "qualify row_number() over (partition by doc_id order by score desc, labe
 BEST_OF_SC = "qualify row_number() over (partition by doc_id order by sc.score desc, label) = 1"
 
 
+# Fixed values of the published tail approximation and stemming rules, stated here
+# once more so that the SQL does not take them from what it checks.
+SQL_TAIL_NUMERATOR = [
+    0.0352624965998911,
+    0.700383064443688,
+    6.37396220353165,
+    33.912866078383,
+    112.079291497871,
+    221.213596169931,
+    220.206867912376,
+]
+SQL_TAIL_DENOMINATOR = [
+    0.0883883476483184,
+    1.75566716318264,
+    16.064177579207,
+    86.7807322029461,
+    296.564248779674,
+    637.333633378831,
+    793.826512519948,
+    440.413735824752,
+]
+SQL_TAIL_CUT = 7.07106781186547
+SQL_HALF_LOG_TWO_PI = 0.918938533204673
+SQL_REGION_PREFIXES = ["gener", "commun", "arsen"]
+SQL_IRREGULAR = {
+    "skis": "ski",
+    "skies": "sky",
+    "dying": "die",
+    "lying": "lie",
+    "tying": "tie",
+    "idly": "idl",
+    "gently": "gentl",
+    "ugly": "ugli",
+    "early": "earli",
+    "only": "onli",
+    "singly": "singl",
+    "sky": "sky",
+    "news": "news",
+    "howe": "howe",
+    "atlas": "atlas",
+    "cosmos": "cosmos",
+    "bias": "bias",
+    "andes": "andes",
+}
+SQL_KEPT_AFTER_PLURAL = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+SQL_STEP2 = {
+    "tional": "tion",
+    "enci": "ence",
+    "anci": "ance",
+    "abli": "able",
+    "entli": "ent",
+    "izer": "ize",
+    "ization": "ize",
+    "ational": "ate",
+    "ation": "ate",
+    "ator": "ate",
+    "alism": "al",
+    "aliti": "al",
+    "alli": "al",
+    "fulness": "ful",
+    "ousli": "ous",
+    "ousness": "ous",
+    "iveness": "ive",
+    "iviti": "ive",
+    "biliti": "ble",
+    "bli": "ble",
+    "ogi": "og",
+    "fulli": "ful",
+    "lessli": "less",
+    "li": "",
+}
+SQL_STEP3 = {
+    "tional": "tion",
+    "ational": "ate",
+    "alize": "al",
+    "icate": "ic",
+    "iciti": "ic",
+    "ical": "ic",
+    "ful": "",
+    "ness": "",
+    "ative": "",
+}
+SQL_STEP4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment",
+    "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion",
+]
+SQL_SHORT_END = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+
 def hash_sql(hexed: str, start: int, digits: int) -> str:
     return f"cast('0x' || substr({hexed}, {start}, {digits}) as bigint)"
 
@@ -175,12 +264,12 @@ def tail_sql(z: str) -> str:
             total = f"({total} * abs({z}) + {c!r}e0)"
         return total
 
-    near = f"ln({poly(gaussian.TAIL_NUMERATOR)} / {poly(gaussian.TAIL_DENOMINATOR)})"
+    near = f"ln({poly(SQL_TAIL_NUMERATOR)} / {poly(SQL_TAIL_DENOMINATOR)})"
     frac = f"(abs({z}) + 0.65e0)"
     for k in (4, 3, 2, 1):
         frac = f"(abs({z}) + {k}e0 / {frac})"
-    far = f"(-ln({frac}) - {gaussian.HALF_LOG_TWO_PI!r}e0)"
-    return f"(-({z}) * ({z}) / 2 + case when abs({z}) < {gaussian.TAIL_CUT!r}e0 then {near} else {far} end)"
+    far = f"(-ln({frac}) - {SQL_HALF_LOG_TWO_PI!r}e0)"
+    return f"(-({z}) * ({z}) / 2 + case when abs({z}) < {SQL_TAIL_CUT!r}e0 then {near} else {far} end)"
 
 
 def tfidf_sql(name: str, rows: str, df: str) -> str:
@@ -213,7 +302,7 @@ sc as (select doc_id, ll.label, sum({factor} * ll) + any_value(lp) as score
 
 def gnb_sql(tr="tr", te="te", ytr="ytr", likelihood="tail") -> str:
     z = "((value - mean) / sd)"
-    term = tail_sql(z) if likelihood == "tail" else f"(-{z} * {z} / 2 - ln(sd) - {gaussian.HALF_LOG_TWO_PI!r}e0)"
+    term = tail_sql(z) if likelihood == "tail" else f"(-{z} * {z} / 2 - ln(sd) - {SQL_HALF_LOG_TWO_PI!r}e0)"
     return f"""pri as (select label, ln(count(*) / sum(count(*)) over ()) as lp from {ytr} group by label),
 st as (select label, feature, count(*) as cnt, avg(value) as mean, stddev_samp(value) as sd
   from {tr} group by all),
@@ -375,9 +464,9 @@ def stem_sql(words: str) -> str:
         arms = " ".join(f"when '{a}' then '{b}'" for a, b in pairs.items())
         return f"{cut} || case s {arms} end"
 
-    cut, short, quote = "substr(w, 1, length(w) - length(s))", stem.SHORT_END, "''"
+    cut, short, quote = "substr(w, 1, length(w) - length(s))", SQL_SHORT_END, "''"
     at_r1, at_r2 = "length(w) - length(s) >= r1", "length(w) - length(s) >= r2"
-    prefix = f"'^({'|'.join(stem.REGION_PREFIXES)})'"
+    prefix = f"'^({'|'.join(SQL_REGION_PREFIXES)})'"
     return rf"""p0 as (select feature, regexp_replace(regexp_replace(regexp_replace(feature, '^{quote}', ''), '^y', 'Y'),
     '([aeiouy])y', '\1Y', 'g') as w from ({words})),
 p1 as (select *, case when regexp_matches(w, {prefix}) then length(regexp_extract(w, {prefix}))
@@ -388,7 +477,7 @@ p4 as (select *, {suffix(['sses', 'ied', 'ies', 'us', 'ss', 's'])} as s from p3)
 p5 as (select feature, r1, r2, case when s = 'sses' then substr(w, 1, length(w) - 2)
     when s in ('ied', 'ies') then substr(w, 1, length(w) - case when length(w) > 4 then 2 else 1 end)
     when s = 's' and regexp_matches(w, '[aeiouy].+s$') then substr(w, 1, length(w) - 1) else w end as w from p4),
-p6 as (select *, case when w in ({listed(stem.KEPT_AFTER_PLURAL)}) then w end as kept,
+p6 as (select *, case when w in ({listed(SQL_KEPT_AFTER_PLURAL)}) then w end as kept,
     {suffix(['eedly', 'ingly', 'edly', 'eed', 'ing', 'ed'])} as s from p5),
 p7 as (select *, {cut} as bare, s not in ('', 'eed', 'eedly') and regexp_matches({cut}, '[aeiouy]') as bared from p6),
 p8 as (select feature, r1, r2, kept, regexp_replace(case
@@ -397,20 +486,20 @@ p8 as (select feature, r1, r2, kept, regexp_replace(case
     when regexp_matches(bare, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then substr(bare, 1, length(bare) - 1)
     when length(bare) <= r1 and regexp_matches(bare, '{short}') then bare || 'e' else bare end,
     '^(.+[^aeiouy])[yY]$', '\1i') as w from p7),
-p9 as (select *, {suffix(stem.STEP2)} as s from p8),
+p9 as (select *, {suffix(SQL_STEP2)} as s from p8),
 p10 as (select * replace (case when s <> '' and {at_r1} and case s when 'ogi' then w like '%logi'
-    when 'li' then regexp_matches(w, '[cdeghkmnrt]li$') else true end then {swap(stem.STEP2)} else w end as w) from p9),
-p11 as (select * replace ({suffix(stem.STEP3)} as s) from p10),
+    when 'li' then regexp_matches(w, '[cdeghkmnrt]li$') else true end then {swap(SQL_STEP2)} else w end as w) from p9),
+p11 as (select * replace ({suffix(SQL_STEP3)} as s) from p10),
 p12 as (select * replace (case when s <> '' and {at_r1} and (s <> 'ative' or {at_r2})
-    then {swap(stem.STEP3)} else w end as w) from p11),
-p13 as (select * replace ({suffix(stem.STEP4)} as s) from p12),
+    then {swap(SQL_STEP3)} else w end as w) from p11),
+p13 as (select * replace ({suffix(SQL_STEP4)} as s) from p12),
 p14 as (select * replace (case when s <> '' and {at_r2} and (s <> 'ion' or regexp_matches(w, '[st]ion$'))
     then {cut} else w end as w) from p13),
 p15 as (select * replace (regexp_extract(w, '[el]$') as s) from p14),
 p16 as (select * replace (case when s = 'e' and ({at_r2} or {at_r1} and not regexp_matches({cut}, '{short}')) then {cut}
     when s = 'l' and {at_r2} and w like '%ll' then {cut} else w end as w) from p15),
 stems as (select feature, case when length(feature) <= 2 then feature
-    {" ".join(f"when feature = '{a}' then '{b}'" for a, b in stem.IRREGULAR.items())}
+    {" ".join(f"when feature = '{a}' then '{b}'" for a, b in SQL_IRREGULAR.items())}
     else coalesce(kept, replace(w, 'Y', 'y')) end as stem from p16)"""
 
 
@@ -1018,7 +1107,7 @@ st as (select label, feature, avg(value) as mean, stddev_samp(value) as sd from
 full_te as (select ids.doc_id, f.feature, coalesce(te.value, 0) as value
   from ids cross join (select distinct feature from st) f left join te on te.doc_id = ids.doc_id and te.feature = f.feature)
 select doc_id, st.label, round(sum(-((value - mean) / sd) * ((value - mean) / sd) / 2 - ln(sd)
-  - {gaussian.HALF_LOG_TWO_PI!r}e0) + any_value(lp), 6) as score
+  - {SQL_HALF_LOG_TWO_PI!r}e0) + any_value(lp), 6) as score
 from full_te join st using (feature) join pri on pri.label = st.label group by all"""
 )
 def gnb_scores_zero(spark, sf_dir):
