@@ -4,8 +4,9 @@ Vectors get one more component that gives all of them the largest norm M, querie
 get a zero there; then the largest inner product is the smallest distance. A
 projection on DIMENSIONS Gaussian directions turns a squared distance d2 into d2
 times a chi-square variable. A kd-tree indexes the projected points: its upper
-part, cut from a bounded sample, deals them to parts of bounded size, its lower
-part is built within each part. A query takes the tree's cells in the order of
+part, cut from a bounded sample, deals them to parts, its lower part is built
+within each part. A part that turns out larger than PART_ROWS is dealt on into
+pieces of that size by a hash, so a task is bounded however many rows there are. A query takes the tree's cells in the order of
 their projected distance and verifies their vectors; it stops when the next cell
 is so far that a vector as near as the current k-th one would be projected closer
 with probability CONFIDENCE, by the chi-square distribution. No number of
@@ -227,10 +228,16 @@ def search(
     # both sides of the co-group need the same types of keys, or equal keys are dealt to different tasks
     block = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("long").alias("block")
 
+    # a row per part, of which there are fewer than sampled rows
+    sizes = parts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("pieces"))
+    sizes = F.broadcast(materialize(sizes, "part_sizes"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<long>"))
+
     def answers(queries: DataFrame) -> DataFrame:
-        queries = queries.select("*", block)
-        copies = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-        return queries.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInPandas(
+        asking = queries.join(sizes, "part").select("vec_id", "v", "floor", "part", block, every(F.col("pieces")).alias("piece"))
+        piece = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col("pieces")).cast("long").alias("piece")
+        copies = parts.join(sizes, "part").select("vec_id", "v", "part", piece, every(F.lit(blocks)).alias("block"))
+        return asking.groupBy("part", "piece", "block").cogroup(copies.groupBy("part", "piece", "block")).applyInPandas(
             lambda a, b: verify(a, b, index, k, quantile) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}),
             "query_id long, vec_id long, score double",
         )
