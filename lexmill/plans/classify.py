@@ -30,12 +30,14 @@ def classify(
     keys: Sequence[str] = ("doc_id",),
     seed: str = "0",
     label_col: str | None = None,
+    placed: bool = False,
     **options,
 ) -> DataFrame:
     """Train ``nb``, ``gnb`` or ``softmax`` and apply it.
 
     If the training features carry their label, ``label_col`` names its column
-    and saves a join.
+    and saves a join; if they are partitioned by document, as a bag of words
+    is, ``placed`` saves a shuffle of softmax regression.
 
     Returns one row ``correct, total, accuracy`` if test labels are given, else
     ``keys, label, score``. The result is stored. Text is cut once: what is read
@@ -49,7 +51,9 @@ def classify(
         train_x = idf.fit_transform(train_x).drop("tf_count")
         test_x = idf.transform(test_x).drop("tf_count")
     if model == "softmax":
-        estimator.fit(train_x, train_y, lr=lr, batch_size=batch_size, max_iter=iters)
+        # what was stored on the way has lost its places
+        placed = placed and not tfidf
+        estimator.fit(train_x, train_y, lr=lr, batch_size=batch_size, max_iter=iters, placed=placed)
     else:
         estimator.fit(train_x, train_y, label_col=label_col)
     result = estimator.predict(test_x) if test_y is None else estimator.score(test_x, test_y)
@@ -79,7 +83,7 @@ def classify_files(
     if test_y is None:
         test_x = test_x.withColumn("true_label", F.lit(""))
     return classify(
-        model, train_x, train_y, test_x, test_y, keys=("doc_id", "true_label"), label_col="true_label", **options
+        model, train_x, train_y, test_x, test_y, keys=("doc_id", "true_label"), label_col="true_label", placed=not how.get("stem", True), **options
     )
 
 

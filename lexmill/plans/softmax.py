@@ -206,15 +206,18 @@ class SoftmaxRegression:
         batch_size: int = -1,
         max_iter: int = 1,
         warm_start: bool = False,
+        placed: bool = False,
     ) -> "SoftmaxRegression":
         """Train on features ``keys, feature, value`` and labels ``keys, label``.
 
         A positive ``batch_size`` draws that many documents for each step. The
         features are placed by document once and cached, so a step shuffles
         gradients only (and features by word if the weights are too large to
-        broadcast).
+        broadcast). ``placed`` says that the rows of a document are in one
+        partition already, as those of a bag of words.
         """
-        x = place(x.select(*self.keys, "feature", "value"), self.keys).persist()
+        x = x.select(*self.keys, "feature", "value")
+        x = (x if placed else place(x, self.keys)).persist()
         y = place(y.select(*self.keys, "label"), self.keys).persist()
         try:
             if not warm_start or self.weights is None:

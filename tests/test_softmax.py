@@ -207,3 +207,9 @@ def test_loaded_weights_know_their_hot_features(spark, data):
     for wide in (64, 0):
         again = SoftmaxRegression(wide=wide).load(spark, path)
         assert again.weights.n_rows == model.weights.n_rows == x.count()
+
+
+def test_placed_features_are_not_shuffled_again(spark, data):
+    x, y, dense, truth = data
+    model = SoftmaxRegression().fit(x.repartition(3, "doc_id"), y, lr=0.05, max_iter=2, placed=True)
+    np.testing.assert_allclose(matrix(model), descend(start(spark), dense, truth, 0.05, 2), rtol=1e-9)
