@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 
 from lexmill.llm.rows import map_text, only
-from lexmill.llm.vocabulary import Cache, byte_characters, from_ranks, held
+from lexmill.llm.vocabulary import byte_characters, from_ranks
+from lexmill.llm.workers import Cache, held
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN

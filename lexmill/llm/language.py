@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each line of a text is a chain of words. A word's features are its letters'
+Each line of a text is a chain of words, a very long one several chains of at
+most CHAIN words. A word's features are its letters'
 beginnings, endings and trigrams, the word itself and the lexicons it is in,
 hashed to BUCKETS numbers; their weights per language are learned, and so are the
 transitions between the languages of neighbouring words. Forward-backward gives
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lexmill.llm.rows import map_text, only, sample_rows, slices
-from lexmill.llm.vocabulary import CACHE_LENGTH, held
+from lexmill.llm.workers import CACHE_LENGTH, held
 
 SAMPLE_ROWS = 1500
 EXCERPT = 1500
@@ -36,7 +37,8 @@ AFFIXES = (1, 2, 3, 4)
 UNDETERMINED = "und"
 # Characters worked on at once, and words whose emissions a worker keeps.
 SLICE = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+CHAIN = 200
 
 
 def letters(word: str) -> str:
@@ -129,16 +131,19 @@ class LanguageModel:
         rows = memo["rows"]
         new = list(set(words) - rows.keys())
         if new:
-            features = [word_features(w, self.lexicons) for w in new]
-            some = [i for i, f in enumerate(features) if f]
+            # words that differ in other signs than letters only share a row
+            plain = [letters(w) for w in new]
+            unseen = [w for w in dict.fromkeys(plain) if w and w not in rows]
             at = len(memo["table"])
-            rows.update(dict.fromkeys(new, 0))
-            rows.update((new[i], at + j) for j, i in enumerate(some))
-            memo["table"] = np.concatenate([memo["table"], emissions([features[i] for i in some], self.weights)])
+            memo["table"] = np.concatenate([memo["table"], emissions([word_features(w, self.lexicons) for w in unseen], self.weights)])
+            rows.update(zip(unseen, range(at, at + len(unseen))))
+            rows[""] = 0
+            rows.update((w, rows[p]) for w, p in zip(new, plain))
         found = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
         for word in new:
             if len(word) > CACHE_LENGTH:
-                del rows[word]
+                rows.pop(word, None)
+                rows.pop(letters(word), None)
         return memo["table"], found
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
@@ -151,9 +156,9 @@ class LanguageModel:
             for i, text in enumerate(texts[part], part.start):
                 for line in (text or "").lower().split("\n"):
                     own = line.split()
-                    if own:
-                        words += own
-                        lengths.append(len(own))
+                    words += own
+                    for at in range(0, len(own), CHAIN):
+                        lengths.append(min(CHAIN, len(own) - at))
                         owners.append(i)
             if not words:
                 continue

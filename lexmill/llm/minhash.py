@@ -13,9 +13,11 @@
    whose values are the most common ones. Confirmed pairs are merged to
    components, so a list of mutual copies makes as many pairs as it has classes.
    Where a list still has several components, its classes outside the largest
-   one are the family's rest, and are merged with the family block by block:
-   counting the postings of their shingles gives all intersections at once, and
-   only links that join two components leave a block.
+   one are the family's rest, and are merged with the family block by block.
+   Signatures are compared first; texts follow only for classes with a partner
+   of enough agreements and similar size. Counting the postings of their shingles
+   gives all intersections at once, and only links that join two components
+   leave a block.
 5. Pairs are confirmed on the full sets, whatever their signatures say.
 
 A pair at similarity 0.8 exactly has fewer than MATCHES agreements with
@@ -35,14 +37,15 @@ from pyspark.sql import functions as F
 from lexmill.llm.components import components
 from lexmill.llm.rows import map_text, only
 from lexmill.llm.shingles import shingle_sets
+from lexmill.llm.workers import trim
 from lexmill.storage import materialize
 
 COORDINATES = 32
 MATCHES = 17
 # Hubs are paired with at most about this many characters of other texts in one task.
 HUB_CHARS = 16 << 20
-# Families are merged in blocks of about this many characters on either side.
-BLOCK_CHARS = 2 << 20
+# Families are merged in blocks of about this many shingles on either side.
+BLOCK_SHINGLES = 1 << 18
 # Ids are broadcast if their measured size is at most this; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -103,6 +106,13 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     return own.filter(F.size("own") >= MATCHES).select("class", common.alias("common"), F.explode(first).alias("key"))
 
 
+def only_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with the ids of a one-column table, written: a second look at few texts, not a shuffle of all."""
+    ids = materialize(ids.toDF("wanted").distinct(), "wanted")
+    ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
+    return materialize(texts.join(ids, texts["doc_id"] == ids["wanted"], "left_semi"), "wanted_texts")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -110,6 +120,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     at a time is in memory; an a with very many partners is repeated over
     several tasks.
     """
+    texts = only_texts(texts, pairs.select(F.explode(F.array("a", "b"))))
     length = texts.select("doc_id", F.length("text").cast("bigint").alias("size"))
     sizes = pairs.join(length.groupBy("doc_id").agg(F.max("size").alias("size")), pairs.b == F.col("doc_id"))
     shares = sizes.groupBy("a").agg((F.sum("size") / HUB_CHARS).cast("int").alias("last"))
@@ -135,7 +146,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     if 100 * both >= percent * (len(first) + len(own) - both):
                         found.append((a[i], other[i]))
                         break
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _pairs(found)
+        trim()
 
     return beside.mapInArrow(run, "a long, b long")
 
@@ -149,39 +161,81 @@ def families(postings: DataFrame, merged: DataFrame) -> DataFrame:
     return own.join(largest.filter("parts > 1"), "key").select("family", "class", "component").distinct()
 
 
-def merge_families(found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def merge_families(found: DataFrame, signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join different components of a family: its rest is compared with all of it.
 
     Both sides are dealt into blocks by a hash, so a unit of work is bounded
-    whatever the size of a family.
+    whatever the size of a family. ``signed`` has class, signature, size.
     """
-    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
-    sized = materialize(found.join(sizes, found["class"] == sizes["doc_id"]).select("family", "class", "component", "chars"), "families")
-    blocks = lambda chars: (F.coalesce(F.sum(chars), F.lit(0)) / BLOCK_CHARS).cast("int") + 1
+    sized = materialize(found.join(signed.select("class", "size"), "class"), "families")
+    blocks = lambda size: (F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES).cast("int") + 1
     rest = F.col("component") != F.col("family")
-    deal = sized.groupBy("family").agg(blocks(F.when(rest, F.col("chars"))).alias("n_rest"), blocks("chars").alias("n_all"))
+    deal = sized.groupBy("family").agg(blocks(F.when(rest, F.col("size"))).alias("n_rest"), blocks("size").alias("n_all"))
     dealt = sized.join(deal, "family").withColumn("h", F.xxhash64("class"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["family", "class", "component"]
     one = dealt.filter(rest).select(*own, F.lit(True).alias("asks"), F.pmod("h", F.col("n_rest")).cast("int").alias("i"), spread("n_all").alias("j"))
     other = dealt.select(*own, F.lit(False).alias("asks"), spread("n_rest").alias("i"), F.pmod("h", F.col("n_all")).cast("int").alias("j"))
-    units = one.unionByName(other)
-    units = units.join(texts, units["class"] == texts["doc_id"]).select("family", "i", "j", "asks", "class", "component", "text")
-    units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
-        for batch in batches:
-            found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "asks", "class", "component", "text"))):
-                if row[:3] != unit:
-                    found += unit_links(rows, width, percent)
-                    unit, rows = row[:3], []
-                rows.append(row[3:])
-            yield _pairs(found)
-        yield _pairs(unit_links(rows, width, percent))
-
-    return units.mapInArrow(run, "a long, b long")
+    unit, member = ["family", "i", "j"], ["asks", "class", "component"]
+    units = one.unionByName(other).join(signed, "class").select(*unit, *member, "signature", "size")
+    units = units.repartition(*unit).sortWithinPartitions(*unit)
+    types = "family long, i int, j int, asks boolean, class long, component long"
+    names = [*unit, *member]
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        for parts in _units(batches, [*unit, *member, "signature", "size"]):
+            kept = [(*key, *row[:3]) for key, rows in parts for row in similar_rows(rows, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=names)
+        trim()
+
+    chosen = materialize(units.mapInArrow(similar, types), "similar")
+    texts = only_texts(texts, chosen.select("class"))
+    chosen = chosen.join(texts, F.col("class") == texts["doc_id"]).select(*unit, *member, "text")
+    chosen = chosen.repartition(*unit).sortWithinPartitions(*unit)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _units(batches, [*unit, *member, "text"]):
+            yield _pairs([pair for _, rows in parts for pair in unit_links(rows, width, percent)])
+        trim()
+
+    return chosen.mapInArrow(links, "a long, b long")
+
+
+def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple[tuple, list[tuple]]]]:
+    """Whole units of rows sorted by their first three columns, as lists of those that end in a batch."""
+    unit, rows = None, []
+    for batch in batches:
+        ended = []
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if row[:3] != unit:
+                if rows:
+                    ended.append((unit, rows))
+                unit, rows = row[:3], []
+            rows.append(row[3:])
+        yield ended
+    yield [(unit, rows)] if rows else []
+
+
+def similar_rows(rows: list[tuple], percent: int) -> list[tuple]:
+    """Rows (asks, class, component, signature, size) that have a partner worth reading on the other side.
+
+    A partner is of another component, agrees in MATCHES coordinates and is not
+    too different in size to reach the similarity.
+    """
+    asking, asked = ([r for r in rows if r[0] == side] for side in (True, False))
+    if not asking or not asked:
+        return []
+    signatures = np.array([r[3] for r in asked], np.int32)
+    components_, sizes = np.array([r[2] for r in asked]), np.array([r[4] for r in asked])
+    useful, out = np.zeros(len(asked), bool), []
+    for r in asking:
+        near = (signatures == np.array(r[3], np.int32)).sum(axis=1) >= MATCHES
+        near &= (components_ != r[2]) & (100 * np.minimum(sizes, r[4]) >= percent * np.maximum(sizes, r[4]))
+        if near.any():
+            useful |= near
+            out.append(r)
+    return out + [r for r, u in zip(asked, useful) if u]
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -229,33 +283,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and kept marks the document that has it. Documents without words (null,
     empty or blank texts) have an empty set and link with nothing. Repeated rows
     get the same result each; rows that share an id but not the text count as
-    one document that is linked through either text. Rows with a null id link
+    one document: it is linked with copies of either text, and near copies are
+    sought for one of them. Rows with a null id link
     with nothing, have a null component_id and are not kept. Other columns are
     left out; an empty table gives an empty result.
     """
     texts = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = materialize(described(texts, width), "shingle_sets")
     with_id = rows.filter("doc_id is not null and set_id is not null")
-    classes = materialize(with_id.groupBy("set_id").agg(F.min("doc_id").alias("class"), F.min("signature").alias("signature")), "shingle_classes")
+    per_set = [F.min("doc_id").alias("class"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")]
+    classes = materialize(with_id.groupBy("set_id").agg(*per_set), "shingle_classes")
     # rows that share an id: their classes are one, by these links
     same_id = with_id.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("doc_id")
     same_id = with_id.join(same_id, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
 
     postings = materialize(prefix_postings(classes), "prefix_postings")
-    some = postings.select("class").distinct()
-    n = some.count()
-    ids = F.broadcast(some) if 16 * n <= BROADCAST_BYTES else some
-    chosen = materialize(texts.join(ids, texts.doc_id == F.col("class"), "left_semi"), "candidate_texts")
-
     hubs = postings.groupBy("key").agg(F.max_by("class", F.struct("common", -F.col("class"))).alias("hub"))
     pairs = postings.join(hubs, "key").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    signed = classes.groupBy("class").agg(F.min("signature").alias("signature"))
+    # one row per class, also where rows share an id
+    signed = classes.groupBy("class").agg(F.min_by(F.struct("signature", "size"), "set_id").alias("s")).select("class", "s.*")
     for side in ("a", "b"):
-        pairs = pairs.join(signed.select(F.col("class").alias(side), F.col("signature").alias(f"signature_{side}")), side)
+        own = signed.select(F.col("class").alias(side), F.col("signature").alias(f"signature_{side}"), F.col("size").alias(f"size_{side}"))
+        pairs = pairs.join(own, side)
     pairs = pairs.filter(_matching(F.col("signature_a"), F.col("signature_b")) >= MATCHES)
+    pairs = pairs.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     pairs = materialize(pairs.select("a", "b"), "hub_pairs")
-    links = materialize(confirmed(pairs, chosen, width, percent), "hub_links")
-    more = merge_families(families(postings, components(links)), chosen, width, percent)
+    links = materialize(confirmed(pairs, texts, width, percent), "hub_links")
+    more = merge_families(families(postings, components(links)), signed, texts, width, percent)
     merged = components(links.unionByName(more).unionByName(same_id))
 
     result = rows.join(classes.select("set_id", "class"), "set_id", "left").join(merged, F.col("class") == F.col("node"), "left")

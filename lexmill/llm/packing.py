@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import only
-from lexmill.llm.vocabulary import Cache, held, tokenizer_file
+from lexmill.llm.vocabulary import tokenizer_file
+from lexmill.llm.workers import Cache, held, trim
 from lexmill.storage import materialize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -127,6 +128,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             yield pa.RecordBatch.from_arrays(
                 [ids_column, *[pa.array(c) for c in columns]], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             )
+        trim()
 
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(
         run, f"doc_id {id_type}, piece long, start long, length long, ids_crc32 long, part long, nth long"

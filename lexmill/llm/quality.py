@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lexmill.llm.rows import map_text, only, sample_rows, slices, utf8
+from lexmill.llm.workers import held
 
 SAMPLE_ROWS = 4000
 WINDOWS = 6
@@ -33,6 +34,8 @@ BLOCK = 64
 # a chunk is four blocks and begins three blocks after the one before
 CHUNK, STRIDE = 4, 3
 PIECE = 128 * BLOCK
+# Characters worked on at once.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -64,8 +67,9 @@ class QualityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """One probability per text, from all its bytes; an empty or null text is one block of zero bytes."""
+        held("quality")
         out = np.empty(len(texts))
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             raw, ends = utf8(texts[part])
             sizes = np.diff(ends)
             blocks = (sizes + WIDTH - 1 + BLOCK - 1) // BLOCK

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.workers import trim
+
 # Texts are worked on in slices of about this many characters, so that the
 # memory of a task does not depend on how many rows an Arrow batch has.
 SLICE_CHARS = 4 << 20
@@ -65,6 +67,7 @@ def map_text(
             parts = [work(texts[s]) for s in slices(texts)]
             columns = [pa.concat_arrays([pa.array(p[k], kind) for p in parts]) if parts else pa.array([], kind) for k, kind in enumerate(fields.values())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=kept + list(fields))
+        trim()
 
     return df.select(*kept, text).mapInArrow(run, schema)
 

@@ -8,10 +8,11 @@ from functools import lru_cache
 import numpy as np
 
 from lexmill.llm.rows import slices, utf8
+from lexmill.llm.workers import held
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 # Characters worked on at once: about 60 bytes of memory each.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +61,7 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     A text with fewer words has all of them as its one shingle; without words
     its set is empty.
     """
+    held("shingles")
     for part in slices(texts, SLICE):
         words, at = word_hashes(texts[part])
         joined = words.copy()

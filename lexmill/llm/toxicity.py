@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import map_text, only, sample_rows
-from lexmill.llm.vocabulary import Cache, held
+from lexmill.llm.workers import Cache, held
 
 BUCKETS = 1 << 18
 POSITIVE_ROWS = 3000

@@ -11,40 +11,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer, models, pre_tokenizers  # noqa: E402
 
-# A worker's cache is emptied when it holds this many strings; longer strings are never cached.
-CACHE_ENTRIES = 1_000_000
-CACHE_LENGTH = 64
-
-
-class Cache(dict):
-    """Memo of a pure function of short strings, bounded in entries and key length."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[key] = value
-        return value
-
-
-_held: dict = {}
-
-
-def held(key, make):
-    """What ``make`` returns, kept for the next tasks of this worker until another key is asked for.
-
-    A worker serves one operator after another; only the present one's cache is in memory.
-    """
-    if key not in _held:
-        _held.clear()
-        _held[key] = make()
-    return _held[key]
-
 
 @lru_cache(maxsize=2)
 def tokenizer_file(path: str) -> Tokenizer:
