@@ -36,8 +36,8 @@ LEXICON = 300  # words per language
 AFFIXES = (1, 2, 3, 4)
 UNDETERMINED = "und"
 # Characters worked on at once, and words whose emissions a worker keeps.
-SLICE = 1 << 20
-CACHED_WORDS = 600_000
+SLICE = 1 << 19
+CACHED_WORDS = 400_000
 CHAIN = 200
 
 
@@ -206,8 +206,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     Without such a document every text is undetermined.
     """
     known = only(docs, doc_id=id_col, text=text_col, lang=lang_col).filter("doc_id is not null and text is not null and lang is not null").filter(learn)
+    total = only(docs, doc_id=id_col, lang=lang_col).filter("doc_id is not null and lang is not null").filter(learn).count()
     # whole texts stay in place: what is compared and sent is an excerpt
-    sample = sample_rows(known.select("doc_id", "lang", excerpt(F.col("text"), seed).alias("text")), "doc_id", rows, seed).collect()
+    sample = sample_rows(known.select("doc_id", "lang", excerpt(F.col("text"), seed).alias("text")), "doc_id", rows, seed, total).collect()
     return train([(r.text, r.lang) for r in sample], seed)
 
 

@@ -124,7 +124,8 @@ def fit(
     texts = only(docs, doc_id=id_col, text=text_col).filter("text is not null")
     # at most ``rows`` rows of two numbers are broadcast
     found = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", excerpts(F.col("text")).alias("parts"))
-    found = sample_rows(found, "doc_id", rows, seed).toPandas()
+    # repeated ids may have brought more rows; there is no need to count them first
+    found = sample_rows(found, "doc_id", rows, seed, total=0).toPandas()
     if found["label"].nunique() < 2:
         return QualityModel.unfitted()
     return train(found["parts"].tolist(), found["label"].to_numpy(np.float32), epochs, seed)
