@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import only
-from lexmill.llm.vocabulary import tokenizer_file
+from lexmill.llm.vocabulary import merges_only, tokenizer_file
 from lexmill.llm.workers import Cache, held, trim
 from lexmill.storage import materialize
 
@@ -37,7 +37,16 @@ END_ID = 0
 MARKS = frozenset([b".", b",", b"!", b"?", b";", b":"])
 
 
-def _word_ids(path: str) -> Cache:
+class Words(Cache):
+    """Ids of words; a word with a mark behind it is put together, not kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in MARKS and word[-2:-1].isalnum():
+            return self[word[:-1]] + self[word[-1:]]
+        return super().__missing__(word)
+
+
+def _word_ids(path: str) -> Words:
     """Little-endian 32-bit ids of a word without ASCII white space, in lower case.
 
     The vocabulary drops white space and lower-cases, and no step before it looks
@@ -45,16 +54,15 @@ def _word_ids(path: str) -> Cache:
     punctuation mark after a letter or digit is a token sequence of its own.
     """
 
-    def make() -> Cache:
-        encode = tokenizer_file(path).encode
+    def make() -> Words:
+        encode, plain = tokenizer_file(path).encode, merges_only(path).encode
 
         def ids(word: bytes) -> bytes:
-            if word[-1:] in MARKS and word[-2:-1].isalnum():
-                return cache[word[:-1]] + cache[word[-1:]]
-            return np.asarray(encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            # ASCII letters are one piece that no step before the merges changes
+            run = plain if word.isalpha() else encode
+            return np.asarray(run(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-        cache = Cache(ids)
-        return cache
+        return Words(ids)
 
     return held(("words", path), make)
 

@@ -8,7 +8,7 @@ import gc
 import pyarrow as pa
 
 # A worker's cache is emptied when it holds this many strings; longer strings are never cached.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 800_000
 CACHE_LENGTH = 64
 
 
