@@ -45,30 +45,48 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def word_features(word: str, lexicons: dict[str, str]) -> list[int]:
-    """Hashed features of a word in lower case; none if it has no letter."""
-    w = letters(word)
-    if not w:
-        return []
-    names = ["w" + w] + ["b" + w[:n] for n in AFFIXES if len(w) >= n] + ["e" + w[-n:] for n in AFFIXES if len(w) >= n]
-    framed = "^" + w + "$"
-    names += {"t" + framed[i : i + 3] for i in range(len(framed) - 2)}
-    if w in lexicons:
-        names.append("l" + lexicons[w])
-    # 0 is for padding
-    return [1 + zlib.crc32(n.encode()) % (BUCKETS - 1) for n in names]
-
-
-def emissions(features: list[list[int]], weights: np.ndarray) -> np.ndarray:
-    """Sum of the features' weights for each word."""
-    counts = np.array([len(f) for f in features], np.int64)
-    out = np.zeros((len(features), weights.shape[1]), np.float32)
-    some = np.flatnonzero(counts)
-    if len(some):
-        flat = np.fromiter((x for f in features for x in f), np.int64, counts.sum())
-        starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        out[some] = np.add.reduceat(weights[flat], starts, axis=0)
-    return out
+def _bucket(code: np.ndarray, kind: int) -> np.ndarray:
+    """Numbers from 0 to BUCKETS - 1 for the codes of one kind of feature."""
+    mixed = (code.astype(np.uint64) * np.uint64(64) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(48)).astype(np.int64) % BUCKETS
+
+
+def word_features(words: list[str], lexicons: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words made of letters, word after word, and each word's number of them.
+
+    Beginnings, endings and trigrams are those of the UTF-8 bytes, trigrams with a mark at either end.
+    """
+    raw = [w.encode() for w in words]
+    size = np.array([len(r) for r in raw], np.int64)
+    start = np.cumsum(size + 2) - size - 1  # of the first byte, behind a mark
+    flat = np.frombuffer(b"".join(b"^" + r + b"$" for r in raw), np.uint8).astype(np.int64)
+    owner = np.arange(len(words))
+    owners, ids = [owner], [_bucket(np.array([zlib.crc32(r) for r in raw], np.int64), 0)]
+    middle = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    owners.append(np.repeat(owner, size))
+    ids.append(_bucket((flat[middle - 1] << 16) | (flat[middle] << 8) | flat[middle + 1], 1))
+    head = tail = np.zeros(len(words), np.int64)
+    for n in range(1, max(AFFIXES) + 1):
+        own = np.flatnonzero(size >= n)
+        head, tail = head.copy(), tail.copy()
+        head[own] = (head[own] << 8) | flat[start[own] + n - 1]
+        tail[own] = (tail[own] << 8) | flat[start[own] + size[own] - n]
+        if n in AFFIXES:
+            owners += [own, own]
+            ids += [_bucket(head[own], 2 * n), _bucket(tail[own], 2 * n + 1)]
+    known = np.array([i for i, w in enumerate(words) if w in lexicons], np.int64)
+    owners.append(known)
+    ids.append(_bucket(np.array([zlib.crc32(lexicons[words[i]].encode()) for i in known], np.int64), 20))
+    owners, ids = np.concatenate(owners), np.concatenate(ids)
+    return ids[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+
+
+def emissions(features: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Sum of the features' weights for each word; every word has some."""
+    ids, counts = features
+    if not len(counts):
+        return np.zeros((0, weights.shape[1]), np.float32)
+    return np.add.reduceat(weights[ids], np.cumsum(counts) - counts, axis=0)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +153,7 @@ class LanguageModel:
             plain = [letters(w) for w in new]
             unseen = [w for w in dict.fromkeys(plain) if w and w not in rows]
             at = len(memo["table"])
-            memo["table"] = np.concatenate([memo["table"], emissions([word_features(w, self.lexicons) for w in unseen], self.weights)])
+            memo["table"] = np.concatenate([memo["table"], emissions(word_features(unseen, self.lexicons), self.weights)])
             rows.update(zip(unseen, range(at, at + len(unseen))))
             rows[""] = 0
             rows.update((w, rows[p]) for w, p in zip(new, plain))
@@ -226,13 +244,14 @@ def train(sample: list[tuple[str, str]], seed: int, epochs: int = 4) -> Language
     lexicons = _lexicons(chains, y, languages)
     index: dict[str, int] = {}
     words = [np.array([index.setdefault(w, len(index)) for w in own]) for own in chains]
-    features = [word_features(w, lexicons) for w in index]
+    ids, counts = word_features(list(map(letters, index)), lexicons)
+    features = np.split(ids, np.cumsum(counts)[:-1])
     labels = [np.full(len(own), lang) for own, lang in zip(words, y)]
     model = _field(words, labels, features, languages, lexicons, seed, epochs)
     # words of passages in another language: the field's own opinion, with the document's language as a weak hint
     hinted = []
     for own, lang in zip(words, y):
-        scores = emissions([features[w] for w in own], model.weights)
+        scores = emissions(_together(features, own), model.weights)
         scores[:, lang] += 0.5
         stay = np.where(np.eye(len(languages), dtype=bool), 0.0, -4.0)
         hinted.append(forward_backward(scores, np.array([len(own)]), stay, np.zeros(len(languages)))[0].argmax(axis=1))
@@ -252,6 +271,11 @@ def _lexicons(chains: list[list[str]], y: list[int], languages: list[str]) -> di
     return out
 
 
+def _together(features: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = [features[i] for i in words]
+    return np.concatenate(own), np.array([len(f) for f in own])
+
+
 def _field(words, labels, features, languages, lexicons, seed: int, epochs: int, batch: int = 64, rate: float = 0.3) -> LanguageModel:
     """Maximum likelihood by Adagrad; a small weight decay keeps the transitions finite."""
     rng, k = np.random.default_rng(seed), len(languages)
@@ -262,14 +286,13 @@ def _field(words, labels, features, languages, lexicons, seed: int, epochs: int,
             ids, gold = np.concatenate([words[i] for i in rows]), np.concatenate([labels[i] for i in rows])
             lengths = np.array([len(words[i]) for i in rows])
             distinct, back = np.unique(ids, return_inverse=True)
-            own = [features[i] for i in distinct]
-            marginals, moves, first = forward_backward(emissions(own, w)[back], lengths, step, begin)
+            flat, counts = _together(features, distinct)
+            marginals, moves, first = forward_backward(emissions((flat, counts), w)[back], lengths, step, begin)
             wrong = -marginals
             wrong[np.arange(len(gold)), gold] += 1
             per_word = np.zeros((len(distinct), k))
             np.add.at(per_word, back, wrong)
-            flat = np.fromiter((f for fs in own for f in fs), np.int64)
-            g = np.repeat(per_word, [len(fs) for fs in own], axis=0)
+            g = np.repeat(per_word, counts, axis=0)
             used, at = np.unique(flat, return_inverse=True)
             grad = np.stack([np.bincount(at, g[:, c], len(used)) for c in range(k)], axis=1) / len(rows)
             sq[used] += grad**2
