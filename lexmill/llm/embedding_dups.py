@@ -4,7 +4,10 @@ Unit vectors are centred and turned into the axes of their largest variance, the
 by a rotation that brings them close to the corners of a cube (alternating signs
 and the orthogonal Procrustes problem); their signs are balanced binary codes. A
 code is cut into substrings, one table each. Vectors that share a substring meet
-in a bucket, where the cosine of the original vectors decides.
+in a bucket, where the cosine of the original vectors decides. Centring
+widens angles, most of all between vectors close to the mean: the number of
+tables follows from the widest angle of a pair outside a radius around the mean,
+and vectors within it are compared with all that can be similar to them.
 
 Equal vectors are one row with a weight from the start. A bucket is a bounded
 amount of work: large ones are dealt into blocks of about BLOCK rows, and each
@@ -31,6 +34,7 @@ from lexmill.storage import materialize
 SAMPLE_ROWS = 4096
 ITERATIONS = 30
 MISS = 0.01  # wanted share of missed links at the threshold itself
+MOST_TABLES = 400
 BUCKET_ROWS = 256
 BLOCK = 1024
 # Cosines this close to the threshold are computed again in one fixed order of additions.
@@ -44,6 +48,17 @@ class Codes:
     mean: np.ndarray
     axes: np.ndarray  # dimensions x bits
     width: int  # bits per substring
+    radius: float = 0.0  # vectors closer to the mean are central: the codes promise nothing for them
+    chord: float = 0.0  # distance of two unit vectors at the threshold
+
+    @property
+    def tables(self) -> int:
+        return self.axes.shape[1] // self.width
+
+    def nearness(self, unit: np.ndarray) -> np.ndarray:
+        """2 for central vectors, 1 for others that can be similar to a central one, else 0."""
+        far = np.linalg.norm(unit - self.mean, axis=1)
+        return (far < self.radius).astype(np.int64) + ((self.radius > 0) & (far < self.radius + self.chord + CLOSE))
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Substrings as whole numbers, one column per table."""
@@ -66,16 +81,35 @@ def quantisation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def fit_codes(sample: np.ndarray, n: int, cosine: float, seed: int = 3) -> Codes:
     """Codes for ``n`` vectors: substrings long enough for buckets of BUCKET_ROWS, and enough of them.
 
-    Two vectors at the threshold agree in a bit with probability 1 - angle / pi.
+    Two vectors agree in a bit with probability 1 - angle / pi, seen from the
+    mean. Of pairs at the threshold outside a radius around the mean, the widest
+    angle is that of two vectors on its edge. The radius is the one with the
+    least work: a smaller one needs more tables, a larger one has more central
+    vectors to compare. No unit vector is closer to the mean than 1 - |mean|.
     """
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     width = min(max(8, math.ceil(math.log2(max(n, 2) / BUCKET_ROWS))), 40)
-    met = (1 - math.acos(cosine) / math.pi) ** width
-    tables = math.ceil(math.log(MISS) / math.log(1 - met))
+    chord = math.sqrt(2 * (1 - cosine))
+    far = np.sort(np.linalg.norm(unit - mean, axis=1))
+
+    def tables_outside(radius: float) -> int:
+        met = (1 - 2 * math.asin(min(1.0, chord / 2 / radius)) / math.pi) ** width
+        return math.ceil(math.log(MISS) / math.log1p(-met)) if met > MISS / MOST_TABLES else MOST_TABLES + 1
+
+    # (work, tables, radius), in comparisons; without tables that suffice all pairs are compared
+    plans = [(float(n) * n, 1, 3.0)]
+    free = 1 - float(np.linalg.norm(mean))
+    if free > CLOSE and (tables := tables_outside(free)) <= MOST_TABLES:
+        plans.append((float(n) * BUCKET_ROWS * tables, tables, 0.0))
+    for radius in np.unique(far[:: max(1, len(far) // 256)]):
+        if radius > CLOSE and (tables := tables_outside(radius)) <= MOST_TABLES:
+            central, near = (np.searchsorted(far, x, "right") / len(far) for x in (radius, radius + chord))
+            plans.append((float(n) * BUCKET_ROWS * (tables + 1) + float(n) * n * central * near, tables, float(radius)))
+    _, tables, radius = min(plans)
     rng = np.random.default_rng(seed)
     axes = [quantisation(unit - mean, rng) for _ in range(math.ceil(width * tables / unit.shape[1]))]
-    return Codes(mean, np.hstack(axes)[:, : width * tables], width)
+    return Codes(mean, np.hstack(axes)[:, : width * tables], width, radius, chord)
 
 
 def unit_links(f: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -146,16 +180,35 @@ def _linked(classes: DataFrame, codes: Codes, cosine: float) -> DataFrame:
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = stack(f["v"])
-            f["keys"] = list(codes.keys(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(f) else [])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            f["keys"] = list(codes.keys(x) if len(f) else [])
+            f["near"] = codes.nearness(x) if len(f) else []
             yield f
 
     # written, so that both uses below see the same rows
     with_keys = classes.select(F.col("class").alias("vec_id"), "weight", "v")
-    with_keys = materialize(with_keys.mapInPandas(coded, "vec_id long, weight long, v array<double>, keys array<long>"), "vector_codes")
+    with_keys = materialize(with_keys.mapInPandas(coded, "vec_id long, weight long, v array<double>, keys array<long>, near long"), "vector_codes")
     posted = with_keys.select("*", F.posexplode("keys").alias("table", "bucket"))
     sizes = with_keys.select(F.posexplode("keys").alias("table", "bucket")).groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     placed = posted.join(sizes, ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = placed.select("vec_id", "weight", "v", "keys", "table", "bucket", "block", other)
+    central = _central_units(with_keys, codes.tables) if codes.radius > 0 else None
+    units = units.unionByName(central) if central is not None else units
     units = units.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return units.groupBy("table", "bucket", "i", "j").applyInPandas(lambda f: unit_links(f, cosine), "vec_id long, n long, least long")
+
+
+def _central_units(with_keys: DataFrame, tables: int) -> DataFrame | None:
+    """A further table in which blocks of central vectors meet each other and those of all that can be similar to them."""
+    n = with_keys.agg(F.count_if(F.expr("near = 2")), F.count_if(F.expr("near = 1"))).first()
+    inner, outer = (math.ceil(k / BLOCK) for k in n)
+    if not inner:
+        return None
+    place, blocks = F.xxhash64("vec_id"), lambda first, k: F.sequence(F.lit(first), F.lit(first + k - 1))
+    is_central = F.col("near") == 2
+    block = F.when(is_central, F.pmod(place, F.lit(inner))).otherwise(F.pmod(place, F.lit(max(outer, 1))) + inner).cast("int")
+    other = F.when(is_central, blocks(0, inner + outer)).otherwise(blocks(0, inner))
+    return with_keys.filter("near > 0").select(
+        "vec_id", "weight", "v", "keys", F.lit(tables).alias("table"), F.lit(0).cast("long").alias("bucket"), block.alias("block"), F.explode(other).alias("other")
+    )

@@ -165,6 +165,66 @@ def test_codes_are_balanced():
     assert codes.width == 12 and (np.abs(share - 0.5) < 0.1).all()
 
 
+def one_direction(rng, n, d):
+    """Vectors with an average cosine of 0.8."""
+    noise = rng.normal(size=(n, d))
+    return np.sqrt(0.8) * np.eye(d)[0] + np.sqrt(0.2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+
+
+def hot_group(rng, n, d):
+    """A third are near copies of one vector, at cosines of about 0.95 with each other."""
+    noise = rng.normal(size=(n, d))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    noise[: n // 3] = np.sqrt(0.95) * np.eye(d)[0] + np.sqrt(0.05) * noise[: n // 3]
+    return noise
+
+
+def close_to_the_mean(rng, n, d):
+    """All but a few vectors in two opposite groups, so that the few are at no angle that codes show."""
+    noise = rng.normal(size=(n, d))
+    x = 3 * np.eye(d)[0] + np.where(np.arange(n) % 2, 1, -1)[:, None] * 3 * np.eye(d)[1] + 0.1 * noise
+    x[:60] = 3 * np.eye(d)[0] + 0.1 * noise[:60]
+    return x
+
+
+@pytest.mark.parametrize("shape", [one_direction, hot_group, close_to_the_mean])
+@pytest.mark.parametrize("n", [50_000, 10_000_000])
+def test_codes_meet_at_the_threshold_wherever_the_mean_is(shape, n):
+    rng = np.random.default_rng(2)
+    x = shape(rng, 3000, 64)
+    codes = embedding_dups.fit_codes(x, n, 0.95)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=x.shape)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    met = (codes.keys(x) == codes.keys(y)).any(axis=1)
+    a, b = codes.nearness(x), codes.nearness(y)
+    met |= (np.maximum(a, b) == 2) & (np.minimum(a, b) > 0)
+    assert (np.maximum(a, b) < 2).all() or (np.minimum(a, b)[np.maximum(a, b) == 2] > 0).all()
+    assert 1 - met.mean() <= 1.5 * embedding_dups.MISS and 1 - met[: len(x) // 3].mean() <= 2 * embedding_dups.MISS
+    assert codes.tables <= embedding_dups.MOST_TABLES
+
+
+@pytest.mark.parametrize("shape", [one_direction, hot_group, close_to_the_mean])
+def test_embedding_duplicates_away_from_a_mean_of_zero(spark, monkeypatch, shape):
+    monkeypatch.setattr(embedding_dups, "BUCKET_ROWS", 8)  # so that codes are less work than all pairs
+    monkeypatch.setattr(embedding_dups, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    x = shape(rng, 900, 24)
+    turn = rng.normal(size=(300, 24))
+    turn -= (turn * x[:300]).sum(axis=1, keepdims=True) * x[:300] / (x[:300] ** 2).sum(axis=1, keepdims=True)
+    size = np.linalg.norm(x[:300], axis=1, keepdims=True)
+    x = np.vstack([x, 0.955 * x[:300] + np.sqrt(1 - 0.955**2) * size * turn / np.linalg.norm(turn, axis=1, keepdims=True)]).astype(np.float32)
+    got = embedding_dups.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    n = {r.vec_id: r.n_links for r in got}
+    assert all(n[i] <= link[i].sum() for i in range(len(x)))
+    assert sum(n.values()) >= 0.985 * link.sum()
+
+
 @pytest.mark.parametrize("part_rows, query_block", [(neighbours.PART_ROWS, 4096), (100, 30)])
 def test_neighbours_against_brute_force(spark, monkeypatch, part_rows, query_block):
     monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
