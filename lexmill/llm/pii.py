@@ -2,8 +2,9 @@
 
 Exact patterns give the base spans. High-recall generators propose further,
 overlapping spans of looser form; format and context features of each candidate
-are small integers. The label of a candidate is whether an exact rule confirms
-it (checksum, value range, strict form), which the features do not show. Counts
+are small integers. Within a run of numbers that no exact card pattern takes, every
+stretch of 13 to 19 digits is a candidate, and in a run of dotted numbers every four
+neighbours. The label of a candidate is whether an exact rule confirms it (checksum, value range, strict form), which the features do not show. Counts
 of confirmed and refused candidates per feature combination cover all documents;
 there are at most a few ten thousand combinations, whatever the input. Boosted
 trees are fitted on these counts and become one SQL expression. Half of the
@@ -39,6 +40,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # What the generators look for, beside the patterns of ip and card with any value.
 LOOSE_EMAIL = rf"{_RUN_START}{_LOCAL}++\x20?(?:@|[(\[]at[)\]])\x20?{_HOST}++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?{_HOST}++)++"
+DOTTED = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+"
 LOOSE_PHONE = r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
 
@@ -82,15 +84,95 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def generated_spans(text: Column) -> dict[str, Column]:
-    """Looser candidates by kind, which may overlap each other and the base spans."""
+def _with_sides(text: Column, spans: Column) -> Column:
+    """Spans with the CONTEXT characters before them and the one behind them."""
+    near = lambda s: F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+    return F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), near(s).alias("near"), F.substr(text, s["end"] + 1, F.lit(1)).alias("after")
+    ))
+
+
+def _within(text: Column, runs: Column, mark: str, windows: Callable[[Column, Column], list[tuple[Column, Column, Column]]]) -> Column:
+    """For each run an array of spans within it, with their sides.
+
+    ``windows(marks, size)`` gives, from the places in the run of characters that
+    match ``mark`` and its size, (number of spans, start of the i-th, its end).
+    All is cut from one array of characters per run, so no span costs more for
+    standing far behind in a text.
+    """
+    lead = lambda r: F.least(r["start"], F.lit(CONTEXT))
+    cut = F.transform(runs, lambda r: F.struct(
+        r["start"].alias("start"), lead(r).alias("lead"), F.length(r["found"]).alias("size"),
+        F.regexp_extract_all(F.substr(text, r["start"] - lead(r) + 1, lead(r) + F.length(r["found"]) + 1), F.lit("(?s)."), F.lit(0)).alias("chars"),
+    ))
+    places = lambda t: F.filter(F.transform(F.slice(t["chars"], t["lead"] + 1, t["size"]), lambda c, i: F.when(c.rlike(mark), i)), lambda i: i.isNotNull())
+    cut = F.transform(cut, lambda t: F.struct(t["start"].alias("start"), t["lead"].alias("lead"), t["size"].alias("size"), t["chars"].alias("chars"), places(t).alias("marks")))
+    text_of = lambda t, start, end: F.array_join(F.slice(t["chars"], start + 1, end - start), "")
+
+    def span(t: Column, start: Column, end: Column) -> Column:
+        first, last = t["lead"] + start, t["lead"] + end
+        return F.struct(
+            (t["start"] + start).alias("start"), (t["start"] + end).alias("end"), text_of(t, first, last).alias("found"),
+            text_of(t, F.greatest(first - CONTEXT, F.lit(0)), first).alias("near"), F.coalesce(F.get(t["chars"], last), F.lit("")).alias("after"),
+        )
+
+    def counted(t: Column, n: Column, start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Column:
+        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(every, lambda i: span(t, start(i), end(i)))
+
+    inside = lambda t: F.concat(*[counted(t, *w) for w in windows(t["marks"], t["size"])])
+    return F.transform(cut, inside)
+
+
+def _card_windows(marks: Column, size: Column) -> list[tuple]:
+    """Every stretch of 13 to 19 digits, and a whole run of 20."""
+    at = lambda i: F.get(marks, i)
+    windows = [(F.size(marks) - k + 1, at, lambda i, k=k: at(i + k - 1) + 1) for k in range(13, 20)]
+    return [*windows, (F.when(F.size(marks) == 20, 1).otherwise(0), at, lambda i: at(i + 19) + 1)]
+
+
+def _ip_windows(marks: Column, size: Column) -> list[tuple]:
+    """Every four neighbouring numbers; the marks are the dots."""
+    return [(F.size(marks) - 2, lambda i: F.when(i > 0, F.get(marks, i - 1) + 1).otherwise(0), lambda i: F.coalesce(F.get(marks, i + 3), size))]
+
+
+def _overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (a["end"] > b["start"])
+
+
+def _confirmed_first(cards: Column) -> Column:
+    """Of overlapping cards those with a right check sum that cut no group of digits, else with a right check sum, if there are any."""
+    cuts = lambda s: s["near"].rlike("[0-9]$") | s["after"].rlike("^[0-9]")
+    rank = lambda s: F.when(~card_number(s["found"]), 0).when(cuts(s), 1).otherwise(2)
+    ranked = F.transform(cards, lambda s: F.struct(rank(s).alias("rank"), s.alias("span")))
+    # one array, so that the ranks are worked out once
+    kept = F.transform(F.array(ranked), lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda c: (c["rank"] > s["rank"]) & _overlaps(c["span"], s["span"]))))
+    return F.transform(kept[0], lambda s: s["span"])
+
+
+def generated_spans(text: Column, base: dict[str, Column], keep: Callable[[str], Callable[[Column], Column]] | None = None) -> dict[str, Column]:
+    """Looser candidates by kind, with their sides; they may overlap each other and the base spans.
+
+    With ``keep`` only those for which ``keep(kind)`` holds; of these cards of one
+    run that overlap, confirmed ones go first.
+    """
+    keep, settle = (keep, _confirmed_first) if keep else (lambda kind: lambda span: F.lit(True), lambda cards: cards)
     always = lambda found: F.lit(True)
     long_enough = lambda found: F.length(digits(found)).between(12, 20)
+    refused = lambda found: (F.length(digits(found)) >= 14) & ~card_number(found)
+    none = _with_sides(text, no_spans())
+    some_card = text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
+    whole = F.filter(_with_sides(text, matches(text, CARD, lambda found: long_enough(found) & ~refused(found))), keep("card"))
+    runs = matches(text, CARD, refused)
+    inner = F.transform(_within(text, runs, "[0-9]", _card_windows), lambda spans: F.filter(spans, keep("card")))
+    quads = F.filter(F.flatten(_within(text, matches(text, DOTTED, always), r"\.", _ip_windows)), keep("ip"))
+    # a quad that cuts a base span is no candidate
+    own = lambda s: ~F.exists(base["ip"], lambda b: _overlaps(b, s) & (b["start"] != s["start"]))
     return {
-        "email": F.when(text.rlike(r"@|[(\[]at[)\]]"), matches(text, LOOSE_EMAIL, always)).otherwise(no_spans()),
-        "ip": matches(text, IP, always),
-        "card": F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), matches(text, CARD, long_enough)).otherwise(no_spans()),
-        "phone": matches(text, LOOSE_PHONE, always),
+        "email": F.when(text.rlike(r"@|[(\[]at[)\]]"), F.filter(_with_sides(text, matches(text, LOOSE_EMAIL, always)), keep("email"))).otherwise(none),
+        "ip": F.when(text.rlike(DOTTED), F.filter(quads, own)).otherwise(none),
+        "card": F.when(some_card, F.concat(whole, F.flatten(F.transform(inner, settle)))).otherwise(none),
+        "phone": F.filter(_with_sides(text, matches(text, LOOSE_PHONE, always)), keep("phone")),
     }
 
 
@@ -102,12 +184,10 @@ def _side(char: Column) -> Column:
     return F.when(char.rlike("[A-Za-z0-9]"), 2).when(char.rlike(r"[^\s]"), 1).otherwise(0)
 
 
-def features(text: Column, span: Column) -> list[Column]:
+def features(span: Column) -> list[Column]:
     """Format and context of one candidate as small integers, in the order of FEATURES."""
-    found = span["found"]
-    near = F.lower(F.substr(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
-    before = F.when(span["start"] > 0, F.substr(text, span["start"], F.lit(1))).otherwise(F.lit(""))
-    after = F.substr(text, span["end"] + 1, F.lit(1))
+    found, near, after = span["found"], F.lower(span["near"]), span["after"]
+    before = F.right(span["near"], F.lit(1))
     n = F.length(digits(found))
     return [
         F.when(n == 0, 0).when(n <= 2, 1).when(n <= 6, 2).when(n <= 9, 3).when(n <= 10, 4).when(n <= 12, 5).when(n <= 15, 6).when(n == 16, 7).when(n <= 19, 8).otherwise(9),
@@ -120,16 +200,20 @@ def features(text: Column, span: Column) -> list[Column]:
 
 
 def confirmed(kind: str, span: Column, base: dict[str, Column]) -> Column:
-    """Whether an exact rule finds this candidate, or for phones a number around it."""
+    """Whether an exact rule confirms this candidate, or for phones a number around it."""
+    if kind == "card":
+        return card_number(span["found"])
+    if kind == "ip":
+        return small_parts(span["found"])
     inside = kind == "phone"
     return F.exists(base[kind], lambda b: ((b["start"] <= span["start"]) & (b["end"] >= span["end"])) if inside else ((b["start"] == span["start"]) & (b["end"] == span["end"])))
 
 
-def _cases(kind: str, spans: Column, text: Column, base: dict[str, Column]) -> Column:
+def _cases(kind: str, spans: Column, base: dict[str, Column]) -> Column:
     return F.transform(
         spans,
         lambda s: F.struct(
-            F.lit(kind).alias("kind"), confirmed(kind, s, base).alias("good"), *[f.alias(n) for n, f in zip(FEATURES, features(text, s))]
+            F.lit(kind).alias("kind"), confirmed(kind, s, base).alias("good"), *[f.alias(n) for n, f in zip(FEATURES, features(s))]
         ),
     )
 
@@ -200,8 +284,8 @@ class PiiModel:
         text = F.col("text")
         base = base_spans(text)
         rows = []
-        for kind, spans in generated_spans(text).items():
-            rows.append(_cases(kind, spans, text, base))
+        for kind, spans in generated_spans(text, base).items():
+            rows.append(_cases(kind, spans, base))
         # texts without a digit or an address sign have no candidates
         some = docs.filter(text.rlike(r"[0-9]|@|[(\[]at[)\]]"))
         cells = some.select("half", F.explode(F.concat(*rows)).alias("c")).groupBy("half", "c.kind", *[f"c.{n}" for n in FEATURES]).agg(
@@ -237,19 +321,21 @@ class PiiModel:
             total = total + (tree.sql(cols) if isinstance(tree, Tree) else F.lit(float(tree)))
         return total
 
-    def _selected(self, kind: str, text: Column, base: Column) -> Callable[[Column], Column]:
+    def _selected(self, kind: str, base: Column) -> Callable[[Column], Column]:
         def selected(s: Column) -> Column:
-            free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-            return free & (self.score(kind, features(text, s)) >= self.threshold[kind] - 1e-9)
+            free = ~F.exists(base, lambda b: _overlaps(b, s))
+            return free & (self.score(kind, features(s)) >= self.threshold[kind] - 1e-9)
 
         return selected
 
     def added(self, text: Column, base: Column) -> Column:
         """Selected candidates that overlap no base span: (place, start, end, kind)."""
         parts = []
-        for kind, spans in generated_spans(text).items():
+        chosen = lambda kind: self._selected(kind, base) if kind in self.threshold else lambda span: F.lit(False)
+        by_kind = F.filter(base, lambda b: b["kind"] == "ip")
+        for kind, spans in generated_spans(text, {"ip": by_kind}, chosen).items():
             if kind in self.threshold:
-                parts.append(_placed(kind, F.filter(spans, self._selected(kind, text, base))))
+                parts.append(_placed(kind, spans))
         return F.concat(*parts) if parts else _placed("email", no_spans())
 
 

@@ -105,6 +105,41 @@ def test_boosted_candidates_are_added_beside_the_base(documents):
     assert spans[2] == [("phone", 5, 22)]
 
 
+def with_check_digit(prefix):
+    return next(prefix + str(c) for c in range(10) if luhn(prefix + str(c)))
+
+
+def test_neighbouring_cards_and_addresses_are_found(documents):
+    rng = np.random.default_rng(6)
+    card = lambda: with_check_digit("4" + "".join(map(str, rng.integers(0, 10, 14))))
+    fours = lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4))
+    rows = [(i, f"paid by card {card() if i % 2 else fours(card())} today, host {i % 250}.1.2.3 up") for i in range(400)]
+    rows += [(1000 + i, f"number {rng.integers(10**15, 10**16)}x and 777.{i}.3.4") for i in range(200)]
+    model = pii.PiiModel().fit(documents(rows))
+    assert {"card", "ip"} <= model.threshold.keys()
+    a, b, c = (card() for _ in range(3))
+    texts = [f"paid by card {a} {b} today", f"paid by card {a} {b} {c}", f"card {fours(a)} {fours(b)}", f"card {fours(a)} 2027", f"card 2027 {fours(a)}", f"🙂 host 999.10.2.3.4, {a} {b} up"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: {s.kind: [] for s in r.spans} | {(s.kind, texts[r.doc_id][s.start : s.end]): 1 for s in r.spans} for r in pii.find(documents(rows), model).collect()}
+    for i, cards in enumerate([[a, b], [a, b, c], [fours(a), fours(b)], [fours(a)], [fours(a)], [a, b]]):
+        assert all(("card", x) in got[i] for x in cards), (i, got[i])
+    clean = {r.doc_id: r.text for r in pii.redacted(documents(rows), model).collect()}
+    assert clean[0] == "paid by card [CARD] [CARD] today" and clean[1] == "paid by card [CARD] [CARD] [CARD]"
+    assert clean[4] == "card 2027 [CARD]"
+
+
+def test_candidates_overlap_within_a_kind(documents):
+    text = "🙂 1.2.3.4.5 999.10.2.3.4 12345678901234567890123 4111 1111 1111 1111 7"
+    col = F.col("text")
+    row = documents([(1, text)]).select(*[s.alias(k) for k, s in pii.generated_spans(col, pii.base_spans(col)).items()]).first()
+    assert [s.found for s in row.ip] == ["1.2.3.4", "999.10.2.3", "10.2.3.4"]
+    run = next(m for m in re.finditer(pii.CARD.replace("++", "+"), text) if len(digits(m)) > 19)
+    at = [m.start() for m in re.finditer("[0-9]", text) if run.start() <= m.start() < run.end()]
+    want = {(at[i], at[i + k - 1] + 1) for k in range(13, 20) for i in range(len(at) - k + 1)}
+    assert {(s.start, s.end) for s in row.card} == want
+    assert all(s.found == text[s.start : s.end] and s.near == text[max(0, s.start - pii.CONTEXT) : s.start] and s.after == text[s.end : s.end + 1] for s in [*row.card, *row.ip])
+
+
 def test_boosting_finds_an_interaction():
     x = {"a": np.array([0, 0, 1, 1]), "b": np.array([0, 1, 0, 1])}
     good, bad = np.array([90.0, 5, 30, 90]), np.array([10.0, 95, 70, 10])
