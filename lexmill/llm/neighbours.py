@@ -159,7 +159,8 @@ def verify(queries: pd.DataFrame, vectors: pd.DataFrame, index: Index, k: int, q
             own, own_ids = cells[cell]
             # products in an order of additions that is the same for equal vectors anywhere
             score = own @ q[r]
-            some = np.flatnonzero((score >= kth - 1e-9) & (own_ids != query))
+            # rounding grows with the lengths of both vectors
+            some = np.flatnonzero((score >= kth - 1e-9 * np.sqrt(norms[r]) * index.norm) & (own_ids != query))
             if not len(some):
                 continue
             score = (own[some] * q[r]).sum(axis=1)

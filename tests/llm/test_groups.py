@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lexmill.llm import embedding_dups, minhash, neighbours
@@ -245,6 +246,17 @@ def test_neighbours_against_brute_force(spark, monkeypatch, part_rows, query_blo
     assert hits >= 0.95 * 20 * len(range(0, len(x), 5)) and len(got) == 20 * len(range(0, len(x), 5))
 
 
+def test_equal_scores_of_long_vectors_are_kept():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        x, q = rng.normal(size=(2, 64)) * 1e5
+        frame = pd.DataFrame({"vec_id": np.arange(100), "v": [x.tolist()] * 100})
+        asked = pd.DataFrame({"vec_id": [1000], "v": [q.tolist()], "floor": [(x * q).sum()]})
+        index = neighbours.build(np.array([x, q]), float(max(np.linalg.norm(x), np.linalg.norm(q))), 100, 8, 13)
+        got = neighbours.verify(asked, frame, index, 20, 1e9)
+        assert sorted(got["vec_id"]) == list(range(20))
+
+
 def test_neighbours_of_little(spark):
     assert neighbours.search(vectors(spark, []), "vec_id % 5 = 0").count() == 0
     got = neighbours.search(vectors(spark, [(i, [1.0, 1.0]) for i in range(30)]), "vec_id = 3").collect()
