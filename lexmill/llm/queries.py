@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import byte_bpe, embedding_dups, language, minhash, neighbours, packing, pii, quality, secret_scan, toxicity
+from lexmill.llm import byte_bpe, divergence, embedding_dups, language, merkle, minhash, neighbours, packing, pii, quality, secret_scan, toxicity, warc
 from lexmill.llm.rows import remainder, table
 from lexmill.llm.spans import listing
 
@@ -95,6 +95,26 @@ def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts(pii.KINDS), F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op13_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proof = F.sha2(F.lower(F.hex("witness")), 256).alias("proof_sha256")
+    rows = merkle.manifest(docs, tampered).withColumn("folded_root", F.col("found_root"))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 # --------------------------------------------------------------------- SQL
 
 
@@ -148,7 +168,76 @@ cells as (select doc_id, kind, place, least, f[i] as m,
   from (select *, unnest(range(1, len(f) + 1)) as i from found)),
 kept as (select doc_id, kind, place, s, kind || ':' || s || ':' || (s + length(m)) as span from cells
   where case when kind = 'assign' then length(regexp_extract(m, {_QUOTED}, 2)) else length(m) end >= least)
-select d.doc_id, cast(count_if(kind = 'assign') as bigint) as n_assign, cast(count_if(kind = 'access') as bigint) as n_access, cast(count_if(kind = 'hex') as bigint) as n_hex,
+select d.doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
   sha256(coalesce(string_agg(case when place < 3 then span end, ',' order by s, place), '')) as base_sha256,
   coalesce(string_agg(span, ',' order by s, place), '') as spans
 from d left join kept using (doc_id) group by d.doc_id"""
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLE["op11_source_divergence"] = f"""with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all({_LOW.replace("text", "coalesce(text, '')")}, '{_TERM}') as w from documents),
+g as (select distinct lang, source from d),
+kept as (select lang, t from (select lang, unnest(list_distinct(w)) as t from d) group by lang, t having count(*) >= 10),
+size as (select lang, count(*) as v from kept group by lang),
+cells as (select lang, source, t, count(*) as c from (select lang, source, unnest(w) as t from d) semi join kept using (lang, t) group by lang, source, t),
+grid as (select lang, source, t, coalesce(c, 0) as c from g join kept using (lang) left join cells using (lang, source, t)),
+p as (select lang, source, t, c, 1 + (1000000000 * (c + 2)::hugeint) // (sum(c) over (partition by lang, source) + 2 * v) as p from grid join size using (lang)),
+whole as (select lang, t, sum(c) as c from grid group by lang, t),
+q as (select lang, t, 1 + (1000000000 * (c + 2)::hugeint) // (sum(c) over (partition by lang) + 2 * v) as q from whole join size using (lang)),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as f
+  from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by a.lang, a.source, b.source),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', t, ((p - q) * (p - q) // (p + q))::bigint from p join q using (lang, t) where c > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank from every)
+select * from ranked where part = 'pair' or rank <= 10"""
+
+ORACLE["op12_warc_dictionary"] = """with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+m as (select *, octet_length(b) as n, max(page_id) over (partition by b) as top from p)
+select page_id, cast(n as bigint) as payload_bytes, sha1(b) as payload_digest,
+  case when n >= 1000 and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from top then top end as refers_to from m"""
+
+
+# Of the id's digits, bit by bit; -1 stands for a shift.
+_CRC32 = """xor(4294967295, list_reduce(
+  flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ord((doc_id::varchar)[i]), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda crc, x: case when x >= 0 then xor(crc, x) when crc % 2 = 1 then xor(crc // 2, 3988292384) else crc // 2 end, 4294967295::bigint))"""
+
+
+def _entry_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar)) || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(map(_entry_sql, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+def _tree_sql(name: str, leaves: str, key: str) -> str:
+    """Recursive CTE: the nodes (key, level, i, h, n) of each key's tree, from leaves (key, i, h, n)."""
+    return f"""{name}({key}, level, i, h, n) as (select {key}, 0, i, h, n from {leaves}
+  union all select {key}, level + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from {name} where n > 1 group by {key}, level, i // 3, n)"""
+
+
+# Levels of the tree of sources are counted from 1000, behind those of a source's tree.
+ORACLE["op13_merkle_witnesses"] = f"""with recursive l as (select doc_id, source, {_leaf_sql("text")} as h,
+    case when crc % 2 = 0 then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql("text")} end as found
+  from (select *, {_CRC32} as crc from documents)),
+leaf as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as i, count(*) over (partition by source) as n from l),
+{_tree_sql("t", "leaf", "source")},
+sub as (select source, h, row_number() over (order by encode(source) nulls first) - 1 as i, count(*) over () as n, 0 as one from t where n = 1),
+{_tree_sql("u", "sub", "one")},
+step as (select leaf.doc_id, leaf.source, leaf.i, t.level, t.h, t.i as place, t.i // 3 = leaf.i // cast(pow(3, t.level + 1) as bigint) and t.i <> leaf.i // cast(pow(3, t.level) as bigint) as beside
+  from leaf join t on t.source is not distinct from leaf.source and t.n > 1 where t.i // 3 = leaf.i // cast(pow(3, t.level + 1) as bigint)),
+step2 as (select leaf.doc_id, leaf.source, leaf.i, 1000 + u.level as level, u.h, u.i as place, u.i <> sub.i // cast(pow(3, u.level) as bigint) as beside
+  from leaf join sub on sub.source is not distinct from leaf.source join u on u.n > 1 and u.i // 3 = sub.i // cast(pow(3, u.level + 1) as bigint)),
+path as (select source, i, level, list(struct_pack(h := h, beside := beside) order by place) as run, row_number() over (partition by source, i order by level) as k
+  from (select * from step union all select * from step2) group by source, i, level),
+fold(source, i, k, h) as (select source, i, 0, found from leaf
+  union all select fold.source, fold.i, fold.k + 1, sha256(list_aggregate(list_transform(run, lambda x: case when x.beside then x.h else fold.h end), 'string_agg', ''))
+  from fold join path on path.source is not distinct from fold.source and path.i = fold.i and path.k = fold.k + 1),
+last as (select source, i, arg_max(h, k) as h from fold group by source, i),
+proof as (select source, i, sha256(coalesce(string_agg(h, '' order by level, place) filter (where beside), '')) as p from (select * from step union all select * from step2) group by source, i)
+select leaf.doc_id, leaf.h as leaf, sub.h as subroot, u.h as root, coalesce(p, sha256('')) as proof_sha256, last.h as folded_root, last.h = u.h as verified
+from leaf join sub on sub.source is not distinct from leaf.source join u on u.n = 1 join last on last.source is not distinct from leaf.source and last.i = leaf.i
+left join proof on proof.source is not distinct from leaf.source and proof.i = leaf.i"""
