@@ -142,7 +142,8 @@ class Archive:
     def __init__(self, folder: str, sample: list[bytes], level: int = LEVEL):
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         store, path = fs.FileSystem.from_uri(self.path)
-        self.out = store.open_output_stream(path)
+        # the name ends in .zst, by which the stream would compress the file once more
+        self.out = store.open_output_stream(path, compression=None)
         raw = train_dictionary(sample)
         words = zstandard.ZstdCompressionDict(raw)
         words.precompute_compress(level=level)
@@ -175,7 +176,7 @@ def _dictionary(head: bytes, source) -> zstandard.ZstdDecompressor:
 def records(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """All records of an archive, frame by frame; no more than a record and a chunk is in memory."""
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as source:
+    with store.open_input_stream(path, compression=None) as source:
         decompressor = _dictionary(source.read(8), source)
         data, frame, parts = b"", None, []
         while True:
