@@ -17,7 +17,9 @@ from lexmill.functions.entities import decode_references
 from lexmill.functions.stem import stem_features, stem_words
 from lexmill.operators import features as feat
 from lexmill.operators.metrics import hit_rate
+from lexmill.operators.sketches import SketchStore
 from lexmill.operators.tensor import CoordTensor
+from lexmill.operators.tiles import matmul_tiles
 from lexmill.plans import (
     GaussianNaiveBayes,
     NaiveBayes,
@@ -30,8 +32,9 @@ from lexmill.plans import (
 )
 from lexmill.plans.bayes import gaussian_stats
 from lexmill.plans.classes import class_counts, log_priors
+from lexmill.plans.increments import ModelLog
 from lexmill.sources import PLAIN, Loader, label_lines, line_index, write_labels
-from lexmill.storage import place, scratch_path
+from lexmill.storage import materialize, place, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -317,14 +320,19 @@ def start_sql(name: str, rows: str, labels: str, seed: str = "0") -> str:
   from (select distinct feature from {rows}) cross join (select distinct label from {labels}))"""
 
 
-def step_sql(n: int, w: str, x: str, y: str, lr: float) -> str:
-    """CTEs of one gradient step; ``g{n}`` is the sum to add, ``w{n}`` the new weights."""
-    return f"""z{n} as (select doc_id, w.label, sum(value * w) as z from {x} x join {w} w using (feature) group by all),
+def step_sql(n: int, w: str, x: str, y: str, lr: float, bias: bool = False) -> str:
+    """CTEs of one gradient step; ``g{n}`` is the sum to add, ``w{n}`` the new weights, ``b{n}`` the new biases."""
+    plus, join, moved = "", "", ""
+    if bias:
+        plus, join = " + any_value(b)", f" join b{n - 1} on b{n - 1}.label = w.label"
+        moved = f""",
+b{n} as (select label, b + {lr!r}e0 * coalesce(s, 0) as b from b{n - 1} left join (select label, sum(d) as s from d{n} group by label) using (label))"""
+    return f"""z{n} as (select doc_id, w.label, sum(value * w){plus} as z from {x} x join {w} w using (feature){join} group by all),
 e{n} as (select doc_id, label, exp(z - max(z) over (partition by doc_id)) as e from z{n}),
 d{n} as (select doc_id, e.label, case when y.label is null then 0 else 1 end
     - e / sum(e) over (partition by doc_id) as d from e{n} e left join {y} y using (doc_id, label)),
 g{n} as (select feature, d.label, sum(value * d) as g from {x} x join d{n} d using (doc_id) group by all),
-w{n} as (select feature, label, w + {lr!r}e0 * coalesce(g, 0) as w from {w} left join g{n} using (feature, label))"""
+w{n} as (select feature, label, w + {lr!r}e0 * coalesce(g, 0) as w from {w} left join g{n} using (feature, label)){moved}"""
 
 
 # ------------------------------------------------------- sources and sinks
@@ -594,6 +602,18 @@ def vocabulary_size(spark, sf_dir):
     return words.agg(F.countDistinct("feature").alias("vocabulary_size"))
 
 
+# sketches of two parts, stored and merged; ``near``: within 3 % of the exact number
+@query(f"with {BAG} select label, count(distinct feature) as vocabulary, true as near from x group by label")
+def vocabulary_sketches(spark, sf_dir):
+    store = SketchStore(spark, scratch_path(spark, "sketches"))
+    for part, docs in (("train", train_docs), ("test", test_docs)):
+        store.add(part, text.tokens(docs(spark, sf_dir), [], keep=["label"]), ["label"])
+    about = store.estimate(["label"]).select("label", F.col("vocabulary").alias("about"))
+    exact = text.tokens(documents(spark, sf_dir), [], keep=["label"]).groupBy("label").agg(F.countDistinct("feature").alias("vocabulary"))
+    near = F.abs(F.col("about") - F.col("vocabulary")) <= F.lit(0.03) * F.col("vocabulary")
+    return exact.join(about, "label").select("label", "vocabulary", near.alias("near"))
+
+
 @query(f"with {BAG} select doc_id, sum(value) as length from x group by doc_id")
 def doc_length(spark, sf_dir):
     return feat.doc_length(text.bag_of_words(documents(spark, sf_dir)))
@@ -813,6 +833,18 @@ def matmul(spark, sf_dir):
     return (CoordTensor(a, ["l_orderkey", "l_suppkey"]) @ CoordTensor(b, ["l_suppkey", "l_returnflag"])).df
 
 
+# suppliers by the parts they ship, times its transpose: over a hundred pairs of cells for each cell of the product
+@query(
+    """with a as (select l_suppkey, l_partkey, sum(l_quantity) as v from lineitem group by all)
+select x.l_suppkey, y.l_suppkey as l_suppkey_2, cast(sum(x.v * y.v) as double) as value from a x join a y using (l_partkey)
+group by all having sum(x.v * y.v) <> 0"""
+)
+def matmul_tiles_(spark, sf_dir):
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("value"))
+    a = CoordTensor(materialize(shipped, "shipped"), ["l_suppkey", "l_partkey"])
+    return matmul_tiles(a, a.t).df
+
+
 @query(f"with {SHIPPED} select i, j, value * 2.5e0 as value from t where value <> 0")
 def tensor_scale(spark, sf_dir):
     return (shipped(spark, sf_dir) * 2.5).df
@@ -967,6 +999,33 @@ def nb_predict(spark, sf_dir):
     return _rounded(_nb(spark, sf_dir).predict(_test_bag(spark, sf_dir)), 2)
 
 
+def _in_batches(spark, sf_dir, kind: str) -> ModelLog:
+    """The training documents counted in three batches, two of which are compacted."""
+    log = ModelLog(spark, scratch_path(spark, "log"), kind)
+    for batch in range(3):
+        docs = train_docs(spark, sf_dir).filter(F.col("doc_id") % 3 == batch)
+        log.partial_fit(labelled_bag(docs), docs, label_col="label")
+        if batch == 1:
+            log.compact()
+    return log
+
+
+# as nb_predict, from counts added batch by batch
+@query(f"with {SPLIT}, {nb_sql()} select doc_id, label, round(score, 2) as score from sc {BEST_OF_SC}")
+def nb_incremental(spark, sf_dir):
+    return _rounded(_in_batches(spark, sf_dir, "words").naive_bayes().predict(_test_bag(spark, sf_dir)), 2)
+
+
+# as tfidf_holdout, from document frequencies added batch by batch
+@query(
+    f"""with {SPLIT}, df as (select feature, count(*) as df from tr group by feature), {tfidf_sql("s", "te", "df")}
+select doc_id, feature, round(value, 8) as value from s"""
+)
+def tfidf_incremental(spark, sf_dir):
+    scored = _in_batches(spark, sf_dir, "words").tfidf().transform(text.bag_of_words(test_docs(spark, sf_dir)))
+    return scored.select("doc_id", "feature", F.round("value", 8).alias("value"))
+
+
 @query(_accuracy_sql(f"with {SPLIT}, {nb_sql()}"))
 def accuracy_nb(spark, sf_dir):
     truth = labels_of(test_docs(spark, sf_dir))
@@ -1071,6 +1130,16 @@ def gaussian_stats_(spark, sf_dir):
     return stats.withColumn("mean", F.round("mean", 8)).withColumn("stddev", F.round("stddev", 8))
 
 
+# moments of three batches, merged
+@query(
+    f"""with {SPLIT} select label, feature, count(*) as cnt, round(avg(value), 6) as mean,
+  round(stddev_samp(value), 6) as stddev from tr group by all"""
+)
+def gaussian_merged(spark, sf_dir):
+    stats = _in_batches(spark, sf_dir, "values").gaussian().stats
+    return stats.withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 6))
+
+
 @query(f"with {VECTORS}, {gnb_sql()} select doc_id, label, round(score, 6) as score from sc")
 def gnb_scores(spark, sf_dir):
     return _rounded(_gnb(spark, sf_dir).scores(_test_vectors(spark, sf_dir)), 6)
@@ -1184,6 +1253,27 @@ def softmax_step_long(spark, sf_dir):
     return _weights(_softmax(spark, sf_dir, 1, wide=0))
 
 
+_INTERCEPT = f"""with {VECTORS}, {start_sql("w0", "x", "y")}, b0 as (select distinct label, 0e0 as b from y),
+{step_sql(1, "w0", "x", "y", LR, bias=True)}, {step_sql(2, "w1", "x", "y", LR, bias=True)}
+select feature, label, round(w, 6) as w from w2 union all select '(intercept)', label, round(b, 6) from b2"""
+
+
+def _with_intercept(model: SoftmaxRegression) -> DataFrame:
+    bias = model.intercepts().select(F.lit("(intercept)").alias("feature"), "label", F.round("bias", 6).alias("w"))
+    return _weights(model).unionByName(bias)
+
+
+@query(_INTERCEPT)
+def softmax_intercept(spark, sf_dir):
+    return _with_intercept(_softmax(spark, sf_dir, 2, fit_intercept=True))
+
+
+# a row per weight, and weights treated as too large to broadcast
+@query(_INTERCEPT)
+def softmax_intercept_long(spark, sf_dir):
+    return _with_intercept(_softmax(spark, sf_dir, 2, fit_intercept=True, wide=0, broadcast_bytes=0))
+
+
 # each step on 64 vectors
 def _batch_sql() -> str:
     batches = [

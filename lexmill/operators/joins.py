@@ -62,6 +62,20 @@ class Lookup:
     def _row_bytes(self) -> int:
         return 32 + 8 * self.width
 
+    @property
+    def is_broadcast(self) -> bool:
+        """Whether the whole table is small enough to be in each task."""
+        return self.size <= self.broadcast_bytes
+
+    @property
+    def hot_is_broadcast(self) -> bool:
+        """Whether the rows of hot keys, of which there are fewer than HOT_KEYS, are."""
+        return HOT_KEYS * self._row_bytes <= BROADCAST_BYTES
+
+    @property
+    def is_hot(self) -> Column:
+        return F.col(self.rows) > F.lit(self.n_rows / HOT_KEYS)
+
     def join(self, left: DataFrame, how: str = "inner") -> DataFrame:
         """``left`` (many rows per key) joined with this table.
 
@@ -74,11 +88,11 @@ class Lookup:
         """
         on = list(self.on)
         table = self.df.drop(self.rows) if self.rows in left.columns else self.df
-        if self.size <= self.broadcast_bytes:
+        if self.is_broadcast:
             return left.join(F.broadcast(table), on, how)
         share = self.n_rows / HOT_KEYS
-        is_hot = F.col(self.rows) > F.lit(share)
-        if HOT_KEYS * self._row_bytes > BROADCAST_BYTES:
+        is_hot = self.is_hot
+        if not self.hot_is_broadcast:
             parts = F.ceil(F.col(self.rows) / F.lit(max(share, 1.0))).cast("int")
             # fewer than HOT_KEYS keys and numbers
             dealt = left.join(F.broadcast(self.df.filter(is_hot).select(*on, parts.alias("_parts"))), on, "left")

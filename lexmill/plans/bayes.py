@@ -87,6 +87,27 @@ class NaiveBayes:
         self._use(materialize(model, "likelihoods"), classes)
         return self
 
+    def fit_counts(self, cells: DataFrame, class_counts: DataFrame) -> "NaiveBayes":
+        """Train on counts: cells ``feature, label, count, rows`` (sum of values, number of rows) and ``label, n``.
+
+        Cells of one feature and label may be spread over several rows, which are
+        added up. The model is that of :meth:`fit` on what was counted.
+        """
+        classes = Classes.of(class_counts, self.wide)
+        if classes.names is not None:
+            slots = range(len(classes.names))
+            model = cells.withColumn("_k", classes.slot_of()).groupBy("feature").agg(
+                F.sum("rows").alias("df"),
+                F.array(*[F.expr(f"sum(if(_k = {k}, count, 0D))") for k in slots]).alias("counts"),
+            )
+        else:
+            whole = cells.groupBy("feature", "label").agg(F.sum("count").alias("count"), F.sum("rows").alias("rows"))
+            model = whole.groupBy("feature").agg(
+                F.sum("rows").alias("df"), F.collect_list(F.struct("label", "count")).alias("cells")
+            )
+        self._use(materialize(model, "likelihoods"), classes)
+        return self
+
     def _use(self, model: DataFrame, classes: Classes) -> None:
         self.classes = classes
         self.wide_layout = classes.names is not None
@@ -264,6 +285,46 @@ def gaussian_stats(x: DataFrame) -> DataFrame:
     )
 
 
+def gaussian_states(x: DataFrame) -> DataFrame:
+    """``label, feature, cnt, mean, m2``: moments of the present values that can be merged; ``m2`` sums the squared deviations."""
+    return x.groupBy("label", "feature").agg(
+        F.count("value").alias("cnt"),
+        F.avg("value").alias("mean"),
+        # of a group's variance and size, which Spark computes in one pass and without a difference of large sums
+        (F.var_pop("value") * F.count("value")).alias("m2"),
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """States of the same label and feature as one: the state of all their values together.
+
+    Two at a time, in order of size: a state's squared deviations grow by those of
+    the means, which are weighed by both sizes. There is a state per part merged.
+    """
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["cnt"] + b["cnt"]
+        step = b["mean"] - a["mean"]
+        share = b["cnt"] / n
+        return F.struct(
+            n.alias("cnt"),
+            (a["mean"] + step * share).alias("mean"),
+            (a["m2"] + b["m2"] + step * step * a["cnt"] * share).alias("m2"),
+        )
+
+    whole = states.filter("cnt > 0").groupBy("label", "feature").agg(
+        F.array_sort(F.collect_list(F.struct("cnt", "mean", "m2"))).alias("_s")
+    )
+    rest = F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0)))
+    return whole.select("label", "feature", F.aggregate(rest, F.col("_s")[0], merge).alias("_m")).select("label", "feature", "_m.*")
+
+
+def stats_of(states: DataFrame) -> DataFrame:
+    """:func:`gaussian_stats` from states: the deviation of a sample, unknown for a single value."""
+    deviation = F.when(F.col("cnt") > 1, F.sqrt(F.col("m2") / (F.col("cnt") - 1)))
+    return states.select("label", "feature", "cnt", "mean", deviation.alias("stddev"))
+
+
 class GaussianNaiveBayes:
     """Naive Bayes with a normal distribution per label and feature.
 
@@ -297,6 +358,23 @@ class GaussianNaiveBayes:
         self._use(materialize(gaussian_stats(with_label(x, y, self.keys, label_col)), "stats"), classes)
         return self
 
+    def fit_states(self, states: DataFrame, class_counts: DataFrame) -> "GaussianNaiveBayes":
+        """Train on states ``label, feature, cnt, mean, m2`` and ``label, n``; states of the same cell are merged."""
+        self._use(materialize(stats_of(merged_states(states)), "stats"), Classes.of(class_counts, self.wide))
+        return self
+
+    def states(self) -> DataFrame:
+        """The states of this model, which may be merged with those of others."""
+        m2 = F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("cnt") - 1), F.lit(0.0))
+        return self.stats.select("label", "feature", "cnt", "mean", m2.alias("m2"))
+
+    def merged(self, other: "GaussianNaiveBayes") -> "GaussianNaiveBayes":
+        """A model of both models' documents, which must not overlap, with this one's options."""
+        both = self.classes.table.select("label", "n").unionByName(other.classes.table.select("label", "n"))
+        counts = materialize(both.groupBy("label").agg(F.sum("n").alias("n")), "class_counts")
+        model = GaussianNaiveBayes(self.likelihood, self.missing, self.keys, self.wide)
+        return model.fit_states(self.states().unionByName(other.states()), counts)
+
     def _use(self, stats: DataFrame, classes: Classes) -> None:
         self.stats = stats
         self.classes = classes

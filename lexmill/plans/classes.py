@@ -22,7 +22,11 @@ def class_counts(y: DataFrame) -> DataFrame:
 
 def log_priors(y: DataFrame) -> DataFrame:
     """``label, n, log_prior``: the log of each class's share of the documents."""
-    counts = class_counts(y)
+    return priors_of(class_counts(y))
+
+
+def priors_of(counts: DataFrame) -> DataFrame:
+    """``label, n`` with ``log_prior``."""
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("log_prior", F.ln(F.col("n") / total))
 
@@ -36,6 +40,8 @@ def with_label(x: DataFrame, y: DataFrame, keys: Sequence[str], label_col: str |
 
 def best_slot(scored: DataFrame, scores: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``keys, label, score`` of the first array entry with the largest score."""
+    if not names:
+        return scored.select(*keys, F.lit("").alias("label"), F.lit(0.0).alias("score")).limit(0)
     top = scored.withColumn("score", F.array_max(scores))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(scores, F.col("score")).cast("int"))
     return top.select(*keys, label.alias("label"), "score")
@@ -55,15 +61,20 @@ class Classes:
 
     @classmethod
     def fit(cls, y: DataFrame, wide: int = WIDE_LABELS) -> "Classes":
-        self = cls(class_counts(y), wide)
+        return cls.of(class_counts(y), wide)
+
+    @classmethod
+    def of(cls, counts: DataFrame, wide: int = WIDE_LABELS) -> "Classes":
+        """From ``label, n``."""
+        self = cls(counts, wide)
         if self.rows is None:
-            self._table = materialize(log_priors(y), "classes")
+            self._table = materialize(priors_of(counts), "classes")
             return self
         total = sum(r["n"] for r in self.rows)
         rows = [(r["label"], r["n"], math.log(r["n"] / total)) for r in self.rows]
         schema = T.StructType(list(self._table.schema) + [T.StructField("log_prior", T.DoubleType())])
         # at most `wide` rows
-        self._table = F.broadcast(y.sparkSession.createDataFrame(rows, schema))
+        self._table = F.broadcast(counts.sparkSession.createDataFrame(rows, schema))
         self.rows = [T.Row(**dict(zip(schema.names, r))) for r in rows]
         return self
 

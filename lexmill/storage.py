@@ -54,19 +54,54 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-# Text that one task should cut into words.
+# Bytes of stored input that one task should work on.
 PLACED_BYTES = 256 << 20
+# Sizes from here on are Spark's way to say that it does not know.
+UNKNOWN_BYTES = 1 << 60
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of the stored tables that ``df`` reads, None if one of them has no known size.
+
+    The leaves of the plan are added up. What the optimiser expects of the plan
+    itself is of no use here: to it a join is as large as the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return sum(sizes) if all(size < UNKNOWN_BYTES for size in sizes) else None
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """``spark.sql.shuffle.partitions``, or more if a part would have more than PLACED_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PLACED_BYTES))
 
 
 def place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Partition rows by key, for work that is many times larger than the rows themselves.
 
-    The number of parts is given, so that they are not merged by their size on
-    disk: ``spark.sql.shuffle.partitions``, or more if the input is so large
-    that a part would have more than PLACED_BYTES.
+    The number of parts follows the stored input and is given, so that parts are
+    not merged by their size on disk. Rows that come from no table are stored first.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # an unknown size is estimated as an absurdly large one
-    wanted = -(-size // PLACED_BYTES) if size < 1 << 60 else 0
-    return df.repartition(max(parts, min(wanted, 1_000_000)), *keys)
+    size = stored_bytes(df)
+    if size is None:
+        df = materialize(df, "placed")
+        size = stored_bytes(df)
+    return df.repartition(parts_for(df.sparkSession, size), *keys)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], name: str, parts: int, placed: bool = False) -> DataFrame:
+    """Write ``df`` in ``parts`` buckets by key and return a scan of them.
+
+    The scan is partitioned by the keys, so joining and grouping by them needs no
+    exchange, and a lost task reads its bucket again. ``placed`` says that rows are
+    partitioned so already. The name in the catalog, which Spark asks of a bucketed
+    table, is given up at once; the files stay.
+    """
+    spark = df.sparkSession
+    table = f"lexmill_{name}_{uuid.uuid4().hex}"
+    parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    df = df if placed else df.repartition(parts, *keys)
+    df.write.bucketBy(parts, *keys).option("path", scratch_path(spark, name)).saveAsTable(table)
+    stored = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return stored

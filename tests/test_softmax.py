@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.hashing import table_normal
 from lexmill.operators.features import minibatch_ids
 from lexmill.plans import SoftmaxRegression, classify
-from lexmill.storage import scratch_path
+from lexmill.storage import materialize, place, scratch_path, stored_bytes
 
 FEATURES, LABELS = ["f", "g", "h"], ["A", "B", "C"]
 
@@ -190,15 +190,101 @@ def test_layouts_agree_row_by_row(spark):
     assert len(seen[0][0]) == 8 and len(seen[0][1]) == 4 and len(seen[0][2]) == 10
 
 
-def test_a_step_leaves_one_copy_of_the_weights(spark, data):
+def test_weights_are_removed_when_superseded_twice(spark, data):
     x, y, *_ = data
     model = SoftmaxRegression().fit(x, y)
     old = model.weights.df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
-    assert os.path.isdir(old)
+    predicted = model.predict(x)
+    model.partial_fit(x, y)
+    # what was asked of the weights before this step can still be computed
+    assert os.path.isdir(old) and predicted.count() == 30
     model.partial_fit(x, y)
     assert not os.path.isdir(old) and model.weight_table().count() == 9
 
 
+def exchanges(df):
+    """The shuffles of a plan as (what it is dealt by, columns it carries)."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.initialPlan())
+        if name == "ShuffleExchangeExec":
+            found.append((node.outputPartitioning().toString(), node.schema().fieldNames()))
+        children = node.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return [(by, list(columns)) for by, columns in found]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_a_step_shuffles_no_features(spark, data, monkeypatch, broadcast_bytes):
+    x, y, dense, truth = data
+    seen = []
+    move = SoftmaxRegression._move
+    monkeypatch.setattr(SoftmaxRegression, "_move", lambda self, w: seen.append(exchanges(w)) or move(self, w))
+    # the small tables must not be broadcast by their size alone
+    monkeypatch.setattr("lexmill.operators.joins.HOT_KEYS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = SoftmaxRegression(broadcast_bytes=broadcast_bytes).fit(x, y, lr=0.05, max_iter=2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    np.testing.assert_allclose(matrix(model), descend(start(spark), dense, truth, 0.05, 2), rtol=1e-9)
+    assert len(seen) == 2
+    for by, columns in seen[1]:
+        # sums by feature, and by document where weights are not broadcast; never cells
+        assert "value" not in columns and ("feature" in by or broadcast_bytes == 0)
+        assert "feature" not in columns or not {"doc_id", "value"} & set(columns)
+
+
+def descend_with_bias(w, dense, truth, lr, steps):
+    b, y = np.zeros(3), np.eye(3)[truth]
+    for _ in range(steps):
+        z = dense @ w + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        w, b = w + lr * dense.T @ (y - p), b + lr * (y - p).sum(axis=0)
+    return w, b
+
+
+@pytest.mark.parametrize("wide", [64, 0])
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_intercept(spark, data, wide, broadcast_bytes):
+    x, y, dense, truth = data
+    model = SoftmaxRegression(wide=wide, fit_intercept=True, broadcast_bytes=broadcast_bytes).fit(x, y, lr=0.05, max_iter=3)
+    w, b = descend_with_bias(start(spark), dense, truth, 0.05, 3)
+    np.testing.assert_allclose(matrix(model), w, rtol=1e-9)
+    np.testing.assert_allclose([r.bias for r in model.intercepts().orderBy("label").collect()], b, rtol=1e-9)
+    more = x.unionByName(spark.createDataFrame([(99, "unknown", 5.0)], x.schema))
+    predicted = {r.doc_id: r.label for r in model.predict(more).collect()}
+    want = np.argmax(dense @ w + b, axis=1)
+    assert predicted == {**{i: LABELS[k] for i, k in enumerate(want)}, 99: LABELS[np.argmax(b)]}
+    path = scratch_path(spark, "softmax")
+    model.save(path)
+    again = SoftmaxRegression(wide=wide, fit_intercept=True).load(spark, path)
+    assert {r.doc_id: r.label for r in again.predict(more).collect()} == predicted
+    with pytest.raises(ValueError):
+        SoftmaxRegression(strict=True, fit_intercept=True)
+
+
+def test_buckets_follow_stored_rows(spark, data):
+    """A plan that the optimiser thinks to be huge, the product of its sides, gets no more buckets than its rows need."""
+    x, y, dense, truth = data
+    big = spark.range(200_000).select((F.col("id") % 30).alias("doc_id"))
+    x, big = materialize(x, "x"), materialize(big, "big")
+    joined = x.join(big.distinct(), "doc_id").join(big.distinct().withColumnRenamed("doc_id", "other"), F.col("doc_id") == F.col("other")).drop("other")
+    assert stored_bytes(joined) < 10 << 20
+    model = SoftmaxRegression().fit(joined, y, lr=0.05, max_iter=2)
+    np.testing.assert_allclose(matrix(model), descend(start(spark), dense, truth, 0.05, 2), rtol=1e-9)
+    assert place(joined, ["doc_id"]).rdd.getNumPartitions() == 4
+    assert place(spark.createDataFrame([(1,)], "doc_id long"), ["doc_id"]).rdd.getNumPartitions() == 4
+
+
 def test_loaded_weights_know_their_hot_features(spark, data):
     x, y, *_ = data
     path = scratch_path(spark, "softmax")
