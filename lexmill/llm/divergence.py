@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from lexmill.llm.rows import only
 from lexmill.storage import materialize, scratch_path
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# What each byte of UTF-8 becomes: ASCII other than letters parts terms, A-Z are lower-cased, all else stays.
+BYTES = bytes(b | 0x20 if chr(b).isalpha() else 0x20 for b in range(128)) + bytes(range(128, 256))
 ANY_SIZE = 2**31 - 1
 # A vocabulary passes through the driver; one that may have more terms than this is built in parts by the terms' hash.
-VOCABULARY_TERMS = 2_000_000
+VOCABULARY_TERMS = 4_000_000
+# One in so many documents is looked at to see how many terms there may be.
+SIZED = 16
 # Sums of TILE * TILE pairs of sources are held by a task.
 TILE = 1024
 # Cells of one task's share of the terms, and entries of a block of terms beside all sources of a tile.
@@ -38,17 +40,29 @@ PART_CELLS = 200_000
 BLOCK_ENTRIES = 1 << 20
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``text`` replaced by its terms in order, parted by single blanks; null counts as empty."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [b" ".join(t.translate(BYTES).split()) for t in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(terms, pa.string())], names=[*kept, "text"])
+
+    fields = [f"`{c}` {t}" for c, t in docs.dtypes if c != "text"]
+    raw = F.coalesce("text", F.lit("")).cast("binary").alias("raw")
+    return docs.select(*kept, raw).mapInArrow(run, ", ".join([*fields, "text string"]))
+
+
 def words(text: Column) -> Column:
-    """Terms of a text in order; only A-Z are lower-cased."""
-    # lower() is a byte operation on ASCII text, where it does the same
-    low = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    """The terms of a cleaned text."""
+    return F.when(text != "", F.split(text, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def vocabulary_counts(docs: DataFrame, groups: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang_no, term_no, term) of all kept terms, and (lang_no, source_no, term_no, count) of those that occur.
 
-    ``docs`` has (lang_no, source_no, words), ``groups`` the documents ``n`` by (lang_no, source_no).
+    ``docs`` has (lang_no, source_no, text) with cleaned texts, ``groups`` the documents ``n`` by (lang_no, source_no).
     Each language has a fit of its own, one after the other; languages with fewer
     documents than ``min_docs`` need none.
     """
@@ -56,11 +70,14 @@ def vocabulary_counts(docs: DataFrame, groups: DataFrame, min_docs: int) -> tupl
     # stored by language, so that a fit reads its own documents only
     path = scratch_path(spark, "divergence_words")
     docs.write.partitionBy("lang_no").parquet(path)
-    docs = spark.read.schema(docs.schema).parquet(path)
-    sizes = docs.select("lang_no", F.explode("words").alias("word")).groupBy("lang_no").agg(F.approx_count_distinct("word").alias("terms"))
-    wanted = groups.groupBy("lang_no").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(sizes, "lang_no")
+    docs = spark.read.schema(docs.schema).parquet(path).select("lang_no", "source_no", words(F.col("text")).alias("words"), "text")
+    # the shares of documents have SIZED times as many terms as all of them, or fewer
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SIZED)) == 0).select("lang_no", F.explode("words").alias("word"))
+    sizes = some.groupBy("lang_no").agg((SIZED * F.approx_count_distinct("word")).alias("terms"))
+    docs = docs.drop("text")
+    wanted = groups.groupBy("lang_no").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(sizes, "lang_no", "left")
     terms = counts = None
-    for lang, parts in sorted((r["lang_no"], -(-r["terms"] // VOCABULARY_TERMS)) for r in wanted.collect()):
+    for lang, parts in sorted((r["lang_no"], -(-max(r["terms"] or 0, 1) // VOCABULARY_TERMS)) for r in wanted.collect()):
         for part in range(parts):
             rows = docs.filter(F.col("lang_no") == lang)
             if parts > 1:
@@ -242,7 +259,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     other columns are left out, and an empty table gives an empty result.
     """
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    docs = only(docs, lang=lang_col, source=source_col, text=text_col).select(empty("lang"), empty("source"), empty("text"))
+    docs = only(docs, lang=lang_col, source=source_col, text=text_col).select(empty("lang"), empty("source"), "text")
     groups = materialize(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "divergence_groups")
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).withColumn("lang_no", F.row_number().over(Window.orderBy("lang")).cast("bigint"))
     langs = materialize(langs, "divergence_langs")  # one row per language
@@ -250,8 +267,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = groups.join(langs.select("lang", "lang_no"), "lang").withColumn("source_no", F.row_number().over(by_source).cast("bigint") - 1)
     groups = materialize(groups, "divergence_numbers")
     numbers = groups.select("lang", "source", "lang_no", "source_no")
-    cut = docs.select("lang", "source", words(F.col("text")).alias("words"))
-    terms, counts = vocabulary_counts(_with_numbers(cut, numbers), groups, min_docs)
+    terms, counts = vocabulary_counts(cleaned(_with_numbers(docs, numbers)), groups, min_docs)
 
     per_term = counts.groupBy("lang_no", "term_no").agg(F.sum("count").alias("in_lang"))
     per_group = counts.groupBy("lang_no", "source_no").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("cells"))
@@ -282,7 +298,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
 
 
 def _with_numbers(docs: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(lang_no, source_no, words): groups are few beside documents and joined to them without a shuffle while they are of bounded size."""
+    """(lang_no, source_no, text): groups are few beside documents and joined to them without a shuffle while they are of bounded size."""
     size = numbers.agg(F.coalesce(F.sum(F.octet_length("lang") + F.octet_length("source") + 48), F.lit(0))).first()[0]
     numbers = F.broadcast(numbers) if size <= 32 << 20 else numbers
-    return docs.join(numbers, ["lang", "source"]).select("lang_no", "source_no", "words")
+    return docs.join(numbers, ["lang", "source"]).select("lang_no", "source_no", "text")
