@@ -163,7 +163,11 @@ class SoftmaxRegression:
     def _slot_gradient(self, x: DataFrame, errors: DataFrame) -> DataFrame:
         """``feature, _rows, g``: minus the gradient, one entry per label."""
         sums = ", ".join(f"sum(value * d[{k}])" for k in range(len(self.names)))
-        return x.join(errors, self.keys).groupBy("feature").agg(F.expr("count(1) as _rows"), F.expr(f"array({sums}) as g"))
+        return self._beside(x, errors).groupBy("feature").agg(F.expr("count(1) as _rows"), F.expr(f"array({sums}) as g"))
+
+    def _beside(self, x: DataFrame, errors: DataFrame) -> DataFrame:
+        """Cells with the errors of their document, which are hashed bucket by bucket, so cells need not be sorted."""
+        return x.join(errors.hint("shuffle_hash"), self.keys)
 
     # -- one step, a row per cell -----------------------------------------
 
@@ -196,7 +200,7 @@ class SoftmaxRegression:
         """``feature, label, _rows, g``: minus the gradient."""
         # one entry per label
         delta = errors.groupBy(*self.keys).agg(F.collect_list(F.struct("label", "d")).alias("d"))
-        cells = x.join(delta, self.keys).select("feature", "value", F.explode("d").alias("c"))
+        cells = self._beside(x, delta).select("feature", "value", F.explode("d").alias("c"))
         sums = cells.groupBy("feature", "c.label").agg(F.expr("sum(value * c.d) as g"), F.expr("count(1) as _rows"))
         return sums.filter("g != 0") if self.strict else sums
 
