@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexmill.llm import queries
@@ -79,6 +80,15 @@ def test_stages_decide(spark, sf):
     assert out[5003].text == "mail [EMAIL]" and out[5003].n_chars == 12 and out[5000].text is None
 
 
+def test_language_stage_without_languages_and_with_one(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["some words", "123 !!", None, "été"])]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf).collect()) == [0, 3]
+    one = docs.withColumn("lang", F.lit("xx"))
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, one, sf).collect()) == [0, 3]
+
+
 def test_pipeline_of_nothing(spark, sf, tmp_path):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")

@@ -140,6 +140,84 @@ def test_candidates_overlap_within_a_kind(documents):
     assert all(s.found == text[s.start : s.end] and s.near == text[max(0, s.start - pii.CONTEXT) : s.start] and s.after == text[s.end : s.end + 1] for s in [*row.card, *row.ip])
 
 
+def plain_features(text, start, end):
+    found, near, after = text[start:end], text[max(0, start - pii.CONTEXT) : start], text[end : end + 1]
+    n = len(re.sub("[^0-9]", "", found))
+    size = next((i for i, most in enumerate([0, 2, 6, 9, 10, 12, 15, 16, 19]) if n <= most), 9)
+    side = lambda c: 2 if re.match("[A-Za-z0-9]", c) else 1 if re.match(r"[^ \t\n\x0b\f\r]", c) else 0
+    words = next((i for i, w in enumerate(["card|visa|credit|pay", "phone|tel|call|fax|mobile", "mail|contact|write", "ip|host|server|version|addr"], 1) if re.search(w, near.lower())), 0)
+    first = 1 if re.match("[3-6]", found) else 2 if re.match("[0-9]", found) else 3 if re.match("[A-Za-z]", found) else 0
+    return {"size": size, "breaks": min(4, len(re.sub("[A-Za-z0-9]", "", found))), "first": first, "left": side(near[-1:]), "right": side(after), "words": words}
+
+
+def plain_spans(text, model):
+    """All spans, candidate by candidate."""
+    base = expected(text, BASE_PERSONAL)
+    overlaps = lambda a, b: a[0] < b[1] and a[1] > b[0]
+
+    def chosen(kind, start, end):
+        if kind not in model.threshold or any(overlaps((start, end), b) for b in base):
+            return False
+        x = {name: np.array([v]) for name, v in plain_features(text, start, end).items()}
+        return model._scores(kind, x)[0] >= model.threshold[kind] - 1e-9
+
+    out = list(base)
+    for m in re.finditer(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}", text):
+        dots = [m.start() - 1, *[i for i in range(m.start(), m.end()) if text[i] == "."], m.end()]
+        for a, b in zip(dots, dots[4:]):
+            cuts = any(k == "ip" and overlaps((a + 1, b), (s, e)) and s != a + 1 for s, e, k in base)
+            out += [(a + 1, b, "ip")] if not cuts and chosen("ip", a + 1, b) else []
+    out += [(m.start(), m.end(), "phone") for m in re.finditer(pii.LOOSE_PHONE, text) if chosen("phone", m.start(), m.end())]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        at = [i for i in range(m.start(), m.end()) if text[i].isdigit()]
+        n = len(at)
+        if n < 14 or (n <= 19 and luhn(digits(m))):
+            out += [(m.start(), m.end(), "card")] if n >= 12 and chosen("card", m.start(), m.end()) else []
+            continue
+        lengths = [*range(13, 20), 20] if n == 20 else range(13, 20)
+        found = [(at[i], at[i + k - 1] + 1) for k in lengths for i in range(n - k + 1) if chosen("card", at[i], at[i + k - 1] + 1)]
+
+        def rank(s):
+            number = re.sub("[^0-9]", "", text[s[0] : s[1]])
+            cuts = text[s[0] - 1 : s[0]].isdigit() or text[s[1] : s[1] + 1].isdigit()
+            return 0 if len(number) > 19 or not luhn(number) else 1 if cuts else 2
+
+        ranks = {s: rank(s) for s in found}
+        out += [(*s, "card") for s in found if not any(ranks[c] > ranks[s] and overlaps(c, s) for c in found)]
+    return sorted(out)
+
+
+def test_added_spans_equal_a_plain_evaluation(documents):
+    rng = np.random.default_rng(8)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    card = lambda: with_check_digit("4" + number(14))
+    rows = [(i, f"{'paid by card' if i % 3 else 'ref'} {card() if i % 2 else ' '.join(re.findall('....', card()))} today, host {i % 300}.1.2.{i} up, call +1 ({200 + i}) 555-{1000 + i}") for i in range(300)]
+    rows += [(1000 + i, f"number {number(16)}x and 777.{i}.3.4 or {number(3)}-{number(3)}-{number(4)}") for i in range(150)]
+    model = pii.PiiModel().fit(documents(rows))
+    assert {"card", "ip", "phone"} <= model.threshold.keys()
+    texts = [" ".join(number(rng.integers(1, 9)) for _ in range(rng.integers(2, 60))) for _ in range(40)]
+    texts += [f"🙂 card {card()} {card()}-{number(4)} host 1.2.3.{i}.5.999 {number(20)}" for i in range(20)]
+    # longer than several pieces, also without a blank
+    texts += ["pay " + " ".join(card() if i % 9 == 0 else number(rng.integers(1, 7)) for i in range(250)), number(400), number(20), number(14), "-".join(number(4) for _ in range(80))]
+    got = pii.find(documents(list(enumerate(texts))), model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert sorted((s.start, s.end, s.kind) for s in r.spans) == plain_spans(texts[r.doc_id], model)
+    assert sum(len(r.spans) - len(r.base) for r in got) > 50
+
+
+def test_a_long_run_of_numbers(documents):
+    rng = np.random.default_rng(9)
+    text = " ".join(map(str, rng.integers(0, 10**6, 15_000)))
+    docs = documents([(1, "card " + text)])
+    model = pii.PiiModel().fit(docs)
+    assert model.trees.keys() == set()  # a single document has no other half to calibrate on
+    model = pii.PiiModel(start={"card": 0.0}, trees={"card": [pii.Tree("left", 0, pii.Tree("right", 0, 1.0, -1.0), -1.0)]}, threshold={"card": 0.5})
+    spans = pii.find(docs, model).first().spans
+    # whole groups of digits; those with a right check sum first
+    assert len(spans) > 300 and all(("card " + text)[s.start - 1] == " " for s in spans)
+
+
 def test_boosting_finds_an_interaction():
     x = {"a": np.array([0, 0, 1, 1]), "b": np.array([0, 1, 0, 1])}
     good, bad = np.array([90.0, 5, 30, 90]), np.array([10.0, 95, 70, 10])
