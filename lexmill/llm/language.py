@@ -8,8 +8,9 @@ transitions between the languages of neighbouring words. Forward-backward gives
 each word's probabilities, also in text that switches language; a document's
 language has the largest sum, and its score is its share.
 
-The field is fitted on the driver from a bounded sample: at most ``SAMPLE_ROWS``
-excerpts of EXCERPT characters. Only document languages are known, so words
+The field is fitted on the driver from a bounded sample of whole texts: at most
+``SAMPLE_ROWS`` of together at most SAMPLE_CHARS characters, of which each
+language gets the same share, so that rare languages are learned too. Only document languages are known, so words
 start with their document's language; a field fitted on these relabels the words
 of passages in another language, and the final field is fitted on the result.
 """
@@ -26,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lexmill.llm.rows import map_text, only, sample_rows, slices
+from lexmill.llm.rows import map_text, only, sample_texts, slices
 from lexmill.llm.workers import CACHE_LENGTH, held
 
 SAMPLE_ROWS = 1500
-EXCERPT = 1500
+SAMPLE_CHARS = 2_250_000
 BUCKETS = 1 << 16
 LEXICON = 300  # words per language
 AFFIXES = (1, 2, 3, 4)
@@ -212,22 +213,28 @@ class LanguageModel:
         return predict(text)
 
 
-def excerpt(text: Column, seed: int) -> Column:
-    """EXCERPT characters from a place that depends on the text and the seed."""
-    room = F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1
-    return F.substr(text, F.pmod(F.xxhash64(F.lit(seed), text), room).cast("int") + 1, F.lit(EXCERPT))
+def fit(
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 5,
+) -> LanguageModel:
+    """Fit on whole texts of documents with text and language for which ``learn``, a condition on doc_id, holds.
 
-
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, seed: int = 5) -> LanguageModel:
-    """Fit on at most ``rows`` documents with text and language for which ``learn``, a condition on doc_id, holds.
-
-    Without such a document every text is undetermined.
+    Each language has the same share of at most ``rows`` documents and ``chars`` characters,
+    at least one document. A text beyond its language's share of characters is learned from
+    only where the language has no shorter one. Equal rows count once. Without any such document every text is undetermined.
     """
-    known = only(docs, doc_id=id_col, text=text_col, lang=lang_col).filter("doc_id is not null and text is not null and lang is not null").filter(learn)
-    total = only(docs, doc_id=id_col, lang=lang_col).filter("doc_id is not null and lang is not null").filter(learn).count()
-    # whole texts stay in place: what is compared and sent is an excerpt
-    sample = sample_rows(known.select("doc_id", "lang", excerpt(F.col("text"), seed).alias("text")), "doc_id", rows, seed, total).collect()
-    return train([(r.text, r.lang) for r in sample], seed)
+    known = only(docs, doc_id=id_col, text=text_col, label=lang_col).filter("doc_id is not null and text is not null and label is not null").filter(learn)
+    # a row per language, as the model has columns
+    totals = only(docs, doc_id=id_col, label=lang_col).filter("doc_id is not null and label is not null").filter(learn)
+    totals = totals.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()
+    if not totals:
+        return train([], seed)
+    rows, chars = max(1, rows // len(totals)), chars // len(totals)
+    # of a language with many documents only those below a bound of the hash, about four times its share, are looked at
+    bounds = [(r["label"], min((4 * rows + 40) * 2**64 // max(r["ids"], 1), 2**64 - 1) - 2**63) for r in totals]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, known.select("label", F.lit(0).cast("bigint").alias("bound")).schema))
+    near = known.join(bounds, "label").filter(F.xxhash64(F.lit(seed), "doc_id") <= F.col("bound")).drop("bound")
+    return train([(r["text"], r["label"]) for r in sample_texts(near, F.col("label"), rows, chars, seed)], seed)
 
 
 def train(sample: list[tuple[str, str]], seed: int, epochs: int = 4) -> LanguageModel:

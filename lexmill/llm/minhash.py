@@ -89,21 +89,21 @@ def _matching(a: Column, b: Column) -> Column:
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """(class, common, key) for the postings of each class that a pair with MATCHES agreements can first meet in.
+    """(class, doc, common, key) for the postings of each class that a pair with MATCHES agreements can first meet in.
 
     ``common`` is the length of all lists the class is in. A value that only one
     class has comes first in its order and needs no posting, so a class with m
     shared values has m - MATCHES + 1 of them left.
     """
     at, value = F.col("p.pos").cast("bigint"), F.col("p.col").cast("bigint").bitwiseAND(0xFFFFFFFF)
-    postings = classes.select("class", F.posexplode("signature").alias("pos", "col")).select("class", F.struct("pos", "col").alias("p"))
-    postings = postings.select("class", F.shiftleft(at, 32).bitwiseOR(value).alias("key"))
+    postings = classes.select("class", "doc", F.posexplode("signature").alias("pos", "col")).select("class", "doc", F.struct("pos", "col").alias("p"))
+    postings = postings.select("class", "doc", F.shiftleft(at, 32).bitwiseOR(value).alias("key"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # at most COORDINATES entries per class
-    own = postings.join(lists, "key").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
+    own = postings.join(lists, "key").groupBy("class", "doc").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
     first = F.expr(f"transform(slice(own, 1, size(own) - {MATCHES - 1}), x -> x.key)")
     common = F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    return own.filter(F.size("own") >= MATCHES).select("class", common.alias("common"), F.explode(first).alias("key"))
+    return own.filter(F.size("own") >= MATCHES).select("class", "doc", common.alias("common"), F.explode(first).alias("key"))
 
 
 def only_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -154,8 +154,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def families(postings: DataFrame, merged: DataFrame) -> DataFrame:
     """(family, class, component) of the lists in which several components meet, by each list's largest component."""
-    own = postings.join(merged, postings["class"] == merged["node"], "left")
-    own = materialize(own.select("key", "class", F.coalesce("component", "class").alias("component")), "list_components")
+    own = postings.join(merged, postings["doc"] == merged["node"], "left")
+    own = materialize(own.select("key", "class", F.coalesce("component", "doc").alias("component")), "list_components")
     parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("family"), F.count(F.lit(1)).alias("parts"))
     return own.join(largest.filter("parts > 1"), "key").select("family", "class", "component").distinct()
@@ -165,7 +165,7 @@ def merge_families(found: DataFrame, signed: DataFrame, texts: DataFrame, width:
     """Links (a, b) that join different components of a family: its rest is compared with all of it.
 
     Both sides are dealt into blocks by a hash, so a unit of work is bounded
-    whatever the size of a family. ``signed`` has class, signature, size.
+    whatever the size of a family. ``signed`` has class, doc, signature, size.
     """
     sized = materialize(found.join(signed.select("class", "size"), "class"), "families")
     blocks = lambda size: (F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES).cast("int") + 1
@@ -177,7 +177,7 @@ def merge_families(found: DataFrame, signed: DataFrame, texts: DataFrame, width:
     one = dealt.filter(rest).select(*own, F.lit(True).alias("asks"), F.pmod("h", F.col("n_rest")).cast("int").alias("i"), spread("n_all").alias("j"))
     other = dealt.select(*own, F.lit(False).alias("asks"), spread("n_rest").alias("i"), F.pmod("h", F.col("n_all")).cast("int").alias("j"))
     unit, member = ["family", "i", "j"], ["asks", "class", "component"]
-    units = one.unionByName(other).join(signed, "class").select(*unit, *member, "signature", "size")
+    units = one.unionByName(other).join(signed.drop("doc"), "class").select(*unit, *member, "signature", "size")
     units = units.repartition(*unit).sortWithinPartitions(*unit)
     types = "family long, i int, j int, asks boolean, class long, component long"
     names = [*unit, *member]
@@ -189,7 +189,9 @@ def merge_families(found: DataFrame, signed: DataFrame, texts: DataFrame, width:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate(kinds)], names=names)
         trim()
 
-    chosen = materialize(units.mapInArrow(similar, types), "similar")
+    # from here on a class is known by its document
+    similar_classes = units.mapInArrow(similar, types).join(signed.select("class", "doc"), "class").drop("class")
+    chosen = materialize(similar_classes.withColumnRenamed("doc", "class").select(*unit, *member).distinct(), "similar")
     texts = only_texts(texts, chosen.select("class"))
     chosen = chosen.join(texts, F.col("class") == texts["doc_id"]).select(*unit, *member, "text")
     chosen = chosen.repartition(*unit).sortWithinPartitions(*unit)
@@ -283,35 +285,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and kept marks the document that has it. Documents without words (null,
     empty or blank texts) have an empty set and link with nothing. Repeated rows
     get the same result each; rows that share an id but not the text count as
-    one document: it is linked with copies of either text, and near copies are
-    sought for one of them. Rows with a null id link
+    one document, which is linked with copies and near copies of each of them. Rows with a null id link
     with nothing, have a null component_id and are not kept. Other columns are
     left out; an empty table gives an empty result.
     """
     texts = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = materialize(described(texts, width), "shingle_sets")
     with_id = rows.filter("doc_id is not null and set_id is not null")
-    per_set = [F.min("doc_id").alias("class"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")]
-    classes = materialize(with_id.groupBy("set_id").agg(*per_set), "shingle_classes")
-    # rows that share an id: their classes are one, by these links
+    # a class is a set; it is numbered, as ids need not be: two sets may have the same smallest id
+    per_set = [F.min("doc_id").alias("doc"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")]
+    classes = with_id.groupBy("set_id").agg(*per_set).withColumn("class", F.monotonically_increasing_id())
+    classes = materialize(classes, "shingle_classes")
+    # rows that share an id are one document, by these links
     same_id = with_id.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("doc_id")
-    same_id = with_id.join(same_id, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    same_id = with_id.join(same_id, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
 
     postings = materialize(prefix_postings(classes), "prefix_postings")
-    hubs = postings.groupBy("key").agg(F.max_by("class", F.struct("common", -F.col("class"))).alias("hub"))
+    hubs = postings.groupBy("key").agg(F.max_by("class", F.struct("common", -F.col("doc"), -F.col("class"))).alias("hub"))
     pairs = postings.join(hubs, "key").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    # one row per class, also where rows share an id
-    signed = classes.groupBy("class").agg(F.min_by(F.struct("signature", "size"), "set_id").alias("s")).select("class", "s.*")
+    signed = classes.select("class", "doc", "signature", "size")
     for side in ("a", "b"):
-        own = signed.select(F.col("class").alias(side), F.col("signature").alias(f"signature_{side}"), F.col("size").alias(f"size_{side}"))
+        own = signed.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "signature", "size")])
         pairs = pairs.join(own, side)
     pairs = pairs.filter(_matching(F.col("signature_a"), F.col("signature_b")) >= MATCHES)
-    pairs = pairs.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = materialize(pairs.select("a", "b"), "hub_pairs")
+    pairs = pairs.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).filter("doc_a <> doc_b")
+    pairs = materialize(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "hub_pairs")
     links = materialize(confirmed(pairs, texts, width, percent), "hub_links")
     more = merge_families(families(postings, components(links)), signed, texts, width, percent)
     merged = components(links.unionByName(more).unionByName(same_id))
 
-    result = rows.join(classes.select("set_id", "class"), "set_id", "left").join(merged, F.col("class") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
+    result = rows.join(classes.select("set_id", "doc"), "set_id", "left").join(merged, F.col("doc") == F.col("node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

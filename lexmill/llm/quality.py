@@ -7,9 +7,9 @@ The mean and the maximum of the pooled responses over all chunks give one
 probability, so both what is missing from a chunk (as in repeated text) and what
 stands out in one counts.
 
-The network is fitted on the driver from a bounded sample: at most
-``SAMPLE_ROWS`` labelled rows, of each ``WINDOWS`` excerpts of one chunk spread
-over the text.
+The network is fitted on the driver from a bounded sample of whole texts: at
+most ``SAMPLE_ROWS`` labelled rows of together at most ``SAMPLE_CHARS``
+characters. Fitting pools over all their chunks, just as scoring does.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lexmill.llm.rows import map_text, only, sample_rows, slices, utf8
+from lexmill.llm.rows import map_text, only, sample_rows, sample_texts, slices, utf8
 from lexmill.llm.workers import held
 
 SAMPLE_ROWS = 4000
-WINDOWS = 6
+SAMPLE_CHARS = 8 << 20
 WIDTH = 5
 FILTERS = 16
 CODE = 8  # numbers per byte that the filters see
@@ -38,6 +38,42 @@ PIECE = 128 * BLOCK
 SLICE = 1 << 20
 
 
+def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as whole blocks of bytes, and each one's first block (one entry more than texts).
+
+    WIDTH - 1 zero bytes come before each text, so that no response sees two texts.
+    """
+    raw, ends = utf8(texts)
+    sizes = np.diff(ends)
+    first = np.concatenate([[0], np.cumsum((sizes + WIDTH - 1 + BLOCK - 1) // BLOCK)])
+    padded = np.zeros(first[-1] * BLOCK + WIDTH - 1, np.uint8)
+    for i, size in enumerate(sizes):
+        at = first[i] * BLOCK + WIDTH - 1
+        padded[at : at + size] = raw[ends[i] : ends[i + 1]]
+    return padded, first
+
+
+def block_maxima(tables: np.ndarray, raw: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Largest responses in each block and, if asked for, where in ``raw`` they begin.
+
+    ``raw`` has a multiple of BLOCK bytes and WIDTH - 1 more.
+    """
+    n = len(raw) - WIDTH + 1
+    out, at_ = np.empty((n // BLOCK, FILTERS), np.float32), np.empty((n // BLOCK, FILTERS), np.int64) if places else None
+    total, part = np.empty((PIECE, FILTERS), np.float32), np.empty((PIECE, FILTERS), np.float32)
+    for at in range(0, n, PIECE):
+        m = min(PIECE, n - at)
+        np.take(tables[0], raw[at : at + m], axis=0, out=total[:m])
+        for j in range(1, WIDTH):
+            np.take(tables[j], raw[at + j : at + j + m], axis=0, out=part[:m])
+            total[:m] += part[:m]
+        blocks, rows = total[:m].reshape(-1, BLOCK, FILTERS), slice(at // BLOCK, (at + m) // BLOCK)
+        blocks.max(axis=1, out=out[rows])
+        if places:
+            at_[rows] = blocks.argmax(axis=1) + np.arange(at, at + m, BLOCK)[:, None]
+    return out, at_
+
+
 @dataclass
 class QualityModel:
     tables: np.ndarray  # WIDTH x 256 x FILTERS
@@ -51,35 +87,13 @@ class QualityModel:
         zeros = np.zeros
         return QualityModel(zeros((WIDTH, 256, FILTERS), np.float32), zeros(FILTERS, np.float32), zeros(2 * FILTERS, np.float32), 0.0)
 
-    def block_maxima(self, raw: np.ndarray) -> np.ndarray:
-        """Largest responses in each block; ``raw`` has a multiple of BLOCK bytes and WIDTH - 1 more."""
-        n = len(raw) - WIDTH + 1
-        out = np.empty((n // BLOCK, FILTERS), np.float32)
-        total, part = np.empty((PIECE, FILTERS), np.float32), np.empty((PIECE, FILTERS), np.float32)
-        for at in range(0, n, PIECE):
-            m = min(PIECE, n - at)
-            np.take(self.tables[0], raw[at : at + m], axis=0, out=total[:m])
-            for j in range(1, WIDTH):
-                np.take(self.tables[j], raw[at + j : at + j + m], axis=0, out=part[:m])
-                total[:m] += part[:m]
-            out[at // BLOCK : (at + m) // BLOCK] = total[:m].reshape(-1, BLOCK, FILTERS).max(axis=1)
-        return out
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """One probability per text, from all its bytes; an empty or null text is one block of zero bytes."""
         held("quality")
         out = np.empty(len(texts))
         for part in slices(texts, SLICE):
-            raw, ends = utf8(texts[part])
-            sizes = np.diff(ends)
-            blocks = (sizes + WIDTH - 1 + BLOCK - 1) // BLOCK
-            first = np.concatenate([[0], np.cumsum(blocks)])
-            # zero bytes before each text, so that no response sees two texts
-            padded = np.zeros(first[-1] * BLOCK + WIDTH - 1, np.uint8)
-            for i, size in enumerate(sizes):
-                at = first[i] * BLOCK + WIDTH - 1
-                padded[at : at + size] = raw[ends[i] : ends[i + 1]]
-            maxima = self.block_maxima(padded)
+            raw, first = laid_out(texts[part])
+            maxima, _ = block_maxima(self.tables, raw)
             pooled = np.array([self._pool(maxima[a:b]) for a, b in zip(first, first[1:])])
             out[part] = 1 / (1 + np.exp(-np.clip(pooled @ self.head + self.shift, -30, 30)))
         return out
@@ -104,69 +118,69 @@ class QualityModel:
         return score(text)
 
 
-def excerpts(text: Column) -> Column:
-    """WINDOWS strings of about one chunk, spread over the text from its beginning to its end."""
-    size = CHUNK * BLOCK + WIDTH - 1
-    room = F.greatest(F.length(text) - size, F.lit(0))
-    return F.array(*[F.substr(text, F.floor(room * (i / (WINDOWS - 1))).cast("int") + 1, F.lit(size)) for i in range(WINDOWS)])
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    rows: int = SAMPLE_ROWS, epochs: int = 5, seed: int = 7,
+    rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, epochs: int = 5, seed: int = 7,
 ) -> QualityModel:
-    """Fit on at most ``rows`` rows of ``labels`` (id, 0/1) for which ``learn``, a condition on doc_id, holds.
+    """Fit on whole texts of at most ``rows`` rows of ``labels`` (id, 0/1) for which ``learn``, a condition on doc_id, holds.
 
-    Rows with a null id, label or text are left out; of repeated rows each counts.
+    Their texts have together at most ``chars`` characters; one longer than that is not learned from.
+    Rows with a null id, label or text are left out; repeated rows count once.
     """
     wanted = only(labels, doc_id=id_col, label=label_col).filter("doc_id is not null and label is not null").filter(learn)
     wanted = sample_rows(wanted, "doc_id", rows, seed)
     texts = only(docs, doc_id=id_col, text=text_col).filter("text is not null")
     # at most ``rows`` rows of two numbers are broadcast
-    found = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", excerpts(F.col("text")).alias("parts"))
-    # repeated ids may have brought more rows; there is no need to count them first
-    found = sample_rows(found, "doc_id", rows, seed, total=0).toPandas()
-    if found["label"].nunique() < 2:
+    found = sample_texts(texts.join(F.broadcast(wanted), "doc_id"), F.lit(0), rows, chars, seed)
+    y = np.array([r["label"] for r in found], np.float32)
+    if len(np.unique(y)) < 2:
         return QualityModel.unfitted()
-    return train(found["parts"].tolist(), found["label"].to_numpy(np.float32), epochs, seed)
+    return train([r["text"] for r in found], y, epochs, seed)
+
+
+def chunk_blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The CHUNK blocks of each chunk of all texts, and the texts' numbers of chunks.
+
+    A last chunk that is shorter names its text's last block several times.
+    """
+    blocks = np.diff(first)
+    chunks = np.maximum(1, -(-(blocks - 1) // STRIDE))
+    nth = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    own = np.minimum(nth[:, None] * STRIDE + np.arange(CHUNK), np.repeat(blocks - 1, chunks)[:, None])
+    return own + np.repeat(first[:-1], chunks)[:, None], chunks
 
 
-def train(parts: list[list[str]], y: np.ndarray, epochs: int, seed: int, batch: int = 32, rate: float = 0.01) -> QualityModel:
+def train(texts: list[str], y: np.ndarray, epochs: int, seed: int, batch: int = 8, rate: float = 0.01) -> QualityModel:
     """Adam on the logistic loss; of each filter and chunk the strongest position carries the gradient."""
     rng = np.random.default_rng(seed)
-    span = CHUNK * BLOCK
-    x = np.zeros((len(parts), WINDOWS, span + WIDTH - 1), np.uint8)
-    for i, strings in enumerate(parts):
-        for k, s in enumerate(strings):
-            raw = np.frombuffer((s or "").encode()[: x.shape[2]], np.uint8)
-            x[i, k, : len(raw)] = raw
     p = {
         "code": rng.normal(0, 0.5, (256, CODE)), "filters": rng.normal(0, 0.3, (WIDTH, CODE, FILTERS)), "bias": np.zeros(FILTERS),
         "head": rng.normal(0, 0.1, 2 * FILTERS), "shift": np.zeros(1),
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
+    fs = np.arange(FILTERS)[None, :]
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]
-            n, flat = len(rows), x[rows].reshape(-1, span + WIDTH - 1)
+            raw, first = laid_out([texts[i] for i in rows])
             tables = np.einsum("bc,wcf->wbf", p["code"], p["filters"])
-            total = sum(tables[j][flat[:, j : j + span]] for j in range(WIDTH))
-            top = total.argmax(axis=1)
-            peak = np.take_along_axis(total, top[:, None, :], 1)[:, 0] + p["bias"]
-            chunk = np.maximum(peak, 0).reshape(n, WINDOWS, FILTERS)
-            best = chunk.argmax(axis=1)
-            pooled = np.concatenate([chunk.mean(axis=1), chunk.max(axis=1)], axis=1)
-            error = (1 / (1 + np.exp(-np.clip(pooled @ p["head"] + p["shift"], -30, 30))) - y[rows]) / n
+            maxima, places = block_maxima(tables, raw, places=True)
+            blocks, chunks = chunk_blocks(first)
+            top = np.take_along_axis(blocks, maxima[blocks].argmax(axis=1), 1)
+            peak = maxima[top, fs] + p["bias"]
+            chunk, begins = np.maximum(peak, 0), np.cumsum(chunks) - chunks
+            best = np.array([a + chunk[a : a + n].argmax(axis=0) for a, n in zip(begins, chunks)])
+            pooled = np.concatenate([np.add.reduceat(chunk, begins, axis=0) / chunks[:, None], chunk[best, fs]], axis=1)
+            error = (1 / (1 + np.exp(-np.clip(pooled @ p["head"] + p["shift"], -30, 30))) - y[rows]) / len(rows)
             d_pooled = error[:, None] * p["head"]
-            d_chunk = np.repeat(d_pooled[:, None, :FILTERS] / WINDOWS, WINDOWS, axis=1)
-            np.put_along_axis(d_chunk, best[:, None, :], np.take_along_axis(d_chunk, best[:, None, :], 1) + d_pooled[:, None, FILTERS:], 1)
-            d_peak = d_chunk.reshape(-1, FILTERS) * (peak > 0)
+            d_chunk = np.repeat(d_pooled[:, :FILTERS] / chunks[:, None], chunks, axis=0)
+            d_chunk[best, fs] += d_pooled[:, FILTERS:]
+            d_peak = d_chunk * (peak > 0)
             d_tables = np.zeros_like(tables)
-            lines, fs = np.arange(len(flat))[:, None], np.arange(FILTERS)[None, :]
             for j in range(WIDTH):
-                np.add.at(d_tables[j], (flat[lines, top + j], fs), d_peak)
+                np.add.at(d_tables[j], (raw[places[top, fs] + j], fs), d_peak)
             grads = {
                 "code": np.einsum("wbf,wcf->bc", d_tables, p["filters"]), "filters": np.einsum("bc,wbf->wcf", p["code"], d_tables),
                 "bias": d_peak.sum(axis=0), "head": pooled.T @ error, "shift": error.sum(keepdims=True),

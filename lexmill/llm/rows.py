@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.workers import trim
@@ -44,6 +44,42 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int, total: int | None =
     return df.orderBy(hashed, key).limit(n)
 
 
+def fitting(sizes: Sequence[int], bound: int) -> list[int]:
+    """Places of rows of together at most ``bound``, taken in order; a row that does not fit is passed over.
+
+    Where none fits, it is the smallest row.
+    """
+    taken, left = [], bound
+    for i, size in enumerate(sizes):
+        if size <= left:
+            taken.append(i)
+            left -= size
+    return taken or [int(np.argmin(sizes))] if len(sizes) else []
+
+
+def sample_texts(df: DataFrame, group: Column, rows: int, chars: int, seed: int) -> list[Row]:
+    """Whole texts to fit a model on: rows (doc_id, label, text) on the driver, the same ones on every run.
+
+    ``df`` has doc_id, label, text, none of them null; equal rows count once. Of each ``group``
+    the first ``rows`` by a hash of the id are listed, and of these as many taken as have
+    together at most ``chars`` characters. A longer text is taken only where its group has no shorter one.
+    """
+    mark = F.xxhash64("text")
+    short = df.select("doc_id", "label", group.alias("group"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.length("text").alias("size"), mark.alias("mark"))
+    order = ["h", "doc_id", "label", "mark"]
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(*order))
+    listed = short.distinct().withColumn("rank", rank).filter(F.col("rank") <= rows).orderBy(*order).collect()
+    groups: dict = {}
+    for row in listed:
+        groups.setdefault(row["group"], []).append(row)
+    taken = [own[i] for own in groups.values() for i in fitting([r["size"] for r in own], chars)]
+    place = {(r["doc_id"], r["label"], r["mark"]): (r["h"], i) for i, r in enumerate(taken)}
+    schema = df.select("doc_id", "label", mark.alias("mark")).schema
+    wanted = F.broadcast(df.sparkSession.createDataFrame(list(place), schema))
+    found = df.withColumn("mark", mark).join(wanted, ["doc_id", "label", "mark"]).groupBy("doc_id", "label", "mark").agg(F.first("text").alias("text"))
+    return sorted(found.collect(), key=lambda r: place[r["doc_id"], r["label"], r["mark"]])
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[slice]:
     """Runs of neighbouring texts of about ``chars`` characters, at least one text each."""
     start = total = 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import language, quality, toxicity
-from lexmill.llm.rows import remainder
+from lexmill.llm.rows import fitting, remainder, sample_texts
 
 
 def prose(rng, n, words="the of and to in that was his with for had not are but from have they which one you".split()):
@@ -53,6 +53,50 @@ def test_quality_reads_whole_texts_alone():
     assert np.allclose(model.scores(texts), [plain(t) for t in texts], atol=1e-5)
 
 
+def test_quality_learns_as_it_scores():
+    """Pooling over all chunks of a batch, as in fitting, equals pooling text by text."""
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(size=quality.FILTERS).astype(np.float32), rng.normal(size=2 * quality.FILTERS).astype(np.float32), 0.1)
+    texts = ["", "é", "a" * 60, "a" * 61, "ab" * 5000 + "🙂", "word " * 100, "tail" * 64, "x" * (quality.PIECE + 3)]
+    raw, first = quality.laid_out(texts)
+    maxima, places = quality.block_maxima(model.tables, raw, places=True)
+    blocks, chunks = quality.chunk_blocks(first)
+    tops = np.maximum(maxima[blocks].max(axis=1) + model.bias, 0)
+    pooled = np.array([np.concatenate([t.mean(axis=0), t.max(axis=0)]) for t in np.split(tops, np.cumsum(chunks)[:-1])])
+    assert np.allclose(1 / (1 + np.exp(-np.clip(pooled @ model.head + model.shift, -30, 30))), model.scores(texts), atol=1e-5)
+    there = sum(model.tables[j][raw[places + j], np.arange(quality.FILTERS)] for j in range(quality.WIDTH))
+    assert np.allclose(there, maxima, atol=1e-5)
+
+
+def test_quality_learns_what_lies_anywhere_in_a_text(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = prose(rng, 700).split()
+        if i % 2:  # 40 characters of some 3,500
+            words.insert(rng.randint(0, 700), "#!" * 20)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, remainder("doc_id", 5) != 0, epochs=8)
+    scored = quality.score(docs, model).filter(remainder("doc_id", 5) == 0).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 0) for r in scored]) > 0.95
+
+
+def test_samples_are_whole_texts_within_their_bounds(spark):
+    assert fitting([5, 3, 9, 2], 10) == [0, 1, 3] and fitting([7, 6, 8], 5) == [1] and fitting([], 5) == []
+    rows = [(i, i % 2, "ab" * (i + 1)) for i in range(50)] + [(3, 1, "ab" * 4)] * 5 + [(3, 1, "another text of id 3"), (99, 2, "z" * 10**5)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    got = sample_texts(df, F.col("label"), 12, 300, 1)
+    assert got == sample_texts(df.repartition(7), F.col("label"), 12, 300, 1)
+    assert {(r.doc_id, r.label, r.text) for r in got} <= set(rows) and len({tuple(r) for r in got}) == len(got)
+    for label in (0, 1):
+        own = [r for r in got if r.label == label]
+        assert 1 < len(own) <= 12 and sum(len(r.text) for r in own) <= 300
+    assert [len(r.text) for r in got if r.label == 2] == [10**5]
+    assert sample_texts(df.limit(0), F.lit(0), 5, 5, 1) == []
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_scores_of_awkward_rows(spark, documents, awkward, module):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -130,3 +174,34 @@ def test_language_on_held_out_and_mixed_texts(spark, documents, awkward):
     assert language.identify(documents([]), model).count() == 0
     nobody = language.fit(docs, F.lit(False))
     assert {r.lang_pred for r in language.identify(docs, nobody).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned(spark):
+    """Of 4,000 documents three are in a language of its own, and the sample holds 60."""
+    rng = random.Random(8)
+    fi = "ja on ei se että hän oli mutta kun niin joka sitten vain myös nyt kuin".split()
+    rows = [(i, prose(rng, 20), "en") for i in range(4000)] + [(5000 + i, prose(rng, 60, fi), "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), rows=60)
+    assert model.languages == ["en", "fi"]
+    assert model.predictions([prose(rng, 30, fi), prose(rng, 30)])[0] == ["fi", "en"]
+
+
+def test_language_scores_of_documents_recomputed_plainly():
+    """A text's score, by enumerating the paths of each of its lines."""
+    rng = random.Random(9)
+    de = "der die und das ist nicht ein eine".split()
+    model = language.train([(prose(rng, 20), "en") for _ in range(20)] + [(prose(rng, 20, de), "de") for _ in range(20)], 5)
+    text = "the 12 und of\n... \ndas is\n\nthey"
+    share = np.zeros(2)
+    for line in text.split("\n"):
+        own = [language.letters(w) for w in line.lower().split() if language.letters(w)]
+        if not own:
+            continue
+        scores = language.emissions(language.word_features(own, model.lexicons), model.weights)
+        paths = list(itertools.product(range(2), repeat=len(own)))
+        z = np.exp([model.begin[p[0]] + sum(scores[i, c] for i, c in enumerate(p)) + sum(model.step[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        for p, q in zip(paths, z / z.sum()):
+            share += np.bincount(p, minlength=2) * q
+    names, score = model.predictions([text])
+    assert names == [model.languages[share.argmax()]] and np.isclose(score[0], share.max() / share.sum())

@@ -109,6 +109,16 @@ def test_rows_that_share_an_id_link_through_either_text(documents):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_rows_that_share_an_id_link_with_near_copies_of_each_text(documents):
+    rng = random.Random(11)
+    texts = [[f"{c}{rng.randint(0, 10**6)}" for _ in range(80)] for c in "abcdef"]
+    near = [" ".join(t[:40] + ["changed"] + t[41:]) for t in texts]
+    # one id has four of the texts; whichever has the smallest set id, near copies of all are found
+    rows = [(7, " ".join(t)) for t in texts[:4]] + [(10 + k, n) for k, n in enumerate(near)] + [(20, " ".join(texts[5]))]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(documents(rows), width=2).collect()}
+    assert got == {(7, 7), (10, 7), (11, 7), (12, 7), (13, 7), (14, 14), (15, 15), (20, 15)}
+
+
 def test_near_duplicates_of_nothing(documents):
     assert minhash.near_duplicates(documents([])).count() == 0
     assert [r.kept for r in minhash.near_duplicates(documents([(1, None)])).collect()] == [True]
