@@ -7,7 +7,8 @@ stretch of 13 to 19 digits is a candidate, and in a run of dotted numbers every
 neighbours. The label of a candidate is whether an exact rule confirms it (checksum, value range, strict form), which the features do not show. Counts
 of confirmed and refused candidates per feature combination cover all documents;
 there are at most a few ten thousand combinations, whatever the input. Boosted
-trees are fitted on these counts and become one SQL expression. Half of the
+trees are fitted on these counts and score every combination; a candidate looks
+up whether its own is selected. Half of the
 documents fit the trees; the other half calibrates per kind the score from which
 the wanted share of candidates is confirmed. Candidates from that score on are
 added where no base span lies.
@@ -15,7 +16,8 @@ added where no base span lies.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -262,8 +264,8 @@ def _window_spans(text: Column, keys: Iterable[int] | None) -> Column:
     """Per piece the stretches of digits whose feature numbers are among ``keys`` (all of them for None), with their sides, in order."""
     keys = None if keys is None else list(keys)
     # what a wanted stretch can begin with
-    begins = None if keys is None else sorted({key % 180 - key // 5 % 3 * 5 for key in keys})
-    among = lambda value, wanted: F.lit(True) if wanted is None else value.isin(wanted)
+    begins = None if keys is None else {key % 180 - key // 5 % 3 * 5 for key in keys}
+    among = lambda value, wanted, size: F.lit(True) if wanted is None else _among(value, wanted, size)
 
     def spans(piece: Column, known: Column) -> Column:
         def span(i: Column, k: int) -> Column:
@@ -274,10 +276,10 @@ def _window_spans(text: Column, keys: Iterable[int] | None) -> Column:
                 of(F.greatest(first - CONTEXT, F.lit(0)), first).alias("near"), F.coalesce(F.get(known["chars"], last), F.lit("")).alias("after"),
             )
             number = _window_number(known, i, k)
-            wanted = number.isNotNull() & among(number, keys)
+            wanted = number.isNotNull() & among(number, keys, COMBINATIONS)
             return F.when(wanted & (piece["n"] == 20) if k == 20 else wanted, made)
 
-        each = lambda begin, i: F.when(among(begin, begins), F.array_compact(F.array(*[span(i, k) for k in [*LENGTHS, 20]])))
+        each = lambda begin, i: F.when(among(begin, begins, 180), F.array_compact(F.array(*[span(i, k) for k in [*LENGTHS, 20]])))
         return F.flatten(F.filter(F.transform(known["begins"], each), lambda found: found.isNotNull()))
 
     return F.transform(run_pieces(text), lambda p: _let(described(p), lambda known: spans(p, known)))
@@ -330,6 +332,7 @@ def generated_spans(
 
 # name -> number of values, from 0
 FEATURES = {"size": 10, "breaks": 5, "first": 4, "left": 3, "right": 3, "words": 5}
+COMBINATIONS = math.prod(FEATURES.values())
 
 
 def _number(**values: Column) -> Column:
@@ -349,6 +352,13 @@ def _numbered(numbers: np.ndarray) -> dict[str, np.ndarray]:
     return {name: out[name] for name in FEATURES}
 
 
+def _among(number: Column, wanted: Iterable[int], size: int) -> Column:
+    """Whether a number below ``size`` is among ``wanted``: one literal, looked up by place."""
+    chosen = np.zeros(size, int)
+    chosen[list(wanted)] = 1
+    return F.get(F.split(F.lit(",".join(map(str, chosen))), ","), number) == "1"
+
+
 def _words(near: Column) -> Column:
     """What the lower-case text before a candidate speaks of."""
     return (
@@ -401,10 +411,6 @@ class Tree:
     low: "Tree | float"
     high: "Tree | float"
 
-    def sql(self, cols: dict[str, Column]) -> Column:
-        low, high = (x.sql(cols) if isinstance(x, Tree) else F.lit(float(x)) for x in (self.low, self.high))
-        return F.when(cols[self.feature] <= self.at, low).otherwise(high)
-
     def value(self, x: dict[str, np.ndarray]) -> np.ndarray:
         low, high = (y.value(x) if isinstance(y, Tree) else y for y in (self.low, self.high))
         return np.where(x[self.feature] <= self.at, low, high)
@@ -490,27 +496,21 @@ class PiiModel:
             total = total + (tree.value(x) if isinstance(tree, Tree) else tree)
         return total
 
-    def score(self, kind: str, values: Sequence[Column]) -> Column:
-        cols = dict(zip(FEATURES, values))
-        total = F.lit(self.start[kind])
-        for tree in self.trees[kind]:
-            total = total + (tree.sql(cols) if isinstance(tree, Tree) else F.lit(float(tree)))
-        return total
-
-    def card_keys(self) -> list[int]:
-        """The numbers of all combinations of features with which a card is selected."""
-        if "card" not in self.threshold:
+    def keys(self, kind: str) -> list[int]:
+        """The numbers of all combinations of features with which a candidate is selected."""
+        if kind not in self.threshold:
             return []
-        numbers = np.arange(np.prod(list(FEATURES.values())))
-        return numbers[self._scores("card", _numbered(numbers)) >= self.threshold["card"] - 1e-9].tolist()
+        numbers = np.arange(COMBINATIONS)
+        return numbers[self._scores(kind, _numbered(numbers)) >= self.threshold[kind] - 1e-9].tolist()
 
     def _selected(self, kind: str, base: Column) -> Callable[[Column], Column]:
         free = lambda s: ~F.exists(base, lambda b: _overlaps(b, s))
         if kind == "card in run":
             return free  # chosen by its number already
+        keys = self.keys(kind)
 
         def selected(s: Column) -> Column:
-            return free(s) & (self.score(kind, features(s)) >= self.threshold[kind] - 1e-9)
+            return free(s) & _among(_number(**dict(zip(FEATURES, features(s)))), keys, COMBINATIONS)
 
         return selected
 
@@ -519,7 +519,7 @@ class PiiModel:
         parts = []
         chosen = lambda kind: self._selected(kind, base) if kind.split(" ")[0] in self.threshold else lambda span: F.lit(False)
         by_kind = F.filter(base, lambda b: b["kind"] == "ip")
-        for kind, spans in generated_spans(text, {"ip": by_kind}, chosen, self.card_keys()).items():
+        for kind, spans in generated_spans(text, {"ip": by_kind}, chosen, self.keys("card")).items():
             if kind in self.threshold:
                 parts.append(_placed(kind, spans))
         return F.concat(*parts) if parts else _placed("email", no_spans())
