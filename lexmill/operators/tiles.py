@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,13 @@ from lexmill.storage import materialize
 TILE = 256
 # Output tiles of a group in each direction, at most: its sums take GROUP * GROUP * TILE * TILE doubles.
 GROUP = 4
-# Inner places that one task goes through for a group; longer inner axes are cut, and the cuts' sums added up.
+# Inner places that one task goes through for a group; one that meets in more is cut, and the cuts' sums added up.
 INNER = 256
 # Pairs of cells that one task should multiply.
 PAIRS = 1 << 27
+# Rows of tiles, in Spark and in Arrow.
+TILES = "i long, k long, cells array<int>, values array<double>"
+SCHEMA = pa.schema([("i", pa.int64()), ("k", pa.int64()), ("cells", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 # Of fewer pairs than this share of all products of a dense tile, the pairs are multiplied one by one.
 SPARSE = 0.02
 
@@ -71,7 +74,9 @@ class TileMatrix:
         which the other matrix has a tile to multiply it with. Copies of one group
         and one cut of the inner axis meet in a task, in order of the inner axis,
         so the task holds the group's sums and the tiles of one inner place. Groups
-        are smaller and cuts more where tasks would have more than ``pairs`` pairs.
+        are smaller where tasks would have more than ``pairs`` pairs. Only a group
+        that itself has more pairs or more than ``inner`` places is cut, and what
+        its cuts have summed up is added tile by tile.
         """
         if self.size != other.size:
             raise ValueError("tiles differ in size")
@@ -79,27 +84,35 @@ class TileMatrix:
         a = materialize(self.df.select(F.col("k").alias("on"), F.col("i").alias("at"), "cells", "values"), "left_tiles")
         b = materialize(other.df.select(F.col("i").alias("on"), F.col("k").alias("at"), "cells", "values"), "right_tiles")
         met = [t.groupBy("on").agg(F.sum(F.size("cells")).alias(n)) for t, n in ((a, "a"), (b, "b"))]
-        places, work = met[0].join(met[1], "on").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("a") * F.col("b") / size), F.lit(0.0))).first()
+        work = met[0].join(met[1], "on").agg(F.coalesce(F.sum(F.col("a") * F.col("b") / size), F.lit(0.0))).first()[0]
         height, width = (t.select("at").distinct().count() for t in (a, b))
         wanted = int(-(-work // pairs))
         groups = lambda g: -(-height // g) * -(-width // g)
         group = next((g for g in range(group, 1, -1) if groups(g) >= wanted), 1)
-        cuts = max(1, -(-places // inner), -(-wanted // max(1, groups(group))))
+        of = lambda at: F.expr(f"({at} - pmod({at}, {group})) div {group}")
 
-        def copied(tiles: DataFrame, others: DataFrame, side: int) -> DataFrame:
+        # on, gi, gj: where the tiles of two groups meet, and into how many cuts the pair of groups goes
+        sides = [t.groupBy("on", of("at").alias(g)).agg(F.sum(F.size("cells")).alias(n)) for t, g, n in ((a, "gi", "a"), (b, "gj", "b"))]
+        meets = materialize(sides[0].join(sides[1], "on"), "tile_meets")
+        cuts = F.ceil(F.greatest(F.count(F.lit(1)) / inner, F.sum(F.col("a") * F.col("b") / size) / pairs, F.lit(1.0))).cast("int")
+        cuts = materialize(meets.groupBy("gi", "gj").agg(cuts.alias("cuts")), "tile_cuts")
+
+        def few(df: DataFrame, row: Column) -> DataFrame:
+            bytes_ = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+            return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
+
+        grid = meets.join(few(cuts, F.lit(48)), ["gi", "gj"])
+        cut = F.pmod(F.xxhash64("on"), F.col("cuts")).cast("int")
+
+        def copied(tiles: DataFrame, side: int) -> DataFrame:
             """A row for each group of the other matrix that the tile meets."""
-            of = lambda at: F.expr(f"({at} - pmod({at}, {group})) div {group}")
-            grid = materialize(others.groupBy("on").agg(F.collect_set(of("at")).alias("groups")), "tile_grid")
-            bytes_ = grid.agg(F.coalesce(F.sum(F.size("groups") * 8 + 48), F.lit(0))).first()[0]
-            grid = F.broadcast(grid) if bytes_ <= BROADCAST_BYTES else grid
-            met = tiles.join(grid, "on").withColumn("g", of("at")).withColumn("h", F.explode("groups"))
-            gi, gj = ("g", "h") if side == 0 else ("h", "g")
-            cut = F.pmod(F.xxhash64("on"), F.lit(cuts)).alias("cut")
-            return met.select(F.col(gi).alias("gi"), F.col(gj).alias("gj"), cut, "on", F.lit(side).alias("side"), "at", "cells", "values")
-
-        rows = copied(a, b, 0).unionByName(copied(b, a, 1))
-        rows = rows.repartition("gi", "gj", "cut").sortWithinPartitions("gi", "gj", "cut", "on", "side")
-        schema = pa.schema([("i", pa.int64()), ("k", pa.int64()), ("cells", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+            own, other = ("gi", "gj") if side == 0 else ("gj", "gi")
+            to = F.collect_list(F.struct(F.col(other).alias("h"), cut.alias("cut"), "cuts")).alias("groups")
+            to = materialize(grid.groupBy("on", own).agg(to), "tile_grid")
+            met = tiles.withColumn(own, of("at")).join(few(to, F.size("groups") * 24 + 56), ["on", own]).withColumn("h", F.explode("groups"))
+            return met.select(own, F.col("h.h").alias(other), "h.cut", "h.cuts", "on", F.lit(side).alias("side"), "at", "cells", "values")
+
+        rows = copied(a, 0).unionByName(copied(b, 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, on, left, sums = None, None, [], {}
@@ -111,7 +124,7 @@ class TileMatrix:
                     cells, values = (columns[c][n].values.to_numpy(zero_copy_only=False) for c in (6, 7))
                     tile = (cells // size, cells % size, values)
                     if key != now:
-                        yield from _batches(sums, schema)
+                        yield from _batches(sums, SCHEMA)
                         now, on, sums = key, None, {}
                     if place != on:
                         on, left = place, []
@@ -120,12 +133,37 @@ class TileMatrix:
                         continue
                     for i, one in left:
                         _add_product(sums.setdefault((i, at), np.zeros((size, size))), one, tile, size)
-            yield from _batches(sums, schema)
-
-        parts = TileMatrix(rows.mapInArrow(run, "i long, k long, cells array<int>, values array<double>"), size).cells()
-        if cuts > 1:
-            parts = parts.groupBy("row", "col").agg(F.sum("value").alias("value"))
-        return parts.filter("value <> 0")
+            yield from _batches(sums, SCHEMA)
+
+        def multiplied(rows: DataFrame) -> DataFrame:
+            rows = rows.repartition("gi", "gj", "cut").sortWithinPartitions("gi", "gj", "cut", "on", "side")
+            return rows.mapInArrow(run, TILES)
+
+        whole = multiplied(rows.filter("cuts = 1"))
+        if not cuts.filter("cuts > 1").isEmpty():
+            whole = whole.unionByName(_added(multiplied(rows.filter("cuts > 1")), size))
+        return TileMatrix(whole, size).cells().filter("value <> 0")
+
+
+def _added(parts: DataFrame, size: int) -> DataFrame:
+    """A row per output tile, the sum of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("i", "k", "cells", "values")]
+            for n in range(len(batch)):
+                key = columns[0][n].as_py(), columns[1][n].as_py()
+                if key != now:
+                    if now is not None:
+                        yield from _batches({now: out}, SCHEMA)
+                    now, out = key, np.zeros((size, size))
+                cells, values = (columns[c][n].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+                out.ravel()[cells] += values
+        if now is not None:
+            yield from _batches({now: out}, SCHEMA)
+
+    return parts.repartition("i", "k").sortWithinPartitions("i", "k").mapInArrow(run, TILES)
 
 
 def _add_product(out: np.ndarray, a: tuple, b: tuple, size: int) -> None:

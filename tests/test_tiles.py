@@ -92,3 +92,12 @@ def test_dense_products_shuffle_a_tenth_of_the_coordinate_form(spark, monkeypatc
             spark.conf.set(k, v)
     assert sorted(map(tuple, tiled.df.collect())) == sorted(map(tuple, plain.df.collect()))
     assert 0 < by_tiles <= by_cells / 10, (by_tiles, by_cells)
+
+
+def test_groups_that_share_no_places_are_not_cut(spark):
+    # eight blocks of 16 by 40 along the diagonal: ten inner places for each group, eighty for all of them
+    cells = spark.range(8 * 16 * 40).select(F.expr("id div 40").alias("i"), F.expr("id div 640 * 40 + id % 40").alias("j"), F.expr("cast(id % 7 + 1 as double)").alias("value"))
+    a = CoordTensor(materialize(cells, "cells"), ["i", "j"])
+    once, cut = (matmul_tiles(a, a.t, 4, group=4, inner=inner) for inner in (1000, 10))
+    assert sorted(map(tuple, cut.df.collect())) == sorted(map(tuple, once.df.collect()))
+    assert shuffled_bytes(cut.df) <= 1.1 * shuffled_bytes(once.df)
