@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.storage import materialize
+from lexmill.storage import is_stored, materialize
 
 HOT_KEYS = 4096
 # A table of at most this size is broadcast whole.
@@ -83,7 +83,7 @@ class Lookup:
         with a hot key meet the broadcast hot part and are not shuffled at all,
         the others are shuffled on a key of which no value has more than its
         small share of the rows. Both halves read ``left``, so it is stored once
-        first. If even the hot part is too wide to broadcast, hot keys are dealt
+        first, unless it is the scan of a stored table. If even the hot part is too wide to broadcast, hot keys are dealt
         out instead: the table repeats them, each row of ``left`` takes one copy.
         """
         on = list(self.on)
@@ -101,7 +101,7 @@ class Lookup:
             copies = F.sequence(F.lit(0), F.when(is_hot, parts).otherwise(1) - 1)
             repeated = self.df.withColumn("_part", F.explode(copies)).select(*table.columns, "_part")
             return dealt.withColumn("_part", part).drop("_parts").join(repeated, [*on, "_part"], how).drop("_part")
-        left = materialize(left, "lookup_rows")
+        left = left if is_stored(left) else materialize(left, "lookup_rows")
         hot = self.df.filter(is_hot).select(*table.columns)
         cold = self.df.filter(~is_hot).select(*table.columns)
         with_hot = left.join(F.broadcast(hot), on, "inner")

@@ -45,6 +45,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` does no more than scan a written table, maybe some columns of it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        named = plan.projectList()
+        if any(named.apply(i).getClass().getSimpleName() != "AttributeReference" for i in range(named.length())):
+            return False
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def remove(df: DataFrame) -> None:
     """Delete the folders of a written table that nothing reads any more."""
     jvm = df.sparkSession._jvm
@@ -54,6 +65,20 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def materialize_placed(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, where joins leave rows in place that are partitioned by some of their keys.
+
+    By default Spark shuffles such rows again, by all keys of the join.
+    """
+    conf, option = df.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(option)
+    conf.set(option, "false")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(option, before)
+
+
 # Bytes of stored input that one task should work on.
 PLACED_BYTES = 256 << 20
 # Sizes from here on are Spark's way to say that it does not know.

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import bag_of_words
+from lexmill import storage
 from lexmill.operators.joins import Lookup, beside_each, product_join
 from lexmill.operators.ranking import hash_hex, lowest_by_hash, running_total
 
@@ -88,3 +89,19 @@ def test_many_classes_beside_each_row(spark, rows, monkeypatch):
     monkeypatch.setattr("lexmill.operators.joins.CLASS_BYTES", 100)
     assert rows(beside_each(df, classes)) == want
     assert beside_each(df, classes.limit(0)).count() == 0
+
+
+def test_lookup_does_not_write_stored_rows_again(spark, rows, monkeypatch):
+    left = storage.materialize(spark.range(100).selectExpr("id % 7 as k", "id as v"), "left")
+    table = spark.range(5).selectExpr("id as k", "id * 2 as w", "10L as rows")
+    lookup = Lookup.build(table, ["k"], "rows")
+    lookup.broadcast_bytes = 0
+    written = []
+    monkeypatch.setattr("lexmill.operators.joins.materialize", lambda df, name: written.append(name) or storage.materialize(df, name))
+    found = lookup.join(left, "left")
+    assert written == []
+    assert rows(found, "k", "v", "w") == sorted(((n % 7, n, n % 7 * 2 if n % 7 < 5 else None) for n in range(100)), key=repr)
+    # what is computed still is stored
+    lookup.join(left.withColumn("v", left.v + 1))
+    lookup.join(left.filter("v > 1"))
+    assert written == ["lookup_rows"] * 2
