@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions.entities import decode_references
-from lexmill.operators.joins import Lookup
 from lexmill.storage import materialize, place
 
 # Letters, numbers and underscore of every script (a plain \w is ASCII in Java).
 WORD = r"[\p{L}\p{N}_]+"
 NUMERIC = r"^\p{N}+$"
 
+# Texts that a Python tokenizer cuts before it hands over their words: so many characters and so many rows at most.
+SLICE_CHARS = 1 << 20
+SLICE_ROWS = 4096
+# A task forgets what a word function returned when it knows this many words.
+KNOWN_WORDS = 100_000
+
 # A stop-word list of at most this size is broadcast; a list for people has hundreds of words.
 BROADCAST_STOP_BYTES = 32 << 20
 
@@ -45,17 +52,62 @@ def tokenize(text: Column) -> Column:
 
 
 def python_tokenizer(tokenizer) -> Callable[[Column], Column]:
-    """Make a column function of an object with ``tokenize(text) -> list``."""
-    split = F.udf(lambda s: None if s is None else list(tokenizer.tokenize(s)), T.ArrayType(T.StringType()), useArrow=True)
+    """Make a column function of an object with ``tokenize(text) -> list``.
+
+    A worker holds the words of about SLICE_CHARS characters at a time, however
+    many texts Spark hands over at once.
+    """
+
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in _slices(batch):
+                words = [None if s is None else list(tokenizer.tokenize(s)) for s in part.to_pylist()]
+                yield _strings(words, lambda ws: ws and [None if w is None else str(w) for w in ws], pa.list_(pa.string()))
+
+    split = F.arrow_udf(split, T.ArrayType(T.StringType()))
     return lambda text: split(text)
 
 
 def python_preprocess(function: Callable[[str], str]) -> Callable[[Column], Column]:
-    """Make a column function of a Python ``word -> word`` function."""
-    apply = F.udf(lambda w: None if w is None else function(w), T.StringType(), useArrow=True)
+    """Make a column function of a Python ``word -> word`` function, which sees a task's words about once each."""
+
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            words = batch.dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            for w in distinct:
+                if w not in known:
+                    known[w] = function(w)
+            new = [known[w] for w in distinct]
+            yield _strings(new, str, pa.string()).take(words.indices)
+
+    apply = F.arrow_udf(apply, T.StringType())
     return lambda word: apply(word)
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices that end where they have SLICE_CHARS characters."""
+    start, size = 0, 0
+    for n, length in enumerate(pc.utf8_length(texts).to_pylist()):
+        size += length or 0
+        if size >= SLICE_CHARS or n + 1 - start >= SLICE_ROWS:
+            yield texts.slice(start, n + 1 - start)
+            start, size = n + 1, 0
+    if start < len(texts) or not len(texts):
+        yield texts.slice(start)
+
+
+def _strings(values: list, text: Callable, kind: pa.DataType) -> pa.Array:
+    """An Arrow array; what a user's function returned instead of strings becomes text."""
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowTypeError, pa.ArrowInvalid):
+        return pa.array([None if v is None else text(v) for v in values], kind)
+
+
 def is_word(low: Column) -> Column:
     """Whether a lower-case token has several characters and is not a number."""
     # a token that begins with an ASCII letter or underscore is no number;
@@ -133,17 +185,17 @@ def bag_of_words(
 
 
 def preprocessed(docs: DataFrame, by: Sequence[str], preprocess: Callable[[Column], Column], text: str = "text", keep: Sequence[str] = (), **how) -> DataFrame:
-    """Word counts after a word -> word function, which sees each distinct word once.
+    """Word counts after a word -> word function, which sees the distinct words of a document.
 
-    Words are counted as they are first; empty results drop a word.
+    Words are counted as they are first; empty results drop a word. Counts stay where
+    the document is: a table of all distinct words would have to be joined to them.
     """
     cut = (how.get("tokenizer") or tokenize)(decode_references(F.col(text)) if how.get("decode") else F.col(text))
     raw = count_words(docs.select(*by, F.explode(cut).alias("feature")), by)
-    raw = materialize(raw, "raw_words")
-    words = raw.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
-    new = words.select("feature", "rows", preprocess(F.col("feature")).alias("_new")).filter(F.length("_new") > 0)
-    found = Lookup.build(new, ["feature"], "rows", 4, "preprocessed").join(raw)
-    return found.groupBy(*by, F.col("_new").alias("feature")).agg(F.sum("value").alias("value"))
+    # no plain filter, which Spark would move below the count together with the function
+    kept = F.filter(F.array(preprocess(F.col("feature"))), lambda w: F.length(w) > 0)
+    new = raw.select(*by, "value", F.explode(kept).alias("feature"))
+    return new.groupBy(*by, "feature").agg(F.sum("value").alias("value"))
 
 
 def count_words(words: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import html
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,23 @@ def test_references_equal_the_standard_library(spark):
     texts = ["".join(rng.choice(bits) if rng.random() < 0.7 else "&" + rng.choice(names) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
     df = spark.createDataFrame([(t,) for t in texts + ["&" + n for n in names]], "t string")
     assert all(r.d == html.unescape(r.t) for r in df.select("t", decode_references(F.col("t")).alias("d")).collect())
+
+
+def test_tokenizer_holds_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(text, "SLICE_CHARS", 100)
+    texts = ["ab " * 20, None, "", "x", "long " * 100, "y"]
+    parts = [part.to_pylist() for part in text._slices(pa.array(texts))]
+    assert parts == [texts[:5], texts[5:]]
+    assert [p.to_pylist() for p in text._slices(pa.array([], pa.string()))] == [[]]
+    monkeypatch.setattr(text, "SLICE_ROWS", 2)
+    assert [len(p) for p in text._slices(pa.array(["a"] * 5))] == [2, 2, 1]
+
+
+def test_word_function_needs_no_table_of_words(spark, rows, monkeypatch):
+    monkeypatch.setattr(text, "materialize", None)
+    docs = spark.createDataFrame([(1, "aX b aX c"), (2, "b aX"), (3, None)], "doc_id bigint, text string")
+    cut = text.python_preprocess(lambda w: "" if w == "b" else w[:1])
+    assert rows(text.bag_of_words(docs, preprocess=cut), "doc_id", "feature", "value") == [(1, "a", 2.0), (1, "c", 1.0), (2, "a", 1.0)]
+    # what is no string becomes one, and no word drops it
+    odd = text.python_preprocess(lambda w: None if w == "b" else len(w))
+    assert rows(text.bag_of_words(docs, preprocess=odd), "doc_id", "feature", "value") == [(1, "1", 1.0), (1, "2", 2.0), (2, "2", 1.0)]
