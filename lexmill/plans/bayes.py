@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.gaussian import log_density, log_tail
-from lexmill.operators.joins import CLASS_BYTES, Lookup, beside_each, class_array_bytes
+from lexmill.operators.joins import BROADCAST_BYTES, CLASS_BYTES, Lookup, beside_each, class_array_bytes
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
 from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, with_label
-from lexmill.storage import materialize
+from lexmill.storage import is_stored, materialize, materialize_placed
+
+# Up to this many classes each have a slot in the row of a frequent word.
+SLOT_LABELS = 256
+# Sums of documents and classes that one task should hold.
+BLOCK_SUMS = 4_000_000
 
 
 class NaiveBayes:
@@ -222,17 +227,34 @@ class NaiveBayes:
 
         Words seen with a class only add to its score, so the largest of the
         scores without them and of those with them is the largest of all.
+        Words with many rows have a broadcast slot per class, up to SLOT_LABELS
+        of them, and add up where the document is. The cells of other words are
+        sent once to each block of documents that has the word.
         """
         order = F.row_number().over(Window.orderBy("label"))  # as many rows as labels
         sizes = materialize(self.sizes.withColumn("place", order), "class_places")
         classes = F.array_sort(F.collect_list(F.struct("place", "label", "log_prior", "denominator")))
         classes = sizes.agg(classes).scalar()
-        rows = materialize(self._matched(x), "matched")
-        places = F.broadcast(sizes.select("label", "place"))  # of bounded size, as the array
-        seen = rows.select(*self.keys, "_w", F.explode("logs").alias("c")).select(*self.keys, (F.col("_w") * F.col("c.log")).alias("_s"), "c.label")
-        seen = seen.groupBy(*self.keys, "label").agg(F.sum("_s").alias("_s")).join(places, "label")
-        seen = seen.groupBy(*self.keys).agg(F.collect_list(F.struct("place", "_s")).alias("_seen"))
-        docs = rows.groupBy(*self.keys).agg(F.expr("sum(_w) as _W"), F.expr("sum(_u) as _U")).join(seen, self.keys, "left")
+        n = sizes.count()
+        x = x.select(*self.keys, "feature")
+        rows = x if is_stored(x) else materialize(x, "to_predict")
+        model = self._log_cells(F.broadcast(sizes.select("label", "place")))  # of bounded size, as the array
+        weight = F.col("df").cast("double") if self.weight == "df" else F.lit(1.0)
+        if n <= SLOT_LABELS:
+            slots = range(1, n + 1)
+            near = _frequent(model, BROADCAST_BYTES // (8 * n + 128)).select("feature", "df", F.explode_outer("logs").alias("c"))
+            near = near.groupBy("feature", "df").agg(F.array(*[F.expr(f"sum(if(c.place = {k}, c.log, 0D))") for k in slots]).alias("logs"))
+            near = materialize(near, "near_words")
+            sums = [F.sum(F.col("_w") * F.col("logs")[k - 1]) for k in slots]
+            docs = rows.join(F.broadcast(near), "feature").withColumn("_w", weight).groupBy(*self.keys)
+            docs = docs.agg(F.sum("_w").alias("_W"), F.lit(0.0).alias("_U"), F.array(*sums).alias("_s"))
+            far = self._block_sums(rows.join(F.broadcast(near.select("feature")), "feature", "left_anti"), model, weight, n)
+            far = far.agg(*self._totals, F.array(*[F.expr(f"sum(if(place = {k}, _s, 0D))") for k in slots]).alias("_s"))
+            both = docs.unionByName(materialize_placed(far.drop("_block"), "block_sums")).groupBy(*self.keys)
+            docs = both.agg(F.sum("_W").alias("_W"), F.sum("_U").alias("_U"), F.array(*[F.expr(f"sum(_s[{k - 1}])") for k in slots]).alias("_s"))
+        else:
+            seen = F.collect_list(F.when(F.col("place") > 0, F.struct("place", "_s"))).alias("_seen")
+            docs = materialize_placed(self._block_sums(rows, model, weight, n).agg(*self._totals, seen), "block_sums")
         docs = docs.withColumn("_classes", classes)
 
         def scored(c: Column, more: Column) -> Column:
@@ -240,11 +262,49 @@ class NaiveBayes:
             # of equal scores the first place is the largest
             return F.struct(score.alias("score"), (-c["place"]).alias("before"), c["label"].alias("label"))
 
-        plain = F.array_max(F.transform("_classes", lambda c: scored(c, F.lit(0.0))))
-        with_words = F.transform("_seen", lambda s: scored(F.element_at("_classes", s["place"]), s["_s"]))
-        top = F.array_max(F.array_compact(F.array(plain, F.array_max(with_words))))
+        if n <= SLOT_LABELS:
+            top = F.array_max(F.transform("_classes", lambda c: scored(c, F.element_at("_s", c["place"]))))
+        else:
+            plain = F.array_max(F.transform("_classes", lambda c: scored(c, F.lit(0.0))))
+            with_words = F.transform("_seen", lambda s: scored(F.element_at("_classes", s["place"]), s["_s"]))
+            top = F.array_max(F.array_compact(F.array(plain, F.array_max(with_words))))
         return docs.withColumn("_top", top).select(*self.keys, "_top.label", "_top.score")
 
+    def _log_cells(self, places: DataFrame) -> DataFrame:
+        """``feature, df, logs``: place and log count of the classes a word was seen with, stored."""
+        cells = self.model.df.select("feature", "df", F.explode("cells").alias("c"))
+        cells = cells.select("feature", "df", "c.label", F.expr("ln(c.count + 1D) as log")).join(places, "label", "left")
+        # one entry per class
+        logs = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "log"))).alias("logs")
+        return materialize(cells.groupBy("feature").agg(F.max("df").alias("df"), logs), "log_cells")
+
+    @property
+    def _totals(self) -> list[Column]:
+        """Of a document's places in block sums 0 has the weights of known words, -1 those of unknown ones."""
+        return [F.expr(f"sum(if(place = {place}, _s, 0D)) as {name}") for place, name in ((0, "_W"), (-1, "_U"))]
+
+    def _block_sums(self, rows: DataFrame, model: DataFrame, weight: Column, n: int):
+        """Sums ``_s`` by ``place``, grouped by document.
+
+        Documents are dealt out in blocks. A block's words are looked up once, and
+        its sums stay where it is: of what a row unfolds into nothing is shuffled.
+        """
+        n_docs = rows.agg(F.approx_count_distinct(F.struct(*self.keys))).first()[0]
+        blocks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n_docs * n // BLOCK_SUMS))
+        rows = rows.withColumn("_block", F.pmod(F.xxhash64(*self.keys), F.lit(blocks)).cast("int"))
+        left = self.unseen == "smooth" or self.fallback
+        pair = lambda place, value: F.struct(place.alias("place"), value.alias("term"))
+        known = F.concat(
+            F.array(pair(F.lit(0), F.lit(1.0) * weight)), F.transform("logs", lambda c: pair(c["place"], weight * c["log"]))
+        )
+        unseen = F.array(pair(F.lit(-1), F.lit(0.0 if self.unseen == "drop" else 1.0)))
+        terms = F.when(F.col("df").isNull(), unseen).otherwise(known) if left else known
+        found = rows.select("_block", "feature").distinct().join(model, "feature", "left" if left else "inner")
+        found = found.select("_block", "feature", terms.alias("terms")).repartition(blocks, "_block")
+        cells = rows.repartition(blocks, "_block").join(found, ["_block", "feature"])
+        cells = cells.select("_block", *self.keys, F.explode("terms").alias("c")).select("_block", *self.keys, "c.*")
+        return cells.groupBy("_block", *self.keys, "place").agg(F.sum("term").alias("_s")).groupBy("_block", *self.keys)
+
     def coverage(self, x: DataFrame) -> DataFrame:
         """``keys, coverage``: the share of a document's distinct words that the model knows."""
         rows = self.model.join(x.select(*self.keys, "feature"), "left")
@@ -269,6 +329,19 @@ class NaiveBayes:
         return self
 
 
+def _frequent(model: DataFrame, most: int) -> DataFrame:
+    """The words of a model with the most rows, at most so many of them."""
+    size = F.floor(F.ln("df") * 8)
+    cut = None
+    # a few hundred rows at most
+    for r in model.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        most -= r["count"]
+        if most < 0:
+            break
+        cut = r["size"]
+    return model.filter(F.lit(False) if cut is None else size >= cut)
+
+
 class SmoothedNaiveBayes(NaiveBayes):
     """Textbook variant: word totals below the line, distinct words counted once, unseen words smoothed."""
 

@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from lexmill import storage
 from lexmill.operators.metrics import accuracy, hit_rate
-from lexmill.plans import GaussianNaiveBayes, NaiveBayes, SmoothedNaiveBayes
+from lexmill.operators.tensor import best
+from lexmill.plans import GaussianNaiveBayes, NaiveBayes, SmoothedNaiveBayes, bayes
 from lexmill.storage import scratch_path
 
 SCHEMA = "doc_id bigint, feature string, value double"
@@ -313,3 +315,20 @@ def test_best_of_many_labels_without_a_grid(spark, monkeypatch, options):
     for r in got:
         # nearly equal scores may be added up in another order
         assert r.score == pytest.approx(want[r.doc_id]) == pytest.approx(scores[r.doc_id, r.label])
+
+
+@pytest.mark.parametrize(("slots", "most"), [(0, 1 << 26), (256, 1 << 26), (256, 3000)])
+def test_sums_of_many_labels_stay_where_their_document_is(spark, rows, monkeypatch, slots, most):
+    x = spark.range(3000).selectExpr("id % 60 as doc_id", "concat('w', pmod(xxhash64(id), 40)) as feature", "1D as value").distinct()
+    y = spark.range(60).selectExpr("id as doc_id", "concat('c', id % 9) as label")
+    new = x.unionByName(spark.range(2).selectExpr("100 + id as doc_id", "'unknown' as feature", "1D as value"))
+    plans = []
+    monkeypatch.setattr(bayes, "SLOT_LABELS", slots)
+    monkeypatch.setattr(bayes, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(storage, "materialize", lambda df, name, f=storage.materialize: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, name))
+    for how in ({}, {"unseen": "smooth", "weight": "once"}, {"fallback": True}):
+        model = bayes.NaiveBayes(wide=0, **how).fit(x, y)
+        found, want = (rows(df.selectExpr("doc_id", "label", "round(score, 6)")) for df in (model.predict(new), best(model.scores(new), ["doc_id"], "score", "label")))
+        assert len(found) == 60 + 2 * bool(how)
+        assert found == want
+    assert len(plans) == 3 and all("Exchange" not in p[: p.index("Generate explode")] for p in plans)
