@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from lexmill.llm.rows import map_text, only, sample_texts, slices
+from lexmill.llm.rows import map_text, only, sample_texts, slices, text_column
 from lexmill.llm.workers import CACHE_LENGTH, held
 
 SAMPLE_ROWS = 1500
@@ -38,7 +37,9 @@ AFFIXES = (1, 2, 3, 4)
 UNDETERMINED = "und"
 # Characters worked on at once, and words whose emissions a worker keeps.
 SLICE = 1 << 19
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
+# New words whose features are worked out at once.
+NEW_WORDS = 1 << 13
 CHAIN = 200
 
 
@@ -141,10 +142,13 @@ class LanguageModel:
     begin: np.ndarray
     lexicons: dict[str, str]
 
+    def _memo(self) -> dict:
+        """What the worker knows of this model's words."""
+        return held(("emissions", zlib.crc32(self.weights.tobytes()), zlib.crc32(self.step.tobytes()), tuple(self.languages)), dict)
+
     def _emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The worker's table of emissions, and its rows of the words; row 0 is for words without letters."""
-        key = ("emissions", zlib.crc32(self.weights.tobytes()), zlib.crc32(self.step.tobytes()), tuple(self.languages))
-        memo = held(key, dict)
+        memo = self._memo()
         if not memo or len(memo["rows"]) > CACHED_WORDS:
             memo.update(rows={}, table=np.zeros((1, len(self.languages)), np.float32))
         rows = memo["rows"]
@@ -154,7 +158,8 @@ class LanguageModel:
             plain = [letters(w) for w in new]
             unseen = [w for w in dict.fromkeys(plain) if w and w not in rows]
             at = len(memo["table"])
-            memo["table"] = np.concatenate([memo["table"], emissions(word_features(unseen, self.lexicons), self.weights)])
+            parts = [unseen[i : i + NEW_WORDS] for i in range(0, len(unseen), NEW_WORDS)]
+            memo["table"] = np.concatenate([memo["table"], *[emissions(word_features(p, self.lexicons), self.weights) for p in parts]])
             rows.update(zip(unseen, range(at, at + len(unseen))))
             rows[""] = 0
             rows.update((w, rows[p]) for w, p in zip(new, plain))
@@ -203,14 +208,16 @@ class LanguageModel:
         """Struct of lang_pred and score."""
         model = self
 
-        @pandas_udf("lang_pred string, score double")
-        def predict(texts):
-            import pandas as pd
+        def make():
+            model._memo()
+
+            def predict(texts: list[str | None]) -> pa.Array:
+                names, score = model.predictions(texts)
+                return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-            names, score = model.predictions([t if isinstance(t, str) else None for t in texts])
-            return pd.DataFrame({"lang_pred": names, "score": score})
+            return predict
 
-        return predict(text)
+        return text_column(text, make, "lang_pred string, score double")
 
 
 def fit(

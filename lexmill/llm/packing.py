@@ -123,8 +123,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * size
         for batch in batches:
             rows, take = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = b"".join(map(word_ids.__getitem__, (text or "").encode().lower().split())) + end
+            # one text at a time is a Python string
+            for i, text in enumerate(batch.column("text")):
+                ids = b"".join(map(word_ids.__getitem__, (text.as_py() or "").encode().lower().split())) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     length = len(piece) // 4

@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from lexmill.llm.rows import map_text, only, sample_rows, sample_texts, slices, utf8
+from lexmill.llm.rows import map_text, only, sample_rows, sample_texts, slices, text_column, utf8
 from lexmill.llm.workers import held
 
 SAMPLE_ROWS = 4000
@@ -109,13 +108,11 @@ class QualityModel:
     def score_column(self, text: Column) -> Column:
         model = self
 
-        @pandas_udf("double")
-        def score(texts):
-            import pandas as pd
+        def make():
+            held("quality")  # of what other operators held nothing is needed
+            return lambda texts: pa.array(model.scores(texts), pa.float64())
 
-            return pd.Series(model.scores([t if isinstance(t, str) else None for t in texts]))
-
-        return score(text)
+        return text_column(text, make, "double")
 
 
 def fit(

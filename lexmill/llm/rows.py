@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from lexmill.llm.workers import trim
 # Texts are worked on in slices of about this many characters, so that the
 # memory of a task does not depend on how many rows an Arrow batch has.
 SLICE_CHARS = 4 << 20
+# Bytes of texts that are Python strings at once where a column is computed from them.
+COLUMN_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +119,35 @@ def map_text(
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
+def text_column(text: Column, make: Callable[[], Callable[[list[str | None]], pa.Array]], ddl: str) -> Column:
+    """A column computed from texts in Arrow batches, as :func:`map_text` computes several."""
+    return F.arrow_udf(sliced(make), ddl)(text)
+
+
+def sliced(make: Callable[[], Callable[[list[str | None]], pa.Array]]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Work through batches of texts, of which about COLUMN_BYTES are Python strings at a time.
+
+    ``make`` is called once per task and before the first batch is taken, so what another
+    operator held is gone by then; what the task used goes back to the system.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+            done, parts = 0, []
+            while done < len(batch) or not parts:
+                # the text that reaches the bound is in
+                before = ends[done - 1] if done else 0
+                stop = min(int(np.searchsorted(ends, before + COLUMN_BYTES)) + 1, len(batch))
+                parts.append(work(batch.slice(done, stop - done).to_pylist()))
+                done = stop
+            yield pa.concat_arrays(parts)
+        trim()
+
+    return run
+
+
 def utf8(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one array of bytes, and where each begins (one entry more than texts)."""
     raw = [(t or "").encode() for t in texts]

@@ -2,10 +2,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import language, quality, toxicity
+from lexmill.llm import language, quality, rows, toxicity, workers
 from lexmill.llm.rows import fitting, remainder, sample_texts
 
 
@@ -205,3 +206,31 @@ def test_language_scores_of_documents_recomputed_plainly():
             share += np.bincount(p, minlength=2) * q
     names, score = model.predictions([text])
     assert names == [model.languages[share.argmax()]] and np.isclose(score[0], share.max() / share.sum())
+
+
+@pytest.mark.parametrize("which", ["language", "quality"])
+def test_columns_of_the_pipeline_drop_what_others_held_and_work_in_slices(which, monkeypatch):
+    texts = ["the quick brown fox", None, "", "ein schneller brauner fuchs " * 9, "the dog"]
+    if which == "language":
+        model = language.train([("the quick brown fox", "en"), ("ein schneller brauner fuchs", "de")], 5)
+        column, work, want = model.prediction_column, "predictions", list(zip(*model.predictions(texts)))
+    else:
+        model = quality.train(["the quick brown fox", "x0 x1 x2"], np.array([1, 0], np.float32), 1, 7)
+        column, work, want = model.score_column, "scores", list(model.scores(texts))
+    made = []
+    monkeypatch.setattr(f"lexmill.llm.{which}.text_column", lambda text, make, ddl: made.append(make))
+    column(None)
+    monkeypatch.setattr(rows, "COLUMN_BYTES", 30)
+    seen, plain = [], getattr(type(model), work)
+    monkeypatch.setattr(type(model), work, lambda self, part: seen.append(len(part)) or plain(self, part))
+    workers.held("another operator", dict)
+
+    def batches():
+        assert "another operator" not in workers._held
+        yield pa.array(texts, pa.string())
+        yield pa.array([], pa.string())
+
+    found, empty = list(rows.sliced(made[0])(batches()))
+    assert len(empty) == 0 and seen == [4, 1, 0]
+    got = found.to_pylist()
+    assert got == (pytest.approx(want) if which == "quality" else [{"lang_pred": n, "score": pytest.approx(s)} for n, s in want])
