@@ -76,12 +76,24 @@ class Lookup:
     def is_hot(self) -> Column:
         return F.col(self.rows) > F.lit(self.n_rows / HOT_KEYS)
 
+    def near(self) -> Column:
+        """Whether a key is hot or one of the most frequent, as many as half of ``broadcast_bytes`` holds."""
+        most = self.broadcast_bytes // 2 // (self._row_bytes + -(-self.key_bytes // max(self.n_keys, 1)))
+        size, cut = F.floor(F.ln(F.greatest(F.col(self.rows), F.lit(1))) * 8), None
+        # a few hundred rows at most
+        for r in self.df.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+            most -= r["count"]
+            if most < 0:
+                break
+            cut = r["size"]
+        return F.coalesce(self.is_hot if cut is None else self.is_hot | (size >= cut), F.lit(False))
+
     def join(self, left: DataFrame, how: str = "inner") -> DataFrame:
         """``left`` (many rows per key) joined with this table.
 
         A table of bounded size is broadcast. A larger one is cut in two: rows
-        with a hot key meet the broadcast hot part and are not shuffled at all,
-        the others are shuffled on a key of which no value has more than its
+        with a hot key, or one of the most frequent, meet the broadcast part of these
+        and are not shuffled at all, the others are shuffled on a key of which no value has more than its
         small share of the rows. Both halves read ``left``, so it is stored once
         first, unless it is the scan of a stored table. If even the hot part is too wide to broadcast, hot keys are dealt
         out instead: the table repeats them, each row of ``left`` takes one copy.
@@ -102,8 +114,9 @@ class Lookup:
             repeated = self.df.withColumn("_part", F.explode(copies)).select(*table.columns, "_part")
             return dealt.withColumn("_part", part).drop("_parts").join(repeated, [*on, "_part"], how).drop("_part")
         left = left if is_stored(left) else materialize(left, "lookup_rows")
-        hot = self.df.filter(is_hot).select(*table.columns)
-        cold = self.df.filter(~is_hot).select(*table.columns)
+        near = self.near()
+        hot = self.df.filter(near).select(*table.columns)
+        cold = self.df.filter(~near).select(*table.columns)
         with_hot = left.join(F.broadcast(hot), on, "inner")
         others = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
         return with_hot.unionByName(others.join(cold, on, how))

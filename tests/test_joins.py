@@ -105,3 +105,24 @@ def test_lookup_does_not_write_stored_rows_again(spark, rows, monkeypatch):
     lookup.join(left.withColumn("v", left.v + 1))
     lookup.join(left.filter("v > 1"))
     assert written == ["lookup_rows"] * 2
+
+
+def test_a_split_lookup_shuffles_only_what_may_not_be_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr("lexmill.operators.joins.HOT_KEYS", 2)
+    left = spark.range(100).selectExpr("concat('k', id) as key", "100 - id as n").selectExpr("key", "explode(sequence(1, n)) as v").unionByName(
+        spark.createDataFrame([(None, 1), ("other", 2)], "key string, v long")
+    )
+    table = left.filter("key <> 'other'").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("v").alias("m"))
+    more = spark.createDataFrame([("no rows", 0, 1), ("unknown rows", None, 1)], "key string, rows long, m long")
+    lookup = Lookup.build(table.union(more), ["key"], "rows", 2)
+    kept = []
+    plain = {how: rows(left.join(table, "key", how), "key", "v", "m") for how in ("inner", "left")}
+    # 32 + 16 bytes a row, and 3 of a key
+    for bound in (0, 40 * 52, 200 * 60):
+        lookup.broadcast_bytes = bound
+        kept.append(lookup.df.filter(lookup.near()).count())
+        assert lookup.df.filter(~lookup.near()).count() == lookup.df.count() - kept[-1]
+        if not lookup.is_broadcast:
+            for how in ("inner", "left"):
+                assert rows(lookup.join(left, how), "key", "v", "m") == plain[how]
+    assert kept[0] == 0 and 10 <= kept[1] <= 20 and kept[2] > 60
