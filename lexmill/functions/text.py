@@ -108,12 +108,15 @@ def _strings(values: list, text: Callable, kind: pa.DataType) -> pa.Array:
         return pa.array([None if v is None else text(v) for v in values], kind)
 
 
-def is_word(low: Column) -> Column:
-    """Whether a lower-case token has several characters and is not a number."""
+def is_word(token: Column, low: Column | None = None) -> Column:
+    """Whether a token has several characters in lower case (``low``, if it is not so yet) and is not a number."""
     # a token that begins with an ASCII letter or underscore is no number;
     # comparing bytes spares most tokens the pattern
-    plain = (low >= "A") & (low < "{")
-    return (F.length(low) > 1) & (plain | ~low.rlike(NUMERIC))
+    plain = (token >= "A") & (token < "{")
+    if low is None:
+        return (F.length(token) > 1) & (plain | ~token.rlike(NUMERIC))
+    # lower case is never shorter, and a single character may become two
+    return ((F.length(token) > 1) | (F.length(low) > 1)) & (plain | ~low.rlike(NUMERIC))
 
 
 def normalize(word: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -158,8 +161,8 @@ def tokens(
         body = decode_references(body)
     words = docs.select(*keys, *keep, F.explode((tokenizer or tokenize)(body)).alias("_w"))
     if preprocess is None:
-        # normalize() as a filter, which Spark evaluates once per word
-        return words.select(*keys, *keep, F.lower("_w").alias("feature")).filter(is_word(F.col("feature")))
+        # normalize() as a filter, on the word as it is: a filter would put it in lower case for each comparison
+        return words.filter(is_word(F.col("_w"), F.lower("_w"))).select(*keys, *keep, F.lower("_w").alias("feature"))
     words = words.select(*keys, *keep, preprocess(F.col("_w")).alias("feature"))
     return words.filter(F.length("feature") > 0)
 

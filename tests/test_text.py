@@ -128,3 +128,13 @@ def test_word_function_needs_no_table_of_words(spark, rows, monkeypatch):
     # what is no string becomes one, and no word drops it
     odd = text.python_preprocess(lambda w: None if w == "b" else len(w))
     assert rows(text.bag_of_words(docs, preprocess=odd), "doc_id", "feature", "value") == [(1, "1", 1.0), (1, "2", 2.0), (2, "2", 1.0)]
+
+
+def test_a_word_is_put_in_lower_case_only_where_needed(spark, rows):
+    line = "A ab İ K ①② 12 Kelvin ÉTÉ _ _x 1a ß ΣΑΣ"
+    docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    found = text.tokens(docs, ["doc_id"])
+    words = docs.select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("w")).select("doc_id", F.lower("w").alias("feature"))
+    assert rows(found) == rows(words.filter(text.is_word(F.col("feature"))))
+    # the filter compares bytes of the word as it is; before, it lowered the word for each of them
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 3
