@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -27,40 +29,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import only
-from lexmill.llm.vocabulary import merges_only, tokenizer_file
-from lexmill.llm.workers import Cache, held, trim
+from lexmill.llm.vocabulary import byte_characters, merges_only, tokenizer_file
+from lexmill.llm.workers import CACHE_LENGTH, Cache, held, trim
 from lexmill.storage import materialize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SIZE = 2048
 END_ID = 0
-MARKS = frozenset([b".", b",", b"!", b"?", b";", b":"])
+MARKS = string.punctuation.encode()
+# Letters of ASCII and Latin-1: one piece, of which no step before the merges changes more than the case.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Words of a generation. A worker holds two, beside a JVM that takes most of an executor's memory.
+GENERATION = 150_000
 
 
 class Words(Cache):
-    """Ids of words; a word with a mark behind it is put together, not kept."""
+    """Ids of words; a word with marks behind it is put together, not kept.
+
+    When a generation of words is full it becomes the old one, and what was old is
+    forgotten, but for the words that have been asked for again.
+    """
+
+    def __init__(self, compute):
+        super().__init__(compute)
+        self.old = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in MARKS and word[-2:-1].isalnum():
-            return self[word[:-1]] + self[word[-1:]]
-        return super().__missing__(word)
+        plain = word.rstrip(MARKS)
+        if len(plain) < len(word) and (plain[-1:].isalnum() or LETTERS.fullmatch(plain)):
+            return self[plain] + self[word[len(plain) :]]
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.compute(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def _word_ids(path: str) -> Words:
     """Little-endian 32-bit ids of a word without ASCII white space, in lower case.
 
     The vocabulary drops white space and lower-cases, and no step before it looks
-    across white space, so the ids of a text are those of its words in a row. A
-    punctuation mark after a letter or digit is a token sequence of its own.
+    across white space, so the ids of a text are those of its words in a row.
+    Punctuation marks after a letter or digit are a token sequence of their own.
     """
 
     def make() -> Words:
-        encode, plain = tokenizer_file(path).encode, merges_only(path).encode
+        encode, merge, byte = tokenizer_file(path).encode, merges_only(path).model.tokenize, byte_characters()
 
         def ids(word: bytes) -> bytes:
-            # ASCII letters are one piece that no step before the merges changes
-            run = plain if word.isalpha() else encode
-            return np.asarray(run(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            if LETTERS.fullmatch(word):
+                lower = word.decode().lower().encode().decode("latin-1")
+                found = [t.id for t in merge(lower.translate(byte))]
+            else:
+                found = encode(word.decode(), add_special_tokens=False).ids
+            return np.array(found, "<u4").tobytes()
 
         return Words(ids)
 

@@ -139,3 +139,15 @@ def test_packing_of_awkward_rows(documents, awkward):
 
 def test_packing_nothing(documents):
     assert packing.pack(documents([])).count() == 0
+
+
+def test_words_of_a_worker_are_bounded_and_exact(monkeypatch):
+    monkeypatch.setattr(packing, "GENERATION", 50, raising=False)
+    words, whole = packing._word_ids(packing.VOCABULARY), Tokenizer.from_file(packing.VOCABULARY)
+    whole.encode_special_tokens = True
+    words.clear()
+    texts = [t + mark for t in strange(2000, 8, seed=3) for mark in ("", "!?", "é%%%", "a's'", "ÀÞß...", "×-")]
+    for text in [*texts, *(f"word{i} été{'a' * i}," for i in range(200))]:
+        ids = b"".join(map(words.__getitem__, text.encode().lower().split()))
+        assert ids == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert len(words) + len(getattr(words, "old", {})) <= 100
