@@ -1,7 +1,9 @@
 """How far the sources of each language differ in their words, in whole numbers.
 
-Per language a CountVectorizer builds a vocabulary (a least number of documents,
-no limit of its size) and exact sparse counts per document. They are added up by
+A task counts the documents of each term, and puts the terms of its documents
+together by language and source. Per language a CountVectorizer takes the terms
+with a least number of documents as its vocabulary (no limit of its size) and
+gives exact sparse counts of what each task put together. They are added up by
 source as sparse vectors: a row per source and term that occurs. A group's share
 of a term is ``p = 1 + floor(1e9 * (count + 2) / (N + 2 V))`` and the divergence
 of two shares ``floor((p - q)^2 / (p + q))``.
@@ -14,6 +16,7 @@ pair of sources is emitted per term: tasks hold sums for tiles of TILE sources.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +32,13 @@ from lexmill.storage import materialize, scratch_path
 # What each byte of UTF-8 becomes: ASCII other than letters parts terms, A-Z are lower-cased, all else stays.
 BYTES = bytes(b | 0x20 if chr(b).isalpha() else 0x20 for b in range(128)) + bytes(range(128, 256))
 ANY_SIZE = 2**31 - 1
-# A vocabulary passes through the driver; one that may have more terms than this is built in parts by the terms' hash.
+# A vocabulary passes through the driver; one that has more terms than this is built in parts by the terms' hash.
 VOCABULARY_TERMS = 4_000_000
-# One in so many documents is looked at to see how many terms there may be.
-SIZED = 16
+# Bytes of terms that a task holds, and those of a group in one row.
+HELD_BYTES = 32 << 20
+BAG_BYTES = 1 << 20
+# Distinct terms that a task counts documents of before it hands the counts over.
+HELD_TERMS = 1 << 18
 # Sums of TILE * TILE pairs of sources are held by a task.
 TILE = 1024
 # Cells of one task's share of the terms, and entries of a block of terms beside all sources of a tile.
@@ -40,49 +46,104 @@ PART_CELLS = 200_000
 BLOCK_ENTRIES = 1 << 20
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """``text`` replaced by its terms in order, parted by single blanks; null counts as empty."""
-    kept = [c for c in docs.columns if c != "text"]
+def _rows(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple]:
+    """The keys of each row and the terms of its text in order."""
+    for *key, text in zip(*[batch.column(k).to_pylist() for k in keys], batch.column("raw")):
+        yield *key, text.as_py().translate(BYTES).split()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = [b" ".join(t.translate(BYTES).split()) for t in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(terms, pa.string())], names=[*kept, "text"])
 
-    fields = [f"`{c}` {t}" for c, t in docs.dtypes if c != "text"]
-    raw = F.coalesce("text", F.lit("")).cast("binary").alias("raw")
-    return docs.select(*kept, raw).mapInArrow(run, ", ".join([*fields, "text string"]))
+def _raw(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys, and the text's bytes; null counts as empty."""
+    return docs.select(*keys, F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(lang_no, term, n): documents of each language that a term occurs in. ``docs`` has (lang_no, text)."""
+    parts = _raw(docs, "lang_no").mapInArrow(counted, "lang_no long, term string, n long")
+    return parts.groupBy("lang_no", "term").agg(F.sum("n").alias("n"))
+
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang_no, term, n) of a task's documents; a term may be given more than once."""
+    counts: dict[int, Counter] = {}
 
-def words(text: Column) -> Column:
-    """The terms of a cleaned text."""
-    return F.when(text != "", F.split(text, " ")).otherwise(F.array().cast("array<string>"))
+    def given() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            columns = [pa.array(np.full(len(own), lang)), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang_no", "term", "n"])
+        counts.clear()
 
+    terms = 0
+    for batch in batches:
+        for lang, found in _rows(batch, "lang_no"):
+            own = counts.setdefault(lang, Counter())
+            terms -= len(own)
+            own.update(set(found))
+            terms += len(own)
+            if terms >= HELD_TERMS:
+                yield from given()
+                terms = 0
+    yield from given()
 
-def vocabulary_counts(docs: DataFrame, groups: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+
+def bags(docs: DataFrame) -> DataFrame:
+    """(lang_no, source_no, text): a task's terms put together by group, parted by single blanks. ``docs`` has the same columns.
+
+    A group of much text has several rows, one without terms has none.
+    """
+    return _raw(docs, "lang_no", "source_no").mapInArrow(bagged, "lang_no long, source_no long, text string")
+
+
+def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang_no, source_no, text) of a task's documents."""
+    held: dict[tuple[int, int], list[bytes]] = {}
+    sizes: Counter = Counter()
+
+    def bag(key: tuple[int, int]) -> pa.RecordBatch:
+        del sizes[key]
+        columns = [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([b" ".join(held.pop(key))], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang_no", "source_no", "text"])
+
+    total = 0
+    for batch in batches:
+        for lang, source, found in _rows(batch, "lang_no", "source_no"):
+            if not found:
+                continue
+            key, text = (lang, source), b" ".join(found)
+            held.setdefault(key, []).append(text)
+            sizes[key] += len(text) + 1
+            total += len(text) + 1
+            if sizes[key] >= BAG_BYTES:
+                total -= sizes[key]
+                yield bag(key)
+            if total >= HELD_BYTES:
+                yield from map(bag, list(held))
+                total = 0
+    yield from map(bag, list(held))
+
+
+def _by_language(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored by language, so that a fit reads its own language only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy("lang_no").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def vocabulary_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang_no, term_no, term) of all kept terms, and (lang_no, source_no, term_no, count) of those that occur.
 
-    ``docs`` has (lang_no, source_no, text) with cleaned texts, ``groups`` the documents ``n`` by (lang_no, source_no).
-    Each language has a fit of its own, one after the other; languages with fewer
-    documents than ``min_docs`` need none.
+    ``docs`` has (lang_no, source_no, text). Each language has a CountVectorizer of its
+    own, one after the other, fitted on the terms it keeps; a language that keeps none needs none.
     """
-    spark = docs.sparkSession
-    # stored by language, so that a fit reads its own documents only
-    path = scratch_path(spark, "divergence_words")
-    docs.write.partitionBy("lang_no").parquet(path)
-    docs = spark.read.schema(docs.schema).parquet(path).select("lang_no", "source_no", words(F.col("text")).alias("words"), "text")
-    # the shares of documents have SIZED times as many terms as all of them, or fewer
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SIZED)) == 0).select("lang_no", F.explode("words").alias("word"))
-    sizes = some.groupBy("lang_no").agg((SIZED * F.approx_count_distinct("word")).alias("terms"))
-    docs = docs.drop("text")
-    wanted = groups.groupBy("lang_no").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(sizes, "lang_no", "left")
+    kept = _by_language(document_counts(docs).filter(F.col("n") >= min_docs).select("lang_no", "term"), "divergence_kept")
+    sizes = {r["lang_no"]: r["v"] for r in kept.groupBy("lang_no").agg(F.count(F.lit(1)).alias("v")).collect()}
+    rows = _by_language(bags(docs), "divergence_bags")
     terms = counts = None
-    for lang, parts in sorted((r["lang_no"], -(-max(r["terms"] or 0, 1) // VOCABULARY_TERMS)) for r in wanted.collect()):
+    for lang, size in sorted(sizes.items()):
+        parts = -(-size // VOCABULARY_TERMS)
         for part in range(parts):
-            rows = docs.filter(F.col("lang_no") == lang)
-            if parts > 1:
-                rows = rows.withColumn("words", F.filter("words", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == part))
-            found = _fit(rows, min_docs, lang, part)
+            own = kept.filter((F.col("lang_no") == lang) & (F.pmod(F.xxhash64("term"), F.lit(parts)) == part))
+            found = _fit(own, rows.filter(F.col("lang_no") == lang), lang, part)
             if found is not None:
                 terms, counts = found if terms is None else (terms.unionByName(found[0]), counts.unionByName(found[1]))
     if terms is None:
@@ -92,11 +153,11 @@ def vocabulary_counts(docs: DataFrame, groups: DataFrame, min_docs: int) -> tupl
     return terms, counts
 
 
-def _fit(rows: DataFrame, min_docs: int, lang: int, part: int) -> tuple[DataFrame, DataFrame] | None:
-    """The vocabulary of one language (or a part of it) and its counts by source; None if no term is frequent enough."""
+def _fit(kept: DataFrame, rows: DataFrame, lang: int, part: int) -> tuple[DataFrame, DataFrame] | None:
+    """The vocabulary of one language (or a part of it) and its counts by source in the bags ``rows``; None if it has no terms."""
     spark = rows.sparkSession
     try:
-        model = CountVectorizer(inputCol="words", outputCol="counts", minDF=float(min_docs), vocabSize=ANY_SIZE).fit(rows)
+        model = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=ANY_SIZE).fit(kept.select(F.array("term").alias("words")))
     except IllegalArgumentException as e:
         if "vocabulary size" in str(e):
             return None
@@ -107,7 +168,7 @@ def _fit(rows: DataFrame, min_docs: int, lang: int, part: int) -> tuple[DataFram
     number = lambda i: (F.col(i).cast("bigint") + F.lit(part << 32)).alias("term_no")
     lang_no = F.lit(lang).cast("bigint").alias("lang_no")
     terms = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "term")).select(lang_no, number("i"), "term")
-    vectors = model.transform(rows).select("source_no", F.unwrap_udt("counts").alias("v"))
+    vectors = model.transform(rows.select("source_no", F.split("text", " ").alias("words"))).select("source_no", F.unwrap_udt("counts").alias("v"))
     cells = vectors.select("source_no", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c"))
     # whole numbers, whose sums are exact in any order
     sums = cells.groupBy("source_no", F.col("c.indices").alias("i")).agg(F.sum(F.col("c.values").cast("bigint")).alias("count"))
@@ -267,7 +328,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = groups.join(langs.select("lang", "lang_no"), "lang").withColumn("source_no", F.row_number().over(by_source).cast("bigint") - 1)
     groups = materialize(groups, "divergence_numbers")
     numbers = groups.select("lang", "source", "lang_no", "source_no")
-    terms, counts = vocabulary_counts(cleaned(_with_numbers(docs, numbers)), groups, min_docs)
+    terms, counts = vocabulary_counts(_with_numbers(docs, numbers), min_docs)
 
     per_term = counts.groupBy("lang_no", "term_no").agg(F.sum("count").alias("in_lang"))
     per_group = counts.groupBy("lang_no", "source_no").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("cells"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as fs
 import pytest
 import zstandard
@@ -67,6 +68,55 @@ def test_vocabulary_in_parts(spark, monkeypatch):
     assert audited(df, min_docs=5) == plain_audit(rows, 5)
 
 
+def test_vectors_are_made_of_groups_not_documents(spark, monkeypatch):
+    seen = Counter()
+
+    class Counting(divergence.CountVectorizer):
+        def fit(self, rows):
+            seen["words fitted"] += rows.select(F.sum(F.size("words"))).first()[0]
+            model = super().fit(rows)
+            transform = model.transform
+
+            def counting(rows):
+                seen["rows"] += rows.count()
+                return transform(rows)
+
+            model.transform = counting
+            return model
+
+    monkeypatch.setattr(divergence, "CountVectorizer", Counting)
+    rows = [("en", f"s{i % 3}", f"{'abcd'[i % 4]} all of these a{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(2)
+    assert audited(df) == plain_audit(rows, 10)
+    assert seen["words fitted"] == 7 and seen["rows"] <= 6
+
+
+@pytest.mark.parametrize("held, of_bag, of_terms", [(1 << 20, 40, 1 << 20), (60, 1 << 20, 5), (1, 1, 1)])
+def test_what_a_task_holds_is_bounded(monkeypatch, held, of_bag, of_terms):
+    for name, value in (("HELD_BYTES", held), ("BAG_BYTES", of_bag), ("HELD_TERMS", of_terms)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = [(i % 2, i % 3, f"Word{'abcd'[i % 4]} all, {'x ' * (i % 5)}") for i in range(60)] + [(0, 1, ""), (1, 2, "1 2")]
+    columns = dict(zip(("lang_no", "source_no", "raw"), zip(*[(a, b, t.encode()) for a, b, t in rows])))
+    table = pa.table(columns | {"raw": pa.array(columns["raw"], pa.binary())})
+    want, docs = defaultdict(Counter), Counter()
+    for lang, source, text in rows:
+        found = text.lower().replace(",", "").split() if "1" not in text else []
+        if found:
+            want[lang, source].update(found)
+            docs.update((lang, t) for t in set(found))
+    got = defaultdict(Counter)
+    for r in pa.Table.from_batches(divergence.bagged(iter(table.to_batches(7)))).to_pylist():
+        got[r["lang_no"], r["source_no"]].update(r["text"].split(" "))
+        assert len(r["text"]) < min(held, of_bag) + 20
+    assert got == want
+    found = Counter()
+    for batch in divergence.counted(iter(table.to_batches(7))):
+        assert len(batch) < of_terms + 5
+        for r in batch.to_pylist():
+            found[r["lang_no"], r["term"]] += r["n"]
+    assert found == docs
+
+
 def test_tiles_and_blocks(spark, monkeypatch):
     # as in a task, where blocks are small
     monkeypatch.setattr(divergence, "BLOCK_ENTRIES", 6)
