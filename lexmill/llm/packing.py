@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.rows import only
-from lexmill.llm.vocabulary import byte_characters, merges_only, tokenizer_file
+from lexmill.llm.rows import only, small_batches
+from lexmill.llm.vocabulary import byte_characters, tokenizer_file
 from lexmill.llm.workers import CACHE_LENGTH, Cache, held, trim
 from lexmill.storage import materialize
 
@@ -40,7 +40,7 @@ MARKS = string.punctuation.encode()
 # Letters of ASCII and Latin-1: one piece, of which no step before the merges changes more than the case.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # Words of a generation. A worker holds two, beside a JVM that takes most of an executor's memory.
-GENERATION = 150_000
+GENERATION = 100_000
 
 
 class Words(Cache):
@@ -78,7 +78,8 @@ def _word_ids(path: str) -> Words:
     """
 
     def make() -> Words:
-        encode, merge, byte = tokenizer_file(path).encode, merges_only(path).model.tokenize, byte_characters()
+        whole = tokenizer_file(path)
+        encode, merge, byte = whole.encode, whole.model.tokenize, byte_characters()
 
         def ids(word: bytes) -> bytes:
             if LETTERS.fullmatch(word):
@@ -178,7 +179,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     one by one, null ids stay null, other columns are left out, and an empty
     table gives an empty result.
     """
-    written = materialize(pieces(docs, id_col, text_col, size, vocabulary), "pieces")
+    with small_batches(docs.sparkSession):
+        written = materialize(pieces(docs, id_col, text_col, size, vocabulary), "pieces")
     per_task = materialize(written.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     # one row per length that occurs: at most ``size`` rows
     runs = plan({r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)

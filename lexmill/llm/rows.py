@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from lexmill.llm.workers import trim
 SLICE_CHARS = 4 << 20
 # Bytes of texts that are Python strings at once where a column is computed from them.
 COLUMN_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,19 @@ def sample_texts(df: DataFrame, group: Column, rows: int, chars: int, seed: int)
     return sorted(found.collect(), key=lambda r: place[r["doc_id"], r["label"], r["mark"]])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile hands whole texts to Python BATCH_ROWS at a time: a batch is held by the JVM and by the worker."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(option, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[slice]:
     """Runs of neighbouring texts of about ``chars`` characters, at least one text each."""
     start = total = 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import json
 import os
 from functools import lru_cache
 
@@ -21,14 +20,6 @@ def tokenizer_file(path: str) -> Tokenizer:
     return t
 
 
-@lru_cache(maxsize=2)
-def merges_only(path: str) -> Tokenizer:
-    """A saved tokenizer without what comes before its merges, for strings that are one lower-case piece."""
-    with open(path) as f:
-        saved = json.load(f)
-    return Tokenizer.from_str(json.dumps(saved | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-
-
 @lru_cache(maxsize=2)
 def rank_file(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
