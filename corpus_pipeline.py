@@ -47,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     copies = minhash.near_duplicates(docs, width=5, percent=80).filter("not kept and doc_id is not null")
     copies = materialize(copies.select(F.col("doc_id").alias("copy_id")).distinct(), "copies")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies.hint("merge")
     return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import map_text, only, sample_texts, slices, text_column
-from lexmill.llm.workers import CACHE_LENGTH, held
+from lexmill.llm.workers import CACHE_LENGTH, held, trim
 
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 2_250_000
@@ -241,7 +241,9 @@ def fit(
     bounds = [(r["label"], min((4 * rows + 40) * 2**64 // max(r["ids"], 1), 2**64 - 1) - 2**63) for r in totals]
     bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, known.select("label", F.lit(0).cast("bigint").alias("bound")).schema))
     near = known.join(bounds, "label").filter(F.xxhash64(F.lit(seed), "doc_id") <= F.col("bound")).drop("bound")
-    return train([(r["text"], r["label"]) for r in sample_texts(near, F.col("label"), rows, chars, seed)], seed)
+    model = train([(r["text"], r["label"]) for r in sample_texts(near, F.col("label"), rows, chars, seed)], seed)
+    trim()  # the driver has its JVM beside it
+    return model
 
 
 def train(sample: list[tuple[str, str]], seed: int, epochs: int = 4) -> LanguageModel:

@@ -38,7 +38,7 @@ from lexmill.llm.components import components
 from lexmill.llm.rows import map_text, only
 from lexmill.llm.shingles import shingle_sets
 from lexmill.llm.workers import trim
-from lexmill.storage import materialize
+from lexmill.storage import materialize, measured_joins
 
 COORDINATES = 32
 MATCHES = 17
@@ -290,30 +290,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left out; an empty table gives an empty result.
     """
     texts = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    rows = materialize(described(texts, width), "shingle_sets")
-    with_id = rows.filter("doc_id is not null and set_id is not null")
-    # a class is a set; it is numbered, as ids need not be: two sets may have the same smallest id
-    per_set = [F.min("doc_id").alias("doc"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")]
-    classes = with_id.groupBy("set_id").agg(*per_set).withColumn("class", F.monotonically_increasing_id())
-    classes = materialize(classes, "shingle_classes")
-    # rows that share an id are one document, by these links
-    same_id = with_id.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("doc_id")
-    same_id = with_id.join(same_id, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-
-    postings = materialize(prefix_postings(classes), "prefix_postings")
-    hubs = postings.groupBy("key").agg(F.max_by("class", F.struct("common", -F.col("doc"), -F.col("class"))).alias("hub"))
-    pairs = postings.join(hubs, "key").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    signed = classes.select("class", "doc", "signature", "size")
-    for side in ("a", "b"):
-        own = signed.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "signature", "size")])
-        pairs = pairs.join(own, side)
-    pairs = pairs.filter(_matching(F.col("signature_a"), F.col("signature_b")) >= MATCHES)
-    pairs = pairs.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).filter("doc_a <> doc_b")
-    pairs = materialize(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "hub_pairs")
-    links = materialize(confirmed(pairs, texts, width, percent), "hub_links")
-    more = merge_families(families(postings, components(links)), signed, texts, width, percent)
-    merged = components(links.unionByName(more).unionByName(same_id))
-
-    result = rows.join(classes.select("set_id", "doc"), "set_id", "left").join(merged, F.col("doc") == F.col("node"), "left")
+    with measured_joins(docs.sparkSession):
+        rows = materialize(described(texts, width), "shingle_sets")
+        with_id = rows.filter("doc_id is not null and set_id is not null")
+        # a class is a set; it is numbered, as ids need not be: two sets may have the same smallest id
+        per_set = [F.min("doc_id").alias("doc"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")]
+        classes = with_id.groupBy("set_id").agg(*per_set).withColumn("class", F.monotonically_increasing_id())
+        classes = materialize(classes, "shingle_classes")
+        # rows that share an id are one document, by these links
+        same_id = with_id.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("doc_id")
+        same_id = with_id.join(same_id, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+
+        postings = materialize(prefix_postings(classes), "prefix_postings")
+        hubs = postings.groupBy("key").agg(F.max_by("class", F.struct("common", -F.col("doc"), -F.col("class"))).alias("hub"))
+        pairs = postings.join(hubs, "key").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+        signed = classes.select("class", "doc", "signature", "size")
+        for side in ("a", "b"):
+            own = signed.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "signature", "size")])
+            pairs = pairs.join(own, side)
+        pairs = pairs.filter(_matching(F.col("signature_a"), F.col("signature_b")) >= MATCHES)
+        pairs = pairs.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).filter("doc_a <> doc_b")
+        pairs = materialize(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "hub_pairs")
+        links = materialize(confirmed(pairs, texts, width, percent), "hub_links")
+        more = merge_families(families(postings, components(links)), signed, texts, width, percent)
+        merged = components(links.unionByName(more).unionByName(same_id))
+
+    # a row per set and per linked document, which the caller's plan must not broadcast
+    result = rows.join(classes.select("set_id", "doc").hint("merge"), "set_id", "left").join(merged.hint("merge"), F.col("doc") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

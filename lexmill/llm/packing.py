@@ -39,6 +39,8 @@ END_ID = 0
 MARKS = string.punctuation.encode()
 # Letters of ASCII and Latin-1: one piece, of which no step before the merges changes more than the case.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# The numbers of earlier pieces are broadcast if there are at most so many; a task has up to one per length.
+BROADCAST_RANKS = 500_000
 # Words of a generation. A worker holds two, beside a JVM that takes most of an executor's memory.
 GENERATION = 100_000
 
@@ -186,6 +188,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     runs = plan({r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = per_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    ranks = F.broadcast(ranks) if per_task.count() <= BROADCAST_RANKS else ranks.hint("merge")
     ranked = written.join(ranks, ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth")).drop("part", "nth", "earlier")
 
     order = np.lexsort((runs[:, 1], runs[:, 0]))

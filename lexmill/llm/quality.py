@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.rows import map_text, only, sample_rows, sample_texts, slices, text_column, utf8
-from lexmill.llm.workers import held
+from lexmill.llm.workers import held, trim
 
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 8 << 20
@@ -132,7 +132,12 @@ def fit(
     y = np.array([r["label"] for r in found], np.float32)
     if len(np.unique(y)) < 2:
         return QualityModel.unfitted()
-    return train([r["text"] for r in found], y, epochs, seed)
+    texts = [r["text"] for r in found]
+    del found
+    model = train(texts, y, epochs, seed)
+    del texts
+    trim()  # the driver has its JVM beside it
+    return model
 
 
 def chunk_blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

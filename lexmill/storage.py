@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +80,24 @@ def materialize_placed(df: DataFrame, name: str) -> DataFrame:
         conf.set(option, before)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """In what is written meanwhile a join's side is broadcast only if it is marked, or if its rows were shuffled and measured.
+
+    What the optimiser expects is no bound: an exploded array counts as one entry, a stored table
+    as its compressed file, and a broadcast once planned is kept, however many rows there are.
+    """
+    conf, expected, measured = spark.conf, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {option: conf.get(option, None) for option in (expected, measured)}
+    conf.set(measured, before[measured] or conf.get(expected))
+    conf.set(expected, "-1")
+    try:
+        yield
+    finally:
+        for option, value in before.items():
+            conf.unset(option) if value is None else conf.set(option, value)
+
+
 # Bytes of stored input that one task should work on.
 PLACED_BYTES = 256 << 20
 # Sizes from here on are Spark's way to say that it does not know.

@@ -8,6 +8,7 @@ import pytest
 from lexmill.llm import embedding_dups, minhash, neighbours
 from lexmill.llm.components import components
 from lexmill.llm.shingles import shingle_sets
+from lexmill.storage import materialize, measured_joins
 
 
 def smallest(nodes, links):
@@ -119,6 +120,43 @@ def test_rows_that_share_an_id_link_with_near_copies_of_each_text(documents):
     assert got == {(7, 7), (10, 7), (11, 7), (12, 7), (13, 7), (14, 14), (15, 15), (20, 15)}
 
 
+def broadcasts(df):
+    return str(df._jdf.queryExecution().executedPlan()).count("BroadcastExchange")
+
+
+def test_near_duplicates_broadcast_nothing_by_its_expected_size(spark, documents, monkeypatch):
+    # tables so small that the optimiser would broadcast each of them, as it would exploded signatures of any number
+    rng = random.Random(5)
+    docs = documents(list(enumerate(family(rng, 30, 2) + [" ".join(rng.choices("abcdefgh", k=40)) for _ in range(30)])))
+    planned = {}
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: planned.update({name: broadcasts(df)}) or materialize(df, name))
+    result = minhash.near_duplicates(docs, width=2)
+    assert {"prefix_postings", "hub_pairs", "hub_links", "families"} <= planned.keys()
+    marked = planned.pop("wanted_texts")  # ids whose number was counted
+    assert set(planned.values()) == {0} and marked <= 1 and broadcasts(result) == 0
+    seen = []
+    monkeypatch.setattr("lexmill.llm.components.materialize", lambda df, name: seen.append(broadcasts(df)) or materialize(df, name))
+    components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    assert len(seen) > 1 and not any(seen)
+
+
+@pytest.mark.parametrize("own", [None, "5m"])
+def test_settings_of_joins_come_back(spark, own):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    if own:
+        spark.conf.set(names[1], own)
+    try:
+        before = [spark.conf.get(n, None) for n in names]
+        with pytest.raises(ValueError), measured_joins(spark):
+            with measured_joins(spark):
+                assert spark.conf.get(names[0]) == "-1"
+            assert (spark.conf.get(names[0]), spark.conf.get(names[1])) == ("-1", own or spark.conf.get(names[1]))
+            raise ValueError
+        assert [spark.conf.get(n, None) for n in names] == before
+    finally:
+        spark.conf.unset(names[1])
+
+
 def test_near_duplicates_of_nothing(documents):
     assert minhash.near_duplicates(documents([])).count() == 0
     assert [r.kept for r in minhash.near_duplicates(documents([(1, None)])).collect()] == [True]
