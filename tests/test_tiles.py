@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators.tensor import CoordTensor
+from lexmill.operators import tiles as tiles_
 from lexmill.operators.tiles import TileMatrix, matmul_tiles
 from lexmill.storage import materialize
 
@@ -101,3 +102,33 @@ def test_groups_that_share_no_places_are_not_cut(spark):
     once, cut = (matmul_tiles(a, a.t, 4, group=4, inner=inner) for inner in (1000, 10))
     assert sorted(map(tuple, cut.df.collect())) == sorted(map(tuple, once.df.collect()))
     assert shuffled_bytes(cut.df) <= 1.1 * shuffled_bytes(once.df)
+
+
+def test_sparse_products_shuffle_few_bytes_a_cell(spark):
+    # some 100 cells in each of 600 inner places: about three pairs a cell of the product, which are not summed up in parts
+    cells = spark.range(512 * 9600).filter("pmod(xxhash64(id), 80) = 0").select(F.expr("id div 9600").alias("i"), F.expr("id % 9600").alias("j"), F.expr("cast(id % 50 + 1 as double)").alias("value"))
+    a = CoordTensor(materialize(cells, "cells"), ["i", "j"])
+    n = a.df.count()
+    tiled = matmul_tiles(a, a.t, 16)
+    by_tiles = shuffled_bytes(tiled.df)
+    assert sorted(map(tuple, tiled.df.collect())) == sorted(map(tuple, (a @ a.t).df.collect()))
+    assert by_tiles <= 20 * n, (by_tiles, n)
+
+
+def test_packed_cells_come_back(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 999):
+        cells = np.sort(rng.choice(1 << 30, n, replace=False)).astype(np.int32)
+        values = rng.choice([0.0, -0.0, 1.0, 1e-310, np.inf, -np.inf, np.nan, np.pi], n)
+        at, back = tiles_._unpacked(tiles_._packed(cells, values), n)
+        assert at.tolist() == cells.tolist() and back.tobytes() == values.tobytes()
+    # pair by pair, a few at a time, is as good as by dense tiles
+    a, b = ((np.sort(rng.choice(64 * 8, 300, replace=False)), rng.integers(1, 9, 300).astype(float)) for _ in range(2))
+    left, right = (a[0] // 8, a[0] % 8, a[1]), (b[0] // 64, b[0] % 64, b[1])
+    sums = []
+    for sparse, at_once in ((0, 1), (1e9, 1), (1e9, 7), (1e9, 1 << 20)):
+        monkeypatch.setattr(tiles_, "SPARSE", sparse)
+        monkeypatch.setattr(tiles_, "PAIRS_AT_ONCE", at_once)
+        sums.append(np.zeros((64, 64)))
+        tiles_._add_product(sums[-1], left, right, 8)
+    assert sums[0].any() and all((s == sums[0]).all() for s in sums)
