@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.gaussian import log_density, log_tail
-from lexmill.operators.joins import BROADCAST_BYTES, CLASS_BYTES, Lookup, beside_each, class_array_bytes
+from lexmill.operators.joins import BROADCAST_BYTES, CLASS_BYTES, Lookup, beside_each, class_array_bytes  # noqa: F401
 from lexmill.operators.metrics import accuracy
 from lexmill.operators.tensor import best
+from lexmill.plans.blocks import best_of_blocks, packed_cells
 from lexmill.plans.classes import WIDE_LABELS, Classes, best_slot, with_label
 from lexmill.storage import is_stored, materialize, materialize_placed
 
-# Up to this many classes each have a slot in the row of a frequent word.
+# Up to this many classes each have a slot in a document's row of sums, and a place of one byte.
 SLOT_LABELS = 256
 # Sums of documents and classes that one task should hold.
 BLOCK_SUMS = 4_000_000
@@ -227,34 +229,23 @@ class NaiveBayes:
 
         Words seen with a class only add to its score, so the largest of the
         scores without them and of those with them is the largest of all.
-        Words with many rows have a broadcast slot per class, up to SLOT_LABELS
-        of them, and add up where the document is. The cells of other words are
-        sent once to each block of documents that has the word.
+        Up to SLOT_LABELS classes the packed cells of words are sent once to each
+        block of documents that has the word, and its task adds them up. Of more
+        classes the cells are sent there as rows.
         """
         order = F.row_number().over(Window.orderBy("label"))  # as many rows as labels
         sizes = materialize(self.sizes.withColumn("place", order), "class_places")
-        classes = F.array_sort(F.collect_list(F.struct("place", "label", "log_prior", "denominator")))
-        classes = sizes.agg(classes).scalar()
         n = sizes.count()
         x = x.select(*self.keys, "feature")
         rows = x if is_stored(x) else materialize(x, "to_predict")
+        if 0 < n <= SLOT_LABELS:
+            return self._block_best(rows, sizes.orderBy("place").collect())
+        classes = F.array_sort(F.collect_list(F.struct("place", "label", "log_prior", "denominator")))
+        classes = sizes.agg(classes).scalar()
         model = self._log_cells(F.broadcast(sizes.select("label", "place")))  # of bounded size, as the array
         weight = F.col("df").cast("double") if self.weight == "df" else F.lit(1.0)
-        if n <= SLOT_LABELS:
-            slots = range(1, n + 1)
-            near = _frequent(model, BROADCAST_BYTES // (8 * n + 128)).select("feature", "df", F.explode_outer("logs").alias("c"))
-            near = near.groupBy("feature", "df").agg(F.array(*[F.expr(f"sum(if(c.place = {k}, c.log, 0D))") for k in slots]).alias("logs"))
-            near = materialize(near, "near_words")
-            sums = [F.sum(F.col("_w") * F.col("logs")[k - 1]) for k in slots]
-            docs = rows.join(F.broadcast(near), "feature").withColumn("_w", weight).groupBy(*self.keys)
-            docs = docs.agg(F.sum("_w").alias("_W"), F.lit(0.0).alias("_U"), F.array(*sums).alias("_s"))
-            far = self._block_sums(rows.join(F.broadcast(near.select("feature")), "feature", "left_anti"), model, weight, n)
-            far = far.agg(*self._totals, F.array(*[F.expr(f"sum(if(place = {k}, _s, 0D))") for k in slots]).alias("_s"))
-            both = docs.unionByName(materialize_placed(far.drop("_block"), "block_sums")).groupBy(*self.keys)
-            docs = both.agg(F.sum("_W").alias("_W"), F.sum("_U").alias("_U"), F.array(*[F.expr(f"sum(_s[{k - 1}])") for k in slots]).alias("_s"))
-        else:
-            seen = F.collect_list(F.when(F.col("place") > 0, F.struct("place", "_s"))).alias("_seen")
-            docs = materialize_placed(self._block_sums(rows, model, weight, n).agg(*self._totals, seen), "block_sums")
+        seen = F.collect_list(F.when(F.col("place") > 0, F.struct("place", "_s"))).alias("_seen")
+        docs = materialize_placed(self._block_sums(rows, model, weight, n).agg(*self._totals, seen), "block_sums")
         docs = docs.withColumn("_classes", classes)
 
         def scored(c: Column, more: Column) -> Column:
@@ -262,14 +253,33 @@ class NaiveBayes:
             # of equal scores the first place is the largest
             return F.struct(score.alias("score"), (-c["place"]).alias("before"), c["label"].alias("label"))
 
-        if n <= SLOT_LABELS:
-            top = F.array_max(F.transform("_classes", lambda c: scored(c, F.element_at("_s", c["place"]))))
-        else:
-            plain = F.array_max(F.transform("_classes", lambda c: scored(c, F.lit(0.0))))
-            with_words = F.transform("_seen", lambda s: scored(F.element_at("_classes", s["place"]), s["_s"]))
-            top = F.array_max(F.array_compact(F.array(plain, F.array_max(with_words))))
+        plain = F.array_max(F.transform("_classes", lambda c: scored(c, F.lit(0.0))))
+        with_words = F.transform("_seen", lambda s: scored(F.element_at("_classes", s["place"]), s["_s"]))
+        top = F.array_max(F.array_compact(F.array(plain, F.array_max(with_words))))
         return docs.withColumn("_top", top).select(*self.keys, "_top.label", "_top.score")
 
+    def _blocks(self, rows: DataFrame, n: int) -> int:
+        """Into how many blocks documents are dealt, whose sums for ``n`` classes are one task's."""
+        n_docs = rows.agg(F.approx_count_distinct(F.struct(*self.keys))).first()[0]
+        return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n_docs * n // BLOCK_SUMS))
+
+    def _block_best(self, rows: DataFrame, classes: Sequence[Row]) -> DataFrame:
+        """The best of up to SLOT_LABELS ``classes``, rows in order of their labels."""
+        model = materialize(packed_cells(self.model.df, [r["label"] for r in classes]), "packed_cells")
+        blocks = self._blocks(rows, len(classes))
+        rows = rows.withColumn("_block", F.pmod(F.xxhash64(*self.keys), F.lit(blocks)).cast("int"))
+        left = self.unseen == "smooth" or self.fallback
+        words = rows.select("_block", "feature").distinct().join(model, "feature", "left")
+        words = words.select("_block", "feature", F.lit(0).alias("_side"), *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in self.keys], "df", "packed")
+        docs = rows.select("_block", "feature", F.lit(1).alias("_side"), *self.keys, F.lit(None).cast("bigint").alias("df"), F.lit(None).cast("binary").alias("packed"))
+        # a block's number is its task's: by a hash some tasks would have several
+        both = words.unionByName(docs).repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "feature", "_side")
+        unseen = 1.0 if self.unseen == "smooth" else 0.0
+        found = best_of_blocks(both, self.keys, classes, self.weight == "df", unseen, left)
+        found = materialize_placed(found.select(F.explode("found").alias("f")).select("f.*"), "block_sums")
+        labels = F.array(*[F.lit(r["label"]) for r in classes]).cast(T.ArrayType(self.sizes.schema["label"].dataType))
+        return found.select(*self.keys, F.element_at(labels, F.col("_place")).alias("label"), "score")
+
     def _log_cells(self, places: DataFrame) -> DataFrame:
         """``feature, df, logs``: place and log count of the classes a word was seen with, stored."""
         cells = self.model.df.select("feature", "df", F.explode("cells").alias("c"))
@@ -289,8 +299,7 @@ class NaiveBayes:
         Documents are dealt out in blocks. A block's words are looked up once, and
         its sums stay where it is: of what a row unfolds into nothing is shuffled.
         """
-        n_docs = rows.agg(F.approx_count_distinct(F.struct(*self.keys))).first()[0]
-        blocks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n_docs * n // BLOCK_SUMS))
+        blocks = self._blocks(rows, n)
         rows = rows.withColumn("_block", F.pmod(F.xxhash64(*self.keys), F.lit(blocks)).cast("int"))
         left = self.unseen == "smooth" or self.fallback
         pair = lambda place, value: F.struct(place.alias("place"), value.alias("term"))
@@ -329,19 +338,6 @@ class NaiveBayes:
         return self
 
 
-def _frequent(model: DataFrame, most: int) -> DataFrame:
-    """The words of a model with the most rows, at most so many of them."""
-    size = F.floor(F.ln("df") * 8)
-    cut = None
-    # a few hundred rows at most
-    for r in model.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
-        most -= r["count"]
-        if most < 0:
-            break
-        cut = r["size"]
-    return model.filter(F.lit(False) if cut is None else size >= cut)
-
-
 class SmoothedNaiveBayes(NaiveBayes):
     """Textbook variant: word totals below the line, distinct words counted once, unseen words smoothed."""
 

@@ -8,7 +8,7 @@ import pytest
 from lexmill import storage
 from lexmill.operators.metrics import accuracy, hit_rate
 from lexmill.operators.tensor import best
-from lexmill.plans import GaussianNaiveBayes, NaiveBayes, SmoothedNaiveBayes, bayes
+from lexmill.plans import GaussianNaiveBayes, NaiveBayes, SmoothedNaiveBayes, bayes, blocks
 from lexmill.storage import scratch_path
 
 SCHEMA = "doc_id bigint, feature string, value double"
@@ -332,3 +332,34 @@ def test_sums_of_many_labels_stay_where_their_document_is(spark, rows, monkeypat
         assert len(found) == 60 + 2 * bool(how)
         assert found == want
     assert len(plans) == 3 and all("Exchange" not in p[: p.index("Generate explode")] for p in plans)
+
+
+def test_cells_of_many_labels_are_packed_and_added_up_in_one_task(spark, rows, monkeypatch):
+    # two keys, one of them null at times, rows that come twice, null words, odd counts, and words of few and of many classes
+    cells = [(i, "x" if i % 5 else None, f"w{k}", v) for i in range(60) for k, v in ((i % 20, 1.0), (i % 3, 70000.0), (i % 7, 0.5), (i % 4, 300.0), (i % 6, -3.0))]
+    schema = "doc_id bigint, part string, feature string, value double"
+    x = spark.createDataFrame([*cells, *cells[::9], (3, "x", None, 1.0), (4, "x", "w1", None)], schema)
+    y = spark.createDataFrame([(i, "x" if i % 5 else None, i % 30 if i % 11 else None) for i in range(60)], "doc_id bigint, part string, label int")
+    new = x.unionByName(spark.createDataFrame([(100, "x", "unknown", 1.0), (101, "x", None, 1.0), (102, None, "w1", 1.0)], schema))
+    stored, plans = [], []
+    monkeypatch.setattr(bayes, "materialize", lambda df, name, f=storage.materialize: stored.append(name) or f(df, name))
+    monkeypatch.setattr(bayes, "materialize_placed", lambda df, name, f=storage.materialize: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, name))
+    for how in ({}, {"unseen": "smooth", "weight": "once"}, {"fallback": True}):
+        model = bayes.NaiveBayes(wide=0, keys=["doc_id", "part"], **how).fit(x, y)
+        stored.clear()
+        found = model.predict(new)
+        assert stored == ["class_places", "to_predict", "packed_cells"]
+        assert dict(found.dtypes) == {"doc_id": "bigint", "part": "string", "label": "int", "score": "double"}
+        scores = model.scores(new).filter("part is not null")
+        want = best(scores, ["doc_id", "part"], "score", "label")
+        got = rows(found.filter("part is not null").selectExpr("doc_id", "part", "round(score, 6)"))
+        assert got == rows(want.selectExpr("doc_id", "part", "round(score, 6)")) and len(got) > 40
+    # of what cells unfold into nothing is a row of Spark's
+    assert len(plans) == 3 and all("Aggregate" not in p[: p.index("MapInArrow")] for p in plans)
+
+
+def test_packed_cells_come_back(spark):
+    cells = [("a", 3, [("x", 1.0), ("y", 255.0)]), ("b", 1, [("z", 256.0), (None, 1.0), ("other", 2.0)]), ("c", 9, [("y", 0.25), ("x", 1e9)]), (None, 2, [("x", None), ("y", -1.0)]), ("d", 2, [])]
+    model = spark.createDataFrame(cells, "feature string, df long, cells array<struct<label:string,count:double>>")
+    got = {r.feature: (r.df, list(zip(*(a.tolist() for a in blocks.unpacked(bytes(r.packed))))), len(r.packed)) for r in blocks.packed_cells(model, ["x", "y", "z"]).collect()}
+    assert got == {"a": (3, [(0, 1.0), (1, 255.0)], 5), "b": (1, [(2, 256.0)], 4), "c": (9, [(1, 0.25), (0, 1e9)], 19), None: (2, [], 1), "d": (2, [], 1)}
